@@ -1,0 +1,69 @@
+"""LCS length and OSA distance for rows too long for 64-bit patterns.
+
+The same bit-vector recurrences as ``functions.edits``, on Python integers of
+any width: one pass over the longer side, O(n * m / 64) word operations. Rows
+arrive in Arrow batches; rows that the native fold handles arrive as NULL and
+cost nothing.
+"""
+
+from __future__ import annotations
+
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+LONG_RESULT = T.StructType([T.StructField("lcs", T.IntegerType()), T.StructField("osa", T.IntegerType())])
+
+
+def lcs_osa(a: str, b: str) -> tuple[int, int]:
+    if len(a) > len(b):
+        a, b = b, a
+    m = len(a)
+    if m == 0:
+        return 0, len(b)
+    pm: dict[str, int] = {}
+    for i, ch in enumerate(a):
+        pm[ch] = pm.get(ch, 0) | (1 << i)
+    full = (1 << m) - 1
+    top = 1 << (m - 1)
+
+    v = full
+    for ch in b:
+        u = v & pm.get(ch, 0)
+        v = ((v + u) | (v - u)) & full
+    lcs = m - v.bit_count()
+
+    vp, vn, d0, pmo, dist = full, 0, 0, 0, m
+    for ch in b:
+        pmj = pm.get(ch, 0)
+        tr = (((~d0) & pmj) << 1) & pmo
+        d0 = ((((pmj & vp) + vp) ^ vp) | pmj | vn | tr) & full
+        hp = (vn | ~(d0 | vp)) & full
+        hn = d0 & vp
+        dist += (1 if hp & top else 0) - (1 if hn & top else 0)
+        hp = ((hp << 1) | 1) & full
+        hn = (hn << 1) & full
+        vp = (hn | ~(d0 | hp)) & full
+        vn = hp & d0
+        pmo = pmj
+    return lcs, dist
+
+
+@F.pandas_udf(LONG_RESULT)
+def _long_lcs_osa(left: pd.Series, right: pd.Series) -> pd.DataFrame:
+    lcs, osa = [], []
+    for a, b in zip(left, right):
+        if a is None or b is None:
+            lcs.append(None)
+            osa.append(None)
+        else:
+            x, y = lcs_osa(a, b)
+            lcs.append(x)
+            osa.append(y)
+    return pd.DataFrame({"lcs": pd.array(lcs, dtype="Int32"), "osa": pd.array(osa, dtype="Int32")})
+
+
+def long_lcs_osa(a: Column, b: Column, needed: Column) -> Column:
+    """struct(lcs, osa) for rows where ``needed`` holds, NULL elsewhere."""
+    return _long_lcs_osa(F.when(needed, a), F.when(needed, b))
