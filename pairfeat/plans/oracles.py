@@ -218,3 +218,101 @@ def periph_terms(side: str, kind: str) -> str:
             "noun": "starts_with(tg, 'n')"}[kind]
     pairs = f"list_zip({terms(own)}, {tags(own)})"
     return f"[z[1] for z in {pairs} if NOT contains({other}, z[1]) AND {cond.replace('tg', 'z[2]')}]"
+
+
+# --------------------------------------------------------------------------
+# Vectors (2.7)
+# --------------------------------------------------------------------------
+
+def analyzed(s: str) -> str:
+    return f"regexp_extract_all(lower({s}), '[\\p{{L}}\\p{{N}}_]{{2,}}')"
+
+
+def notional_terms(s: str) -> str:
+    return (f"[z[1] for z in list_zip({terms(s)}, {tags(s)}) "
+            f"if z[2] IN ('a', 'd', 'v') OR starts_with(z[2], 'n')]")
+
+
+VOCAB_CTES = [
+    "nd AS (SELECT count(*) AS n FROM documents WHERE text IS NOT NULL)",
+    f"""vocab AS (
+  SELECT term, count(*) AS df FROM (
+    SELECT DISTINCT doc_id, term FROM (
+      SELECT doc_id, unnest({analyzed('text')}) AS term FROM documents WHERE text IS NOT NULL))
+  GROUP BY term)""",
+    "vidf AS (SELECT term, df, ln((1.0 + n) / (1.0 + df)) + 1.0 AS idf FROM vocab, nd)",
+]
+
+
+def vec_tokens(table: str, kinds=("all", "notion")) -> str:
+    parts = []
+    for kd in kinds:
+        for sd, col in (("l", "ql"), ("r", "qr")):
+            t = terms(col) if kd == "all" else notional_terms(col)
+            parts.append(f"SELECT qid, '{kd}' AS kind, '{sd}' AS side, "
+                         f"{analyzed(f'array_to_string({t}, chr(32))')} AS ts FROM {table}")
+    return "vt AS (" + " UNION ALL ".join(parts) + ")"
+
+
+def r6(x: str) -> str:
+    return f"(round({x}, 6) + 0.0)"
+
+
+HASHERS_SQL = {"hash1_18": (1, 2 ** 20), "hash1_20": (1, 2 ** 24), "hash2_18": (2, 2 ** 20), "hash2_20": (2, 2 ** 24)}
+
+
+def vector_ctes(table: str, kinds=("all", "notion")) -> list[str]:
+    """CTEs ending in ``vdist(qid, kind, vec, ped, pcd, pmd)`` for all six vectorisers."""
+    bigrams = ("(CASE WHEN len(ts) < 2 THEN []::VARCHAR[] ELSE list_transform(generate_series(1, len(ts) - 1),"
+               " lambda i: ts[i] || ' ' || ts[i + 1]) END)")
+    hparts = []
+    for name, (order, width) in HASHERS_SQL.items():
+        items = "ts" if order == 1 else f"list_concat(ts, {bigrams})"
+        hparts.append(f"SELECT qid, kind, side, '{name}' AS vec, {width} AS width, unnest({items}) AS t FROM vt")
+    return VOCAB_CTES + [
+        vec_tokens(table, kinds),
+        "tv AS (SELECT qid, kind, side, term, count(*) AS tf FROM "
+        "(SELECT qid, kind, side, unnest(ts) AS term FROM vt) GROUP BY ALL)",
+        "pt AS (SELECT qid, kind, term, CAST(sum(CASE WHEN side = 'l' THEN tf ELSE 0 END) AS DOUBLE) AS x,"
+        " CAST(sum(CASE WHEN side = 'r' THEN tf ELSE 0 END) AS DOUBLE) AS y, max(idf) AS idf"
+        " FROM tv JOIN vidf USING (term) GROUP BY ALL)",
+        "nrm AS (SELECT qid, kind, sqrt(sum((x * idf) * (x * idf))) AS nx, sqrt(sum((y * idf) * (y * idf))) AS ny"
+        " FROM pt GROUP BY ALL)",
+        "vw AS (SELECT qid, kind, 'count1' AS vec, x AS a, y AS b FROM pt UNION ALL"
+        " SELECT qid, kind, 'tfidf1', coalesce(x * idf / nullif(nx, 0), 0), coalesce(y * idf / nullif(ny, 0), 0)"
+        " FROM pt JOIN nrm USING (qid, kind))",
+        "hi AS (" + " UNION ALL ".join(hparts) + ")",
+        "hb AS (SELECT qid, kind, side, vec, ('0x' || substr(md5(t), 1, 8))::BIGINT % width AS bucket,"
+        " sum(CASE WHEN ('0x' || substr(md5(t), 9, 1))::INTEGER < 8 THEN 1.0 ELSE -1.0 END) AS v"
+        " FROM hi GROUP BY ALL)",
+        "hn AS (SELECT *, coalesce(v / nullif(sqrt(sum(v * v) OVER (PARTITION BY qid, kind, side, vec)), 0), 0)"
+        " AS vn FROM hb)",
+        "hw AS (SELECT qid, kind, vec, bucket, coalesce(sum(CASE WHEN side = 'l' THEN vn END), 0) AS a,"
+        " coalesce(sum(CASE WHEN side = 'r' THEN vn END), 0) AS b FROM hn GROUP BY ALL)",
+        "allw AS (SELECT qid, kind, vec, a, b FROM vw UNION ALL SELECT qid, kind, vec, a, b FROM hw)",
+        "vdist AS (SELECT qid, kind, vec, sqrt(sum((a - b) * (a - b))) AS ped, sum(abs(a - b)) AS pmd,"
+        " sum(a * a) AS aa, sum(b * b) AS bb, sum(a * b) AS ab, sum((a - b) * (a - b)) AS sq FROM allw GROUP BY ALL)",
+    ]
+
+
+def cosine_sql(aa: str, bb: str, ab: str) -> str:
+    cos = f"coalesce({ab} / nullif(sqrt({aa}) * sqrt({bb}), 0), 0)"
+    return (f"greatest(0.0, 0.5 * ((CASE WHEN {aa} > 0 THEN 1.0 ELSE 0.0 END) + "
+            f"(CASE WHEN {bb} > 0 THEN 1.0 ELSE 0.0 END) - 2.0 * {cos}))")
+
+
+def vector_select(table: str, names_by_kind: dict[str, list[str]]) -> str:
+    """Pivot vdist into the named feature columns, one row per pair."""
+    cols = []
+    for kd, names in names_by_kind.items():
+        pre = "" if kd == "all" else "notion_"
+        for name in names:
+            vec, metric = name.rsplit("_", 1)
+            if metric == "PED":
+                expr = "ped"
+            elif metric == "PMD":
+                expr = "pmd"
+            else:
+                expr = cosine_sql("aa", "bb", "ab") if vec in ("count1", "tfidf1") else "0.5 * sq"
+            cols.append(f"{r6(f'coalesce(max(CASE WHEN d.kind = {chr(39)}{kd}{chr(39)} AND d.vec = {chr(39)}{vec}{chr(39)} THEN {expr} END), 0.0)')} AS {pre}{name}")
+    return (f"SELECT p.qid, {', '.join(cols)} FROM {table} p LEFT JOIN vdist d ON p.qid = d.qid GROUP BY p.qid")

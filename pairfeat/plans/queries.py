@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from pairfeat.functions import sets, text
 from pairfeat.operators import lexical as lex
+from pairfeat.operators import vectors as vec
 from pairfeat.plans import oracles as O
 from pairfeat.session import scratch_dir
 from pairfeat.sources import pairs as src
@@ -255,3 +256,102 @@ def _lexical_sql(table: str, with_periph: bool) -> str:
 
 register("features_lexical", _lexical_sql("sent_pairs", False))(_lex_query(lex.LEXICAL))
 register("features_lexical_periph", _lexical_sql("sent_pairs", True))(_lex_query(lex.FAMILIES))
+
+
+# --------------------------------------------------------------------------
+# Vectors and distances (2.7)
+# --------------------------------------------------------------------------
+
+def _r6(c):
+    return (F.round(c, 6) + F.lit(0.0))
+
+
+def fitted_vocabulary(spark, sf_dir):
+    """G5 over ``documents``, persisted under the checkpoint folder (K1) and reloaded."""
+    path = scratch_dir(spark, "vocab")
+    vec.fit_vocabulary(src.corpus_texts(spark, sf_dir), persist_to=path)
+    return vec.Vocabulary.load(spark, path)
+
+
+@register("fit_vocab", O.with_pairs("sent_pairs", *O.VOCAB_CTES) +
+          f"SELECT term, df, {O.r6('idf')} AS idf FROM vidf")
+def q_fit_vocab(spark, sf_dir):
+    """G1/G2/G5 fit: document frequency and smoothed idf per term (K1 write, S4 read)."""
+    v = fitted_vocabulary(spark, sf_dir)
+    return v.table.select("term", "df", _r6(F.col("idf")).alias("idf"))
+
+
+@register("vocab_stats", O.with_pairs("sent_pairs", *O.VOCAB_CTES) +
+          "SELECT (SELECT n FROM nd) AS n_docs, (SELECT count(*) FROM vocab) AS n_terms")
+def q_vocab_stats(spark, sf_dir):
+    """Corpus statistics stored with the vocabulary."""
+    path = scratch_dir(spark, "vocab")
+    vec.fit_vocabulary(src.corpus_texts(spark, sf_dir), persist_to=path)
+    return spark.read.parquet(f"{path}/stats")
+
+
+_VEC_ALL = O.vector_ctes("sent_pairs", ("all",))
+_VEC_BOTH = O.vector_ctes("sent_pairs", ("all", "notion"))
+
+
+@register("count_vectors", O.with_pairs("sent_pairs", *_VEC_ALL) +
+          "SELECT qid, side, term, CAST(tf AS DOUBLE) AS weight FROM tv JOIN vidf USING (term) WHERE kind = 'all'")
+def q_count_vectors(spark, sf_dir):
+    """G1 transform: raw term counts per side over the fitted vocabulary."""
+    return vec.vocab_vectors_long(src.sent_pairs(spark, sf_dir), fitted_vocabulary(spark, sf_dir), tfidf=False)
+
+
+@register("tfidf_vectors", O.with_pairs("sent_pairs", *_VEC_ALL,
+                                        "tw AS (SELECT qid, side, term, tf * idf AS w FROM tv JOIN vidf USING (term)"
+                                        " WHERE kind = 'all')") +
+          f"SELECT qid, side, term, {O.r6('w / sqrt(sum(w * w) OVER (PARTITION BY qid, side))')} AS weight FROM tw")
+def q_tfidf_vectors(spark, sf_dir):
+    """G2 transform: tf * idf, L2-normalised per side."""
+    v = vec.vocab_vectors_long(src.sent_pairs(spark, sf_dir), fitted_vocabulary(spark, sf_dir), tfidf=True)
+    return v.withColumn("weight", _r6(F.col("weight")))
+
+
+def _hash_long_sql(order: int) -> str:
+    names = [n for n, (o, _) in O.HASHERS_SQL.items() if o == order]
+    inlist = ", ".join(f"'{n}'" for n in names)
+    return (O.with_pairs("sent_pairs", *_VEC_ALL) +
+            f"SELECT qid, side, vec AS vectorizer, bucket, {O.r6('vn')} AS value FROM hn "
+            f"WHERE kind = 'all' AND vec IN ({inlist}) AND vn <> 0")
+
+
+@register("hash_vectors", _hash_long_sql(1))
+def q_hash_vectors(spark, sf_dir):
+    """Signed md5 buckets of unigrams, widths 2**20 and 2**24, L2-normalised."""
+    h = vec.hashed_vectors_long(src.sent_pairs(spark, sf_dir), 1)
+    return h.withColumn("value", _r6(F.col("value")))
+
+
+@register("hash2_vectors", _hash_long_sql(2))
+def q_hash2_vectors(spark, sf_dir):
+    """As G3 over unigrams and bigrams."""
+    h = vec.hashed_vectors_long(src.sent_pairs(spark, sf_dir), 2)
+    return h.withColumn("value", _r6(F.col("value")))
+
+
+def _vector_query(kinds, names, prefix_notion: bool = False):
+    def q(spark, sf_dir):
+        f = vec.vector_features(src.sent_pairs(spark, sf_dir), fitted_vocabulary(spark, sf_dir), kinds)
+        cols = [f"notion_{n}" for n in names] if prefix_notion else list(names)
+        if kinds == ("all", "notion") and not prefix_notion:
+            cols = list(names) + [f"notion_{n}" for n in names]
+        return f.select("qid", *[_r6(F.col(c)).alias(c) for c in cols])
+    return q
+
+
+register("vector_distances", O.with_pairs("sent_pairs", *_VEC_ALL) +
+         O.vector_select("sent_pairs", {"all": vec.DIST_NAMES}))(_vector_query(("all",), vec.DIST_NAMES))
+register("vector_distances_notion", O.with_pairs("sent_pairs", *O.vector_ctes("sent_pairs", ("notion",))) +
+         O.vector_select("sent_pairs", {"notion": vec.DIST_NAMES}))(
+    _vector_query(("notion",), vec.DIST_NAMES, prefix_notion=True))
+register("features_vector", O.with_pairs("sent_pairs", *_VEC_BOTH) +
+         O.vector_select("sent_pairs", {"all": vec.DIST_NAMES, "notion": vec.DIST_NAMES}))(
+    _vector_query(("all", "notion"), vec.DIST_NAMES))
+for _metric, _key in (("PED", "dist_euclid"), ("PCD", "dist_cosine"), ("PMD", "dist_manhattan")):
+    _names = [n for n in vec.DIST_NAMES if n.endswith(_metric)]
+    register(_key, O.with_pairs("sent_pairs", *_VEC_ALL) + O.vector_select("sent_pairs", {"all": _names}))(
+        _vector_query(("all",), _names))
