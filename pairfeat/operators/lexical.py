@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pairfeat.functions import edits, sets, text
 from pairfeat.functions.core import let, ratio
 from pairfeat.operators.longseq import long_lcs_osa
+from pairfeat.operators.partitioning import by_pair
 
 LENGTH_NAMES = ["len_l", "len_r", "len_union", "len_intersect", "len_diff",
                 "len_l_diff_r", "len_r_diff_l", "len_l_diff_r_ratio", "len_r_diff_l_ratio"]
@@ -142,14 +143,16 @@ LEXICAL = FAMILIES[:-1]
 
 
 def lexical_features(pairs: DataFrame, families=LEXICAL, keep=("qid",), left: str = "ql",
-                     right: str = "qr", extra_ratios: bool = False) -> DataFrame:
+                     right: str = "qr", extra_ratios: bool = False, spread: bool = True,
+                     partitions: int | None = None) -> DataFrame:
     """the requested lexical families as flat columns next to ``keep``.
 
     Default families give the 87 lexical columns; add ``"periph_len"`` for the
-    45 peripheral columns (132 together).
+    45 peripheral columns (132 together). ``spread`` hash-partitions the pairs
+    on ``qid`` first (see ``operators.partitioning``).
     """
     keep = list(keep)
-    p = _prepared(pairs, keep, left, right)
+    p = _prepared(by_pair(pairs, partitions) if spread else pairs, keep, left, right)
     c = {k: F.col(k) for k in ("_a", "_b", "_cl", "_cr", "_wl", "_wr", "_gl", "_gr")}
     need_words = "word_seq" in families
     stage = [*keep, *c.values()]

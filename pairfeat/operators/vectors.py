@@ -27,6 +27,7 @@ from pairfeat.functions import text
 from pairfeat.functions.core import empty_array, let
 from pairfeat.operators.joins import BROADCAST_MAX_ROWS, lookup_join
 from pairfeat.operators.lexical import with_tokens
+from pairfeat.operators.partitioning import by_pair, pair_partitions
 
 # The six vectorisers. The hashed ones keep their names; their
 # widths are 2**20 for the "_18" and 2**24 for the "_20" variants.
@@ -130,9 +131,8 @@ def vocab_term_frequencies(pairs: DataFrame, vocab: Vocabulary, kinds=("all", "n
     """(qid, kind, term, tf_l, tf_r, idf) for vocabulary terms; unseen terms dropped.
 
     The output stays hash-partitioned by qid."""
-    spark = pairs.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    k = _kinds(pairs.repartition(n, "qid"))
+    n = pair_partitions(pairs, partitions)
+    k = _kinds(by_pair(pairs, n))
     rows = _token_rows(k, kinds)
     spread = F.xxhash64("qid", "kind", "side", "pos")
     joined = lookup_join(rows, vocab.table.select("term", "df", "idf"), "term", vocab.n_terms,
@@ -272,9 +272,8 @@ def vector_features(pairs: DataFrame, vocab: Vocabulary, kinds=("all", "notion")
 
     Pairs are hash-partitioned by qid once; the vocabulary branch and the hashed
     branch both keep that partitioning, so the final join adds no exchange."""
-    spark = pairs.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    p = pairs.repartition(n, "qid")
+    n = pair_partitions(pairs, partitions)
+    p = by_pair(pairs, n)
     vd = vocab_distances(vocab_term_frequencies(p, vocab, kinds, n), kinds)
     hd = hashed_distances(_kinds(p), kinds)
     out = hd.join(vd, "qid", "left")
@@ -290,7 +289,7 @@ def vector_features(pairs: DataFrame, vocab: Vocabulary, kinds=("all", "notion")
 
 def hashed_vectors_long(pairs: DataFrame, order: int) -> DataFrame:
     """(qid, side, vectoriser, bucket, value): the nonzero hashed entries."""
-    k = _kinds(pairs)
+    k = _kinds(by_pair(pairs))
     cells = []
     for name, (o, width) in HASHERS.items():
         if o != order:

@@ -316,3 +316,75 @@ def vector_select(table: str, names_by_kind: dict[str, list[str]]) -> str:
                 expr = cosine_sql("aa", "bb", "ab") if vec in ("count1", "tfidf1") else "0.5 * sq"
             cols.append(f"{r6(f'coalesce(max(CASE WHEN d.kind = {chr(39)}{kd}{chr(39)} AND d.vec = {chr(39)}{vec}{chr(39)} THEN {expr} END), 0.0)')} AS {pre}{name}")
     return (f"SELECT p.qid, {', '.join(cols)} FROM {table} p LEFT JOIN vdist d ON p.qid = d.qid GROUP BY p.qid")
+
+
+# --------------------------------------------------------------------------
+# Machine-translation scores (2.8)
+# --------------------------------------------------------------------------
+
+def mt_base(table: str) -> str:
+    grams = []
+    for side in ("l", "r"):
+        for n in (1, 2, 3, 4):
+            grams.append(f"{ngrams(f'c{side}', n, chr(39) * 2)} AS c{side}{n}")
+            grams.append(f"{ngrams(f'w{side}', n, 'chr(1)')} AS w{side}{n}")
+    return f"""mtb0 AS (
+  SELECT qid, {chars('ql')} AS cl, {chars('qr')} AS cr, {terms('ql')} AS wl, {terms('qr')} AS wr FROM {table}),
+mtb AS (SELECT *, {', '.join(grams)} FROM mtb0)"""
+
+
+def _gram_counts(a: str, b: str, sep: str) -> list[tuple[str, str, str]]:
+    """Per n: (len of a's n-grams, len of b's n-grams, clipped matches), on the
+    precomputed gram columns of ``mtb`` (a, b are 'cl'/'cr' or 'wl'/'wr')."""
+    out = []
+    for n in (1, 2, 3, 4):
+        ga, gb = f"{a}{n}", f"{b}{n}"
+        out.append((f"len({ga})", f"len({gb})", multiset_inter(ga, gb)))
+    return out
+
+
+def bleu_sql(ref: str, hyp: str, sep: str) -> str:
+    g = _gram_counts(ref, hyp, sep)
+    ps = []
+    for n, (_, lh, i) in enumerate(g):
+        den = f"greatest({lh}, 1)"
+        zeros_before = " + ".join(f"CAST(({g[k][2]}) = 0 AS INTEGER)" for k in range(n)) or "0"
+        ps.append(f"(CASE WHEN ({i}) = 0 THEN 1.0 / (pow(2.0, ({zeros_before}) + 1) * {den}) "
+                  f"ELSE CAST({i} AS DOUBLE) / {den} END)")
+    geo = "exp(" + " + ".join(f"0.25 * ln({p})" for p in ps) + ")"
+    bp = (f"(CASE WHEN len({hyp}) > len({ref}) THEN 1.0 WHEN len({hyp}) = 0 THEN 0.0 "
+          f"ELSE exp(1.0 - CAST(len({ref}) AS DOUBLE) / len({hyp})) END)")
+    return f"(CASE WHEN ({g[0][2]}) = 0 THEN 0.0 ELSE {bp} * {geo} END)"
+
+
+def gleu_std_sql(a: str, b: str, sep: str) -> str:
+    g = _gram_counts(a, b, sep)
+    tp = " + ".join(f"({x[2]})" for x in g)
+    na = " + ".join(x[0] for x in g)
+    nb = " + ".join(x[1] for x in g)
+    return ratio(tp, f"greatest({na}, {nb})")
+
+
+def _all_grams(n: str) -> str:
+    return " + ".join(f"greatest({n} - {k}, 0)" for k in range(4))
+
+
+def gleu_chars_sql(ref: str, hyp: str) -> str:
+    return (f"(CASE WHEN len(list_intersect({ref}, {hyp})) > 0 THEN 1.0 / greatest({_all_grams(f'len({hyp})')}, 1)"
+            f" ELSE 0.0 END)")
+
+
+def gleu_words_sql(ref: str, hyp: str) -> str:
+    """Each reference term is a reference read as characters; the hypothesis is
+    a word sequence, so only runs of one-character words can match."""
+    def char_grams(t):
+        return ("list_concat(" + ", ".join(
+            f"(CASE WHEN length({t}) < {n} THEN []::VARCHAR[] ELSE list_transform(generate_series(1, length({t}) - {n - 1}),"
+            f" lambda i: substring({t}, i, {n})) END)" for n in (1, 2, 3, 4)) + ")")
+    hyp_grams = ("list_concat(" + ", ".join(
+        f"(CASE WHEN len({hyp}) < {n} THEN []::VARCHAR[] ELSE [array_to_string({hyp}[i:i + {n - 1}], '') "
+        f"for i in generate_series(1, len({hyp}) - {n - 1}) "
+        f"if list_bool_and(list_transform({hyp}[i:i + {n - 1}], lambda x: length(x) = 1))] END)"
+        for n in (1, 2, 3, 4)) + ")")
+    per_term = (f"list_transform({ref}, lambda t: {ratio(multiset_inter(char_grams('t'), hyp_grams), f'greatest({_all_grams(f'len({hyp})')}, len({char_grams('t')}))')})")
+    return f"coalesce(list_max({per_term}), 0.0)"

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from pairfeat.functions import sets, text
 from pairfeat.operators import lexical as lex
+from pairfeat.operators import mt as mtf
 from pairfeat.operators import vectors as vec
 from pairfeat.plans import oracles as O
 from pairfeat.session import scratch_dir
@@ -355,3 +356,47 @@ for _metric, _key in (("PED", "dist_euclid"), ("PCD", "dist_cosine"), ("PMD", "d
     _names = [n for n in vec.DIST_NAMES if n.endswith(_metric)]
     register(_key, O.with_pairs("sent_pairs", *_VEC_ALL) + O.vector_select("sent_pairs", {"all": _names}))(
         _vector_query(("all",), _names))
+
+
+# --------------------------------------------------------------------------
+# Machine-translation scores (2.8)
+# --------------------------------------------------------------------------
+
+def _mt_query(cols, levels, standard_gleu=False, with_ribes=False, table="sent_pairs", rounded=True):
+    def q(spark, sf_dir):
+        f = mtf.mt_features(getattr(src, table)(spark, sf_dir), levels=levels, standard_gleu=standard_gleu,
+                            with_ribes=with_ribes)
+        return f.select("qid", *[(_r6(F.col(c)) if rounded else F.col(c)).alias(c) for c in cols])
+    return q
+
+
+def _mt_sql(exprs: dict[str, str]) -> str:
+    return (O.with_pairs("sent_pairs", O.mt_base("sent_pairs")) + "SELECT qid, " +
+            ", ".join(f"{O.r6(e)} AS {k}" for k, e in exprs.items()) + " FROM mtb")
+
+
+register("mt_bleu_char", _mt_sql({"char_bleu_score_l": O.bleu_sql("cl", "cr", "''"),
+                                  "char_bleu_score_r": O.bleu_sql("cr", "cl", "''")}))(
+    _mt_query(["char_bleu_score_l", "char_bleu_score_r"], ("char",)))
+register("mt_bleu_word", _mt_sql({"basic_word_bleu_score_l": O.bleu_sql("wl", "wr", "chr(1)"),
+                                  "basic_word_bleu_score_r": O.bleu_sql("wr", "wl", "chr(1)")}))(
+    _mt_query(["basic_word_bleu_score_l", "basic_word_bleu_score_r"], ("basic_word",)))
+register("mt_gleu_char", _mt_sql({"char_gleu_score_l": O.gleu_chars_sql("cl", "cr"),
+                                  "char_gleu_score_r": O.gleu_chars_sql("cr", "cl")}))(
+    _mt_query(["char_gleu_score_l", "char_gleu_score_r"], ("char",)))
+register("mt_gleu_word", _mt_sql({"basic_word_gleu_score_l": O.gleu_words_sql("wl", "wr"),
+                                  "basic_word_gleu_score_r": O.gleu_words_sql("wr", "wl")}))(
+    _mt_query(["basic_word_gleu_score_l", "basic_word_gleu_score_r"], ("basic_word",)))
+register("mt_gleu_std", _mt_sql({"char_gleu_std_l": O.gleu_std_sql("cl", "cr", "''"),
+                                 "char_gleu_std_r": O.gleu_std_sql("cl", "cr", "''"),
+                                 "basic_word_gleu_std_l": O.gleu_std_sql("wl", "wr", "chr(1)"),
+                                 "basic_word_gleu_std_r": O.gleu_std_sql("wl", "wr", "chr(1)")}))(
+    _mt_query(["char_gleu_std_l", "char_gleu_std_r", "basic_word_gleu_std_l", "basic_word_gleu_std_r"],
+              ("char", "basic_word"), standard_gleu=True))
+# RIBES: alignment search, no SQL twin; checked against goldens and a plain
+# reading of the definition in tests/test_mt.py.
+register("mt_ribes_char")(_mt_query(["char_ribes_score_l", "char_ribes_score_r"], ("char",), with_ribes=True))
+register("mt_ribes_word")(_mt_query(["basic_word_ribes_score_l", "basic_word_ribes_score_r"], ("basic_word",),
+                                    with_ribes=True))
+register("features_mt")(_mt_query([f"{lv}_{n}" for lv in ("char", "basic_word") for n in mtf.MT_NAMES],
+                                  ("char", "basic_word"), with_ribes=True))
