@@ -29,38 +29,30 @@ RIBES_ALPHA, RIBES_BETA = 0.25, 0.10  # fixed values: RIBES exponents
 # RIBES (per-row helper)
 # --------------------------------------------------------------------------
 
-def _occurs_once(seq: tuple, gram: tuple, limit: int) -> int | None:
-    """Start of ``gram`` in ``seq`` if it occurs exactly once (n-grams up to
-    ``limit`` items only), else None."""
-    k = len(gram)
-    if k > limit or k > len(seq):
+def _occurs_once(s: str, gram: str, limit: int) -> int | None:
+    """Start of ``gram`` in ``s`` if it occurs exactly once (overlaps counted;
+    only n-grams up to ``limit`` items take part), else None."""
+    if len(gram) > limit:
         return None
-    found = None
-    for p in range(len(seq) - k + 1):
-        if seq[p:p + k] == gram:
-            if found is not None:
-                return None
-            found = p
-    return found
-
-
-def word_rank_alignment(ref: tuple, hyp: tuple) -> list[int]:
-    """Reference positions of hypothesis items: unique items map directly;
-    others widen a right, then left, context window until the context n-gram
-    occurs once in both (n-grams up to the reference length are considered)."""
+    p = s.find(gram)
+    if p < 0 or s.find(gram, p + 1) >= 0:
+        return None
+    return p
+
+
+def word_rank_alignment(ref: str, hyp: str) -> list[int]:
+    """Reference positions of hypothesis items (one item = one character of the
+    encoded strings): items unique on both sides map directly; others widen a
+    right, then left, context window until the context n-gram occurs exactly
+    once in both (only n-grams up to the reference length are considered)."""
     worder: list[int] = []
     n_hyp, lim = len(hyp), len(ref)
-    ref_counts: dict = {}
-    for x in ref:
-        ref_counts[x] = ref_counts.get(x, 0) + 1
-    hyp_counts: dict = {}
-    for x in hyp:
-        hyp_counts[x] = hyp_counts.get(x, 0) + 1
     for i, h in enumerate(hyp):
-        if h not in ref_counts:
+        first = ref.find(h)
+        if first < 0:
             continue
-        if hyp_counts[h] == 1 and ref_counts[h] == 1:
-            worder.append(ref.index(h))
+        if ref.find(h, first + 1) < 0 and hyp.count(h) == 1:
+            worder.append(first)
             continue
         for window in range(1, max(i, n_hyp - i + 1)):
             if i + window < n_hyp:
@@ -78,6 +70,29 @@ def word_rank_alignment(ref: tuple, hyp: tuple) -> list[int]:
     return worder
 
 
+def _code(k: int) -> str:
+    """k-th distinct word (k = 1..) as one character, skipping surrogates."""
+    return chr(k if k < 0xD800 else k + 0x800)
+
+
+def encode_pair(a, b) -> tuple[str, str]:
+    """Strings stay as they are; word lists become strings with one character
+    per distinct word of the pair (equal words, equal characters)."""
+    if isinstance(a, str) and isinstance(b, str):
+        return a, b
+    codes: dict = {}
+    out = []
+    for seq in (a, b):
+        chars = []
+        for w in seq:
+            c = codes.get(w)
+            if c is None:
+                c = codes[w] = _code(len(codes) + 1)
+            chars.append(c)
+        out.append("".join(chars))
+    return out[0], out[1]
+
+
 def kendall_tau_normalised(worder: list[int]) -> float:
     """Pairs inside maximal runs of +1 steps over all pairs (0 below two items)."""
     n = len(worder)
@@ -94,9 +109,9 @@ def kendall_tau_normalised(worder: list[int]) -> float:
     return inc / (n * (n - 1) // 2)
 
 
-def ribes(ref, hyp) -> float:
-    """RIBES of a hypothesis against one reference; 0 for an empty hypothesis."""
-    ref, hyp = tuple(ref), tuple(hyp)
+def ribes(ref: str, hyp: str) -> float:
+    """RIBES of a hypothesis against one reference (encoded strings, see
+    ``encode_pair``); 0 for an empty hypothesis."""
     if not hyp:
         return 0.0
     worder = word_rank_alignment(ref, hyp)
@@ -112,12 +127,13 @@ _RIBES_T = T.StructType([T.StructField("l", T.DoubleType()), T.StructField("r",
 def _both(a, b):
     if a is None or b is None:
         return None, None
-    return ribes(a, b), ribes(b, a)
+    x, y = encode_pair(a if isinstance(a, str) else list(a), b if isinstance(b, str) else list(b))
+    return ribes(x, y), ribes(y, x)
 
 
 @F.pandas_udf(_RIBES_T)
 def _ribes_udf(left: pd.Series, right: pd.Series) -> pd.DataFrame:
-    res = [_both(None if a is None else list(a), None if b is None else list(b)) for a, b in zip(left, right)]
+    res = [_both(a, b) for a, b in zip(left, right)]
     return pd.DataFrame(res, columns=["l", "r"], dtype="float64")
 
 
