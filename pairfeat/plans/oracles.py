@@ -388,3 +388,55 @@ def gleu_words_sql(ref: str, hyp: str) -> str:
         for n in (1, 2, 3, 4)) + ")")
     per_term = (f"list_transform({ref}, lambda t: {ratio(multiset_inter(char_grams('t'), hyp_grams), f'greatest({_all_grams(f'len({hyp})')}, len({char_grams('t')}))')})")
     return f"coalesce(list_max({per_term}), 0.0)"
+
+
+# --------------------------------------------------------------------------
+# Sentence vectors
+# --------------------------------------------------------------------------
+
+SIF_CTES = [
+    f"""wf AS (SELECT term, count(*) AS freq FROM (
+  SELECT unnest({terms('text')}) AS term FROM documents WHERE text IS NOT NULL) GROUP BY term)""",
+    "tot AS (SELECT sum(freq) AS t FROM wf)",
+    "lexw AS (SELECT term, 0.001 / (0.001 + CAST(freq AS DOUBLE) / t) AS weight FROM wf, tot)",
+    f"""toks AS (SELECT qid, 'l' AS side, unnest({terms('ql')}) AS term FROM sent_pairs
+  UNION ALL SELECT qid, 'r', unnest({terms('qr')}) FROM sent_pairs)""",
+    "tw AS (SELECT qid, side, term, weight FROM toks JOIN lexw USING (term))",
+    "dims AS (SELECT unnest(generate_series(1, 8)) AS dim)",
+    "vals AS (SELECT qid, side, dim, weight * (CAST(('0x' || substr(md5(term), CAST(dim AS INTEGER), 1)) AS INTEGER)"
+    " / 7.5 - 1.0) AS x FROM tw, dims)",
+]
+SIF_MEAN_SQL = (with_pairs("sent_pairs", *SIF_CTES) +
+                f"SELECT qid, side, CAST(dim AS INTEGER) AS dim, {r6('sum(x) / count(*)')} AS value "
+                f"FROM vals GROUP BY qid, side, dim")
+
+
+# --------------------------------------------------------------------------
+# Model (A1, A4, A5)
+# --------------------------------------------------------------------------
+
+def split_flag(qid: str, seed: int = 42, fraction: float = 0.1) -> str:
+    return f"(CAST(('0x' || substr(md5(CAST({qid} AS VARCHAR) || '#{seed}'), 1, 13)) AS BIGINT) / {float(16 ** 13)} < {fraction})"
+
+
+RULE_PRED = ("rp AS (SELECT qid, label, CASE WHEN length(ql) = length(qr) THEN '1' ELSE '0' END AS pred "
+             "FROM training_pairs)")
+
+
+def report_sql(names=("paraphrase", "other"), labels=("0", "1")) -> str:
+    per = " UNION ALL ".join(
+        f"SELECT '{nm}' AS class, coalesce(CAST(sum(CASE WHEN label = '{lb}' AND pred = '{lb}' THEN 1 ELSE 0 END) AS DOUBLE)"
+        f" / nullif(sum(CASE WHEN pred = '{lb}' THEN 1 ELSE 0 END), 0), 0.0) AS precision,"
+        f" coalesce(CAST(sum(CASE WHEN label = '{lb}' AND pred = '{lb}' THEN 1 ELSE 0 END) AS DOUBLE)"
+        f" / nullif(sum(CASE WHEN label = '{lb}' THEN 1 ELSE 0 END), 0), 0.0) AS recall,"
+        f" CAST(sum(CASE WHEN label = '{lb}' THEN 1 ELSE 0 END) AS BIGINT) AS support FROM rp"
+        for nm, lb in zip(names, labels))
+    return (f"per0 AS ({per}), per AS (SELECT class, precision, recall, coalesce(2 * precision * recall / "
+            f"nullif(precision + recall, 0), 0.0) AS f1, support FROM per0)")
+
+
+REPORT_SELECT = ("SELECT class, {p} AS precision, {r} AS recall, {f} AS f1, support FROM per UNION ALL "
+                 "SELECT 'avg / total', {wp}, {wr}, {wf}, CAST(sum(support) AS BIGINT) FROM per").format(
+    p=r6("precision"), r=r6("recall"), f=r6("f1"),
+    wp=r6("sum(precision * support) / sum(support)"), wr=r6("sum(recall * support) / sum(support)"),
+    wf=r6("sum(f1 * support) / sum(support)"))

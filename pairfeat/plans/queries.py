@@ -17,9 +17,13 @@ from pyspark.sql import functions as F
 from pairfeat.functions import sets, text
 from pairfeat.operators import lexical as lex
 from pairfeat.operators import mt as mtf
+from pairfeat.operators import sentvec as sv
 from pairfeat.operators import vectors as vec
+from pairfeat.plans import model
 from pairfeat.plans import oracles as O
 from pairfeat.session import scratch_dir
+from pairfeat.sources import lexicon as lexsrc
+from pairfeat.streaming import score
 from pairfeat.sources import pairs as src
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -400,3 +404,125 @@ register("mt_ribes_word")(_mt_query(["basic_word_ribes_score_l", "basic_word_rib
                                     with_ribes=True))
 register("features_mt")(_mt_query([f"{lv}_{n}" for lv in ("char", "basic_word") for n in mtf.MT_NAMES],
                                   ("char", "basic_word"), with_ribes=True))
+
+
+# --------------------------------------------------------------------------
+# Sentence vectors
+# --------------------------------------------------------------------------
+
+def fixture_lexicon(spark, sf_dir) -> sv.Lexicon:
+    """Word vectors and frequencies built from ``documents`` (FIXTURES.md rule)."""
+    return sv.build_lexicon(lexsrc.word_vectors(spark, sf_dir), lexsrc.word_freq(spark, sf_dir))
+
+
+@register("sif_weighted_mean", O.SIF_MEAN_SQL)
+def q_sif_weighted_mean(spark, sf_dir):
+    """I1 step 2: SIF-weighted mean word vector per side, one row per dimension."""
+    v = sv.sentence_vectors(src.sent_pairs(spark, sf_dir), fixture_lexicon(spark, sf_dir))
+    return v.select("qid", "side", F.posexplode("vec").alias("p", "x")) \
+            .select("qid", "side", (F.col("p") + 1).cast("int").alias("dim"), _r6(F.col("x")).alias("value"))
+
+
+@register("sif_distances")
+def q_sif_distances(spark, sf_dir):
+    """Distances between the two sides' SIF vectors after removing the
+    first singular direction of all sentence vectors (no SQL twin: an
+    eigenvector; checked against numpy in tests/test_sentvec.py)."""
+    f = sv.sif_features(src.sent_pairs(spark, sf_dir), fixture_lexicon(spark, sf_dir))
+    return f.select("qid", *[_r6(F.col(c)).alias(c) for c in sv.SIF_NAMES])
+
+
+# --------------------------------------------------------------------------
+# Model (A1-A6, K3, K4, F5)
+# --------------------------------------------------------------------------
+
+@register("train_test_split", O.with_pairs("training_pairs") +
+          f"SELECT qid, label, {O.split_flag('qid')} AS is_test FROM training_pairs")
+def q_train_test_split(spark, sf_dir):
+    """A1: reproducible 10% hold-out by a hash of qid and seed 42."""
+    return model.with_split_flag(src.training_pairs(spark, sf_dir)).select("qid", "label", "is_test")
+
+
+def _rule_predictions(spark, sf_dir):
+    """Stand-in predictions for the evaluation jobs: '1' when the two sides
+    have the same number of characters (from the char length family)."""
+    p = src.training_pairs(spark, sf_dir)
+    f = lex.lexical_features(p, families=("char_len",), keep=("qid", "label"))
+    return f.select("qid", "label", F.when(F.col("char_len_diff") == 0, "1").otherwise("0").alias("pred"))
+
+
+@register("micro_f1", O.with_pairs("training_pairs", O.RULE_PRED) +
+          f"SELECT {O.r6('avg(CAST(label = pred AS DOUBLE))')} AS micro_f1 FROM rp")
+def q_micro_f1(spark, sf_dir):
+    """A4 over a prediction table."""
+    return model.micro_f1(_rule_predictions(spark, sf_dir)).select(_r6(F.col("micro_f1")).alias("micro_f1"))
+
+
+@register("classification_report", O.with_pairs("training_pairs", O.RULE_PRED, O.report_sql()) + O.REPORT_SELECT)
+def q_classification_report(spark, sf_dir):
+    """A5: per-class precision, recall, F1, support, and the weighted average row."""
+    r = model.classification_report(_rule_predictions(spark, sf_dir), ["0", "1"])
+    return r.select("class", *[_r6(F.col(c)).alias(c) for c in ("precision", "recall", "f1")], "support")
+
+
+def _trained(spark, sf_dir):
+    pairs = src.training_pairs(spark, sf_dir)
+    feats = model.model_features(pairs, fitted_vocabulary(spark, sf_dir), fixture_lexicon(spark, sf_dir))
+    return model.train(feats, save_to=scratch_dir(spark, "svm-model"))
+
+
+@register("train")
+def q_train(spark, sf_dir):
+    """Features, split, LinearSVC fit, persist and reload (K3), test predictions."""
+    return _trained(spark, sf_dir).test_predictions
+
+
+@register("coefficients")
+def q_coefficients(spark, sf_dir):
+    """K4: feature name and weight of the trained classifier."""
+    return model.coefficients(spark, _trained(spark, sf_dir))
+
+
+@register("features_model")
+def q_features_model(spark, sf_dir):
+    """lexical + bag-of-words distances + sentence vectors, one row per pair."""
+    pairs = src.training_pairs(spark, sf_dir)
+    return model.model_features(pairs, fitted_vocabulary(spark, sf_dir), fixture_lexicon(spark, sf_dir))
+
+
+# --------------------------------------------------------------------------
+# Line scoring: JSON sink and stream
+# --------------------------------------------------------------------------
+
+_COUNT_COLS = ["char_len_l", "char_len_r", "char_len_union", "char_len_intersect", "char_len_diff",
+               "char_len_l_diff_r", "char_len_r_diff_l"]
+
+
+def _count_features(pairs):
+    return lex.lexical_features(pairs, families=("char_len",)).select("qid", *_COUNT_COLS)
+
+
+def _pair_lines(spark, sf_dir):
+    return src.sent_pairs(spark, sf_dir).select(F.concat_ws("\t", "qid", "ql", "qr", "label").alias("value"))
+
+
+@register("json_lines", O.with_pairs("sent_pairs", O.lex_base("sent_pairs"),
+                                     "jl AS (SELECT qid, ql, qr, " + ", ".join(O.length_cols("cl", "cr", "char")[:7])
+                                     + " FROM lex JOIN sent_pairs USING (qid, ql, qr))") +
+          "SELECT qid, concat_ws(chr(9), qid, ql, qr, '0') || chr(9) || json_object(" +
+          ", ".join(f"'{c}', {c}" for c in _COUNT_COLS) + ") AS value FROM jl")
+def q_json_lines(spark, sf_dir):
+    """K2: each input line followed by a tab and a JSON object of its features."""
+    return score.score_batch(_pair_lines(spark, sf_dir), _count_features)
+
+
+@register("stream_score")
+def q_stream_score(spark, sf_dir):
+    """The pair lines land as files in a folder; a Structured Streaming
+    query (available-now trigger) scores every line with the lexical features
+    and writes line + JSON per micro-batch; the written lines are returned."""
+    base = scratch_dir(spark, "stream")
+    _pair_lines(spark, sf_dir).repartition(4).write.mode("overwrite").text(f"{base}/in")
+    q = score.start_scoring_stream(spark, f"{base}/in", f"{base}/out", f"{base}/chk", max_files_per_trigger=2)
+    q.awaitTermination()
+    return score.read_scored(spark, f"{base}/out")
