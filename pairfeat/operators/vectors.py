@@ -246,15 +246,69 @@ def map_distances(ml: Column, mr: Column) -> Column:
     return let(F.struct(ml.alias("l"), mr.alias("r")), build)
 
 
+def _hashed_items(ts: Column) -> Column:
+    """array<struct<h: first 32 bits of md5 as long, s: +1/-1>>, one md5 per item.
+    The sign digit test ('0'-'7' sort below '8') needs no base conversion."""
+    return F.transform(F.transform(ts, lambda t: F.md5(t)), lambda m: F.struct(
+        F.conv(F.substring(m, 1, 8), 16, 10).cast("long").alias("h"),
+        F.when(F.substring(m, 9, 1) < F.lit("8"), F.lit(1.0)).otherwise(F.lit(-1.0)).alias("s")))
+
+
+def _bigram_terms(ts: Column) -> Column:
+    return let(ts, lambda a: F.when(F.size(a) < 2, empty_array()).otherwise(
+        F.transform(F.sequence(F.lit(1), F.size(a) - 1),
+                    lambda i: F.concat(F.element_at(a, i), F.lit(" "), F.element_at(a, i + 1)))))
+
+
+def _pair_hash_distances(il: Column, ir: Column, width: int) -> Column:
+    """struct(ped, pcd, pmd) between the L2-normalised signed bucket sums of two
+    hashed item lists: both sides' entries are sorted together by bucket, so one
+    pass over the runs gives each bucket's left and right sums."""
+    mask = F.lit(width - 1).cast("long")
+    zero = F.lit(0.0)
+    entries = F.concat(
+        F.transform(il, lambda e: F.struct(e["h"].bitwiseAND(mask).alias("b"), e["s"].alias("x"), zero.alias("y"))),
+        F.transform(ir, lambda e: F.struct(e["h"].bitwiseAND(mask).alias("b"), zero.alias("x"), e["s"].alias("y"))))
+
+    def per_bucket(e):
+        n = F.size(e)
+        starts = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))),
+                          lambda i: (n > 0) & ((i == 1) | (F.element_at(e, i)["b"] != F.try_element_at(e, i - 1)["b"])))
+        return let(starts, lambda st: F.transform(st, lambda i, r: F.aggregate(
+            F.slice(e, i, F.coalesce(F.try_element_at(st, r + 2), n + 1) - i),
+            F.struct(zero.alias("x"), zero.alias("y")),
+            lambda a, z: F.struct((a["x"] + z["x"]).alias("x"), (a["y"] + z["y"]).alias("y")))))
+
+    def distances(xy):
+        nx = F.sqrt(F.aggregate(xy, zero, lambda a, v: a + v["x"] * v["x"]))
+        ny = F.sqrt(F.aggregate(xy, zero, lambda a, v: a + v["y"] * v["y"]))
+
+        def with_norms(nv):
+            d = F.transform(xy, lambda v: F.coalesce(F.try_divide(v["x"], nv["x"]), zero)
+                            - F.coalesce(F.try_divide(v["y"], nv["y"]), zero))
+            sq = F.aggregate(d, zero, lambda a, x: a + x * x)
+            return F.struct(F.sqrt(sq).alias("ped"), (0.5 * sq).alias("pcd"),
+                            F.aggregate(d, zero, lambda a, x: a + F.abs(x)).alias("pmd"))
+        return let(F.struct(nx.alias("x"), ny.alias("y")), with_norms)
+    return let(let(F.array_sort(entries), per_bucket), distances)
+
+
 def hashed_distances(k: DataFrame, kinds=("all", "notion")) -> DataFrame:
     """Per qid: the hashed columns of the emitted matrix, for each kind."""
+    items = []
+    for kd in kinds:
+        for sd in ("l", "r"):
+            items += [_hashed_items(F.col(f"{kd}_{sd}")).alias(f"{kd}_{sd}_u"),
+                      _hashed_items(_bigram_terms(F.col(f"{kd}_{sd}"))).alias(f"{kd}_{sd}_b")]
+    h = k.select("qid", *items)
     structs = []
     for kd in kinds:
         for name, (order, width) in HASHERS.items():
-            d = map_distances(hashed_vector(F.col(f"{kd}_l"), width, order),
-                              hashed_vector(F.col(f"{kd}_r"), width, order))
-            structs.append(d.alias(f"{kd}__{name}"))
-    s = k.select("qid", *structs)
+            il, ir = F.col(f"{kd}_l_u"), F.col(f"{kd}_r_u")
+            if order == 2:
+                il, ir = F.concat(il, F.col(f"{kd}_l_b")), F.concat(ir, F.col(f"{kd}_r_b"))
+            structs.append(_pair_hash_distances(il, ir, width).alias(f"{kd}__{name}"))
+    s = h.select("qid", *structs)
     out = [F.col("qid")]
     for kd in kinds:
         p = "" if kd == "all" else "notion_"
