@@ -67,45 +67,40 @@ def pattern_masks(pc: Column) -> Column:
     return let(entries, from_sorted)
 
 
-def _lcs_fold(pm: Column, m: Column, text: Column) -> Column:
-    full = _shl(F.lit(1).cast("long"), m) - 1
-    v = F.aggregate(text, full, lambda v, c: let(
-        _and(v, F.coalesce(pm[c], F.lit(0).cast("long"))),
-        lambda u: _and(_or(v + u, v - u), full)))
-    return (m - F.bit_count(v)).cast("int")
-
-
-def _osa_fold(pm: Column, m: Column, text: Column) -> Column:
-    """Hyyro (2003) bit-vector edit distance with adjacent transpositions
-    (optimal string alignment). State: VP, VN, D0, previous PM, distance."""
+def _fold(pm: Column, m: Column, text: Column) -> Column:
+    """One pass over the text for both recurrences, one mask lookup per item.
+
+    LCS length (Allison-Dix / Hyyro): V = (V + U) | (V - U), U = V & PM[c];
+    the answer is the number of zero bits of V.
+    OSA distance: Hyyro (2003) bit-vector edit distance with adjacent
+    transpositions; state VP, VN, D0, previous PM, distance.
+    """
     zero = F.lit(0).cast("long")
     full = _shl(F.lit(1).cast("long"), m) - 1
     top = _shl(F.lit(1).cast("long"), m - 1)
-    init = F.struct(full.alias("vp"), zero.alias("vn"), zero.alias("d0"), zero.alias("pmo"),
+    init = F.struct(full.alias("v"), full.alias("vp"), zero.alias("vn"), zero.alias("d0"), zero.alias("pmo"),
                     m.cast("int").alias("dist"))
 
     def step(s, c):
         def with_pm(pmj):
+            u = _and(s["v"], pmj)
             tr = _and(_shl(_and(_and(_not(s["d0"]), full), pmj)), s["pmo"])
             d0 = _and(_or(_or(_or(_xor(_and(pmj, s["vp"]) + s["vp"], s["vp"]), pmj), s["vn"]), tr), full)
 
             def with_d0(d):
                 hp = _and(_or(s["vn"], _not(_or(d, s["vp"]))), full)
                 hn = _and(d, s["vp"])
-
-                def with_h(h):
-                    hps = _and(_or(_shl(h["hp"]), F.lit(1).cast("long")), full)
-                    hns = _and(_shl(h["hn"]), full)
-                    dist = (s["dist"] + (_and(h["hp"], top) != 0).cast("int")
-                            - (_and(h["hn"], top) != 0).cast("int"))
-                    return F.struct(_and(_or(hns, _not(_or(d, hps))), full).alias("vp"),
-                                    _and(hps, d).alias("vn"), d.alias("d0"), pmj.alias("pmo"),
-                                    dist.alias("dist"))
-                return let(F.struct(hp.alias("hp"), hn.alias("hn")), with_h)
+                hps = _and(_or(_shl(hp), F.lit(1).cast("long")), full)
+                hns = _and(_shl(hn), full)
+                dist = s["dist"] + (_and(hp, top) != 0).cast("int") - (_and(hn, top) != 0).cast("int")
+                return F.struct(_and(_or(s["v"] + u, s["v"] - u), full).alias("v"),
+                                _and(_or(hns, _not(_or(d, hps))), full).alias("vp"),
+                                _and(hps, d).alias("vn"), d.alias("d0"), pmj.alias("pmo"), dist.alias("dist"))
             return let(d0, with_d0)
         return let(F.coalesce(pm[c], zero), with_pm)
 
-    return F.aggregate(text, init, step)["dist"].cast("int")
+    return let(F.aggregate(text, init, step), lambda r: F.struct(
+        (m - F.bit_count(r["v"])).cast("int").alias("lcs"), r["dist"].alias("osa")))
 
 
 def bitparallel(cl: Column, cr: Column) -> Column:
@@ -118,8 +113,7 @@ def bitparallel(cl: Column, cr: Column) -> Column:
     def run(v):
         m = F.size(v["p"])
         return F.when(m == 0, F.struct(F.lit(0).alias("lcs"), F.size(v["t"]).alias("osa"))).otherwise(
-            let(pattern_masks(v["p"]), lambda pm: F.struct(
-                _lcs_fold(pm, m, v["t"]).alias("lcs"), _osa_fold(pm, m, v["t"]).alias("osa"))))
+            let(pattern_masks(v["p"]), lambda pm: _fold(pm, m, v["t"])))
     return let(F.struct(pc.alias("p"), tc.alias("t")), run)
 
 

@@ -18,11 +18,15 @@ ORDERS = (1, 2, 3, 4)
 WEIGHT = 0.25  # fixed value: uniform BLEU-4 weights
 
 
-def gram_stats(a: Column, b: Column, sep: str) -> Column:
-    """struct(la[n], lb[n], i[n] for n = 1..4): n-gram counts per side and clipped matches."""
+def gram_stats(a: Column, b: Column, sep: str, strings: bool = False) -> Column:
+    """struct(la[n], lb[n], i[n] for n = 1..4): n-gram counts per side and clipped
+    matches. With ``strings`` the inputs are texts and the items code points."""
     fields = []
     for n in ORDERS:
-        ga, gb = sets.ngrams(a, n, sep), sets.ngrams(b, n, sep)
+        if strings:
+            ga, gb = sets.char_ngrams(a, n), sets.char_ngrams(b, n)
+        else:
+            ga, gb = sets.ngrams(a, n, sep), sets.ngrams(b, n, sep)
         fields.append(let(F.struct(ga.alias("x"), gb.alias("y")), lambda g: F.struct(
             F.size(g["x"]).alias("a"), F.size(g["y"]).alias("b"),
             sets.multiset_intersection(g["x"], g["y"]).alias("i"))).alias(f"n{n}"))

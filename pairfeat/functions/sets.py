@@ -26,6 +26,21 @@ def ngrams(seq: Column, n: int, sep: str = GRAM_SEP, padding: bool = False) -> C
                     lambda i: F.array_join(F.slice(a, i, n), sep))))
 
 
+SHORT_TEXT = 256  # substring walks the UTF-8 bytes from the start: fine below this
+
+
+def char_ngrams(s: Column, n: int) -> Column:
+    """N1 on the code points of a string. Short texts take substrings directly
+    (cheaper than slicing and re-joining a character array); long texts slice
+    the array, which stays linear in the length."""
+    chars = F.when(s == "", empty_array()).otherwise(F.split(s, ""))
+    if n == 1:
+        return chars
+    short = F.when(F.length(s) < n, empty_array()).otherwise(
+        F.transform(F.sequence(F.lit(1), F.length(s) - (n - 1)), lambda i: F.substring(s, i, n)))
+    return F.when(F.length(s) <= SHORT_TEXT, short).otherwise(ngrams(chars, n, ""))
+
+
 def set_overlap(gl: Column, gr: Column) -> Column:
     """N2-N4 on the sets of two arrays: struct(jaccard, dice, overlap).
 

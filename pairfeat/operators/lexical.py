@@ -71,11 +71,16 @@ def length_struct(sl: Column, sr: Column, prefix: str, extra: bool = False) -> C
                         sets.multiset_intersection(sl, sr).alias("i")), build)
 
 
-def ngram_struct(sl: Column, sr: Column, prefix: str, ns, sep: str = sets.GRAM_SEP) -> Column:
-    """2.4: jaccard, dice, overlap of n-gram sets for each n."""
+def ngram_struct(sl: Column, sr: Column, prefix: str, ns, sep: str = sets.GRAM_SEP,
+                 strings: bool = False) -> Column:
+    """2.4: jaccard, dice, overlap of n-gram sets for each n. With ``strings``
+    the inputs are texts and the items their code points."""
     fields = []
     for n in ns:
-        o = sets.set_overlap(sets.ngrams(sl, n, sep), sets.ngrams(sr, n, sep))
+        if strings:
+            o = sets.set_overlap(sets.char_ngrams(sl, n), sets.char_ngrams(sr, n))
+        else:
+            o = sets.set_overlap(sets.ngrams(sl, n, sep), sets.ngrams(sr, n, sep))
         fields.append(o.alias(f"n{n}"))
 
     def build(v):
@@ -168,7 +173,7 @@ def lexical_features(pairs: DataFrame, families=LEXICAL, keep=("qid",), left: st
     if "char_len" in families:
         structs.append(length_struct(c["_cl"], c["_cr"], CHAR, extra_ratios).alias("f_char_len"))
     if "char_ngram" in families:
-        structs.append(ngram_struct(c["_cl"], c["_cr"], CHAR, CHAR_NGRAMS, "").alias("f_char_ngram"))
+        structs.append(ngram_struct(c["_a"], c["_b"], CHAR, CHAR_NGRAMS, strings=True).alias("f_char_ngram"))
     if "char_seq" in families:
         nat, lng = sequence_parts(c["_a"], c["_b"])
         helpers += [nat.alias("_sq_char"), lng.alias("_sl_char")]

@@ -159,11 +159,14 @@ def mt_features(pairs: DataFrame, keep=("qid",), standard_gleu: bool = False, le
     stats, helpers = [], []
     for lv in levels:
         a, b, sep = seqs[lv]
-        stats.append(mt.gram_stats(F.col(a), F.col(b), sep).alias(f"_st_{lv}"))
+        if lv == "char":
+            stats.append(mt.gram_stats(F.col("_a"), F.col("_b"), sep, strings=True).alias(f"_st_{lv}"))
+        else:
+            stats.append(mt.gram_stats(F.col(a), F.col(b), sep).alias(f"_st_{lv}"))
         if with_ribes:
             src_l, src_r = ("_a", "_b") if lv == "char" else (a, b)
             helpers.append(ribes_pair(F.col(src_l), F.col(src_r)).alias(f"_rb_{lv}"))
-    s2 = s1.select(*keep, "_cl", "_cr", "_wl", "_wr", *stats, *helpers)
+    s2 = s1.select(*keep, "_a", "_b", "_cl", "_cr", "_wl", "_wr", *stats, *helpers)
     out = []
     for lv in levels:
         a, b, _ = seqs[lv]
