@@ -20,3 +20,14 @@ def pair_partitions(df: DataFrame, partitions: int | None = None) -> int:
 def by_pair(pairs: DataFrame, partitions: int | None = None, key: str = "qid") -> DataFrame:
     """Hash-partition a pair table on its id."""
     return pairs.repartition(pair_partitions(pairs, partitions), key)
+
+
+def spread_if_narrow(df: DataFrame, key: str) -> DataFrame:
+    """Hash-partition a corpus on ``key`` only when it arrives in fewer
+    partitions than the cluster has cores (one large file, say). A corpus
+    read from many files is already spread, and re-shuffling its raw text
+    would cost more than it saves."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(max(cores, pair_partitions(df)), key)

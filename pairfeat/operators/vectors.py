@@ -27,7 +27,7 @@ from pairfeat.functions import text
 from pairfeat.functions.core import empty_array, let
 from pairfeat.operators.joins import BROADCAST_MAX_ROWS, lookup_join
 from pairfeat.operators.lexical import with_tokens
-from pairfeat.operators.partitioning import by_pair, pair_partitions
+from pairfeat.operators.partitioning import by_pair, pair_partitions, spread_if_narrow
 
 # The six vectorisers. The hashed ones keep their names; their
 # widths are 2**20 for the "_18" and 2**24 for the "_20" variants.
@@ -69,7 +69,11 @@ def idf(df: Column, n_docs: Column) -> Column:
 
 
 def document_frequencies(corpus: DataFrame, text_col: str = "text") -> DataFrame:
-    """(term, df) over documents: distinct terms per document, then a count."""
+    """(term, df) over documents: distinct terms per document, then a count.
+    The analyser runs where the documents are; a corpus that arrives in fewer
+    partitions than cores is spread first (``spread_if_narrow``)."""
+    if "doc_id" in corpus.columns:
+        corpus = spread_if_narrow(corpus, "doc_id")
     terms = corpus.select(F.explode(F.array_distinct(text.analyzed(F.col(text_col)))).alias("term"))
     return terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 

@@ -18,6 +18,7 @@ from pairfeat.functions import sets, text
 from pairfeat.operators import lexical as lex
 from pairfeat.operators import mt as mtf
 from pairfeat.operators import sentvec as sv
+from pairfeat.operators import tagging
 from pairfeat.operators import vectors as vec
 from pairfeat.plans import model
 from pairfeat.plans import oracles as O
@@ -411,8 +412,13 @@ register("features_mt")(_mt_query([f"{lv}_{n}" for lv in ("char", "basic_word")
 # --------------------------------------------------------------------------
 
 def fixture_lexicon(spark, sf_dir) -> sv.Lexicon:
-    """Word vectors and frequencies built from ``documents`` (FIXTURES.md rule)."""
-    return sv.build_lexicon(lexsrc.word_vectors(spark, sf_dir), lexsrc.word_freq(spark, sf_dir))
+    """Word frequencies over ``documents`` and FIXTURES.md word vectors,
+    each written once under the checkpoint folder."""
+    base = scratch_dir(spark, "lexicon")
+    lexsrc.word_freq(spark, sf_dir).write.mode("overwrite").parquet(f"{base}/freq")
+    wf = spark.read.parquet(f"{base}/freq")
+    wv = wf.select("term", lexsrc.fixture_vector(F.col("term")).alias("vec"))
+    return sv.build_lexicon(wv, wf, persist_to=f"{base}/lexicon")
 
 
 @register("sif_weighted_mean", O.SIF_MEAN_SQL)
@@ -526,3 +532,20 @@ def q_stream_score(spark, sf_dir):
     q = score.start_scoring_stream(spark, f"{base}/in", f"{base}/out", f"{base}/chk", max_files_per_trigger=2)
     q.awaitTermination()
     return score.read_scored(spark, f"{base}/out")
+
+
+@register("tokenize_lexicon", SQL["tokenize_tag"])
+def q_tokenize_lexicon(spark, sf_dir):
+    """P5 (lexicon form): tags looked up in a (term, postag) table by a join;
+    the stand-in table tags every term of ``documents`` by the fixture rule."""
+    docs = src.corpus_texts(spark, sf_dir)
+    base = scratch_dir(spark, "tag-lexicon")
+    (docs.select(F.explode(text.terms_of(F.col("text"))).alias("term")).distinct()
+     .select("term", text.suffix_tag(F.col("term")).alias("postag"))
+     .write.mode("overwrite").parquet(base))
+    lexicon = spark.read.parquet(base)
+    t = tagging.tokens_from_lexicon(src.sent_pairs(spark, sf_dir), lexicon, lexicon.count())
+    sides = t.select("qid", F.inline(F.array(F.struct(F.lit("l").alias("side"), F.col("tok_l").alias("tok")),
+                                             F.struct(F.lit("r").alias("side"), F.col("tok_r").alias("tok")))))
+    return (sides.select("qid", "side", F.posexplode("tok").alias("p", "t"))
+            .select("qid", "side", (F.col("p") + 1).cast("int").alias("pos"), "t.term", "t.postag"))

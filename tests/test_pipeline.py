@@ -103,3 +103,17 @@ def test_entry_smoke(spark):
     df = entry(spark)
     assert df.count() > 0 and len(df.columns) == 88
     assert set(oracle_sql()) <= set(queries())
+
+
+def test_lexicon_tagger(spark):
+    from pairfeat.operators import tagging
+    lexicon = spark.createDataFrame([("cat", "n"), ("runs", "v"), ("fast", "d")], "term string, postag string")
+    pairs = spark.createDataFrame([("1", "the cat runs fast", "cat walking", "0"), ("2", "", "nation", "0")],
+                                  "qid string, ql string, qr string, label string")
+    got = {r["qid"]: r for r in tagging.tokens_from_lexicon(pairs, lexicon, 3).collect()}
+    assert [(t["term"], t["postag"]) for t in got["1"]["tok_l"]] == [("the", "x"), ("cat", "n"), ("runs", "v"),
+                                                                     ("fast", "d")]
+    assert [(t["term"], t["postag"]) for t in got["1"]["tok_r"]] == [("cat", "n"), ("walking", "v")]
+    assert got["2"]["tok_l"] == [] and [t["postag"] for t in got["2"]["tok_r"]] == ["n"]
+    feats = lex.lexical_features(tagging.tokens_from_lexicon(pairs, lexicon, 3), families=("postag_len",))
+    assert {r["qid"]: r["postag_len_intersect"] for r in feats.collect()} == {"1": 1, "2": 0}
