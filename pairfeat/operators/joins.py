@@ -17,20 +17,27 @@ HOT_KEYS = 10_000                # bounded broadcast of the hot-key list itself
 SALT_BUCKETS = 64
 
 
+def broadcastable(table_rows: int, broadcast_max_rows: int | None = None) -> bool:
+    limit = BROADCAST_MAX_ROWS if broadcast_max_rows is None else broadcast_max_rows
+    return table_rows <= limit
+
+
 def lookup_join(facts: DataFrame, table: DataFrame, key: str, table_rows: int, how: str = "inner",
                 weight: str | None = None, spread: Column | None = None,
-                broadcast_max_rows: int = BROADCAST_MAX_ROWS, hot_keys: int = HOT_KEYS,
-                salt_buckets: int = SALT_BUCKETS) -> DataFrame:
+                broadcast_max_rows: int | None = None, hot_keys: int | None = None,
+                salt_buckets: int | None = None) -> DataFrame:
     """Join ``facts`` to ``table`` on ``key``.
 
     ``weight`` ranks keys by how many fact rows they are expected to carry;
     ``spread`` is a deterministic per-row value used to salt hot keys (a hash of
     row coordinates, so a retried task salts the same way).
     """
-    if table_rows <= broadcast_max_rows:
+    if broadcastable(table_rows, broadcast_max_rows):
         return facts.join(F.broadcast(table), key, how)
     if weight is None or spread is None:
         return facts.join(table, key, how)   # AQE skew-join splitting still applies
+    hot_keys = HOT_KEYS if hot_keys is None else hot_keys
+    salt_buckets = SALT_BUCKETS if salt_buckets is None else salt_buckets
     hot = table.orderBy(F.desc(weight)).limit(hot_keys).select(key, F.lit(True).alias("_hot"))
     f = (facts.join(F.broadcast(hot), key, "left")
          .withColumn("_salt", F.when(F.col("_hot"), F.pmod(spread, F.lit(salt_buckets))).otherwise(F.lit(0)))

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairfeat.functions import text
-from pairfeat.operators.joins import BROADCAST_MAX_ROWS, lookup_join
+from pairfeat.operators.joins import broadcastable, lookup_join
 from pairfeat.operators.partitioning import by_pair, pair_partitions
 
 TOKEN_STRUCT = "struct<term:string,postag:string>"
@@ -33,7 +33,7 @@ def tokens_from_lexicon(pairs: DataFrame, lexicon: DataFrame, lexicon_rows: int,
     lex = lexicon.select(*cols).withColumnRenamed("postag", "lex_tag")
     joined = lookup_join(rows, lex, "term", lexicon_rows, how="left", weight=weight,
                          spread=F.xxhash64("qid", "side", "pos"))
-    if lexicon_rows > BROADCAST_MAX_ROWS:
+    if not broadcastable(lexicon_rows):
         joined = joined.repartition(n, "qid")
     tagged = joined.select("qid", "side", "pos", F.struct(
         F.col("term"), F.coalesce(F.col("lex_tag"), text.suffix_tag(F.col("term"))).alias("postag")).alias("tok"))

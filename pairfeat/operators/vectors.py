@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from pairfeat.functions import text
 from pairfeat.functions.core import empty_array, let
-from pairfeat.operators.joins import BROADCAST_MAX_ROWS, lookup_join
+from pairfeat.operators.joins import broadcastable, lookup_join
 from pairfeat.operators.lexical import with_tokens
 from pairfeat.operators.partitioning import by_pair, pair_partitions, spread_if_narrow
 
@@ -141,7 +141,7 @@ def vocab_term_frequencies(pairs: DataFrame, vocab: Vocabulary, kinds=("all", "n
     spread = F.xxhash64("qid", "kind", "side", "pos")
     joined = lookup_join(rows, vocab.table.select("term", "df", "idf"), "term", vocab.n_terms,
                          weight="df", spread=spread)
-    if vocab.n_terms > BROADCAST_MAX_ROWS:
+    if not broadcastable(vocab.n_terms):
         joined = joined.repartition(n, "qid")
     return (joined.groupBy("qid", "kind", "term")
             .agg(F.sum((F.col("side") == "l").cast("long")).alias("tf_l"),
