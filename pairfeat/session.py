@@ -8,7 +8,6 @@ single-machine runs.
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -32,14 +31,13 @@ def get_spark(master: str | None = None, app: str = "pairfeat",
               shuffle_partitions: int | None = None, **conf: str) -> SparkSession:
     """Build (or fetch) a session with the engine's defaults.
 
-    ``master`` defaults to ``local[*]`` only when no master is configured, so
-    the same call works under spark-submit on a cluster.
+    A master is set only when passed, so under spark-submit the cluster's
+    master and settings stand; the defaults below never override an explicit
+    ``conf`` entry.
     """
     b = SparkSession.builder.appName(app)
     if master:
-        b = b.master(master)
-    elif not os.environ.get("SPARK_MASTER") and "spark.master" not in conf:
-        b = b.master("local[*]")
+        b = b.master(master)   # otherwise spark-submit's master (local[*] when none is named)
     settings = dict(DEFAULTS)
     if shuffle_partitions is not None:
         settings["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
