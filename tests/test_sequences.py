@@ -8,6 +8,9 @@ from __future__ import annotations
 
 import random
 
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
 from pairfeat.operators import lexical as lex
 from pairfeat.operators.longseq import lcs_osa
 
@@ -149,3 +152,16 @@ def test_properties(spark):
         assert r["char_damerau_levenshtein_distance_v"] <= r["char_levenshtein_distance_v"]
         assert r["char_longest_common_substring_v"] <= r["char_longest_common_subsequence_v"]
         assert r["char_len_union"] + r["char_len_intersect"] == r["char_len_l"] + r["char_len_r"]
+
+
+_TEXT = st.text(alphabet=st.sampled_from(list("abcé中😀 ")), max_size=90)
+
+
+@settings(max_examples=300, deadline=None)
+@given(_TEXT, _TEXT)
+def test_python_helper_property(a, b):
+    """Arbitrary-width bit-vector LCS and OSA equal the plain DP, symmetric, OSA <= Levenshtein."""
+    lcs, osa = lcs_osa(a, b)
+    assert (lcs, osa) == (dp_lcs(a, b), dp_edit(a, b, True))
+    assert lcs_osa(b, a) == (lcs, osa)
+    assert osa <= dp_edit(a, b, False)
