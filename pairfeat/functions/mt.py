@@ -112,5 +112,6 @@ def gleu_as_called_words(ref: Column, hyp: Column) -> Column:
     def per_term(h):
         scores = F.transform(ref, lambda t: let(_char_grams(t), lambda g: ratio(
             sets.multiset_intersection(g, h), F.greatest(tpfp, F.size(g)))))
-        return F.coalesce(F.array_max(scores), F.lit(0.0))
+        # no one-character hypothesis word: no term can match, every score is 0
+        return F.when(F.size(h) == 0, F.lit(0.0)).otherwise(F.coalesce(F.array_max(scores), F.lit(0.0)))
     return let(_single_char_word_grams(hyp), per_term)
