@@ -9,6 +9,7 @@ helper over Arrow batches of the pair table.
 from __future__ import annotations
 
 import math
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -47,14 +48,15 @@ def word_rank_alignment(ref: str, hyp: str) -> list[int]:
     once in both (only n-grams up to the reference length are considered)."""
     worder: list[int] = []
     n_hyp, lim = len(hyp), len(ref)
+    ref_count, hyp_count = Counter(ref), Counter(hyp)
     for i, h in enumerate(hyp):
-        first = ref.find(h)
-        if first < 0:
+        if h not in ref_count:
             continue
-        if ref.find(h, first + 1) < 0 and hyp.count(h) == 1:
-            worder.append(first)
+        if ref_count[h] == 1 and hyp_count[h] == 1:
+            worder.append(ref.index(h))
             continue
-        for window in range(1, max(i, n_hyp - i + 1)):
+        # a context of window + 1 items longer than the reference is never counted
+        for window in range(1, min(max(i, n_hyp - i + 1), lim)):
             if i + window < n_hyp:
                 ctx = hyp[i:i + window + 1]
                 pos = _occurs_once(ref, ctx, lim)
