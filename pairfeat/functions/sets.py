@@ -78,9 +78,20 @@ def _run_counts(arr: Column) -> Column:
 
 
 def multiset_intersection(a: Column, b: Column) -> Column:
-    """sum over items of min(count in a, count in b)."""
-    short = F.size(F.array_intersect(_occurrence_tagged(a), _occurrence_tagged(b)))
-    long = let(F.struct(_run_counts(a).alias("ml"), _run_counts(b).alias("mr")), lambda v: F.aggregate(
-        F.map_entries(v["ml"]), F.lit(0),
-        lambda acc, e: acc + F.least(e["value"], F.coalesce(v["mr"][e["key"]], F.lit(0)))))
-    return F.when(F.greatest(F.size(a), F.size(b)) > LONG_MULTISET, long).otherwise(short)
+    """sum over items of min(count in a, count in b).
+
+    Without repeated items on either side this is the plain set intersection,
+    which the native array functions compute directly; otherwise items are
+    tagged with their occurrence number (short arrays) or counted by runs of
+    the sorted array (long ones)."""
+    def build(v):
+        x, y = v["a"], v["b"]
+        no_repeats = (F.size(F.array_distinct(x)) == F.size(x)) & (F.size(F.array_distinct(y)) == F.size(y))
+        short = F.size(F.array_intersect(_occurrence_tagged(x), _occurrence_tagged(y)))
+        long = let(F.struct(_run_counts(x).alias("ml"), _run_counts(y).alias("mr")), lambda m: F.aggregate(
+            F.map_entries(m["ml"]), F.lit(0),
+            lambda acc, e: acc + F.least(e["value"], F.coalesce(m["mr"][e["key"]], F.lit(0)))))
+        return (F.when(no_repeats, F.size(F.array_intersect(x, y)))
+                .when(F.greatest(F.size(x), F.size(y)) > LONG_MULTISET, long)
+                .otherwise(short))
+    return let(F.struct(a.alias("a"), b.alias("b")), build)
