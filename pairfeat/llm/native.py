@@ -112,3 +112,7 @@ def of_kind(spans_col: Column, rank: int, kind: str) -> Column:
     return F.transform(spans_col, lambda s: F.struct(
         F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), s["start"].alias("start"),
         s["end"].alias("end"), s["value"].alias("value")))
+
+
+def count_kind(spans_col: str, kind: str) -> Column:
+    return F.size(F.filter(spans_col, lambda s: s["kind"] == kind)).cast("long")
