@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pairfeat.llm import licenses, pii, quality, secrets
+from pairfeat.llm import licenses, packing, pii, quality, secrets
 
-MODULES = [quality, licenses, pii, secrets]
+MODULES = [packing, quality, licenses, pii, secrets]
 
 QUERIES = {name: fn for m in MODULES for name, fn in m.QUERIES.items()}
 SQL = {name: sql for m in MODULES for name, sql in getattr(m, "SQL", {}).items()}
