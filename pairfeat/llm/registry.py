@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pairfeat.llm import licenses, packing, pii, quality, secrets, simhash, vectors
+from pairfeat.llm import langid, licenses, mixing, packing, pii, quality, secrets, simhash, vectors
 
-MODULES = [vectors, simhash, packing, quality, licenses, pii, secrets]
+MODULES = [vectors, simhash, packing, langid, quality, licenses, mixing, pii, secrets]
 
 QUERIES = {name: fn for m in MODULES for name, fn in m.QUERIES.items()}
 SQL = {name: sql for m in MODULES for name, sql in getattr(m, "SQL", {}).items()}
