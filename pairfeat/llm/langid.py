@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 TEXTS = 512
 CHARS = 1024
 LEVEL = 9
+#: Parts of the hashes' range by which training texts are chosen.
+SHARES = 1 << 20
 #: Least share by which the second smallest must exceed the smallest.
 MARGIN = 0.02
 UNKNOWN = "und"
@@ -54,8 +56,12 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", t
         "lang IS NOT NULL AND text IS NOT NULL AND lang <> '" + UNKNOWN + "'").withColumn("h", F.xxhash64("text"))
     # Hashes first, without the texts; copies of a text have one hash and count once.
     hashes = rows.groupBy("lang", "h").agg(F.count(F.lit(1)).alias("n"))
-    first = hashes.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).filter(F.col("k") <= texts)
-    counts = {r["lang"]: r["n"] for r in hashes.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
+    totals = hashes.groupBy("lang").agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("distinct"))
+    counts = {r["lang"]: r["rows"] for r in totals.collect()}
+    # About four times the wanted number, by a share of the hash's range; then exactly the first of those.
+    near = hashes.join(totals, "lang").filter(F.pmod("h", F.lit(SHARES)) * F.col("distinct") < F.lit(4 * texts) * SHARES)
+    order = Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(SHARES)), "h")
+    first = near.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= texts)
     at = F.pmod("h", F.greatest(F.length("text") - chars, F.lit(1))).cast("int") + 1
     chosen = rows.join(first.select("lang", "h"), ["lang", "h"], "left_semi").select(
         "lang", "h", F.substring("text", at, F.lit(chars)).alias("piece")).dropDuplicates(["lang", "h"]).orderBy("lang", "h").collect()

@@ -115,7 +115,9 @@ def judge(measured: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
 
 def filter_documents(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that pass, with exactly their columns."""
-    return judge(measure(docs)).filter("kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    # The row number (never negative) keeps the filter above the measures: pushed below, it would hold a copy of each of them.
+    measured = measure(docs).withColumn("_row", F.monotonically_increasing_id())
+    return judge(measured).filter("kept AND _row >= 0").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
