@@ -2,10 +2,7 @@
 
 Word sequences reach these functions as strings too (``text.words_as_strings``).
 
-LCS length and OSA distance run as bit-parallel folds over 64-bit longs: the
-shorter side is the bit pattern (at most ``MAX_BITS`` items, so a sum of two
-patterns never reaches the sign bit), the longer side is folded item by item.
-Rows with a longer pattern are handled by ``operators.longseq`` in Python.
+LCS length and OSA distance are in ``operators.bitlanes``.
 """
 
 from __future__ import annotations
@@ -13,17 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from pairfeat.functions.core import empty_array, let
-
-MAX_BITS = 61
-
-
-def _and(a, b): return a.bitwiseAND(b)
-def _or(a, b): return a.bitwiseOR(b)
-def _xor(a, b): return a.bitwiseXOR(b)
-def _not(a): return F.bitwise_not(a)
-def _shl(a, n=1): return F.call_function("shiftleft", a, n if isinstance(n, Column) else F.lit(n))
-
+from pairfeat.functions.core import empty_array
 
 def char_array(s: Column) -> Column:
     return F.when(s == "", empty_array()).otherwise(F.split(s, ""))
@@ -48,74 +35,3 @@ def common_substring(cs: Column, long_s: Column) -> Column:
         F.sequence(F.lit(1), F.size(cs)), F.lit(0),
         lambda b, i: F.when(F.contains(long_s, F.array_join(F.slice(cs, i - b, b + 1), "")), b + 1)
                       .otherwise(b))).cast("int")
-
-
-def pattern_masks(pc: Column) -> Column:
-    """map item -> bit mask of its positions in ``pc`` (bit 0 = first item).
-    Built from runs of the sorted (item, position) list: linear in ``size(pc)``."""
-    m = F.size(pc)
-
-    def from_sorted(e):
-        starts = F.filter(F.sequence(F.lit(1), m),
-                          lambda k: (k == 1) | (F.element_at(e, k)["c"] != F.try_element_at(e, k - 1)["c"]))
-        return let(starts, lambda st: F.map_from_arrays(
-            F.transform(st, lambda k: F.element_at(e, k)["c"]),
-            F.transform(st, lambda k, r: F.aggregate(
-                F.slice(e, k, F.coalesce(F.try_element_at(st, r + 2), m + 1) - k), F.lit(0).cast("long"),
-                lambda acc, x: _or(acc, _shl(F.lit(1).cast("long"), x["i"]))))))
-    entries = F.array_sort(F.transform(pc, lambda c, i: F.struct(c.alias("c"), i.alias("i"))))
-    return let(entries, from_sorted)
-
-
-def _fold(pm: Column, m: Column, text: Column) -> Column:
-    """One pass over the text for both recurrences, one mask lookup per item.
-
-    LCS length (Allison-Dix / Hyyro): V = (V + U) | (V - U), U = V & PM[c];
-    the answer is the number of zero bits of V.
-    OSA distance: Hyyro (2003) bit-vector edit distance with adjacent
-    transpositions; state VP, VN, D0, previous PM, distance.
-    """
-    zero = F.lit(0).cast("long")
-    full = _shl(F.lit(1).cast("long"), m) - 1
-    top = _shl(F.lit(1).cast("long"), m - 1)
-    init = F.struct(full.alias("v"), full.alias("vp"), zero.alias("vn"), zero.alias("d0"), zero.alias("pmo"),
-                    m.cast("int").alias("dist"))
-
-    def step(s, c):
-        def with_pm(pmj):
-            u = _and(s["v"], pmj)
-            tr = _and(_shl(_and(_and(_not(s["d0"]), full), pmj)), s["pmo"])
-            d0 = _and(_or(_or(_or(_xor(_and(pmj, s["vp"]) + s["vp"], s["vp"]), pmj), s["vn"]), tr), full)
-
-            def with_d0(d):
-                hp = _and(_or(s["vn"], _not(_or(d, s["vp"]))), full)
-                hn = _and(d, s["vp"])
-                hps = _and(_or(_shl(hp), F.lit(1).cast("long")), full)
-                hns = _and(_shl(hn), full)
-                dist = s["dist"] + (_and(hp, top) != 0).cast("int") - (_and(hn, top) != 0).cast("int")
-                return F.struct(_and(_or(s["v"] + u, s["v"] - u), full).alias("v"),
-                                _and(_or(hns, _not(_or(d, hps))), full).alias("vp"),
-                                _and(hps, d).alias("vn"), d.alias("d0"), pmj.alias("pmo"), dist.alias("dist"))
-            return let(d0, with_d0)
-        return let(F.coalesce(pm[c], zero), with_pm)
-
-    return let(F.aggregate(text, init, step), lambda r: F.struct(
-        (m - F.bit_count(r["v"])).cast("int").alias("lcs"), r["dist"].alias("osa")))
-
-
-def bitparallel(cl: Column, cr: Column) -> Column:
-    """struct(lcs, osa) for item arrays whose shorter side has at most
-    ``MAX_BITS`` items (callers route longer rows elsewhere)."""
-    swap = F.size(cl) > F.size(cr)
-    pc = F.when(swap, cr).otherwise(cl)
-    tc = F.when(swap, cl).otherwise(cr)
-
-    def run(v):
-        m = F.size(v["p"])
-        return F.when(m == 0, F.struct(F.lit(0).alias("lcs"), F.size(v["t"]).alias("osa"))).otherwise(
-            let(pattern_masks(v["p"]), lambda pm: _fold(pm, m, v["t"])))
-    return let(F.struct(pc.alias("p"), tc.alias("t")), run)
-
-
-def fits_bitparallel(cl: Column, cr: Column) -> Column:
-    return F.least(F.size(cl), F.size(cr)) <= MAX_BITS

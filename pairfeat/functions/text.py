@@ -103,43 +103,3 @@ def periph_kind(ptok: Column, kind: str) -> Column:
 def analyzed(s: Column) -> Column:
     """Vectoriser analyser: lower-case, then runs of 2+ word characters."""
     return F.regexp_extract_all(F.lower(s), F.lit(ANALYZER_PATTERN), 0)
-
-
-# ---------------------------------------------------------------------------
-# Word sequences as strings. Each distinct word of the side with fewer words
-# becomes one code point; a word that only the other side has becomes a shared
-# placeholder that the key side never contains. Every sequence metric compares
-# an item of one side with an item of the other, never two items of the same
-# side, so all six metrics are unchanged and the character operators apply.
-# ---------------------------------------------------------------------------
-
-_PUA_BASE, _PUA_SIZE, _SUPP_BASE = 0xE000, 0x1900, 0x10000
-_PLACEHOLDER = 0x1
-MAX_CODED_WORDS = _PUA_SIZE + (0x10FFFF - _SUPP_BASE + 1)
-
-
-def _code_point(k: Column) -> Column:
-    """k = 1.. -> private-use then supplementary code points; 0 -> placeholder."""
-    return (F.when(k == 0, F.lit(_PLACEHOLDER))
-            .when(k <= _PUA_SIZE, k - 1 + _PUA_BASE)
-            .when(k <= MAX_CODED_WORDS, k - 1 - _PUA_SIZE + _SUPP_BASE)
-            .otherwise(F.raise_error(F.lit("too many distinct words on the shorter side"))))
-
-
-def _encode(words: Column, index: Column) -> Column:
-    hexes = F.transform(words, lambda w: F.lpad(F.hex(_code_point(F.coalesce(index[w], F.lit(0)))), 8, "0"))
-    return F.decode(F.unhex(F.array_join(hexes, "")), "UTF-32")
-
-
-def words_as_strings(wl: Column, wr: Column) -> Column:
-    """struct(l, r) of strings that encode two word sequences item for item."""
-    key = F.when(F.size(wl) <= F.size(wr), wl).otherwise(wr)
-    distinct = F.array_distinct(key)
-    index = F.map_from_arrays(distinct, _positions(distinct))
-    return let(F.struct(index.alias("m"), wl.alias("wl"), wr.alias("wr")),
-               lambda v: F.struct(_encode(v["wl"], v["m"]).alias("l"), _encode(v["wr"], v["m"]).alias("r")))
-
-
-def _positions(arr: Column) -> Column:
-    """[1..size(arr)], empty for an empty array (``sequence(1, 0)`` counts down)."""
-    return F.when(F.size(arr) == 0, empty_array("int")).otherwise(F.sequence(F.lit(1), F.size(arr)))

@@ -1,7 +1,7 @@
 """Lookup joins of a large fact side against a keyed table of known size.
 
-Broadcast only when the keyed table's row count (known from its fit) is under a
-limit. Above it, a shuffle join on (key, salt): the fact rows of the hottest
+Broadcast only when the keyed table's size (rows, known from its fit, times the
+bytes of a row) is under a limit. Above it, a shuffle join on (key, salt): the fact rows of the hottest
 keys - a bounded set read from the keyed table's own frequency column - are
 spread over ``salt_buckets`` partitions, and those keys' rows are repeated once
 per salt. Any single key, however common, is then split ``salt_buckets`` ways.
@@ -12,19 +12,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BROADCAST_MAX_ROWS = 2_000_000   # ~50 bytes a row -> ~100 MB per executor copy
+BROADCAST_MAX_BYTES = 64 << 20   # per executor copy
+TERM_BYTES = 64                  # a row of a term, a tag and a few numbers
 HOT_KEYS = 10_000                # bounded broadcast of the hot-key list itself
 SALT_BUCKETS = 64
 
 
-def broadcastable(table_rows: int, broadcast_max_rows: int | None = None) -> bool:
-    limit = BROADCAST_MAX_ROWS if broadcast_max_rows is None else broadcast_max_rows
-    return table_rows <= limit
+def broadcastable(table_rows: int, row_bytes: int = TERM_BYTES) -> bool:
+    return table_rows * row_bytes <= BROADCAST_MAX_BYTES
 
 
 def lookup_join(facts: DataFrame, table: DataFrame, key: str, table_rows: int, how: str = "inner",
                 weight: str | None = None, spread: Column | None = None,
-                broadcast_max_rows: int | None = None, hot_keys: int | None = None,
+                row_bytes: int = TERM_BYTES, hot_keys: int | None = None,
                 salt_buckets: int | None = None) -> DataFrame:
     """Join ``facts`` to ``table`` on ``key``.
 
@@ -32,7 +32,7 @@ def lookup_join(facts: DataFrame, table: DataFrame, key: str, table_rows: int, h
     ``spread`` is a deterministic per-row value used to salt hot keys (a hash of
     row coordinates, so a retried task salts the same way).
     """
-    if broadcastable(table_rows, broadcast_max_rows):
+    if broadcastable(table_rows, row_bytes):
         return facts.join(F.broadcast(table), key, how)
     if weight is None or spread is None:
         return facts.join(table, key, how)   # AQE skew-join splitting still applies

@@ -1,6 +1,6 @@
 """Lexical pair features (2.3-2.6, F1-F3) as narrow projections.
 
-Three selects, all in one stage with no shuffle: (1) sequences per side
+Selects in one stage with no shuffle: (1) sequences per side
 (code points, terms, tags, word strings), (2) one struct per family, (3) the
 flat feature columns. Intermediates live in their own projection, so each is
 built once per row even when several features read it.
@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 
 from pairfeat.functions import edits, sets, text
 from pairfeat.functions.core import let, ratio
-from pairfeat.operators.longseq import long_lcs_osa
-from pairfeat.operators.partitioning import by_pair
+from pairfeat.operators.bitlanes import lcs_osa
+from pairfeat.operators.wordcodes import words_as_strings
 
+# Names of families and columns.
 LENGTH_NAMES = ["len_l", "len_r", "len_union", "len_intersect", "len_diff",
                 "len_l_diff_r", "len_r_diff_l", "len_l_diff_r_ratio", "len_r_diff_l_ratio"]
 LENGTH_EXTRA = ["len_diff_l_ratio", "len_diff_r_ratio"]
@@ -89,29 +90,24 @@ def ngram_struct(sl: Column, sr: Column, prefix: str, ns, sep: str = sets.GRAM_S
 
 
 def sequence_parts(a: Column, b: Column) -> tuple[Column, Column]:
-    """Stage 2 of 2.5: struct of raw metrics (native) and the long-row helper column."""
+    """Stage 2 of 2.5: struct of the native metrics, and of LCS and OSA (one Arrow batch operator)."""
     def native(v):
         cl, cr = v["cl"], v["cr"]
-        fits = edits.fits_bitparallel(cl, cr)
         short_first = F.size(cl) <= F.size(cr)
         sub = F.when(short_first, edits.common_substring(cl, v["b"])).otherwise(
             edits.common_substring(cr, v["a"]))
         return F.struct(
-            F.size(cl).alias("nl"), F.size(cr).alias("nr"), fits.alias("fits"),
-            F.when(fits, edits.bitparallel(cl, cr)).alias("bp"),
+            F.size(cl).alias("nl"), F.size(cr).alias("nr"),
             sub.alias("sub"), edits.common_prefix(cl, cr).alias("pre"),
             edits.common_suffix(cl, cr).alias("suf"), F.levenshtein(v["a"], v["b"]).alias("lev"))
     nat = let(F.struct(edits.char_array(a).alias("cl"), edits.char_array(b).alias("cr"),
                        a.alias("a"), b.alias("b")), native)
-    needs_long = F.least(F.length(a), F.length(b)) > edits.MAX_BITS
-    return nat, long_lcs_osa(a, b, needs_long)
+    return nat, lcs_osa(a, b)
 
 
-def sequence_struct(nat: Column, long_: Column, prefix: str) -> Column:
+def sequence_struct(nat: Column, bits: Column, prefix: str) -> Column:
     """Stage 3 of 2.5: six raw values, then each over left and right length."""
-    lcs = F.when(nat["fits"], nat["bp"]["lcs"]).otherwise(long_["lcs"])
-    osa = F.when(nat["fits"], nat["bp"]["osa"]).otherwise(long_["osa"])
-    vals = [lcs, nat["sub"], nat["pre"], nat["suf"], nat["lev"], osa]
+    vals = [bits["lcs"], nat["sub"], nat["pre"], nat["suf"], nat["lev"], bits["osa"]]
     cols = [v.cast("int").alias(f"{prefix}_{m}_v") for v, m in zip(vals, SEQ_METRICS)]
     cols += [ratio(v, nat["nl"]).alias(f"{prefix}_{m}_l_ratio") for v, m in zip(vals, SEQ_METRICS)]
     cols += [ratio(v, nat["nr"]).alias(f"{prefix}_{m}_r_ratio") for v, m in zip(vals, SEQ_METRICS)]
@@ -148,21 +144,20 @@ LEXICAL = FAMILIES[:-1]
 
 
 def lexical_features(pairs: DataFrame, families=LEXICAL, keep=("qid",), left: str = "ql",
-                     right: str = "qr", extra_ratios: bool = False, spread: bool = True,
-                     partitions: int | None = None) -> DataFrame:
+                     right: str = "qr", extra_ratios: bool = False) -> DataFrame:
     """the requested lexical families as flat columns next to ``keep``.
 
     Default families give the 87 lexical columns; add ``"periph_len"`` for the
-    45 peripheral columns (132 together). ``spread`` hash-partitions the pairs
-    on ``qid`` first (see ``operators.partitioning``).
+    45 peripheral columns (132 together). A projection: rows stay where the
+    scan put them, whatever their ``qid``.
     """
     keep = list(keep)
-    p = _prepared(by_pair(pairs, partitions) if spread else pairs, keep, left, right)
+    p = _prepared(pairs, keep, left, right)
     c = {k: F.col(k) for k in ("_a", "_b", "_cl", "_cr", "_wl", "_wr", "_gl", "_gr")}
     need_words = "word_seq" in families
     stage = [*keep, *c.values()]
     if need_words:
-        stage.append(text.words_as_strings(c["_wl"], c["_wr"]).alias("_ws"))
+        stage.append(words_as_strings(c["_wl"], c["_wr"]).alias("_ws"))
     if "periph_len" in families:
         stage += [text.periph(F.col("tok_l"), c["_b"]).alias("_pl"),
                   text.periph(F.col("tok_r"), c["_a"]).alias("_pr")]

@@ -19,8 +19,8 @@ from pyspark.sql import types as T
 from pairfeat.functions import mt, text
 from pairfeat.functions.sets import GRAM_SEP
 from pairfeat.operators.lexical import with_tokens
-from pairfeat.operators.partitioning import by_pair
 
+# Column names.
 MT_NAMES = ["bleu_score_l", "bleu_score_r", "gleu_score_l", "gleu_score_r", "ribes_score_l", "ribes_score_r"]
 MT_EXTRA = ["gleu_std_l", "gleu_std_r"]
 RIBES_ALPHA, RIBES_BETA = 0.25, 0.10  # fixed values: RIBES exponents
@@ -150,10 +150,10 @@ def ribes_pair(left_seq: Column, right_seq: Column) -> Column:
 # --------------------------------------------------------------------------
 
 def mt_features(pairs: DataFrame, keep=("qid",), standard_gleu: bool = False, levels=("char", "basic_word"),
-                with_ribes: bool = True, spread: bool = True, partitions: int | None = None) -> DataFrame:
+                with_ribes: bool = True) -> DataFrame:
     """T1-T3 for characters (``char_``) and words (``basic_word_``)."""
     keep = list(keep)
-    t = with_tokens(by_pair(pairs, partitions) if spread else pairs)
+    t = with_tokens(pairs)
     s1 = t.select(*keep, F.col("ql").alias("_a"), F.col("qr").alias("_b"),
                   text.chars(F.col("ql")).alias("_cl"), text.chars(F.col("qr")).alias("_cr"),
                   text.term_seq(F.col("tok_l")).alias("_wl"), text.term_seq(F.col("tok_r")).alias("_wr"))

@@ -1,11 +1,7 @@
-"""Pair-table partitioning.
+"""Partitioning of a corpus.
 
-Pair features cost CPU per row, not I/O, and a pair table derived from a few
-large files can arrive in one busy partition. Families therefore start by
-hash-partitioning the pairs on ``qid`` into ``spark.sql.shuffle.partitions``
-parts: the work spreads over every core, and all families come out
-co-partitioned on ``qid``, so joining them adds no exchange. An explicit count
-keeps AQE from coalescing the CPU-heavy stage back into a few tasks.
+Pair features are projections and stay where the scan put them; scan splits are
+sized by ``spark.sql.files.maxPartitionBytes``.
 """
 
 from __future__ import annotations
@@ -13,15 +9,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 
-def pair_partitions(df: DataFrame, partitions: int | None = None) -> int:
-    return partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
-def by_pair(pairs: DataFrame, partitions: int | None = None, key: str = "qid") -> DataFrame:
-    """Hash-partition a pair table on its id."""
-    return pairs.repartition(pair_partitions(pairs, partitions), key)
-
-
 def spread_if_narrow(df: DataFrame, key: str) -> DataFrame:
     """Hash-partition a corpus on ``key`` only when it arrives in fewer
     partitions than the cluster has cores (one large file, say). A corpus
@@ -30,4 +17,4 @@ def spread_if_narrow(df: DataFrame, key: str) -> DataFrame:
     cores = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= cores:
         return df
-    return df.repartition(max(cores, pair_partitions(df)), key)
+    return df.repartition(max(cores, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), key)

@@ -4,8 +4,8 @@ Terms are cut by the tokenizer rule, looked up in a ``(term, postag)`` table,
 and terms the table lacks keep the rule's tag. The lookup is a join: broadcast
 when the lexicon's row count allows, otherwise a shuffle join (salted on the
 lexicon's most frequent terms when it carries a frequency column). Tokens are
-then put back in order per (qid, side) on the qid-partitioned rows; a group is
-one text's own tokens, never more than the row already held.
+then put back in order per (row key, side); a group is one text's own tokens,
+never more than the row already held.
 """
 
 from __future__ import annotations
@@ -14,34 +14,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairfeat.functions import text
-from pairfeat.operators.joins import broadcastable, lookup_join
-from pairfeat.operators.partitioning import by_pair, pair_partitions
+from pairfeat.operators.joins import lookup_join
+from pairfeat.operators.rowkey import ROW, with_row_key
 
 TOKEN_STRUCT = "struct<term:string,postag:string>"
 
 
 def tokens_from_lexicon(pairs: DataFrame, lexicon: DataFrame, lexicon_rows: int, left: str = "ql",
-                        right: str = "qr", weight: str | None = None, spread: bool = True) -> DataFrame:
+                        right: str = "qr", weight: str | None = None) -> DataFrame:
     """``pairs`` plus ``tok_l``/``tok_r`` tagged through ``lexicon(term, postag[, weight])``."""
-    p = by_pair(pairs) if spread else pairs
-    n = pair_partitions(p)
-    rows = (p.select("qid", F.inline(F.array(
+    p = with_row_key(pairs)
+    rows = (p.select(ROW, F.inline(F.array(
         F.struct(F.lit("l").alias("side"), text.terms_of(F.col(left)).alias("ts")),
         F.struct(F.lit("r").alias("side"), text.terms_of(F.col(right)).alias("ts")))))
-        .select("qid", "side", F.posexplode("ts").alias("pos", "term")))
+        .select(ROW, "side", F.posexplode("ts").alias("pos", "term")))
     cols = ["term", "postag"] + ([weight] if weight else [])
     lex = lexicon.select(*cols).withColumnRenamed("postag", "lex_tag")
     joined = lookup_join(rows, lex, "term", lexicon_rows, how="left", weight=weight,
-                         spread=F.xxhash64("qid", "side", "pos"))
-    if not broadcastable(lexicon_rows):
-        joined = joined.repartition(n, "qid")
-    tagged = joined.select("qid", "side", "pos", F.struct(
-        F.col("term"), F.coalesce(F.col("lex_tag"), text.suffix_tag(F.col("term"))).alias("postag")).alias("tok"))
-    grouped = (tagged.groupBy("qid", "side")
-               .agg(F.array_sort(F.collect_list(F.struct("pos", "tok"))).alias("t"))
-               .select("qid", "side", F.transform("t", lambda x: x["tok"]).alias("toks")))
+                         spread=F.xxhash64(ROW, "side", "pos"))
+    tok = F.struct(F.col("term"), F.coalesce(F.col("lex_tag"), text.suffix_tag(F.col("term"))).alias("postag"))
+    side = lambda s: F.transform(F.array_sort(F.collect_list(F.when(
+        F.col("side") == s, F.struct("pos", tok.alias("tok"))))), lambda x: x["tok"]).alias(f"tok_{s}")
+    grouped = joined.groupBy(ROW).agg(side("l"), side("r"))
     empty = F.array().cast(f"array<{TOKEN_STRUCT}>")
-    side = lambda s: grouped.filter(F.col("side") == s).select("qid", F.col("toks").alias(f"tok_{s}"))
-    return (p.join(side("l"), "qid", "left").join(side("r"), "qid", "left")
+    return (p.join(grouped, ROW, "left")
             .withColumn("tok_l", F.coalesce("tok_l", empty))
-            .withColumn("tok_r", F.coalesce("tok_r", empty)))
+            .withColumn("tok_r", F.coalesce("tok_r", empty)).drop(ROW))

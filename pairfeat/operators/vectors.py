@@ -3,12 +3,12 @@
 * Vocabulary fit (G1, G2, G5): per document the distinct analysed terms, then
   ``groupBy(term).count()`` - one shuffle, with map-side combining, so a term
   present in every document costs one row per partition.
-* Count / TF-IDF distances (G1, G2, G7-G10): the pair table is hash-partitioned
-  by ``qid`` once; tokens are exploded, looked up in the vocabulary (broadcast
-  when its fitted size allows, else a salted shuffle join), and reduced per
-  (qid, term), per (qid, kind) and per qid without another exchange.
+* Count / TF-IDF distances (G1, G2, G7-G10): tokens are exploded, looked up in
+  the vocabulary (broadcast when its measured size allows, else a salted shuffle
+  join), partitioned by the pair's private row key and reduced per (row, term),
+  (row, kind) and row without another exchange. ``qid`` is payload.
 * Hashed vectors (G3, G4): no state to look up, so they stay row-local: md5
-  buckets, per-bucket signed sums, L2 norm, distances over ``map_zip_with``.
+  buckets, per-bucket signed sums, L2 norm, distances over the sorted buckets.
 
 Distances follow the paired metrics: euclidean and manhattan on the vectors as
 transformed (counts raw, TF-IDF and hashed L2-normalised); cosine distance is
@@ -25,9 +25,10 @@ from pyspark.sql import functions as F
 
 from pairfeat.functions import text
 from pairfeat.functions.core import empty_array, let
-from pairfeat.operators.joins import broadcastable, lookup_join
+from pairfeat.operators.joins import lookup_join
 from pairfeat.operators.lexical import with_tokens
-from pairfeat.operators.partitioning import by_pair, pair_partitions, spread_if_narrow
+from pairfeat.operators.partitioning import spread_if_narrow
+from pairfeat.operators.rowkey import ROW, with_row_key
 
 # The six vectorisers. The hashed ones keep their names; their
 # widths are 2**20 for the "_18" and 2**24 for the "_20" variants.
@@ -110,9 +111,9 @@ def vector_terms(tok: Column) -> Column:
 
 
 def _kinds(pairs: DataFrame) -> DataFrame:
-    """(qid, terms per side for 'all' tokens and for 'notion' content words)."""
+    """(row key, qid, terms per side for 'all' tokens and for 'notion' content words)."""
     t = with_tokens(pairs)
-    return t.select("qid",
+    return t.select(ROW, "qid",
                     vector_terms(F.col("tok_l")).alias("all_l"), vector_terms(F.col("tok_r")).alias("all_r"),
                     vector_terms(text.notional(F.col("tok_l"))).alias("notion_l"),
                     vector_terms(text.notional(F.col("tok_r"))).alias("notion_r"))
@@ -123,27 +124,22 @@ def _kinds(pairs: DataFrame) -> DataFrame:
 # --------------------------------------------------------------------------
 
 def _token_rows(k: DataFrame, kinds=("all", "notion")) -> DataFrame:
-    """One row per (qid, kind, side, position, term)."""
+    """One row per (row key, qid, kind, side, position, term)."""
     cells = [F.struct(F.lit(kd).alias("kind"), F.lit(sd).alias("side"), F.col(f"{kd}_{sd}").alias("ts"))
              for kd in kinds for sd in ("l", "r")]
-    return (k.select("qid", F.inline(F.array(*cells)))
-            .select("qid", "kind", "side", F.posexplode("ts").alias("pos", "term")))
+    return (k.select(ROW, "qid", F.inline(F.array(*cells)))
+            .select(ROW, "qid", "kind", "side", F.posexplode("ts").alias("pos", "term")))
 
 
-def vocab_term_frequencies(pairs: DataFrame, vocab: Vocabulary, kinds=("all", "notion"),
-                           partitions: int | None = None) -> DataFrame:
-    """(qid, kind, term, tf_l, tf_r, idf) for vocabulary terms; unseen terms dropped.
+def vocab_term_frequencies(pairs: DataFrame, vocab: Vocabulary, kinds=("all", "notion")) -> DataFrame:
+    """(row key, qid, kind, term, tf_l, tf_r, idf) for vocabulary terms; unseen terms dropped.
 
-    The output stays hash-partitioned by qid."""
-    n = pair_partitions(pairs, partitions)
-    k = _kinds(by_pair(pairs, n))
-    rows = _token_rows(k, kinds)
-    spread = F.xxhash64("qid", "kind", "side", "pos")
+    ``pairs`` carries a row key. One exchange, on that key; what follows keeps it."""
+    rows = _token_rows(_kinds(pairs), kinds)
+    spread = F.xxhash64(ROW, "kind", "side", "pos")
     joined = lookup_join(rows, vocab.table.select("term", "df", "idf"), "term", vocab.n_terms,
                          weight="df", spread=spread)
-    if not broadcastable(vocab.n_terms):
-        joined = joined.repartition(n, "qid")
-    return (joined.groupBy("qid", "kind", "term")
+    return (joined.repartition(ROW).groupBy(ROW, "qid", "kind", "term")
             .agg(F.sum((F.col("side") == "l").cast("long")).alias("tf_l"),
                  F.sum((F.col("side") == "r").cast("long")).alias("tf_r"),
                  F.max("idf").alias("idf")))
@@ -166,15 +162,15 @@ def _cosine_from_sums(xx: Column, yy: Column, xy: Column) -> Column:
 
 
 def vocab_distances(tf: DataFrame, kinds=("all", "notion")) -> DataFrame:
-    """Per qid: PED, PCD, PMD for tfidf1 and count1, for each kind.
+    """Per row key: PED, PCD, PMD for tfidf1 and count1, for each kind.
 
-    TF-IDF weights are L2-normalised per side within (qid, kind) by a window
-    over the already qid-partitioned rows."""
-    w = Window.partitionBy("qid", "kind")
+    TF-IDF weights are L2-normalised per side within (row, kind) by a window
+    over rows already partitioned by the row key."""
+    w = Window.partitionBy(ROW, "kind")
     wl, wr = F.col("tf_l") * F.col("idf"), F.col("tf_r") * F.col("idf")
     nl = F.sqrt(F.sum(wl * wl).over(w))
     nr = F.sqrt(F.sum(wr * wr).over(w))
-    t = tf.select("qid", "kind", F.col("tf_l").cast("double").alias("cx"), F.col("tf_r").cast("double").alias("cy"),
+    t = tf.select(ROW, "kind", F.col("tf_l").cast("double").alias("cx"), F.col("tf_r").cast("double").alias("cy"),
                   F.coalesce(F.try_divide(wl, nl), F.lit(0.0)).alias("tx"),
                   F.coalesce(F.try_divide(wr, nr), F.lit(0.0)).alias("ty"))
     aggs = []
@@ -183,8 +179,8 @@ def vocab_distances(tf: DataFrame, kinds=("all", "notion")) -> DataFrame:
         cx, cy = F.when(cond, F.col("cx")), F.when(cond, F.col("cy"))
         tx, ty = F.when(cond, F.col("tx")), F.when(cond, F.col("ty"))
         aggs += _dist_aggs(tx, ty, f"{kd}_tfidf1") + _dist_aggs(cx, cy, f"{kd}_count1")
-    s = t.groupBy("qid").agg(*aggs)
-    out = [F.col("qid")]
+    s = t.groupBy(ROW).agg(*aggs)
+    out = [F.col(ROW)]
     for kd in kinds:
         p = "" if kd == "all" else "notion_"
         for v in VOCAB_VECTORS:
@@ -199,57 +195,6 @@ def vocab_distances(tf: DataFrame, kinds=("all", "notion")) -> DataFrame:
 # Hashed vectors (row-local)
 # --------------------------------------------------------------------------
 
-def bucket(t: Column, width: int) -> Column:
-    """Bucket of a term: first 32 bits of md5(term), modulo the width."""
-    return F.pmod(F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("long"), F.lit(width))
-
-
-def sign(t: Column) -> Column:
-    """+1 when the 9th hex digit of md5(term) is below 8, else -1."""
-    return F.when(F.conv(F.substring(F.md5(t), 9, 1), 16, 10).cast("int") < 8, F.lit(1.0)).otherwise(F.lit(-1.0))
-
-
-def with_bigrams(ts: Column) -> Column:
-    """Unigrams followed by space-joined bigrams."""
-    return F.concat(ts, let(ts, lambda a: F.when(F.size(a) < 2, empty_array()).otherwise(
-        F.transform(F.sequence(F.lit(1), F.size(a) - 1),
-                    lambda i: F.concat(F.element_at(a, i), F.lit(" "), F.element_at(a, i + 1))))))
-
-
-def hashed_vector(ts: Column, width: int, order: int) -> Column:
-    """L2-normalised map bucket -> signed count sum."""
-    items = with_bigrams(ts) if order == 2 else ts
-    keyed = F.array_sort(F.transform(items, lambda t: F.struct(bucket(t, width).alias("k"), sign(t).alias("s"))))
-
-    def runs(e):
-        n = F.size(e)
-        starts = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))),
-                          lambda i: (n > 0) & ((i == 1) | (F.element_at(e, i)["k"] != F.try_element_at(e, i - 1)["k"])))
-        return let(starts, lambda st: F.map_from_arrays(
-            F.transform(st, lambda i: F.element_at(e, i)["k"]),
-            F.transform(st, lambda i, r: F.aggregate(
-                F.slice(e, i, F.coalesce(F.try_element_at(st, r + 2), n + 1) - i), F.lit(0.0),
-                lambda acc, x: acc + x["s"]))))
-    raw = let(keyed, runs)
-
-    def normalise(m):
-        norm = F.sqrt(F.aggregate(F.map_values(m), F.lit(0.0), lambda acc, v: acc + v * v))
-        return let(norm, lambda nv: F.transform_values(
-            m, lambda k, v: F.when(nv > 0, v / nv).otherwise(F.lit(0.0))))
-    return let(raw, normalise)
-
-
-def map_distances(ml: Column, mr: Column) -> Column:
-    """struct(ped, pcd, pmd) of two normalised sparse vectors."""
-    def build(v):
-        diffs = F.map_values(F.map_zip_with(v["l"], v["r"], lambda k, x, y: F.coalesce(x, F.lit(0.0))
-                                            - F.coalesce(y, F.lit(0.0))))
-        sq = F.aggregate(diffs, F.lit(0.0), lambda acc, d: acc + d * d)
-        ab = F.aggregate(diffs, F.lit(0.0), lambda acc, d: acc + F.abs(d))
-        return F.struct(F.sqrt(sq).alias("ped"), (0.5 * sq).alias("pcd"), ab.alias("pmd"))
-    return let(F.struct(ml.alias("l"), mr.alias("r")), build)
-
-
 def _hashed_items(ts: Column) -> Column:
     """array<struct<h: first 32 bits of md5 as long, s: +1/-1>>, one md5 per item.
     The sign digit test ('0'-'7' sort below '8') needs no base conversion."""
@@ -264,6 +209,35 @@ def _bigram_terms(ts: Column) -> Column:
                     lambda i: F.concat(F.element_at(a, i), F.lit(" "), F.element_at(a, i + 1)))))
 
 
+def _bucket_sums(entries: Column) -> Column:
+    """array<struct<b, x, y>> of entries -> one struct per bucket with its sums of x and y."""
+    zero = F.lit(0.0)
+
+    def per_bucket(e):
+        n = F.size(e)
+        starts = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))),
+                          lambda i: (n > 0) & ((i == 1) | (F.element_at(e, i)["b"] != F.try_element_at(e, i - 1)["b"])))
+        return let(starts, lambda st: F.transform(st, lambda i, r: let(F.aggregate(
+            F.slice(e, i, F.coalesce(F.try_element_at(st, r + 2), n + 1) - i),
+            F.struct(zero.alias("x"), zero.alias("y")),
+            lambda a, z: F.struct((a["x"] + z["x"]).alias("x"), (a["y"] + z["y"]).alias("y"))),
+            lambda s: F.struct(F.element_at(e, i)["b"].alias("b"), s["x"].alias("x"), s["y"].alias("y")))))
+    return let(F.array_sort(entries), per_bucket)
+
+
+def _bucket_values(items: Column, width: int) -> Column:
+    """array<struct<bucket, value>>: one side's L2-normalised signed bucket sums."""
+    mask, zero = F.lit(width - 1).cast("long"), F.lit(0.0)
+    sums = _bucket_sums(F.transform(items, lambda e: F.struct(
+        e["h"].bitwiseAND(mask).alias("b"), e["s"].alias("x"), zero.alias("y"))))
+
+    def normalise(m):
+        norm = F.sqrt(F.aggregate(m, zero, lambda acc, v: acc + v["x"] * v["x"]))
+        return let(norm, lambda nv: F.transform(m, lambda v: F.struct(
+            v["b"].alias("bucket"), F.coalesce(F.try_divide(v["x"], nv), zero).alias("value"))))
+    return let(sums, normalise)
+
+
 def _pair_hash_distances(il: Column, ir: Column, width: int) -> Column:
     """struct(ped, pcd, pmd) between the L2-normalised signed bucket sums of two
     hashed item lists: both sides' entries are sorted together by bucket, so one
@@ -274,15 +248,6 @@ def _pair_hash_distances(il: Column, ir: Column, width: int) -> Column:
         F.transform(il, lambda e: F.struct(e["h"].bitwiseAND(mask).alias("b"), e["s"].alias("x"), zero.alias("y"))),
         F.transform(ir, lambda e: F.struct(e["h"].bitwiseAND(mask).alias("b"), zero.alias("x"), e["s"].alias("y"))))
 
-    def per_bucket(e):
-        n = F.size(e)
-        starts = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))),
-                          lambda i: (n > 0) & ((i == 1) | (F.element_at(e, i)["b"] != F.try_element_at(e, i - 1)["b"])))
-        return let(starts, lambda st: F.transform(st, lambda i, r: F.aggregate(
-            F.slice(e, i, F.coalesce(F.try_element_at(st, r + 2), n + 1) - i),
-            F.struct(zero.alias("x"), zero.alias("y")),
-            lambda a, z: F.struct((a["x"] + z["x"]).alias("x"), (a["y"] + z["y"]).alias("y")))))
-
     def distances(xy):
         nx = F.sqrt(F.aggregate(xy, zero, lambda a, v: a + v["x"] * v["x"]))
         ny = F.sqrt(F.aggregate(xy, zero, lambda a, v: a + v["y"] * v["y"]))
@@ -294,17 +259,17 @@ def _pair_hash_distances(il: Column, ir: Column, width: int) -> Column:
             return F.struct(F.sqrt(sq).alias("ped"), (0.5 * sq).alias("pcd"),
                             F.aggregate(d, zero, lambda a, x: a + F.abs(x)).alias("pmd"))
         return let(F.struct(nx.alias("x"), ny.alias("y")), with_norms)
-    return let(let(F.array_sort(entries), per_bucket), distances)
+    return let(_bucket_sums(entries), distances)
 
 
-def hashed_distances(k: DataFrame, kinds=("all", "notion")) -> DataFrame:
-    """Per qid: the hashed columns of the emitted matrix, for each kind."""
+def hashed_distances(k: DataFrame, kinds=("all", "notion"), keep=(ROW,)) -> DataFrame:
+    """``keep`` and the hashed columns of the emitted matrix, for each kind. A projection."""
     items = []
     for kd in kinds:
         for sd in ("l", "r"):
             items += [_hashed_items(F.col(f"{kd}_{sd}")).alias(f"{kd}_{sd}_u"),
                       _hashed_items(_bigram_terms(F.col(f"{kd}_{sd}"))).alias(f"{kd}_{sd}_b")]
-    h = k.select("qid", *items)
+    h = k.select(*keep, *items)
     structs = []
     for kd in kinds:
         for name, (order, width) in HASHERS.items():
@@ -312,8 +277,8 @@ def hashed_distances(k: DataFrame, kinds=("all", "notion")) -> DataFrame:
             if order == 2:
                 il, ir = F.concat(il, F.col(f"{kd}_l_b")), F.concat(ir, F.col(f"{kd}_r_b"))
             structs.append(_pair_hash_distances(il, ir, width).alias(f"{kd}__{name}"))
-    s = h.select("qid", *structs)
-    out = [F.col("qid")]
+    s = h.select(*keep, *structs)
+    out = [F.col(c) for c in keep]
     for kd in kinds:
         p = "" if kd == "all" else "notion_"
         for name in HASHERS:
@@ -324,18 +289,21 @@ def hashed_distances(k: DataFrame, kinds=("all", "notion")) -> DataFrame:
     return s.select(*out)
 
 
-def vector_features(pairs: DataFrame, vocab: Vocabulary, kinds=("all", "notion"),
-                    partitions: int | None = None) -> DataFrame:
-    """all 16 distances for each kind (32 with ``notion``), one row per qid.
-
-    Pairs are hash-partitioned by qid once; the vocabulary branch and the hashed
-    branch both keep that partitioning, so the final join adds no exchange."""
-    n = pair_partitions(pairs, partitions)
-    p = by_pair(pairs, n)
-    vd = vocab_distances(vocab_term_frequencies(p, vocab, kinds, n), kinds)
-    hd = hashed_distances(_kinds(p), kinds)
-    out = hd.join(vd, "qid", "left")
-    cols = [F.col("qid")]
+def vector_features(pairs: DataFrame, vocab: Vocabulary, kinds=("all", "notion"), keep=("qid",)) -> DataFrame:
+    """``keep`` and all 16 distances for each kind (32 with ``notion``), one row per pair.
+
+    Only the vocabulary branch takes pairs apart; its sums (a few numbers a pair) are
+    joined to the pairs on the row key, and the hashed distances are a projection above."""
+    p = with_row_key(pairs)
+    vd = vocab_distances(vocab_term_frequencies(p, vocab, kinds), kinds)
+    joined = p.join(vd, ROW, "left")
+    vocab_cols = [c for c in vd.columns if c != ROW]
+    t = with_tokens(joined)
+    terms = {f"{kd}_{sd}": vector_terms(F.col(f"tok_{sd}") if kd == "all" else text.notional(F.col(f"tok_{sd}")))
+             for kd in kinds for sd in ("l", "r")}
+    k = t.select(*keep, *vocab_cols, *[c.alias(n) for n, c in terms.items()])
+    out = hashed_distances(k, kinds, [*keep, *vocab_cols])
+    cols = [F.col(c) for c in keep]
     for kd in kinds:
         pre = "" if kd == "all" else "notion_"
         for name in DIST_NAMES:
@@ -346,28 +314,30 @@ def vector_features(pairs: DataFrame, vocab: Vocabulary, kinds=("all", "notion")
 
 
 def hashed_vectors_long(pairs: DataFrame, order: int) -> DataFrame:
-    """(qid, side, vectoriser, bucket, value): the nonzero hashed entries."""
-    k = _kinds(by_pair(pairs))
+    """(qid, side, vectoriser, bucket, value): the nonzero hashed entries, from the items that
+    ``hashed_distances`` compares."""
+    t = with_tokens(pairs)
     cells = []
-    for name, (o, width) in HASHERS.items():
-        if o != order:
-            continue
-        for sd in ("l", "r"):
-            cells.append(F.struct(F.lit(sd).alias("side"), F.lit(name).alias("vectorizer"),
-                                  hashed_vector(F.col(f"all_{sd}"), width, o).alias("m")))
-    return (k.select("qid", F.inline(F.array(*cells)))
-            .select("qid", "side", "vectorizer", F.explode("m").alias("bucket", "value"))
+    for sd in ("l", "r"):
+        ts = vector_terms(F.col(f"tok_{sd}"))
+        items = _hashed_items(ts) if order == 1 else F.concat(_hashed_items(ts), _hashed_items(_bigram_terms(ts)))
+        cells.append(F.struct(F.lit(sd).alias("side"), items.alias("items")))
+    sides = t.select("qid", F.inline(F.array(*cells)))
+    named = [F.struct(F.lit(name).alias("vectorizer"), _bucket_values(F.col("items"), width).alias("m"))
+             for name, (o, width) in HASHERS.items() if o == order]
+    return (sides.select("qid", "side", F.inline(F.array(*named)))
+            .select("qid", "side", "vectorizer", F.inline("m"))
             .filter(F.col("value") != 0))
 
 
 def vocab_vectors_long(pairs: DataFrame, vocab: Vocabulary, tfidf: bool) -> DataFrame:
     """(qid, side, term, weight): count vectors, or L2-normalised TF-IDF vectors."""
-    tf = vocab_term_frequencies(pairs, vocab, ("all",))
-    sides = tf.select("qid", "term", "idf", F.inline(F.array(
+    tf = vocab_term_frequencies(with_row_key(pairs), vocab, ("all",))
+    sides = tf.select(ROW, "qid", "term", "idf", F.inline(F.array(
         F.struct(F.lit("l").alias("side"), F.col("tf_l").alias("tf")),
         F.struct(F.lit("r").alias("side"), F.col("tf_r").alias("tf"))))).filter(F.col("tf") > 0)
     if not tfidf:
         return sides.select("qid", "side", "term", F.col("tf").cast("double").alias("weight"))
     w = F.col("tf") * F.col("idf")
-    norm = F.sqrt(F.sum(w * w).over(Window.partitionBy("qid", "side")))
+    norm = F.sqrt(F.sum(w * w).over(Window.partitionBy(ROW, "side")))
     return sides.select("qid", "side", "term", (w / norm).alias("weight"))

@@ -9,6 +9,9 @@ the caller.
 
 from __future__ import annotations
 
+from pairfeat.operators.lexical import LENGTH_NAMES, SEQ_METRICS
+from pairfeat.operators.vectors import HASHERS
+
 # --------------------------------------------------------------------------
 # Derived pair tables (FIXTURES.md section 2), as CTE bodies.
 # --------------------------------------------------------------------------
@@ -23,7 +26,7 @@ sp_pieces AS (
   FROM sp_lines),
 sp_f AS (
   SELECT doc_id, u AS t, row_number() OVER (PARTITION BY doc_id ORDER BY i, j) AS k
-  FROM sp_pieces WHERE length(u) BETWEEN 5 AND 60)"""
+  FROM sp_pieces WHERE length(u) > 0)"""
 
 PAIR_CTES = {
     "sent_pairs": _SENT_BASE + """,
@@ -47,7 +50,7 @@ turn_pairs AS (
   SELECT CAST(a.conv_id AS VARCHAR) || '-' || CAST(a.turn AS VARCHAR) AS qid, a.text AS ql, b.text AS qr,
          CAST(NULL AS VARCHAR) AS label
   FROM conversations a JOIN conversations b
-    ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 AND a.role = 'user')""",
+    ON a.conv_id = b.conv_id AND b.turn = a.turn + 1)""",
 }
 _ROTATED_ONLY = """
 rotated_pairs AS (
@@ -96,9 +99,6 @@ def multiset_inter(a: str, b: str) -> str:
             f"len(list_filter({a}, lambda y: y = x)), len(list_filter({b}, lambda y: y = x))))), 0)")
 
 
-LENGTH_NAMES = ["len_l", "len_r", "len_union", "len_intersect", "len_diff",
-                "len_l_diff_r", "len_r_diff_l", "len_l_diff_r_ratio", "len_r_diff_l_ratio"]
-
 
 def length_cols(a: str, b: str, p: str) -> list[str]:
     l, r, i = f"len({a})", f"len({b})", multiset_inter(a, b)
@@ -170,10 +170,6 @@ def suffix(a: str, b: str) -> str:
     return prefix(f"list_reverse({a})", f"list_reverse({b})")
 
 
-SEQ_METRICS = ["longest_common_subsequence", "longest_common_substring", "longest_common_prefix",
-               "longest_common_suffix", "levenshtein_distance", "damerau_levenshtein_distance"]
-
-
 def seq_values(a: str, b: str) -> list[str]:
     return [dp_lcs(a, b), dp_substring(a, b), prefix(a, b), suffix(a, b), dp_levenshtein(a, b), dp_osa(a, b)]
 
@@ -258,7 +254,7 @@ def r6(x: str) -> str:
     return f"(round({x}, 6) + 0.0)"
 
 
-HASHERS_SQL = {"hash1_18": (1, 2 ** 20), "hash1_20": (1, 2 ** 24), "hash2_18": (2, 2 ** 20), "hash2_20": (2, 2 ** 24)}
+HASHERS_SQL = HASHERS
 
 
 def vector_ctes(table: str, kinds=("all", "notion")) -> list[str]:
@@ -415,8 +411,11 @@ SIF_MEAN_SQL = (with_pairs("sent_pairs", *SIF_CTES) +
 # Model (A1, A4, A5)
 # --------------------------------------------------------------------------
 
-def split_flag(qid: str, seed: int = 42, fraction: float = 0.1) -> str:
-    return f"(CAST(('0x' || substr(md5(CAST({qid} AS VARCHAR) || '#{seed}'), 1, 13)) AS BIGINT) / {float(16 ** 13)} < {fraction})"
+def split_ranked(table: str, seed: int = 42, fraction: float = 0.1) -> str:
+    """CTE ``split``: the first ceil(fraction * n) pairs by a hash of their content and the seed are the test set."""
+    content = " || chr(1) || ".join(f"coalesce({c}, '')" for c in ("qid", "ql", "qr", "label"))
+    return (f"keyed AS (SELECT *, CAST(('0x' || substr(md5({content} || chr(1) || '{seed}'), 1, 13)) AS BIGINT) AS sk FROM {table}), "
+            f"split AS (SELECT *, rank() OVER (ORDER BY sk) <= ceil({fraction} * count(*) OVER ()) AS is_test FROM keyed)")
 
 
 RULE_PRED = ("rp AS (SELECT qid, label, CASE WHEN length(ql) = length(qr) THEN '1' ELSE '0' END AS pred "

@@ -70,11 +70,13 @@ def q_scan_corpus(spark, sf_dir):
     return src.read_corpus(spark, path)
 
 
-@register("scan_rejects", O.with_pairs("turn_pairs") +
-          "SELECT qid, ql, qr, label FROM turn_pairs WHERE ql IS NULL OR qr IS NULL")
+@register("scan_rejects", """
+SELECT CAST(a.conv_id AS VARCHAR) || '-' || CAST(a.turn AS VARCHAR) AS qid, a.text AS ql, b.text AS qr, CAST(NULL AS VARCHAR) AS label
+FROM conversations a LEFT JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1
+WHERE a.text IS NULL OR b.text IS NULL""")
 def q_scan_rejects(spark, sf_dir):
-    """Rows the featurisers cannot take (missing text) go to the rejects frame."""
-    return src.split_rejects(src.turn_pairs(spark, sf_dir))[1]
+    """Rows the featurisers cannot take (each conversation's last turn has no reply) go to the rejects frame."""
+    return src.split_rejects(src.turn_pairs(spark, sf_dir, how="left"))[1]
 
 
 for _t in ("sent_pairs", "rotated_pairs", "turn_pairs", "name_pairs"):
@@ -135,33 +137,33 @@ def q_periph_tokens(spark, sf_dir):
                              for side, pt in (("l", pl), ("r", pr)) for kind in text.PERIPH_KINDS])
 
 
-@register("ngrams", O.with_pairs("sent_pairs", "w AS (SELECT qid, " + O.terms("ql") + " AS a FROM sent_pairs)",
-                                 "g AS (SELECT qid, 2 AS n, " + O.ngrams("a", 2, "' '") + " AS gs FROM w "
-                                 "UNION ALL SELECT qid, 3, " + O.ngrams("a", 3, "' '") + " FROM w)") +
-          "SELECT qid, CAST(n AS INTEGER) AS n, CAST(generate_subscripts(gs, 1) AS INTEGER) AS pos, "
+@register("ngrams", O.with_pairs("sent_pairs", _SIDES_SQL, "w AS (SELECT qid, side, " + O.terms("t") + " AS a FROM sides)",
+                                 "g AS (SELECT qid, side, 2 AS n, " + O.ngrams("a", 2, "' '") + " AS gs FROM w "
+                                 "UNION ALL SELECT qid, side, 3, " + O.ngrams("a", 3, "' '") + " FROM w)") +
+          "SELECT qid, side, CAST(n AS INTEGER) AS n, CAST(generate_subscripts(gs, 1) AS INTEGER) AS pos, "
           "unnest(gs) AS gram FROM g")
 def q_ngrams(spark, sf_dir):
-    """Word 2- and 3-grams of the left text, one row per n-gram."""
-    w = src.sent_pairs(spark, sf_dir).select("qid", text.terms_of(F.col("ql")).alias("a"))
-    g = w.select("qid", F.inline(F.array(*[
+    """Word 2- and 3-grams of both texts, one row per n-gram."""
+    w = _sides(src.sent_pairs(spark, sf_dir)).select("qid", "side", text.terms_of(F.col("t")).alias("a"))
+    g = w.select("qid", "side", F.inline(F.array(*[
         F.struct(F.lit(n).alias("n"), sets.ngrams(F.col("a"), n, " ").alias("gs")) for n in (2, 3)])))
-    return g.select("qid", F.col("n").cast("int").alias("n"), F.posexplode("gs").alias("p", "gram")) \
-            .select("qid", "n", (F.col("p") + 1).cast("int").alias("pos"), "gram")
+    return g.select("qid", "side", F.col("n").cast("int").alias("n"), F.posexplode("gs").alias("p", "gram")) \
+            .select("qid", "side", "n", (F.col("p") + 1).cast("int").alias("pos"), "gram")
 
 
 _PAD = "list_concat(['<s>', '<s>'], {a}, ['</s>', '</s>'])"
 
 
-@register("ngrams_padded", O.with_pairs("sent_pairs", "w AS (SELECT qid, " + _PAD.format(a=O.terms("ql")) +
-                                        " AS a FROM sent_pairs)",
-                                        "g AS (SELECT qid, " + O.ngrams("a", 3, "' '") + " AS gs FROM w)") +
-          "SELECT qid, CAST(generate_subscripts(gs, 1) AS INTEGER) AS pos, unnest(gs) AS gram FROM g")
+@register("ngrams_padded", O.with_pairs("sent_pairs", _SIDES_SQL, "w AS (SELECT qid, side, " + _PAD.format(a=O.terms("t")) +
+                                        " AS a FROM sides)",
+                                        "g AS (SELECT qid, side, " + O.ngrams("a", 3, "' '") + " AS gs FROM w)") +
+          "SELECT qid, side, CAST(generate_subscripts(gs, 1) AS INTEGER) AS pos, unnest(gs) AS gram FROM g")
 def q_ngrams_padded(spark, sf_dir):
-    """N1 with padding: word 3-grams of the left text with two start and end symbols."""
-    w = src.sent_pairs(spark, sf_dir).select("qid", sets.ngrams(text.terms_of(F.col("ql")), 3, " ",
-                                                                padding=True).alias("gs"))
-    return w.select("qid", F.posexplode("gs").alias("p", "gram")) \
-            .select("qid", (F.col("p") + 1).cast("int").alias("pos"), "gram")
+    """N1 with padding: word 3-grams of both texts with two start and end symbols."""
+    w = _sides(src.sent_pairs(spark, sf_dir)).select("qid", "side", sets.ngrams(text.terms_of(F.col("t")), 3, " ",
+                                                                                 padding=True).alias("gs"))
+    return w.select("qid", "side", F.posexplode("gs").alias("p", "gram")) \
+            .select("qid", "side", (F.col("p") + 1).cast("int").alias("pos"), "gram")
 
 
 # --------------------------------------------------------------------------
@@ -200,7 +202,11 @@ def _seq_sql(table: str, a: str, b: str, prefix: str) -> str:
             f"SELECT qid, {', '.join(outer)} FROM m")
 
 
-register("char_seq", _seq_sql("sent_pairs", "cl", "cr", "char"))(_lex_query(("char_seq",)))
+# DuckDB's dynamic programme is cubic in memory traffic, too slow for sentences of hundreds
+# of characters: char_seq on them is held against a plain one in tests/test_sequences.py,
+# prefix and suffix against SQL on the whole table, and all six metrics against SQL on
+# name_pairs (the whole part table).
+register("char_seq")(_lex_query(("char_seq",)))
 register("word_seq", _seq_sql("sent_pairs", "wl", "wr", "basic_word"))(_lex_query(("word_seq",)))
 
 # One query per metric, so a failure names its metric.
@@ -222,8 +228,9 @@ def _metric_query(metric: str, prefix: str, family: str, table: str):
 
 
 for _name, (_metric, _fn) in _METRIC_QUERIES.items():
-    register(_name, _select_sql("sent_pairs", [f"CAST({_fn('cl', 'cr')} AS INTEGER) AS char_{_metric}_v"], _LEX))(
-        _metric_query(_metric, "char", "char_seq", "sent_pairs"))
+    _table = "sent_pairs" if _name in ("common_prefix", "common_suffix") else "name_pairs"
+    register(_name, _select_sql(_table, [f"CAST({_fn('cl', 'cr')} AS INTEGER) AS char_{_metric}_v"], O.lex_base(_table)))(
+        _metric_query(_metric, "char", "char_seq", _table))
 
 register("levenshtein_word", _select_sql("sent_pairs", [
     f"CAST({O.dp_levenshtein('wl', 'wr')} AS INTEGER) AS basic_word_levenshtein_distance_v"], _LEX))(
@@ -232,8 +239,7 @@ register("osa_word", _select_sql("sent_pairs", [
     f"CAST({O.dp_osa('wl', 'wr')} AS INTEGER) AS basic_word_damerau_levenshtein_distance_v"], _LEX))(
     _metric_query("damerau_levenshtein_distance", "basic_word", "word_seq", "sent_pairs"))
 
-# Short ASCII names and long conversation turns exercise the two ends of the
-# length range (the long rows take the Arrow path for LCS and OSA).
+# Short ASCII names and long conversation turns exercise the two ends of the length range.
 register("char_seq_names", _seq_sql("name_pairs", "cl", "cr", "char"))(_lex_query(("char_seq",), "name_pairs"))
 # The DuckDB DP is quadratic in memory traffic on 2,000-character turns, so
 # this one is checked against a brute-force DP in tests/test_sequences.py.
@@ -260,8 +266,31 @@ def _lexical_sql(table: str, with_periph: bool) -> str:
     return O.with_pairs(table, O.lex_base(table), m) + f"SELECT qid, {', '.join(names + outer_c + outer_w)} FROM m"
 
 
-register("features_lexical", _lexical_sql("sent_pairs", False))(_lex_query(lex.LEXICAL))
-register("features_lexical_periph", _lexical_sql("sent_pairs", True))(_lex_query(lex.FAMILIES))
+register("features_lexical")(_lex_query(lex.LEXICAL))
+register("features_lexical_periph")(_lex_query(lex.FAMILIES))
+register("features_lexical_names", _lexical_sql("name_pairs", False))(_lex_query(lex.LEXICAL, "name_pairs"))
+register("features_lexical_periph_names", _lexical_sql("name_pairs", True))(_lex_query(lex.FAMILIES, "name_pairs"))
+register("char_ngram_turns", _select_sql("turn_pairs", O.ngram_cols("cl", "cr", "char", (1, 2, 3, 4), "''"), O.lex_base("turn_pairs")))(
+    _lex_query(("char_ngram",), "turn_pairs"))
+
+
+def _extra_query(spark, sf_dir):
+    """The two optional length ratios of the character family."""
+    f = lex.lexical_features(src.sent_pairs(spark, sf_dir), families=("char_len",), extra_ratios=True)
+    return f.select("qid", *lex.length_names(lex.CHAR, True)[-2:])
+
+
+register("char_len_extra", O.with_pairs("sent_pairs") + "SELECT qid, " + ", ".join(
+    f"{O.ratio('abs(length(ql) - length(qr))', f'length({c})')} AS char_{n}" for c, n in zip(("ql", "qr"), lex.LENGTH_EXTRA))
+    + " FROM sent_pairs")(_extra_query)
+
+
+def _repeated(pairs: DataFrame) -> DataFrame:
+    """The same pairs with their document's number as id, which repeats."""
+    return pairs.withColumn("qid", F.substring_index("qid", "-", 1))
+
+
+_REPEATED = "rep AS (SELECT split_part(qid, '-', 1) AS qid, ql, qr, label FROM sent_pairs)"
 
 
 # --------------------------------------------------------------------------
@@ -357,6 +386,16 @@ register("vector_distances_notion", O.with_pairs("sent_pairs", *O.vector_ctes("s
 register("features_vector", O.with_pairs("sent_pairs", *_VEC_BOTH) +
          O.vector_select("sent_pairs", {"all": vec.DIST_NAMES, "notion": vec.DIST_NAMES}))(
     _vector_query(("all", "notion"), vec.DIST_NAMES))
+
+
+@register("features_vector_repeated", O.with_pairs("sent_pairs", *_VEC_ALL, "feats AS (" + O.vector_select("sent_pairs", {"all": vec.DIST_NAMES})
+          + ")") + f"SELECT split_part(qid, '-', 1) AS qid, {', '.join(vec.DIST_NAMES)} FROM feats")
+def q_features_vector_repeated(spark, sf_dir):
+    """F4 over pairs whose ids repeat: one row per pair, each with its own values."""
+    f = vec.vector_features(_repeated(src.sent_pairs(spark, sf_dir)), fitted_vocabulary(spark, sf_dir), ("all",))
+    return f.select("qid", *[_r6(F.col(c)).alias(c) for c in vec.DIST_NAMES])
+
+
 for _metric, _key in (("PED", "dist_euclid"), ("PCD", "dist_cosine"), ("PMD", "dist_manhattan")):
     _names = [n for n in vec.DIST_NAMES if n.endswith(_metric)]
     register(_key, O.with_pairs("sent_pairs", *_VEC_ALL) + O.vector_select("sent_pairs", {"all": _names}))(
@@ -433,7 +472,7 @@ def q_sif_weighted_mean(spark, sf_dir):
 def q_sif_distances(spark, sf_dir):
     """Distances between the two sides' SIF vectors after removing the
     first singular direction of all sentence vectors (no SQL twin: an
-    eigenvector; checked against numpy in tests/test_sentvec.py)."""
+    eigenvector; checked against numpy in tests/test_pipeline.py)."""
     f = sv.sif_features(src.sent_pairs(spark, sf_dir), fixture_lexicon(spark, sf_dir))
     return f.select("qid", *[_r6(F.col(c)).alias(c) for c in sv.SIF_NAMES])
 
@@ -442,10 +481,10 @@ def q_sif_distances(spark, sf_dir):
 # Model (A1-A6, K3, K4, F5)
 # --------------------------------------------------------------------------
 
-@register("train_test_split", O.with_pairs("training_pairs") +
-          f"SELECT qid, label, {O.split_flag('qid')} AS is_test FROM training_pairs")
+@register("train_test_split", O.with_pairs("training_pairs", O.split_ranked("training_pairs")) +
+          "SELECT qid, label, is_test FROM split")
 def q_train_test_split(spark, sf_dir):
-    """A1: reproducible 10% hold-out by a hash of qid and seed 42."""
+    """A1: reproducible hold-out of exactly ceil(0.1 n) pairs (identical pairs stay together), seed 42."""
     return model.with_split_flag(src.training_pairs(spark, sf_dir)).select("qid", "label", "is_test")
 
 
@@ -472,17 +511,23 @@ def q_classification_report(spark, sf_dir):
 
 
 def _trained(spark, sf_dir):
-    pairs = src.training_pairs(spark, sf_dir)
-    feats = model.model_features(pairs, fitted_vocabulary(spark, sf_dir), fixture_lexicon(spark, sf_dir))
-    return model.train(feats, save_to=scratch_dir(spark, "svm-model"))
+    return model.train(src.training_pairs(spark, sf_dir), fitted_vocabulary(spark, sf_dir), fixture_lexicon(spark, sf_dir),
+                       save_to=scratch_dir(spark, "svm-model"))
 
 
 @register("train")
 def q_train(spark, sf_dir):
-    """Features, split, LinearSVC fit, persist and reload (K3), test predictions."""
+    """Split, features, LinearSVC fit, persist and reload (K3), test predictions."""
     return _trained(spark, sf_dir).test_predictions
 
 
+@register("train_report")
+def q_train_report(spark, sf_dir):
+    """A4 + A5 on the trained model's own test predictions."""
+    r = _trained(spark, sf_dir)
+    return r.report.withColumn("micro_f1", F.lit(float(r.micro_f1)))
+
+
 @register("coefficients")
 def q_coefficients(spark, sf_dir):
     """K4: feature name and weight of the trained classifier."""
@@ -496,6 +541,13 @@ def q_features_model(spark, sf_dir):
     return model.model_features(pairs, fitted_vocabulary(spark, sf_dir), fixture_lexicon(spark, sf_dir))
 
 
+@register("features_model_repeated")
+def q_features_model_repeated(spark, sf_dir):
+    """F5 over pairs whose ids repeat: as many rows out as in (tests compare the values)."""
+    pairs = _repeated(src.training_pairs(spark, sf_dir))
+    return model.model_features(pairs, fitted_vocabulary(spark, sf_dir), fixture_lexicon(spark, sf_dir))
+
+
 # --------------------------------------------------------------------------
 # Line scoring: JSON sink and stream
 # --------------------------------------------------------------------------
@@ -504,8 +556,8 @@ _COUNT_COLS = ["char_len_l", "char_len_r", "char_len_union", "char_len_intersect
                "char_len_l_diff_r", "char_len_r_diff_l"]
 
 
-def _count_features(pairs):
-    return lex.lexical_features(pairs, families=("char_len",)).select("qid", *_COUNT_COLS)
+def _count_features(pairs, keep):
+    return lex.lexical_features(pairs, families=("char_len",), keep=keep).select(*keep, *_COUNT_COLS)
 
 
 def _pair_lines(spark, sf_dir):
@@ -522,26 +574,60 @@ def q_json_lines(spark, sf_dir):
     return score.score_batch(_pair_lines(spark, sf_dir), _count_features)
 
 
+@register("json_lines_repeated", O.with_pairs("sent_pairs", _REPEATED, O.lex_base("rep"),
+                                     "jl AS (SELECT qid, ql, qr, " + ", ".join(O.length_cols("cl", "cr", "char")[:7])
+                                     + " FROM lex)") +
+          "SELECT qid, concat_ws(chr(9), qid, ql, qr, '0') || chr(9) || json_object(" +
+          ", ".join(f"'{c}', {c}" for c in _COUNT_COLS) + ") AS value FROM jl")
+def q_json_lines_repeated(spark, sf_dir):
+    """K2 over lines whose ids repeat: one line out for each line in."""
+    lines = _repeated(src.sent_pairs(spark, sf_dir)).select(F.concat_ws("\t", "qid", "ql", "qr", "label").alias("value"))
+    return score.score_batch(lines, _count_features)
+
+
 @register("stream_score")
 def q_stream_score(spark, sf_dir):
     """The pair lines land as files in a folder; a Structured Streaming
-    query (available-now trigger) scores every line with the lexical features
-    and writes line + JSON per micro-batch; the written lines are returned."""
+    query (available-now trigger) scores every line with all features of the
+    model and writes line + JSON per micro-batch; the written lines are returned."""
     base = scratch_dir(spark, "stream")
-    _pair_lines(spark, sf_dir).repartition(4).write.mode("overwrite").text(f"{base}/in")
-    q = score.start_scoring_stream(spark, f"{base}/in", f"{base}/out", f"{base}/chk", max_files_per_trigger=2)
+    _pair_lines(spark, sf_dir).write.mode("overwrite").text(f"{base}/in")
+    lexicon = fixture_lexicon(spark, sf_dir)
+    direction = sv.fit_direction(src.sent_pairs(spark, sf_dir), lexicon)
+    sv.save_direction(spark, direction, f"{base}/direction")
+    features = score.model_json(fitted_vocabulary(spark, sf_dir), lexicon, sv.load_direction(spark, f"{base}/direction"))
+    q = score.start_scoring_stream(spark, f"{base}/in", f"{base}/out", f"{base}/chk", features)
     q.awaitTermination()
     return score.read_scored(spark, f"{base}/out")
 
 
-@register("tokenize_lexicon", SQL["tokenize_tag"])
+@register("stream_lines", SQL["json_lines"])
+def q_stream_lines(spark, sf_dir):
+    """W1 with the count features of ``json_lines``: the stream writes what the batch job returns."""
+    base = scratch_dir(spark, "stream")
+    _pair_lines(spark, sf_dir).write.mode("overwrite").text(f"{base}/in")
+    score.start_scoring_stream(spark, f"{base}/in", f"{base}/out", f"{base}/chk", _count_features).awaitTermination()
+    t = score.read_scored(spark, f"{base}/out")
+    return t.select("qid", F.concat_ws("\t", "line", "features").alias("value"))
+
+
+_LEX_TAGS = ["n", "v", "a", "d", "nz", "x"]
+
+
+@register("tokenize_lexicon", O.with_pairs("sent_pairs", _SIDES_SQL,
+          f"tk AS (SELECT qid, side, CAST(generate_subscripts({O.terms('t')}, 1) AS INTEGER) AS pos, unnest({O.terms('t')}) AS term FROM sides)") +
+          f"""SELECT qid, side, pos, term, CASE WHEN substr(md5(term), 1, 1) < 'c'
+            THEN {_LEX_TAGS!r}[CAST('0x' || substr(md5(term), 2, 1) AS INTEGER) % {len(_LEX_TAGS)} + 1] ELSE {O.tag('term')} END AS postag FROM tk""")
 def q_tokenize_lexicon(spark, sf_dir):
-    """P5 (lexicon form): tags looked up in a (term, postag) table by a join;
-    the stand-in table tags every term of ``documents`` by the fixture rule."""
+    """P5 (lexicon form): tags looked up in a (term, postag) table by a join; a term that the
+    table lacks keeps the rule's tag. The stand-in table holds about three terms in four of
+    ``documents``, under tags that have nothing to do with the rule."""
     docs = src.corpus_texts(spark, sf_dir)
     base = scratch_dir(spark, "tag-lexicon")
+    h = F.md5("term")
+    tag = F.element_at(F.array(*[F.lit(t) for t in _LEX_TAGS]), (F.conv(F.substring(h, 2, 1), 16, 10).cast("int") % len(_LEX_TAGS)) + 1)
     (docs.select(F.explode(text.terms_of(F.col("text"))).alias("term")).distinct()
-     .select("term", text.suffix_tag(F.col("term")).alias("postag"))
+     .filter(F.substring(h, 1, 1) < "c").select("term", tag.alias("postag"))
      .write.mode("overwrite").parquet(base))
     lexicon = spark.read.parquet(base)
     t = tagging.tokens_from_lexicon(src.sent_pairs(spark, sf_dir), lexicon, lexicon.count())

@@ -1,13 +1,14 @@
 """Spark session defaults and the shared scratch location.
 
 Lineage cuts and persisted intermediate tables go under the cluster's
-``spark.checkpoint.dir`` (a shared folder every executor can reach). A session
-that has none gets a fresh local folder, which is only right for tests and
-single-machine runs.
+``spark.checkpoint.dir`` (a shared folder every executor can reach). A local
+session that has none gets a fresh local folder; on any other master a missing
+setting is an error, because executors would write to disks of their own.
 """
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -51,13 +52,15 @@ def get_spark(master: str | None = None, app: str = "pairfeat",
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the session's checkpoint folder, setting a local one only if unset."""
+    """Return the session's checkpoint folder, setting a local one only on a local master."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     if not conf_dir:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         conf_dir = tempfile.mkdtemp(prefix="pairfeat-ckpt-")
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir

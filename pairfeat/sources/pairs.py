@@ -64,14 +64,14 @@ def write_corpus(texts: DataFrame, path: str, col: str = "text") -> None:
 # large share of the rows.
 # --------------------------------------------------------------------------
 
-def _short_sentences(docs: DataFrame) -> DataFrame:
-    """Per document, the array of pieces between newlines and '. ' with 5..60
-    characters, in document order. Built inside the row: no window, no shuffle."""
+def _sentences(docs: DataFrame) -> DataFrame:
+    """Per document, the array of its non-empty pieces between newlines and '. ',
+    in document order. Built inside the row: no window, no shuffle."""
     pieces = F.flatten(F.transform(F.split("text", "\n"),
                                    lambda line: F.split(line, r"\. ")))
     return docs.select(
         "doc_id",
-        F.filter(pieces, lambda t: F.length(t).between(5, 60)).alias("sents"))
+        F.filter(pieces, lambda t: F.length(t) > 0).alias("sents"))
 
 
 def _neighbours(sents: Column) -> Column:
@@ -84,8 +84,8 @@ def _neighbours(sents: Column) -> Column:
 
 
 def sent_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Neighbouring short sentences of each document, label '0'."""
-    s = _short_sentences(read_table(spark, sf_dir, "documents"))
+    """Neighbouring sentences of each document, label '0'."""
+    s = _sentences(read_table(spark, sf_dir, "documents"))
     return (s.select("doc_id", F.inline(_neighbours(F.col("sents"))))
             .select(F.concat_ws("-", F.col("doc_id").cast("string"), F.col("k").cast("string")).alias("qid"),
                     F.col("a").alias("ql"), F.col("b").alias("qr"),
@@ -93,8 +93,8 @@ def sent_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rotated_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each short sentence against itself with the first word moved last, label '1'."""
-    s = _short_sentences(read_table(spark, sf_dir, "documents"))
+    """Each sentence against itself with the first word moved last, label '1'."""
+    s = _sentences(read_table(spark, sf_dir, "documents"))
     one = s.select("doc_id", F.posexplode("sents").alias("pos", "t"))
     w = F.split("t", " ")
     return (one.filter(F.size(w) > 1)
@@ -110,17 +110,18 @@ def training_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sent_pairs(spark, sf_dir).unionByName(rotated_pairs(spark, sf_dir))
 
 
-def turn_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A user turn and the reply that follows it (long texts), label NULL.
+def turn_pairs(spark: SparkSession, sf_dir: str, how: str = "inner") -> DataFrame:
+    """Each turn and the turn that follows it (long texts), label NULL.
 
     Equi-join on the unique (conv_id, turn) key: a conversation with many turns
     still yields one match per row, so no partition collects a hot key.
+    ``how="left"`` keeps a conversation's last turn, with no text on the right.
     """
-    c = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    a = c.filter(F.col("role") == "user").select("conv_id", (F.col("turn") + 1).alias("nxt"),
+    c = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    a = c.select("conv_id", (F.col("turn") + 1).alias("nxt"),
                                                  F.col("turn").alias("t0"), F.col("text").alias("ql"))
     b = c.select("conv_id", F.col("turn").alias("nxt"), F.col("text").alias("qr"))
-    return (a.join(b, ["conv_id", "nxt"])
+    return (a.join(b, ["conv_id", "nxt"], how)
             .select(F.concat_ws("-", F.col("conv_id").cast("string"), F.col("t0").cast("string")).alias("qid"),
                     "ql", "qr", F.lit(None).cast("string").alias("label")))
 

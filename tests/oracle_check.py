@@ -98,7 +98,7 @@ def compare(spark, sf_dir: str, names=None, verbose=True) -> dict[str, str]:
 if __name__ == "__main__":
     from pairfeat import get_spark
     sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
-    spark = get_spark("local[8]", shuffle_partitions=8)
+    spark = get_spark("local[4]", shuffle_partitions=8)
     res = compare(spark, sf, sys.argv[2:] or None)
     bad = {k: v for k, v in res.items() if v != "OK" and not v.startswith("rows-only")}
     print(f"\n{len(res) - len(bad)}/{len(res)} fine; failing: {sorted(bad)}")
