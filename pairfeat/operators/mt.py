@@ -2,8 +2,8 @@
 and on words, both directions, 12 columns (16 with standard GLEU).
 
 BLEU and GLEU are column expressions. RIBES aligns hypothesis items to the
-reference by a data-dependent context search, so it runs as a small Python
-helper over Arrow batches of the pair table.
+reference by the shortest contexts that occur once on both sides; it runs as a
+small helper over Arrow batches, in n log n time for a pair.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,72 +28,139 @@ RIBES_ALPHA, RIBES_BETA = 0.25, 0.10  # fixed values: RIBES exponents
 
 
 # --------------------------------------------------------------------------
-# RIBES (per-row helper)
+# RIBES: items are aligned by contexts that occur just once on either side.
+#
+# All contexts come from one sorted list of the suffixes of both sides (and one
+# of the reversed sides, for contexts to the left). Of a suffix of one side, the
+# neighbours in that list tell how long a prefix it shares with another suffix of
+# its own side and with the nearest two of the other side; a prefix occurs once
+# on both sides exactly when it is longer than the first, no longer than the
+# best and longer than the second best of the other side.
 # --------------------------------------------------------------------------
 
-def _occurs_once(s: str, gram: str, limit: int) -> int | None:
-    """Start of ``gram`` in ``s`` if it occurs exactly once (overlaps counted;
-    only n-grams up to ``limit`` items take part), else None."""
-    if len(gram) > limit:
-        return None
-    p = s.find(gram)
-    if p < 0 or s.find(gram, p + 1) >= 0:
-        return None
-    return p
-
-
-def word_rank_alignment(ref: str, hyp: str) -> list[int]:
-    """Reference positions of hypothesis items (one item = one character of the
-    encoded strings): items unique on both sides map directly; others widen a
-    right, then left, context window until the context n-gram occurs exactly
-    once in both (only n-grams up to the reference length are considered)."""
-    worder: list[int] = []
-    n_hyp, lim = len(hyp), len(ref)
-    ref_count, hyp_count = Counter(ref), Counter(hyp)
-    for i, h in enumerate(hyp):
-        if h not in ref_count:
-            continue
-        if ref_count[h] == 1 and hyp_count[h] == 1:
-            worder.append(ref.index(h))
+_LONG = 4096   # above this, suffixes are ranked by doubling instead of compared as slices
+
+
+def _suffix_order(s: str) -> list[int]:
+    n = len(s)
+    if n <= _LONG:
+        return sorted(range(n), key=lambda i: s[i:])
+    rank = np.unique(np.frombuffer(s.encode("utf-32-le"), np.uint32), return_inverse=True)[1].astype(np.int64)
+    length = 1
+    while rank.max() < n - 1:
+        behind = np.zeros(n, np.int64)
+        behind[:n - length] = rank[length:] + 1
+        rank = np.unique(rank * (n + 1) + behind, return_inverse=True)[1]
+        length *= 2
+    order = np.empty(n, np.int64)
+    order[rank] = np.arange(n)
+    return order.tolist()
+
+
+def _shared_prefixes(s: str, order: list[int]) -> list[int]:
+    """For each place in the order, the length shared with the suffix before it."""
+    n = len(s)
+    at = [0] * n
+    for k, i in enumerate(order):
+        at[i] = k
+    out = [0] * n
+    h = 0
+    for i in range(n):
+        if at[i]:
+            j = order[at[i] - 1]
+            while i + h < n and j + h < n and s[i + h] == s[j + h]:
+                h += 1
+            out[at[i]] = h
+            if h:
+                h -= 1
+        else:
+            h = 0
+    return out
+
+
+def _pass(order, links, na: int, total: int) -> tuple[list, list, list, list]:
+    """One walk over the sorted suffixes: for each, the length shared with the last suffix of its own
+    side, with the last and last but one of the other side, and the place of that last one."""
+    own_at, first_at, second_at, place_at = [0] * total, [0] * total, [0] * total, [-1] * total
+    own_a = own_b = a1 = a2 = b1 = b2 = 0
+    a_place = b_place = -1
+    for i, link in zip(order, links):
+        if link < own_a:
+            own_a = link
+        if link < own_b:
+            own_b = link
+        if link < a1:
+            a1 = link
+        if link < a2:
+            a2 = link
+        if link < b1:
+            b1 = link
+        if link < b2:
+            b2 = link
+        if i < na:
+            own_at[i], first_at[i], second_at[i], place_at[i] = own_a, b1, b2, b_place
+            own_a, a2, a1, a_place = total, a1, total, i
+        elif i > na:
+            own_at[i], first_at[i], second_at[i], place_at[i] = own_b, a1, a2, a_place
+            own_b, b2, b1, b_place = total, b1, total, i
+    return own_at, first_at, second_at, place_at
+
+
+def _lone_contexts(a: str, b: str) -> tuple[list, list]:
+    """For each item of ``a`` and of ``b``: (least length, place on the other side) of the runs from
+    it on, two items or more, that occur just once on both sides; None without one."""
+    s = a + "\x00" + b + "\x01"
+    na, total = len(a), len(s)
+    order = _suffix_order(s)
+    shared = _shared_prefixes(s, order)
+    up = _pass(order, shared, na, total)
+    down = _pass(reversed(order), [0, *shared[:0:-1]], na, total)
+    out: tuple[list, list] = ([], [])
+    for i, (o1, x1, x2, p, o2, y1, y2, q) in enumerate(zip(*up, *down)):
+        if i == na or i == total - 1:
             continue
-        # a context of window + 1 items longer than the reference is never counted
-        for window in range(1, min(max(i, n_hyp - i + 1), lim)):
-            if i + window < n_hyp:
-                ctx = hyp[i:i + window + 1]
-                pos = _occurs_once(ref, ctx, lim)
-                if pos is not None and _occurs_once(hyp, ctx, lim) is not None:
-                    worder.append(pos)
-                    break
-            if window <= i:
-                ctx = hyp[i - window:i + 1]
-                pos = _occurs_once(ref, ctx, lim)
-                if pos is not None and _occurs_once(hyp, ctx, lim) is not None:
-                    worder.append(pos + window)
-                    break
-    return worder
-
-
-def _code(k: int) -> str:
-    """k-th distinct word (k = 1..) as one character, skipping surrogates."""
-    return chr(k if k < 0xD800 else k + 0x800)
+        most, place, second = (x1, p, max(x2, y1)) if x1 >= y1 else (y1, q, max(y2, x1))
+        least = max(2, o1 + 1, o2 + 1, second + 1)
+        side = i > na
+        out[side].append((least, place if side else place - na - 1) if least <= most else None)
+    return out
 
 
 def encode_pair(a, b) -> tuple[str, str]:
-    """Strings stay as they are; word lists become strings with one character
-    per distinct word of the pair (equal words, equal characters)."""
-    if isinstance(a, str) and isinstance(b, str):
-        return a, b
-    codes: dict = {}
-    out = []
-    for seq in (a, b):
-        chars = []
-        for w in seq:
-            c = codes.get(w)
-            if c is None:
-                c = codes[w] = _code(len(codes) + 1)
-            chars.append(c)
-        out.append("".join(chars))
-    return out[0], out[1]
+    """Both sides as strings with one character for each item that both have, from 4 on (0 and 1
+    mark the ends of the sides). The items that only ``a`` (``b``) has are all 2 (3): they are
+    never aligned, and no context that could be reaches across them."""
+    both = set(a) & set(b)
+    codes = {w: chr(k if k < 0xD800 else k + 0x800) for k, w in enumerate(sorted(both), 4)}
+    return "".join([codes.get(w, "\x02") for w in a]), "".join([codes.get(w, "\x03") for w in b])
+
+
+def alignments(a: str, b: str) -> tuple[list[int], list[int]]:
+    """Places in ``a`` of the items of ``b``, in b's order, and places in ``b`` of those of ``a``."""
+    ahead = _lone_contexts(a, b)
+    behind = _lone_contexts(a[::-1], b[::-1])
+    counts = Counter(a), Counter(b)
+    out: list[list[int]] = []
+    for side, (hyp, ref) in enumerate(((a, b), (b, a))):
+        n, own, other = len(hyp), counts[side], counts[1 - side]
+        places = []
+        for i, h in enumerate(hyp):
+            if h not in other:
+                continue
+            if own[h] == other[h] == 1:
+                places.append(ref.index(h))
+                continue
+            right, left = ahead[side][i], behind[side][n - 1 - i]
+            # The definition widens both contexts together and stops short of the far end.
+            limit = max(i, n - i + 1)
+            w_right = right[0] - 1 if right else limit
+            w_left = left[0] - 1 if left and left[0] - 1 < limit else limit
+            if w_right < limit and w_right <= w_left:
+                places.append(right[1])
+            elif w_left < limit:
+                places.append(len(ref) - 1 - left[1])
+        out.append(places)
+    return out[1], out[0]
 
 
 def kendall_tau_normalised(worder: list[int]) -> float:
@@ -111,31 +179,27 @@ def kendall_tau_normalised(worder: list[int]) -> float:
     return inc / (n * (n - 1) // 2)
 
 
-def ribes(ref: str, hyp: str) -> float:
-    """RIBES of a hypothesis against one reference (encoded strings, see
-    ``encode_pair``); 0 for an empty hypothesis."""
-    if not hyp:
+def _score(places: list[int], n_ref: int, n_hyp: int) -> float:
+    if not n_hyp:
         return 0.0
-    worder = word_rank_alignment(ref, hyp)
-    nkt = kendall_tau_normalised(worder)
-    bp = min(1.0, math.exp(1.0 - len(ref) / len(hyp)))
-    p1 = len(worder) / len(hyp)
-    return nkt * (p1 ** RIBES_ALPHA) * (bp ** RIBES_BETA)
+    nkt = kendall_tau_normalised(places)
+    bp = min(1.0, math.exp(1.0 - n_ref / n_hyp))
+    return nkt * ((len(places) / n_hyp) ** RIBES_ALPHA) * (bp ** RIBES_BETA)
 
 
-_RIBES_T = T.StructType([T.StructField("l", T.DoubleType()), T.StructField("r", T.DoubleType())])
+def ribes(a, b) -> tuple[float, float]:
+    """RIBES with ``a`` as reference and ``b`` as hypothesis, and the other way round; 0 for an empty hypothesis."""
+    x, y = encode_pair(a, b)
+    of_b, of_a = alignments(x, y)
+    return _score(of_b, len(x), len(y)), _score(of_a, len(y), len(x))
 
 
-def _both(a, b):
-    if a is None or b is None:
-        return None, None
-    x, y = encode_pair(a if isinstance(a, str) else list(a), b if isinstance(b, str) else list(b))
-    return ribes(x, y), ribes(y, x)
+_RIBES_T = T.StructType([T.StructField("l", T.DoubleType()), T.StructField("r", T.DoubleType())])
 
 
 @F.pandas_udf(_RIBES_T)
 def _ribes_udf(left: pd.Series, right: pd.Series) -> pd.DataFrame:
-    res = [_both(a, b) for a, b in zip(left, right)]
+    res = [(None, None) if a is None or b is None else ribes(a, b) for a, b in zip(left, right)]
     return pd.DataFrame(res, columns=["l", "r"], dtype="float64")
 
 

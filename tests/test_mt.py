@@ -82,11 +82,47 @@ def bleu_by_definition(ref, hyp):
 
 def test_ribes_helper_matches_definition():
     rng = random.Random(1)
-    for _ in range(400):
-        a = [rng.choice("abcd") for _ in range(rng.randint(0, 9))]
-        b = [rng.choice("abcd") for _ in range(rng.randint(0, 9))]
-        x, y = mtf.encode_pair(a, b)
-        assert mtf.ribes(x, y) == pytest.approx(ribes_by_definition(a, b), abs=1e-12), (a, b)
+    for k in range(400):
+        most = 9 if k < 370 else 40
+        a = [rng.choice("abcd") for _ in range(rng.randint(0, most))]
+        b = [rng.choice("abcd") for _ in range(rng.randint(0, most))]
+        l, r = mtf.ribes(a, b)
+        assert l == pytest.approx(ribes_by_definition(a, b), abs=1e-12), (a, b)
+        assert r == pytest.approx(ribes_by_definition(b, a), abs=1e-12), (a, b)
+
+
+def _occurrences(seq: str, run: str) -> list[int]:
+    return [i for i in range(len(seq) - len(run) + 1) if seq.startswith(run, i)]
+
+
+def test_alignment_of_long_texts():
+    """Contexts found by the index against a direct search, up to 500 items and beyond the slice limit."""
+    rng = random.Random(4)
+    for n, alphabet in ((500, "ab"), (300, "abcdefgh"), (120, "a")):
+        a = "".join(rng.choice(alphabet) for _ in range(n))
+        b = a[: n // 2] + "".join(rng.choice(alphabet) for _ in range(n // 3))
+        got = mtf._lone_contexts(a, b)[1]
+        for i in rng.sample(range(len(b)), 40):
+            want = None
+            for size in range(2, len(b) - i + 1):
+                run = b[i:i + size]
+                in_a, in_b = _occurrences(a, run), _occurrences(b, run)
+                if not in_a:
+                    break
+                if len(in_a) == len(in_b) == 1:
+                    want = (size, in_a[0])
+                    break
+            assert got[i] == want, (i, got[i], want)
+    s = "".join(rng.choice("abc") for _ in range(5000))
+    assert mtf._suffix_order(s) == sorted(range(len(s)), key=lambda i: s[i:])
+
+
+def test_ribes_of_a_periodic_pair_is_fast():
+    import time
+    began = time.process_time()
+    for _ in range(5):
+        mtf.ribes("ab" * 400, "ab" * 390 + "ba" * 10)
+    assert (time.process_time() - began) / 5 < 0.2   # milliseconds on an idle machine; seconds before
 
 
 def test_mt_columns_match_direct_computation(spark):

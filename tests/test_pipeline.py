@@ -81,11 +81,94 @@ def test_sif_direction_matches_numpy(spark):
     assert f["3"]["sif_PCD"] == pytest.approx(0.5)
 
 
-def test_split_is_reproducible_and_near_fraction(spark):
-    df = spark.range(20000).select(F.col("id").cast("string").alias("qid"))
-    a = model.with_split_flag(df).filter("is_test").count()
-    b = model.with_split_flag(df).filter("is_test").count()
-    assert a == b and 1700 < a < 2300
+def test_split_is_reproducible_and_exact(spark):
+    for n in (20003, 7, 1, 0):
+        df = spark.range(n).select((F.col("id") % 5).cast("string").alias("qid"), F.col("id").cast("string").alias("ql"),
+                                   F.lit("x").alias("qr"), F.lit("0").alias("label"))
+        a = {r["ql"] for r in model.with_split_flag(df).filter("is_test").collect()}
+        b = {r["ql"] for r in model.with_split_flag(df.repartition(3)).filter("is_test").collect()}
+        assert a == b and len(a) == -(-n // 10)
+
+
+def _exchanges(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return plan.count("Exchange")
+
+
+def test_projections_do_not_shuffle(spark):
+    from pairfeat.operators import mt as mtf
+    pairs = src.sent_pairs(spark, SF_SMALL)
+    assert _exchanges(lex.lexical_features(pairs, families=lex.FAMILIES)) == 0
+    assert _exchanges(mtf.mt_features(pairs)) == 0
+
+
+def test_repeated_and_missing_ids(spark):
+    """Every pair has its own values, whatever its id, and every line one line out."""
+    rows = [("q1", "the thing", "the thing", "1"), ("q1", "a nation", "other words", "0"), (None, "b", "b c", "0"),
+            ("q1", "the thing", "the thing", "1")]
+    schema = "qid string, ql string, qr string, label string"
+    vocab = vec.fit_vocabulary(spark.createDataFrame([(i, r[1] + " " + r[2]) for i, r in enumerate(rows)], "doc_id long, text string"))
+    wv = spark.createDataFrame([(w, [float(len(w)), 1.0, float(i)]) for i, w in enumerate(("the", "thing", "nation", "other"))],
+                               "term string, vec array<double>")
+    lexicon = sv.build_lexicon(wv, spark.createDataFrame([("the", 5), ("thing", 2)], "term string, freq long"))
+    u = np.array([1.0, 0.0, 0.0])
+    features = score.model_json(vocab, lexicon, u)
+    together = features(spark.createDataFrame(rows, schema), ("ql", "qr")).collect()
+    assert len(together) == 4 and len(together[0]) == 2 + 87 + 16 + 3
+    for r in rows:
+        alone = features(spark.createDataFrame([r], schema), ("ql", "qr")).first()
+        assert [x for x in together if (x["ql"], x["qr"]) == (r[1], r[2])][0] == alone
+    lines = spark.createDataFrame([("\t".join(x or "" for x in r),) for r in rows], "value string")
+    assert score.score_batch(lines).count() == 4
+    v = {(r["qid"], r["count1_PED"]) for r in vec.vector_features(spark.createDataFrame(rows, schema), vocab, ("all",)).collect()}
+    assert ("q1", 0.0) in v and len(v) == 3
+
+
+def test_stream_equals_batch_for_the_model(spark):
+    pairs = src.sent_pairs(spark, SF_SMALL).limit(60)
+    lines = spark.createDataFrame(pairs.select(F.concat_ws("\t", "qid", "ql", "qr", "label").alias("value")).collect(), "value string")
+    vocab = vec.fit_vocabulary(src.corpus_texts(spark, SF_SMALL), persist_to=scratch_dir(spark, "vocab-test"))
+    wf = spark.createDataFrame([("the", 50), ("of", 20), ("and", 9)], "term string, freq long")
+    wv = spark.createDataFrame([("the", [1.0, 2.0]), ("of", [0.5, -1.0]), ("and", [2.0, 0.0])], "term string, vec array<double>")
+    lexicon = sv.build_lexicon(wv, wf)
+    path = scratch_dir(spark, "direction")
+    sv.save_direction(spark, sv.fit_direction(pairs, lexicon), path)
+    features = score.model_json(vocab, lexicon, sv.load_direction(spark, path))
+    base = scratch_dir(spark, "stream-model")
+    lines.repartition(3).write.text(f"{base}/in")
+    score.start_scoring_stream(spark, f"{base}/in", f"{base}/out", f"{base}/chk", features, max_files_per_trigger=1).awaitTermination()
+    streamed = sorted(r["value"] for r in spark.read.text(f"{base}/out/batch=*").collect())
+    assert streamed == sorted(r["value"] for r in score.score_batch(lines, features).collect()) and len(streamed) == 60
+
+
+def test_gram_matrix_of_any_width(spark):
+    rng = np.random.default_rng(0)
+    for d in (3, 128, 300):
+        m = rng.normal(size=(50, d))
+        df = spark.createDataFrame([(x.tolist(),) for x in m], "vec array<double>").repartition(3)
+        assert np.allclose(sv.gram_matrix(df, d), m.T @ m)
+    assert np.allclose(sv.gram_matrix(df.filter("false"), 300), 0)
+
+
+def test_checkpoint_folder_must_be_shared():
+    from pairfeat.session import ensure_checkpoint_dir
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+
+        class conf:
+            @staticmethod
+            def get(key, default=None):
+                return default
+
+    with pytest.raises(ValueError):
+        ensure_checkpoint_dir(Session())
 
 
 def test_report_rows(spark):

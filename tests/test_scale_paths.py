@@ -18,7 +18,7 @@ def test_salted_vocabulary_join_matches_broadcast(spark, monkeypatch):
     pairs = src.sent_pairs(spark, SF_SMALL)
     vocab = Q.fitted_vocabulary(spark, SF_SMALL)
     small = _rows(vec.vector_features(pairs, vocab, kinds=("all",)))
-    monkeypatch.setattr(joins, "BROADCAST_MAX_ROWS", 0)
+    monkeypatch.setattr(joins, "BROADCAST_MAX_BYTES", 0)
     monkeypatch.setattr(joins, "HOT_KEYS", 50)
     monkeypatch.setattr(joins, "SALT_BUCKETS", 7)
     plan = vec.vector_features(pairs, vocab, kinds=("all",))
@@ -36,7 +36,7 @@ def test_salted_lexicon_join_matches_broadcast(spark, monkeypatch):
     pairs = src.sent_pairs(spark, SF_SMALL)
     lexicon = Q.fixture_lexicon(spark, SF_SMALL)
     small = _rows(sv.sif_features(pairs, lexicon))
-    monkeypatch.setattr(joins, "BROADCAST_MAX_ROWS", 0)
+    monkeypatch.setattr(joins, "BROADCAST_MAX_BYTES", 0)
     monkeypatch.setattr(joins, "HOT_KEYS", 50)
     salted = _rows(sv.sif_features(pairs, lexicon))
     assert small.keys() == salted.keys()
