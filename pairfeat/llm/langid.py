@@ -59,7 +59,7 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", t
     totals = hashes.groupBy("lang").agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("distinct"))
     counts = {r["lang"]: r["rows"] for r in totals.collect()}
     # About four times the wanted number, by a share of the hash's range; then exactly the first of those.
-    near = hashes.join(totals, "lang").filter(F.pmod("h", F.lit(SHARES)) * F.col("distinct") < F.lit(4 * texts) * SHARES)
+    near = hashes.join(totals, "lang").filter(F.pmod("h", F.lit(SHARES)) < F.lit(4.0 * texts * SHARES) / F.col("distinct"))
     order = Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(SHARES)), "h")
     first = near.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= texts)
     at = F.pmod("h", F.greatest(F.length("text") - chars, F.lit(1))).cast("int") + 1
