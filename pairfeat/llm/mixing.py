@@ -174,17 +174,19 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     taken = plan(docs, id_col, text_col, source_col).filter("taken > 0").groupBy("order", "tie").agg(
         F.sum("taken").alias("_taken"), F.first("size").alias("_size"))
     key = F.md5(F.concat_ws("|", F.lit(SEED), F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit(""))))
-    keyed = docs.withColumns({"_order": key, "_tie": F.xxhash64(*columns)})
-    joined = keyed.join(taken, (F.col("_order") == F.col("order")) & (F.col("_tie") == F.col("tie"))).dropDuplicates(["_order", "_tie"])
+    # The row's own columns travel as one, so none of them can clash with a working column.
+    keyed = docs.select(F.struct("*").alias("_doc"), key.alias("order"), F.xxhash64(*columns).alias("tie"))
+    joined = keyed.join(taken, ["order", "tie"]).dropDuplicates(["order", "tie"])
     whole_copies = F.floor(F.col("_taken") / F.col("_size")).cast("int")
     rest = (F.col("_taken") % F.col("_size")).cast("int")
-    text = F.col(f"`{text_col}`")
+    text = F.col(f"_doc.`{text_col}`")
     part = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++"), F.lit(0)), 1, rest), "")
     texts = F.concat(F.array_repeat(text, whole_copies), F.when(rest > 0, F.array(part)).otherwise(F.array().cast("array<string>")))
-    out = joined.withColumn("_text", F.explode(texts)).withColumn(text_col, F.col("_text"))
+    out = joined.select("_doc", F.explode(texts).alias("_text"))
+    new = {text_col: F.col("_text")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length(text).cast(docs.schema["n_chars"].dataType))
-    return out.select(*columns)
+        new["n_chars"] = F.length("_text").cast(docs.schema["n_chars"].dataType)
+    return out.select(*[new[c].alias(c) if c in new else F.col(f"_doc.`{c}`") for c in docs.columns])
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

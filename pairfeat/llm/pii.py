@@ -10,7 +10,8 @@ kept whatever their score; the added ones need ``LEAST_SCORE``.
 
 Defined results: a null text has no span; empty text likewise; repeated rows
 give equal results; an empty table gives an empty one; other columns pass
-through ``find`` and ``redact`` unless they are called ``pii``.
+through ``find`` unless they are called ``pii`` (or an underscore and a kind), and
+through ``redact`` as they are.
 """
 
 from __future__ import annotations
@@ -104,9 +105,11 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     Spans of different kinds may overlap: the one that starts first names the
     placeholder and the rest of the overlap goes with it. Null text stays null.
     """
-    staged = find(docs, text_col, out="_pii").withColumn(
+    # The row's own columns travel as one, so none of them can clash with a working column.
+    row = docs.select(F.struct("*").alias("_doc"), F.col(f"`{text_col}`").alias("_t"))
+    staged = find(row, "_t", out="_pii").withColumn(
         "_pii", F.sort_array(F.transform("_pii", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))))
-    t = F.col(text_col)
+    t = F.col("_t")
 
     def step(acc: Column, s: Column) -> Column:
         fresh = s["start"] >= acc["pos"]
@@ -117,7 +120,8 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     cut = F.aggregate("_pii", F.struct(F.lit(0).alias("pos"), F.lit("").alias("out")), step,
                       lambda acc: F.concat(acc["out"], F.substring(t, acc["pos"] + 1, F.length(t))))
-    return staged.withColumn(text_col, F.when(F.size("_pii") > 0, cut).otherwise(t)).drop("_pii")
+    done = staged.select("_doc", F.when(F.size("_pii") > 0, cut).otherwise(t).alias("_t"))
+    return done.select(*[F.col("_t").alias(c) if c == text_col else F.col(f"_doc.`{c}`") for c in docs.columns])
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,8 @@ is a scan and a projection: no shuffle, no user function.
 Defined results: a null or blank text has no word, every measure 0 and fails
 the base rule; equal rows get equal results; an empty table gives an empty one;
 other columns pass through ``measure`` and ``judge`` untouched unless they carry
-a measure's name, in which case the measure replaces them.
+a measure's name, in which case the measure replaces them; ``filter_documents``
+returns all of them as they are.
 """
 
 from __future__ import annotations
@@ -115,9 +116,10 @@ def judge(measured: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
 
 def filter_documents(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that pass, with exactly their columns."""
+    row = docs.select(F.struct("*").alias("_doc"), F.col("`text`").alias("_text"))   # its columns may have a measure's name
     # The row number (never negative) keeps the filter above the measures: pushed below, it would hold a copy of each of them.
-    measured = measure(docs).withColumn("_row", F.monotonically_increasing_id())
-    return judge(measured).filter("kept AND _row >= 0").select(*[F.col(f"`{c}`") for c in docs.columns])
+    measured = measure(row, "_text").withColumn("_row", F.monotonically_increasing_id())
+    return judge(measured).filter("kept AND _row >= 0").select("_doc.*")
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -182,16 +182,19 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row of each component, with the columns of ``docs``: smallest id (null last), then row hashes; equal rows are one."""
     spark = docs.sparkSession
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    keyed = docs.withColumns({"_k1": F.xxhash64(*columns), "_k2": F.hash(*columns)})
+    # The row's own columns travel as one, so none of them can clash with a working column.
+    keyed = docs.select(F.struct("*").alias("_doc"), F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_t"),
+                        F.xxhash64(*columns).alias("_k1"), F.hash(*columns).alias("_k2"))
     path = scratch_dir(spark, "simhash")
-    with_fingerprints(keyed, [id_col, "_k1", "_k2"], text_col, shingle).write.parquet(path)
+    with_fingerprints(keyed, ["_id", "_k1", "_k2"], "_t", shingle).write.parquet(path)
     prints = spark.read.parquet(path)
-    best = F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), "_k1", "_k2")).alias("best")
+    best = F.min(F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), "_k1", "_k2")).alias("best")
     points = prints.groupBy("fp").agg(best)
     joined = points.join(_link_points(points.select("fp"), max_bits), "fp", "left")
     kept = joined.groupBy(F.coalesce("component", "fp").alias("component")).agg(F.min("best").alias("best"))
     # The rows of the kept keys; the second step merges equal rows and needs no further shuffle.
-    return keyed.join(kept.select("best._k1", "best._k2"), ["_k1", "_k2"], "left_semi").dropDuplicates(["_k1", "_k2"]).select(*columns)
+    chosen = keyed.select("_doc", "_k1", "_k2").join(kept.select("best._k1", "best._k2"), ["_k1", "_k2"], "left_semi")
+    return chosen.dropDuplicates(["_k1", "_k2"]).select("_doc.*")
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,8 +31,8 @@ TEXTS = [
 
 
 def _frame(spark, texts=TEXTS, source=lambda i: f"s{i % 3}"):
-    return spark.createDataFrame([(i if i != 3 else None, t, "en", source(i), i) for i, t in enumerate(texts)],
-                                 "doc_id long, text string, lang string, source string, n_words long")
+    return spark.createDataFrame([(i if i != 3 else None, t, "en", source(i), i, "x") for i, t in enumerate(texts)],
+                                 "doc_id long, text string, lang string, source string, n_words long, _email string")
 
 
 def _by_text(df):
@@ -60,6 +60,7 @@ def test_quality_filter_keeps_columns_and_types(spark):
     docs = _frame(spark)
     kept = quality.filter_documents(docs)
     assert kept.schema == docs.schema and {r["doc_id"] for r in kept.collect()} >= {4, 5}
+    assert all(r["n_words"] in (r["doc_id"], 3) for r in kept.collect())     # the table's own column, not the measure
     assert quality.filter_documents(docs.filter("false")).count() == 0
 
 
@@ -90,7 +91,8 @@ def test_pii_spans(spark):
         spans = [(s["kind"], s["start"], s["end"]) for s in got[i if i != 3 else None]["pii"]]
         if len(t or "") < 10_000:
             assert [s for s in spans if s[0] in pii.BASE_KINDS] == _pii(t or ""), t
-    assert [s["kind"] for s in got[16]["pii"]] == ["iban", "ssn"]        # one passes mod-97, one has its context word
+    assert [s["kind"] for s in got[16]["pii"]] == ["iban", "ssn", "ssn"]   # one of two passes mod-97; context words near
+    assert pii.find(_frame(spark, ["no 987-65-4321 word"])).first()["pii"] == []
     assert got[24]["pii"][0]["start"] == 0 and got[24]["pii"][0]["end"] == 50_005
     scores = {s["kind"]: s["score"] for s in got[14]["pii"]}
     assert scores["card"] == 1.0                                          # checksum and context
@@ -99,7 +101,8 @@ def test_pii_spans(spark):
 
 def test_pii_redaction(spark):
     got = _by_text(pii.redact(_frame(spark)))
-    assert got[0]["text"] is None and got[4]["text"] == CLEAN
+    assert got[0]["text"] is None and got[4]["text"] == CLEAN and got[4]["_email"] == "x"
+    assert pii.redact(_frame(spark)).schema == _frame(spark).schema
     for i in (12, 13, 14, 15, 16):
         assert not _pii(got[i]["text"]), got[i]["text"]
         assert "<" in got[i]["text"]

@@ -215,7 +215,7 @@ def test_langid(spark):
     rng = random.Random(6)
     own = {"aa": "ka lo mi ne tu so".split(), "bb": "xyr qwe zzt prg hjk vbn".split()}
     make = lambda lang, n: " ".join(rng.choice(own[lang]) + rng.choice(own[lang]) for _ in range(n))
-    texts = [make("aa" if i % 2 else "bb", 60) for i in range(160)] + [None, "", "123 !!", "²", "KALO MINE"]
+    texts = [make("aa" if i % 2 else "bb", 60) for i in range(160)] + [None, "", "123 !!", "²", "KALO MINE TUSO LOKA NETU SOMI " * 4]
     lang = lambda i: ("aa" if i % 2 else "bb") if i < 150 else None
     docs = _docs(spark, texts, lang=lang).withColumn("held_out", langid.held_out("doc_id"))
     assert {r["doc_id"]: r["held_out"] for r in docs.collect()} == {i: zlib.crc32(str(i).encode()) % 4 == 2 for i in range(165)}
