@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pairfeat.operators.partitioning import spread_if_narrow
 from pairfeat.sources.tables import read_table
 
 PAIR_SCHEMA = T.StructType([
@@ -74,6 +75,12 @@ def _sentences(docs: DataFrame) -> DataFrame:
         F.filter(pieces, lambda t: F.length(t) > 0).alias("sents"))
 
 
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents; spread first where they come in fewer partitions than there are cores
+    (one small file, say), since what follows costs CPU per row. A large table is never moved."""
+    return spread_if_narrow(read_table(spark, sf_dir, "documents"), "doc_id")
+
+
 def _neighbours(sents: Column) -> Column:
     """[(k, s[k], s[k+1])] for k = 1..n-1."""
     n = F.size(sents)
@@ -85,7 +92,7 @@ def _neighbours(sents: Column) -> Column:
 
 def sent_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Neighbouring sentences of each document, label '0'."""
-    s = _sentences(read_table(spark, sf_dir, "documents"))
+    s = _sentences(_documents(spark, sf_dir))
     return (s.select("doc_id", F.inline(_neighbours(F.col("sents"))))
             .select(F.concat_ws("-", F.col("doc_id").cast("string"), F.col("k").cast("string")).alias("qid"),
                     F.col("a").alias("ql"), F.col("b").alias("qr"),
@@ -94,7 +101,7 @@ def sent_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def rotated_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each sentence against itself with the first word moved last, label '1'."""
-    s = _sentences(read_table(spark, sf_dir, "documents"))
+    s = _sentences(_documents(spark, sf_dir))
     one = s.select("doc_id", F.posexplode("sents").alias("pos", "t"))
     w = F.split("t", " ")
     return (one.filter(F.size(w) > 1)

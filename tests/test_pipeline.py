@@ -97,7 +97,7 @@ def _exchanges(df):
 
 def test_projections_do_not_shuffle(spark):
     from pairfeat.operators import mt as mtf
-    pairs = src.sent_pairs(spark, SF_SMALL)
+    pairs = spark.createDataFrame([("1", "a b", "b c", "0")] * 50, "qid string, ql string, qr string, label string")
     assert _exchanges(lex.lexical_features(pairs, families=lex.FAMILIES)) == 0
     assert _exchanges(mtf.mt_features(pairs)) == 0
 
