@@ -326,7 +326,7 @@ def mt_base(table: str) -> str:
             grams.append(f"{ngrams(f'w{side}', n, 'chr(1)')} AS w{side}{n}")
     return f"""mtb0 AS (
   SELECT qid, {chars('ql')} AS cl, {chars('qr')} AS cr, {terms('ql')} AS wl, {terms('qr')} AS wr FROM {table}),
-mtb AS (SELECT *, {', '.join(grams)} FROM mtb0)"""
+mtb AS (SELECT *, {', '.join(grams)}, {_one_character_grams('wl')} AS gwl, {_one_character_grams('wr')} AS gwr FROM mtb0)"""
 
 
 def _gram_counts(a: str, b: str, sep: str) -> list[tuple[str, str, str]]:
@@ -370,20 +370,27 @@ def gleu_chars_sql(ref: str, hyp: str) -> str:
             f" ELSE 0.0 END)")
 
 
+def _one_character_grams(hyp: str) -> str:
+    """1..4-grams of a word sequence that consist of one-character words, joined."""
+    return ("list_concat(" + ", ".join(
+        f"(CASE WHEN len({hyp}) < {n} THEN []::VARCHAR[] ELSE [array_to_string({hyp}[i:i + {n - 1}], '') "
+        f"for i in generate_series(1, len({hyp}) - {n - 1}) "
+        f"if list_bool_and(list_transform({hyp}[i:i + {n - 1}], lambda x: length(x) = 1))] END)"
+        for n in (1, 2, 3, 4)) + ")")
+
+
 def gleu_words_sql(ref: str, hyp: str) -> str:
     """Each reference term is a reference read as characters; the hypothesis is
-    a word sequence, so only runs of one-character words can match."""
+    a word sequence, so only runs of one-character words can match, and only terms
+    that hold one of those characters can score. ``g{hyp}`` (``mtb``) has the runs."""
     def char_grams(t):
         return ("list_concat(" + ", ".join(
             f"(CASE WHEN length({t}) < {n} THEN []::VARCHAR[] ELSE list_transform(generate_series(1, length({t}) - {n - 1}),"
             f" lambda i: substring({t}, i, {n})) END)" for n in (1, 2, 3, 4)) + ")")
-    hyp_grams = ("list_concat(" + ", ".join(
-        f"(CASE WHEN len({hyp}) < {n} THEN []::VARCHAR[] ELSE [array_to_string({hyp}[i:i + {n - 1}], '') "
-        f"for i in generate_series(1, len({hyp}) - {n - 1}) "
-        f"if list_bool_and(list_transform({hyp}[i:i + {n - 1}], lambda x: length(x) = 1))] END)"
-        for n in (1, 2, 3, 4)) + ")")
-    per_term = (f"list_transform({ref}, lambda t: {ratio(multiset_inter(char_grams('t'), hyp_grams), f'greatest({_all_grams(f'len({hyp})')}, len({char_grams('t')}))')})")
-    return f"coalesce(list_max({per_term}), 0.0)"
+    grams = f"g{hyp}"
+    terms_ = f"list_filter(list_distinct({ref}), lambda t: len(list_filter(list_distinct({grams}), lambda x: contains(t, x))) > 0)"
+    per_term = (f"list_transform({terms_}, lambda t: {ratio(multiset_inter(char_grams('t'), grams), f'greatest({_all_grams(f'len({hyp})')}, len({char_grams('t')}))')})")
+    return f"(CASE WHEN len({grams}) = 0 THEN 0.0 ELSE coalesce(list_max({per_term}), 0.0) END)"
 
 
 # --------------------------------------------------------------------------

@@ -8,7 +8,9 @@ setting is an error, because executors would write to disks of their own.
 
 from __future__ import annotations
 
+import atexit
 import re
+import shutil
 import tempfile
 import uuid
 
@@ -62,6 +64,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if not re.match(r"local(\[|$)", sc.master):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         conf_dir = tempfile.mkdtemp(prefix="pairfeat-ckpt-")
+        atexit.register(shutil.rmtree, conf_dir, ignore_errors=True)   # a local session's own folder goes with it
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir
 
