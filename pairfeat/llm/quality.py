@@ -12,7 +12,7 @@ returns all of them as they are.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,14 +35,14 @@ ALL_STOP_WORDS = sorted({w for ws in STOP_WORDS.values() for w in ws})
 #: Words in a window when repeated passages of a text are counted.
 WINDOW = 5
 
-MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_stop_words"]
+MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_stop_words", "dup_line_chars"]
 
 
 @dataclass(frozen=True)
 class Rule:
     """Reject where ``a * measure`` leaves [``lo * per``, ``hi * per``]; integers keep every engine's verdict the same.
 
-    The rule holds only for texts of at least ``least_words`` words.
+    The rule holds only for texts of at least ``least_words`` words, and where ``only_if``, if given, fails too.
     """
 
     name: str
@@ -52,6 +52,7 @@ class Rule:
     lo: int | None = None
     hi: int | None = None
     least_words: int = 1
+    only_if: Rule | None = None
 
     def fails(self) -> Column:
         value, per = F.col(self.measure) * self.a, F.col(self.per)
@@ -60,7 +61,8 @@ class Rule:
             bad = bad | (value < per * self.lo)
         if self.hi is not None:
             bad = bad | (value > per * self.hi)
-        return (F.col("n_words") >= self.least_words) & bad
+        bad = (F.col("n_words") >= self.least_words) & bad
+        return bad & self.only_if.fails() if self.only_if else bad
 
 
 #: The threshold table: word length, symbols per character, stop-word share, repeated lines.
@@ -70,6 +72,10 @@ RULES = [
     Rule("stop_words", "n_stop_words", "n_words", 100, lo=3, least_words=50),
     Rule("dup_lines", "n_dup_lines", "n_lines", 100, hi=30),
 ]
+#: The table for filtering: repeated lines reject only where they are over a fifth of the text's characters as well, so a
+#: short title or separator that comes again between long paragraphs does not.
+FILTER_RULES = [replace(r, only_if=Rule("dup_line_chars", "dup_line_chars", "word_chars", 100, hi=20))
+                if r.name == "dup_lines" else r for r in RULES]
 
 
 def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -88,7 +94,10 @@ def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
             F.sequence(F.lit(0), n - WINDOW),
             lambda i: F.xxhash64(*[F.get(F.col("_w"), i + k) for k in range(WINDOW)]))),
     })
+    lines, distinct = F.col("_l"), F.array_distinct("_l")
     staged = staged.withColumns({
+        "dup_line_chars": F.when(F.size(distinct) < F.size(lines), F.length(without_blanks(F.array_join(lines, "")))
+                                 - F.length(without_blanks(F.array_join(distinct, "")))).otherwise(F.lit(0)).cast("long"),
         "n_lines": F.size("_l").cast("long"),
         "n_dup_lines": (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long"),
         # Few texts repeat a window; only they sort theirs, with places, to find which.
@@ -119,7 +128,7 @@ def filter_documents(docs: DataFrame) -> DataFrame:
     row = docs.select(F.struct("*").alias("_doc"), F.col("`text`").alias("_text"))   # its columns may have a measure's name
     # The row number (never negative) keeps the filter above the measures: pushed below, it would hold a copy of each of them.
     measured = measure(row, "_text").withColumn("_row", F.monotonically_increasing_id())
-    return judge(measured).filter("kept AND _row >= 0").select("_doc.*")
+    return judge(measured, FILTER_RULES).filter("kept AND _row >= 0").select("_doc.*")
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

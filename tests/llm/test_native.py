@@ -64,6 +64,14 @@ def test_quality_filter_keeps_columns_and_types(spark):
     assert quality.filter_documents(docs.filter("false")).count() == 0
 
 
+def test_quality_filter_keeps_a_repeated_title(spark):
+    title = "The end of a story"
+    many = "\n".join(f"the w{i} of x{i}y and a z{i}\nnew part here" for i in range(20))
+    texts = [f"{title}\n{CLEAN}\n{title}", many]
+    kept = {r["doc_id"] for r in quality.filter_documents(_frame(spark, texts)).collect()}
+    assert kept == {0}          # repeated lines of a tenth of the text stay, of a third go
+
+
 def _luhn(d):
     return sum(x if k % 2 == 0 else (2 * x - 9 if x > 4 else 2 * x) for k, x in enumerate(map(int, reversed(d)))) % 10 == 0
 
