@@ -107,6 +107,16 @@ def test_pii_spans(spark):
     assert pii.find(_frame(spark).filter("false")).count() == 0
 
 
+@pytest.mark.parametrize("after", ["", " now", " Please pay", " The end", " BIC X", " BIC COBADEFFXXX", " 12 items", " 2024", ". Then", "\nGB"])
+def test_iban_before_any_word(spark, after):
+    codes = ["GB82WEST12345698765432", "DE89 3704 0044 0532 0130 00", "NO93 8601 1117 947", "FR14 2004 1010 0505 0001 3M02 606"]
+    texts = [f"iban {c}{after}" for c in codes] + [f"ref AB12 {codes[1]}{after}", f"{codes[1]} {codes[0]}{after}"]
+    found = {r["doc_id"]: [(s["start"], s["end"]) for s in r["pii"] if s["kind"] == "iban"] for r in pii.find(_frame(spark, texts)).collect()}
+    assert [found[i if i != 3 else None] for i in range(4)] == [[(5, 5 + len(c))] for c in codes]
+    assert found[4] == [(9, 36)] and found[5] == [(0, 27), (28, 50)]
+    assert all(r["text"].endswith(f"<IBAN>{after}") for r in pii.redact(_frame(spark, texts)).collect())
+
+
 def test_pii_redaction(spark):
     got = _by_text(pii.redact(_frame(spark)))
     assert got[0]["text"] is None and got[4]["text"] == CLEAN and got[4]["_email"] == "x"
