@@ -96,14 +96,14 @@ def find(docs: DataFrame, text_col: str = "text", out: str = "pii") -> DataFrame
     """Add ``out``: spans as (kind, start, end, score), by kind in listed order, then start."""
     kept = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c != out])
     t = whole(F.col(text_col))
-    has_digit = t.rlike("[0-9]{2}")
+    two_digits = t.rlike("[0-9]{2}")
     raw = {
         "email": spans(t, EMAIL, t.contains("@")),
         "ip": spans(t, IP, t.rlike(r"[0-9]\.[0-9]"), _ip_ok),
-        "card": spans(t, CARD, has_digit, _card_ok),
+        "card": spans(t, CARD, t.rlike("[0-9][ -]?[0-9]"), _card_ok),
         "phone": spans(t, PHONE, t.contains("+"), _phone_ok),
-        "iban": spans(t, IBAN, has_digit, _iban_ok),
-        "ssn": spans(t, SSN, has_digit),
+        "iban": spans(t, IBAN, two_digits, _iban_ok),
+        "ssn": spans(t, SSN, two_digits),
     }
     staged = kept.withColumns({f"_{k}": v for k, v in raw.items()})
     return staged.withColumn(out, F.concat(*[_scored(t, k, F.col(f"_{k}")) for k in KINDS])).drop(*[f"_{k}" for k in KINDS])

@@ -117,6 +117,14 @@ def test_iban_before_any_word(spark, after):
     assert all(r["text"].endswith(f"<IBAN>{after}") for r in pii.redact(_frame(spark, texts)).collect())
 
 
+@pytest.mark.parametrize("sep", [" ", "-"])
+def test_card_with_a_separator_after_each_digit(spark, sep):
+    text = "card " + sep.join("4111111111111111") + " end"
+    assert _pii(text) == [("card", 5, 36)]
+    assert [(s["kind"], s["start"], s["end"]) for s in pii.find(_frame(spark, [text])).first()["pii"]] == _pii(text)
+    assert pii.redact(_frame(spark, [text])).first()["text"] == "card <CARD> end"
+
+
 def test_pii_redaction(spark):
     got = _by_text(pii.redact(_frame(spark)))
     assert got[0]["text"] is None and got[4]["text"] == CLEAN and got[4]["_email"] == "x"
