@@ -31,6 +31,11 @@ ASSIGN_HEAD = r"""^(?i:password|passwd|secret|token|api_?key)["']?\x20*+[:=]\x20
 ACCESS = r"AKIA[A-Z0-9]++"
 HEX = r"[0-9a-f]{16,}+"
 PEM = r"-----BEGIN [A-Z0-9 ]{0,32}PRIVATE KEY-----"
+# The header with its key: all up to the END line or, without one, the lines of base64 that follow.
+_BREAK = r"(?:[\x20\x09-\x0D]|\\[nrt])"
+PEM_END = r"-----END [A-Z0-9 ]{0,32}PRIVATE KEY-----"
+PEM_KEY = (rf"{PEM}(?:(?:[^-]++|-(?!----))*+{PEM_END}"
+           rf"|(?:{_BREAK}*+(?:Proc-Type|DEK-Info):[^\n]*+)*+(?:{_BREAK}*+[A-Za-z0-9+/]{{16,}}+=*+)*+(?:{_BREAK}*+[A-Za-z0-9+/]++=++)?+)")
 JWT = r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+"
 FORGE = r"(?<![A-Za-z0-9_])gh[pousr]_[A-Za-z0-9]{30,}+"
 CHAT = r"(?<![A-Za-z0-9])xox[abprs]-[A-Za-z0-9-]{10,}+"
@@ -45,6 +50,11 @@ def _assigned(m: Column) -> Column:
     return F.regexp_replace(m, ASSIGN_HEAD, "")
 
 
+def _key(m: Column) -> Column:
+    """The key however its lines are broken, with or without its END line."""
+    return F.regexp_replace(m, rf"{_BREAK}++|{PEM_END}", "")
+
+
 def find(docs: DataFrame, text_col: str = "text", out: str = "secrets") -> DataFrame:
     """Add ``out``: candidates as (start, rank, kind, end, hash, random), by start, then kind as listed."""
     kept = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c != out])
@@ -53,7 +63,7 @@ def find(docs: DataFrame, text_col: str = "text", out: str = "secrets") -> DataF
         spans(t, ASSIGN, keep=lambda m: F.length(_assigned(m)) >= 12, value=_assigned),
         spans(t, ACCESS, t.contains("AKIA"), lambda m: F.length(m) >= 18),
         spans(t, HEX),
-        spans(t, PEM, t.contains("-----BEGIN")),
+        spans(t, PEM_KEY, t.contains("-----BEGIN"), value=_key),
         spans(t, JWT, t.contains("eyJ")),
         spans(t, FORGE, t.contains("gh")),
         spans(t, CHAT, t.contains("xox")),

@@ -163,6 +163,25 @@ def test_secret_spans_and_ownership(spark):
     assert sorted(r["n_live"] for r in alone) == [0, 1]
 
 
+def test_private_keys_are_told_apart_by_their_body(spark):
+    letters = str.maketrans("0123456789", "GHIJKLMNOP")     # no run of digits, which would be a hex candidate
+
+    def key(i, brk="\n", end=True):
+        lines = [hashlib.sha256(f"{i} {k}".encode()).hexdigest().upper().translate(letters) for k in range(4)] + ["AbC="]
+        return brk.join(["-----BEGIN RSA PRIVATE KEY-----", *lines, *(["-----END RSA PRIVATE KEY-----"] if end else [])])
+
+    texts = [f"a {key(0)} z", f"b {key(1, ' ')}. z", f"c {key(2, end=False)}, z", "the -----BEGIN RSA PRIVATE KEY----- line",
+             f"d {key(3, chr(92) + 'n')} z", f"e {key(4)}", f"f {key(4, chr(13) + chr(10) + '  ')} z", f"g {key(4, end=False)}",
+             f"h {key(5)} {key(6)}", "no -----BEGIN RSA PRIVATE KEY----- line"]
+    got = {r["doc_id"]: r for r in secrets.scan(_frame(spark, texts, lambda i: f"s{i}")).collect()}
+    at = lambda i: [(s["start"], s["end"]) for s in got[i]["secrets"] if s["kind"] == "pem"]
+    assert [(got[i]["n_live"], got[i]["n_shared"]) for i in (0, 1, 2, 4)] == [(1, 0)] * 4
+    assert [(got[i]["n_live"], got[i]["n_shared"]) for i in (5, 6, 7, 9)] == [(0, 1)] * 4      # one key of three owners, a bare header of two
+    assert (got[8]["n_live"], got[8]["n_shared"]) == (2, 0)
+    assert [at(i) for i in (0, 1, 2, 4)] == [[(2, 2 + len(k))] for k in (key(0), key(1, " "), key(2, end=False), key(3, chr(92) + "n"))]
+    assert at(9) == [(3, 34)] and len(at(8)) == 2
+
+
 def test_licenses(spark):
     got = _by_text(licenses.scan(_frame(spark)))
     names = [t.label for t in licenses.TEMPLATES]
