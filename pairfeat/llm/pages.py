@@ -43,7 +43,10 @@ BLOCKS = frozenset("""address article aside blockquote body caption center dd de
 figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre search section
 select summary table tbody td tfoot th thead title tr ul""".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe noembed noframes textarea xmp svg math object".split())
+#: Their content is no text of the page. All else (formulas, drawings, fallbacks) is read as inline text.
+RAW = frozenset("script style textarea".split())
+#: Of these, one without its end tag takes the rest of the page, as in a browser; of the others only the tag goes.
+UNSEEN = frozenset({"script", "style"})
 CLOSES_P = BLOCKS - {"body", "html", "head", "option", "title", "caption", "tbody", "td", "tfoot", "th", "thead", "tr", "legend", "select"}
 SELF_CLOSING = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
                 "th": {"td", "th"}, "option": {"option"}}
@@ -124,6 +127,7 @@ def blocks(page: str) -> list[Block]:
                 return
 
     at = 0
+    unclosed: set[str] = set()   # elements without an end tag further on
     while True:
         m = _TAG.search(page, at)
         if m is None:
@@ -138,8 +142,12 @@ def blocks(page: str) -> list[Block]:
             continue
         tag = name.lower()
         attributes = m[3] or m[6] or ""
+        # The title and the labels of a drawing stand apart from each other, but cut no paragraph.
+        label = tag in ("text", "title", "desc") and any(o.tag == "svg" for o in stack)
+        if label:
+            pieces.append(" ")
         if m[1] or m[4]:
-            if tag in BLOCKS or tag in ("p", "br"):
+            if (tag in BLOCKS or tag in ("p", "br")) and not label:
                 flush()
             if tag == "a":
                 in_link = max(in_link - 1, 0)
@@ -151,12 +159,20 @@ def blocks(page: str) -> list[Block]:
         if tag == "br":
             pieces.append(" ")
             continue
-        if tag in RAW:
-            if not attributes.endswith("/"):
+        if tag in RAW or tag == "xmp":
+            if not attributes.endswith("/") and tag not in unclosed:
                 end = re.compile(rf"</{re.escape(tag)}\b[^>]*+(?:>|\Z)", re.I).search(page, at)
-                at = end.end() if end else len(page)
+                if end:
+                    if tag == "xmp":   # its marks are text
+                        pieces.append(page[at:end.start()])
+                        linked += (end.start() - at) * (in_link > 0)
+                    at = end.end()
+                elif tag in UNSEEN:
+                    at = len(page)
+                else:
+                    unclosed.add(tag)
             continue
-        if tag in BLOCKS:
+        if tag in BLOCKS and not label:
             flush()
             if tag in CLOSES_P:
                 close({"p"})

@@ -317,6 +317,20 @@ def test_blocks_of_a_page():
     assert [b.text for b in pages.blocks("a &am")] == ["a &am"] and pages.blocks("x<p")[0].text == "x"
 
 
+@pytest.mark.parametrize("tag", ["math", "svg", "object", "template", "noscript", "iframe", "noembed", "noframes", "xmp"])
+def test_text_of_every_element_but_scripts_and_styles_is_read(tag):
+    assert [b.text for b in pages.blocks(f"<p>so <{tag}><i>x</i></{tag}> holds.<p>more")] == [
+        "so <i>x</i> holds." if tag == "xmp" else "so x holds.", "more"]
+    assert [b.text for b in pages.blocks(f"<article><p>one<{tag} a='b'> two</p><p>three</p></article><p>four")] == ["one two", "three", "four"]
+
+
+def test_content_that_is_no_text():
+    drawn = "<p>a <svg><style>p{}</style><title>t</title><text>l</text><text>m</text></svg> b<script>if (x<y) {}</script> c<textarea>d</textarea> e</p>"
+    assert [b.text for b in pages.blocks(drawn)] == ["a t l m b c e"]
+    assert [b.text for b in pages.blocks("<p>a<textarea> b</p><p>c<textarea> d</p><script>no")] == ["a b", "c d"]
+    assert len(pages.blocks("<p>a<textarea>" * 20_000)) == 20_000      # one search for the missing end
+
+
 def test_gradient_of_the_labeller():
     rng = np.random.default_rng(0)
     model = pages.BiLstm(dims=6, hidden=3)
