@@ -33,7 +33,6 @@ TRAIN_PAGES = 192
 HIDDEN = 16
 EPOCHS = 14
 PATH_DIMS, WORD_DIMS = 96, 16
-DIMS = PATH_DIMS + WORD_DIMS + 5
 #: Pages that a task labels at a time.
 PAGES = 256
 SEED = 7
@@ -62,6 +61,17 @@ OTHER_WORDS = ["ad", "advert", "advertisement", "banner", "sponsor", "promo", "s
                "social", "related", "recommend", "newsletter", "subscribe", "signup", "login", "search", "widget", "popup", "modal",
                "disclaimer", "copyright", "pagination", "toolbar", "alert", "feedback", "form", "topbar", "bottom"]
 
+
+def _name(word: str) -> str:
+    """A word of a class, id or role as a token of a path, in the singular."""
+    return "." + (word[:-1] if len(word) > 3 and word.endswith("s") and not word.endswith("ss") else word)
+
+
+_OTHER_NAMES = frozenset(map(_name, OTHER_WORDS))
+#: Slots of their own: however many classes share the hashed ones, these are seen.
+MARKS = {t: k for k, t in enumerate(sorted(ARTICLE_TAGS | OTHER_TAGS | _OTHER_NAMES | set(map(_name, ARTICLE_WORDS))))}
+DIMS = PATH_DIMS + WORD_DIMS + len(MARKS) + 5
+
 _TAG = re.compile(
     r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)(?:>|\Z)"
@@ -89,7 +99,7 @@ def _names(attributes: str) -> tuple[str, ...]:
     out = []
     for groups in _NAMES.findall(attributes):
         for w in _WORD.findall("".join(groups).lower()):
-            out.append("." + (w[:-1] if len(w) > 3 and w.endswith("s") and not w.endswith("ss") else w))
+            out.append(_name(w))
     return tuple(out)
 
 
@@ -187,19 +197,20 @@ def blocks(page: str) -> list[Block]:
     return out
 
 
-def _slots(token: str) -> tuple[int, int]:
+def _slots(token: str) -> tuple[int, ...]:
     h = zlib.crc32(token.encode())
-    return h % PATH_DIMS, (h >> 16) % PATH_DIMS
+    own = (PATH_DIMS + WORD_DIMS + MARKS[token],) if token in MARKS else ()
+    return h % PATH_DIMS, (h >> 16) % PATH_DIMS, *own
 
 
-_SLOTS: dict[str, tuple[int, int]] = {}
+_SLOTS: dict[str, tuple[int, ...]] = {}
 
 
 def vectors(page: list[Block]) -> np.ndarray:
     """(blocks, DIMS) of a page."""
     x = np.zeros((len(page), DIMS), np.float32)
     for k, b in enumerate(page):
-        for token in b.path[-40:] if len(b.path) > 40 else b.path:   # of absurdly deep nesting, the inner part
+        for token in b.path:
             if token not in _SLOTS:
                 if len(_SLOTS) > 50_000:
                     _SLOTS.clear()
@@ -325,9 +336,6 @@ def labels(pages: list[list[Block]], model: BiLstm) -> list[list[bool]]:
 
 # ---- training ----
 
-_OTHER_NAMES = frozenset("." + (w[:-1] if len(w) > 3 and w.endswith("s") and not w.endswith("ss") else w) for w in OTHER_WORDS)
-
-
 def known_label(path: tuple[str, ...]) -> float | None:
     """What a block's own markup says: 1 article, 0 not, None nothing."""
     if any(t in OTHER_TAGS or t in _OTHER_NAMES for t in path):

@@ -331,6 +331,16 @@ def test_content_that_is_no_text():
     assert len(pages.blocks("<p>a<textarea>" * 20_000)) == 20_000      # one search for the missing end
 
 
+def test_outer_marks_reach_the_network_past_many_classes():
+    styled = "".join(f'<div class="{" ".join(f"u{k}x{j}" for j in range(15))}">' for k in range(3))
+    first = [pages.blocks(f"<{outer}>{styled}text here.") for outer in ("nav", "article")]
+    assert all(len(b) == 1 and len(b[0].path) > 40 for b in first)
+    assert [pages.known_label(b[0].path) for b in first] == [0.0, 1.0]
+    for b in first:
+        assert all(pages.vectors(b)[0, s] for s in pages._slots(b[0].path[0]))
+    assert not np.array_equal(*map(pages.vectors, first))
+
+
 def test_gradient_of_the_labeller():
     rng = np.random.default_rng(0)
     model = pages.BiLstm(dims=6, hidden=3)
