@@ -19,7 +19,7 @@ one row each: their table is aggregated first and its size is their number.
 Defined results: null text has size 0 and is never taken; a null source is a
 source of its own, ordered last; repeated rows (same id) each have a place of
 their own; an empty table gives an empty one; other columns are ignored by
-``plan`` and kept by ``mix``.
+``plan`` and kept by ``mix``. ``mix`` has no order; ``mix_in_order`` gives the schedule's.
 """
 
 from __future__ import annotations
@@ -134,9 +134,10 @@ def schedule(spark: SparkSession, goals: DataFrame, slots: int = SLOTS) -> DataF
     return ranked.unionByName(missing).withColumn("tokens", taken).filter("tokens > 0")
 
 
-def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weight=default_weight,
-         cap: int = CAP, slots: int = SLOTS) -> DataFrame:
-    """``id, source, size, tie, order, source_size, target, taken`` of every row: the words that the schedule takes of it."""
+def _drawn(docs: DataFrame, id_col: str, text_col: str, source_col: str, weight=default_weight, cap: int = CAP,
+           slots: int = SLOTS) -> tuple[DataFrame, DataFrame]:
+    """Every row with its place and its source's target; and ``source, offset, from, slot, block, n``: the words that a
+    block takes of the copy that starts at ``from`` of the row at ``offset``."""
     spark = docs.sparkSession
     sizes = sized(docs, id_col, text_col, source_col)
     goal = targets(sizes, weight, cap).withColumn("goal", F.floor(F.col("target") + 0.5).cast("long"))
@@ -155,12 +156,19 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
            .withColumn("from", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), rounds), lambda e: e * F.col("source_size") + F.col("offset"))))
            .withColumn("block", F.explode(F.sequence(F.floor(F.col("from") / F.lit(block_size)).cast("long"),
                                                      F.floor((F.col("from") + F.col("size") - 1) / F.lit(block_size)).cast("long")))))
-    b = blocks.select("source", "block", "tokens")
+    b = blocks.select("source", "slot", "block", "tokens")
     hit = met.alias("m").join(b.alias("b"), F.col("m.source").eqNullSafe(F.col("b.source")) & (F.col("m.block") == F.col("b.block")))
     start = F.col("m.block") * F.lit(block_size)
     overlap = F.greatest(F.least(F.col("from") + F.col("size"), start + F.col("tokens")) - F.greatest(F.col("from"), start), F.lit(0))
+    return joined, hit.select(F.col("m.source").alias("source"), "offset", "from", "slot", F.col("m.block").alias("block"), overlap.alias("n"))
+
+
+def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weight=default_weight,
+         cap: int = CAP, slots: int = SLOTS) -> DataFrame:
+    """``id, source, size, tie, order, source_size, target, taken`` of every row: the words that the schedule takes of it."""
+    joined, hit = _drawn(docs, id_col, text_col, source_col, weight, cap, slots)
     # A source's offset names one document that has words.
-    drawn = hit.select(F.col("m.source").alias("source"), "offset", overlap.alias("n")).groupBy("source", "offset").agg(F.sum("n").alias("taken"))
+    drawn = hit.groupBy("source", "offset").agg(F.sum("n").alias("taken"))
     done = joined.alias("j").join(drawn.alias("t"), F.col("j.source").eqNullSafe(F.col("t.source"))
                                   & (F.col("j.offset") == F.col("t.offset")) & (F.col("j.size") > 0), "left")
     return done.select("j.id", "j.source", "j.size", "j.tie", "j.order", "j.source_size", "j.target",
@@ -189,6 +197,31 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     return out.select(*[new[c].alias(c) if c in new else F.col(f"_doc.`{c}`") for c in docs.columns])
 
 
+def mix_in_order(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+                 slots: int = SLOTS) -> DataFrame:
+    """The rows of ``mix`` with the schedule's ``slot`` and ``block`` (after the columns of ``docs``) that first take of each.
+
+    By ``slot, block`` every stretch from the start holds the sources near their weights, to one document of each.
+    """
+    joined, hit = _drawn(docs, id_col, text_col, source_col, slots=slots)
+    first = F.min(F.struct("slot", "block"))
+    copies = hit.filter("n > 0").groupBy("source", "offset", "from").agg(F.sum("n").alias("_n"), first.alias("_at"))
+    held = joined.alias("j").join(copies.alias("t"), F.col("j.source").eqNullSafe(F.col("t.source"))
+                                  & (F.col("j.offset") == F.col("t.offset")) & (F.col("j.size") > 0)).select(
+        "j.order", "j.tie", F.col("j.size").alias("_size"), "t._n", "t._at")
+    key = F.md5(F.concat_ws("|", F.lit(SEED), F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit(""))))
+    keyed = docs.select(F.struct("*").alias("_doc"), key.alias("order"),
+                        F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias("tie")).dropDuplicates(["order", "tie"])
+    text = F.col(f"_doc.`{text_col}`")
+    part = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++"), F.lit(0)), 1, F.col("_n").cast("int")), "")
+    out = keyed.join(held, ["order", "tie"]).withColumn("_text", F.when(F.col("_n") < F.col("_size"), part).otherwise(text))
+    new = {text_col: F.col("_text")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.length("_text").cast(docs.schema["n_chars"].dataType)
+    return out.select(*[new[c].alias(c) if c in new else F.col(f"_doc.`{c}`") for c in docs.columns],
+                      F.col("_at.slot").alias("slot"), F.col("_at.block").alias("block"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
     return plan(docs).select(F.col("id").alias("doc_id"), "size", "source_size", F.round("target", 6).alias("target"), "taken", "source")

@@ -298,6 +298,23 @@ def test_schedule_spreads_sources(spark):
     assert 8 <= early.count("a") <= 11 and 3 <= early.count("b") <= 6     # any stretch is near the weights
 
 
+def test_mix_in_the_order_of_the_schedule(spark):
+    rng = random.Random(4)
+    texts = [" ".join(["w"] * rng.randint(1, 12)) for _ in range(900)] + [None]
+    docs = _docs(spark, texts, source=lambda i: ["a", "b", "b", None][i % 4])
+    docs = docs.unionByName(docs.filter("doc_id < 3"))
+    rows = mixing.mix_in_order(docs).collect()
+    assert sorted(str(r[:6]) for r in rows) == sorted(str(tuple(r)) for r in mixing.mix(docs).collect())
+    rows.sort(key=lambda r: (r["slot"], r["block"]))
+    words = [(r["source"], len(r["text"].split())) for r in rows]
+    total = {s: sum(n for x, n in words if x == s) for s in ("a", "b", None)}
+    budget, seen, so_far = sum(total.values()), 0, dict.fromkeys(total, 0)
+    for s, n in words:
+        so_far[s], seen = so_far[s] + n, seen + n
+        if seen >= budget // 20:
+            assert all(abs(so_far[x] - seen * total[x] / budget) <= 3 * 12 + 0.01 * budget for x in total), seen
+
+
 # ---- op10 ----
 
 PAGE = """<!DOCTYPE html><html><head><title>T &amp; t</title><style>p{x}</style><script>var t="</p><p>no</p>";</script></head>
