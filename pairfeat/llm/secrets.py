@@ -3,7 +3,10 @@
 Patterns propose candidates per row (built-in expressions, no shuffle). Each
 candidate's value is hashed, and the whole corpus counts how many owners and
 repositories hold that hash: a value that many owners hold is a copied example,
-one that stays with ``MAX_OWNERS`` owner(s) and looks random is taken as live.
+one that stays with ``MAX_OWNERS`` owner(s), in at most ``MAX_REPOSITORIES``
+repositories, and looks random is taken as live. Copies count as repositories
+of their own: a value whose row one owner holds in more copies than that is
+shared, so ``n_live`` falls as groups of copies grow.
 
 Counting pre-aggregates in three steps (value, owner, repository), (value,
 owner), (value), each with a map-side combine, so a value that a third of all
