@@ -8,19 +8,21 @@ document. Whether two neighbours merge depends on a few symbols around them;
 each symbol carries the words it depends on (its extent), so inside two equal
 stretches every symbol whose extent lies within them is the same.
 
-Each window takes the highest symbol, then the leftmost, whose extent lies
-within it. Two Spark rounds follow:
-
-1. The names are dealt out by name. A window whose name stands nowhere else
-   cannot be repeated and is dropped here.
-2. The windows left are dealt out by a 128-bit name of their words. All but the
-   first (by document id, then start) are repeats, and their words go.
-
-A task settles what it can before it sends anything: of a name or a window that
-it holds more than once one row travels, so a passage in a third of all
-documents costs a task one row for each of its names. Groups are read as sorted
-streams and never held. Long texts are cut into overlapping pieces; a window's
-symbol depends on the window's words alone, so the pieces change nothing.
+Of the symbols whose extent lies within a window, the highest ones, the one with
+the smallest name stands for the window. Two Spark rounds follow:
+
+1. The names that stand for windows are dealt out by name. A window whose name
+   stands nowhere else cannot be repeated and is dropped here.
+2. The windows left are dealt out by the same names, each with a hash of all its
+   words. Of equal name and hash, all but the first window (by document id, then
+   start) are repeats, and their words go.
+
+Windows in a row with the same symbol travel as one row. A task settles what it
+can before it sends anything: of a name or a window that it holds more than
+once one row travels, so a passage in a third of all documents costs a task one
+row for each of its names. Groups are read as sorted streams and never held.
+Long texts are cut into overlapping pieces; a window's symbol depends on the
+window's words alone, so the pieces change nothing.
 
 Defined results: a null or empty text has no words and comes back empty; texts
 shorter than a window come back whole, their words joined by one space; rows
@@ -41,8 +43,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WINDOW = 20
-#: Kinds of rounds: a window of 20 words holds symbols of the first five to eight levels.
-ROUNDS = ("run", "pair", "pair", "pair", "run", "pair", "pair", "pair")
+#: Kinds of rounds. More of them name longer symbols, which stand for fewer windows each.
+ROUNDS = ("run", "pair", "pair", "pair", "pair")
 #: Words that a task reads at a time.
 PIECE = 400_000
 #: Odd multipliers of the names.
@@ -87,41 +89,51 @@ def _pairs(name: np.ndarray, lo: np.ndarray, hi: np.ndarray, stop: np.ndarray, l
     return named, np.where(right[at], lo[before], lo[at]), np.where(left[at], hi[after], hi[at]), stop[at]
 
 
-def anchors(name: np.ndarray, stop: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+class Words:
+    """Hashes of any stretch of a sequence of names: a polynomial in ``_A``, by its sums from the start."""
+
+    def __init__(self, name: np.ndarray) -> None:
+        n = len(name)
+        power, self.back = (np.cumprod(np.append(np.ones(1, np.uint64), np.full(n, x, np.uint64)))
+                            for x in (_A, np.uint64(pow(int(_A), -1, 1 << 64))))
+        self.upto = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_mixed(name) * power[:n], dtype=np.uint64)))
+
+    def hashes(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        return _mixed((self.upto[hi] - self.upto[lo]) * self.back[lo])
+
+
+def anchors(name: np.ndarray, stop: np.ndarray, words: Words, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Windows without a stop inside (their starts), the name of the symbol that stands for each, and which one it is."""
     n = len(name)
     blocked = np.concatenate(([0], np.cumsum(stop)))
     starts = np.flatnonzero(blocked[window:] == blocked[:n - window + 1]) if n >= window else np.zeros(0, np.int64)
     lo = np.arange(n)
-    levels = [(name, lo, lo + 1)]
     state = (name, lo, lo + 1, stop)
+    levels = [state]
     for level, kind in enumerate(ROUNDS, 1):
         state = _runs(*state) if kind == "run" else _pairs(*state, level)
-        levels.append(state[:3])
+        levels.append(state)
     chosen, which = np.zeros(len(starts), np.uint64), np.zeros(len(starts), np.int64)
-    open_ = np.arange(len(starts))
+    left = np.arange(len(starts))
     for level in range(len(ROUNDS), -1, -1):
-        names, lo, hi = levels[level]
-        k = np.searchsorted(lo, starts[open_])
-        ok = k < len(lo)
-        ok[ok] = hi[k[ok]] <= starts[open_[ok]] + window
-        chosen[open_[ok]] = _mixed(names[k[ok]] + np.uint64(level))
-        which[open_[ok]] = level * n + k[ok]
-        open_ = open_[~ok]
+        names, lo, hi, _ = levels[level]
+        # A name is taken with the words it depends on: the window has them all.
+        names = _mixed(names + np.uint64(level)) ^ words.hashes(lo, hi)
+        first = np.searchsorted(lo, starts[left])
+        end = np.searchsorted(hi, starts[left] + window, "right")
+        ok = first < end
+        at, first, end = left[ok], first[ok], end[ok]
+        best, where = names[first], first.copy()
+        for k in range(1, int((end - first).max(initial=0))):
+            more = np.flatnonzero(first + k < end)
+            other = names[first[more] + k]
+            less = other < best[more]
+            best[more[less]], where[more[less]] = other[less], first[more[less]] + k
+        chosen[at], which[at] = best, level * n + where
+        left = left[~ok]
     return starts, chosen, which
 
 
-def window_names(name: np.ndarray, starts: np.ndarray, window: int = WINDOW) -> np.ndarray:
-    """(starts, 2) 128-bit names of the windows that begin at ``starts``."""
-    one, two = np.zeros(len(starts), np.uint64), np.zeros(len(starts), np.uint64)
-    for k in range(window):
-        x = name[starts + k]
-        one = _mixed(one * _C + x)
-        two = (two ^ (x * _B)) * _A
-        two ^= two >> np.uint64(33)
-    return np.stack((one, two), 1).view(np.int64)
-
-
 class _Pieces:
     """Texts of a batch as pieces of bounded length; a stop symbol begins a piece and ends each part of a text."""
 
@@ -170,34 +182,28 @@ def _stretches(*columns: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-_NAMED = pa.schema([("key", pa.int64()), ("name", pa.int64()), ("known", pa.bool_()), ("id", pa.int64()), ("h", pa.int64()),
-                    ("start", pa.int32()), ("n", pa.int32())])
+_NAMED = pa.schema([("name", pa.int64()), ("known", pa.bool_()), ("doc", pa.int64()), ("start", pa.int32()), ("n", pa.int32())])
 
 
 def _named(window: int):
-    """Stretches of windows by the name that stands for them. ``known``: the task has seen the name twice."""
+    """Stretches of windows by the symbol that stands for them. Of a name that the task has met twice (``known``) one row keeps it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, hs = (batch.column(k).to_numpy() for k in (0, 1))
+            docs = batch.column(0).to_numpy()
             pieces = _Pieces(window)
-            for _ in pieces.parts(batch.column(2)):
+            for _ in pieces.parts(batch.column(1)):
                 names, stop, row, word = pieces.take()
-                starts, chosen, which = anchors(names, stop, window)
+                starts, chosen, which = anchors(names, stop, Words(names), window)
                 at = _stretches(starts, which)
                 if not len(at):
                     continue
                 size = np.diff(np.append(at, len(starts)))
                 name, first = chosen[at], starts[at]
-                id_, h = ids[row[first]], hs[row[first]]
                 _, lead, inverse, count = np.unique(name, return_index=True, return_inverse=True, return_counts=True)
-                known = count[inverse] > 1
-                # One row of a name is dealt out by it; the others need no answer and go by their document.
-                key = np.where(lead[inverse] == np.arange(len(name)), name.view(np.int64), h ^ first)
-                passes = lead[inverse] != np.arange(len(name))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(key), pa.array(name.view(np.int64), mask=passes), pa.array(known), pa.array(id_), pa.array(h),
-                     pa.array(word[first].astype(np.int32)), pa.array(size.astype(np.int32))], schema=_NAMED)
+                    [pa.array(name.view(np.int64), mask=lead[inverse] != np.arange(len(name))), pa.array(count[inverse] > 1),
+                     pa.array(docs[row[first]]), pa.array(word[first].astype(np.int32)), pa.array(size.astype(np.int32))], schema=_NAMED)
 
     return run
 
@@ -215,7 +221,7 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         same[1:-1] = (name[1:] == name[:-1]) & ~unnamed[1:] & ~unnamed[:-1]
         ok = same[:-1] | same[1:] | rows.column("known").to_numpy()
         ok[len(ok) - (not last):] = False
-        return rows.select(["id", "h", "start", "n"]).filter(pa.array(ok)), bool(same[-2])
+        return rows.select(["doc", "start", "n"]).filter(pa.array(ok)), bool(same[-2])
 
     for batch in batches:
         if batch.num_rows:
@@ -227,85 +233,89 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from chosen(pa.Table.from_batches(held), met, True)[0].to_batches()
 
 
-_WINDOWS = pa.schema([("key", pa.int64()), ("one", pa.int64()), ("two", pa.int64()), ("id", pa.int64()), ("h", pa.int64()),
-                      ("start", pa.int32()), ("n", pa.int32())])
+_WINDOWS = pa.schema([("name", pa.int64()), ("id", pa.int64()), ("doc", pa.int64()), ("start", pa.int32()), ("n", pa.int32()),
+                      ("hashes", pa.list_(pa.int64()))])
+
+
+def _wanted(marks: pa.ListArray, stop: np.ndarray, row: np.ndarray, word: np.ndarray, window: int) -> np.ndarray:
+    """Places of a piece where a window of one of its row's ranges begins."""
+    out = np.zeros(len(stop), bool)
+    stops = np.flatnonzero(stop)
+    held = -1
+    for c, e in zip(stops[:-1] + 1, stops[1:]):
+        r, first, most = int(row[c]), int(word[c]), int(e - c) - window + 1
+        if r != held:
+            held = r
+            start, n = (marks[r].values.field(f).to_numpy() for f in ("start", "n"))
+        edge = np.zeros(most + 1, np.int32)
+        np.add.at(edge, np.clip(start - first, 0, most), 1)
+        np.add.at(edge, np.clip(start + n - first, 0, most), -1)
+        out[c:c + most] = np.cumsum(edge[:most]) > 0
+    return out
 
 
 def _windows(window: int):
-    """Candidate windows by their 128-bit names; those that the task itself has earlier come out as repeats (no name)."""
+    """Candidate windows by their names and hashes; those that the task itself has earlier come out as repeats (no name)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, hs = (batch.column(k).to_numpy() for k in (1, 2))
-            marks = batch.column(4)
-            order = np.lexsort((hs, ids))
+            ids, docs = (batch.column(k).to_numpy() for k in (1, 2))
+            order = np.lexsort((docs, ids))
             rank = np.empty(len(ids), np.int64)   # of documents; rows of one document are equal
-            rank[order] = np.cumsum(np.append(True, (np.diff(ids[order]) != 0) | (np.diff(hs[order]) != 0)))
+            rank[order] = np.cumsum(np.append(True, (np.diff(ids[order]) != 0) | (np.diff(docs[order]) != 0)))
             pieces = _Pieces(window)
-            flat = {}
             for _ in pieces.parts(batch.column(3)):
                 names, stop, row, word = pieces.take()
-                wanted = np.zeros(len(names), bool)
-                stops = np.flatnonzero(stop)
-                for c, e in zip(stops[:-1] + 1, stops[1:]):
-                    r, first, most = int(row[c]), int(word[c]), int(e - c) - window + 1
-                    if r not in flat:
-                        flat.clear()
-                        ranges = marks[r].values
-                        flat[r] = ranges.field("start").to_numpy(), ranges.field("n").to_numpy()
-                    start, n = flat[r]
-                    edge = np.zeros(most + 1, np.int32)
-                    np.add.at(edge, np.clip(start - first, 0, most), 1)
-                    np.add.at(edge, np.clip(start + n - first, 0, most), -1)
-                    wanted[c:c + most] = np.cumsum(edge[:most]) > 0
-                starts = np.flatnonzero(wanted)
+                words = Words(names)
+                starts, chosen, which = anchors(names, stop, words, window)
+                wanted = _wanted(batch.column(4), stop, row, word, window)[starts]
+                starts, chosen, which = starts[wanted], chosen[wanted], which[wanted]
                 if not len(starts):
                     continue
-                key = window_names(names, starts, window)
+                hashes = words.hashes(starts, starts + window)
                 r, w = row[starts], word[starts]
-                order = np.lexsort((w, rank[r], key[:, 1], key[:, 0]))
+                order = np.lexsort((w, rank[r], hashes, chosen))
                 new = np.ones(len(order), bool)
-                new[1:] = (key[order[1:]] != key[order[:-1]]).any(1)
+                new[1:] = (chosen[order[1:]] != chosen[order[:-1]]) | (hashes[order[1:]] != hashes[order[:-1]])
                 lead = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
                 first = np.empty(len(order), bool)
                 first[order] = (rank[r[order]] == rank[r[lead]]) & (w[order] == w[lead])
-                at = np.flatnonzero(first)
-                n = np.ones(len(at), np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(key[at, 0]), pa.array(key[at, 0]), pa.array(key[at, 1]), pa.array(ids[r[at]]), pa.array(hs[r[at]]),
-                     pa.array(w[at].astype(np.int32)), pa.array(n)], schema=_WINDOWS)
-                at = np.flatnonzero(~first)
-                if len(at):
-                    cut = _stretches(w[at], r[at])
+                for own, by in ((True, which), (False, r)):
+                    at = np.flatnonzero(first == own)
+                    if not len(at):
+                        continue
+                    cut = _stretches(starts[at], by[at])
                     size = np.diff(np.append(cut, len(at)))
-                    at = at[cut]
+                    head = at[cut]
+                    lists = pa.ListArray.from_arrays(pa.array(np.append(cut, len(at)), pa.int32()), pa.array(hashes[at].view(np.int64)))
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(hs[r[at]] ^ w[at]), pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.int64()), pa.array(ids[r[at]]),
-                         pa.array(hs[r[at]]), pa.array(w[at].astype(np.int32)), pa.array(size.astype(np.int32))], schema=_WINDOWS)
+                        [pa.array(chosen[head].view(np.int64)) if own else pa.nulls(len(head), pa.int64()), pa.array(ids[r[head]]),
+                         pa.array(docs[r[head]]), pa.array(w[head].astype(np.int32)), pa.array(size.astype(np.int32)),
+                         lists if own else pa.nulls(len(head), _WINDOWS.field("hashes").type)], schema=_WINDOWS)
 
     return run
 
 
 def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by window name, id, h and start, all that differ from the first of their name; unnamed rows pass."""
-    lead: tuple | None = None   # the first row of the name at the end of the batch before
+    """Of rows sorted by name, hash, id, doc and start, all that differ from the first of their name and hash; unnamed rows pass."""
+    lead: tuple | None = None   # the first row of the name and hash at the end of the batch before
     for batch in batches:
         if not batch.num_rows:
             continue
-        passes = batch.column("one").is_null().to_numpy(zero_copy_only=False)
-        one, two = (batch.column(k).fill_null(0).to_numpy() for k in ("one", "two"))
-        place = [batch.column(k).to_numpy() for k in ("id", "h", "start")]
-        new = np.ones(len(one), bool)
-        new[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1]) | passes[1:] | passes[:-1]
-        if lead is not None and not passes[0] and (one[0], two[0]) == lead[:2]:
+        passes = batch.column("name").is_null().to_numpy(zero_copy_only=False)
+        name, hashed = (batch.column(k).fill_null(0).to_numpy() for k in ("name", "hash"))
+        place = [batch.column(k).to_numpy() for k in ("id", "doc", "start")]
+        new = np.ones(len(name), bool)
+        new[1:] = (name[1:] != name[:-1]) | (hashed[1:] != hashed[:-1]) | passes[1:] | passes[:-1]
+        if lead is not None and not passes[0] and (name[0], hashed[0]) == lead[:2]:
             new[0] = False
-        at = np.maximum.accumulate(np.where(new, np.arange(len(one)), -1))
-        differs = np.zeros(len(one), bool)
+        at = np.maximum.accumulate(np.where(new, np.arange(len(name)), -1))
+        differs = np.zeros(len(name), bool)
         for k, column in enumerate(place):
             differs |= column != np.where(at >= 0, column[np.maximum(at, 0)], lead[2 + k] if lead else 0)
         if at[-1] >= 0:
-            lead = None if passes[-1] else (one[at[-1]], two[at[-1]], *(c[at[-1]] for c in place))
-        out = pa.Table.from_batches([batch]).select(["id", "h", "start", "n"]).filter(pa.array(differs | passes))
+            lead = None if passes[-1] else (name[at[-1]], hashed[at[-1]], *(c[at[-1]] for c in place))
+        out = pa.Table.from_batches([batch]).select(["id", "doc", "start", "n"]).filter(pa.array(differs | passes))
         yield from out.to_batches()
 
 
@@ -316,12 +326,13 @@ def _without(window: int):
         for batch in batches:
             texts: list[str] = []
             n_words, n_removed = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
-            marks = batch.column(4)
+            ids, marks = batch.column(1).to_numpy(), batch.column(4)
             for k, text in enumerate(batch.column(3)):
                 words = (text.as_py() or "").encode("utf-8", "surrogatepass").split()
                 n_words[k] = len(words)
                 if marks[k].is_valid:
-                    start, n = (marks[k].values.field(f).to_numpy() for f in ("start", "n"))
+                    own, start, n = (marks[k].values.field(f).to_numpy() for f in ("id", "start", "n"))
+                    start, n = start[own == ids[k]], n[own == ids[k]]
                     edge = np.zeros(len(words) + 1, np.int32)
                     np.add.at(edge, start, 1)
                     np.add.at(edge, start + n + window - 1, -1)
@@ -342,20 +353,21 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     if kind not in ("tinyint", "smallint", "int", "bigint"):
         raise TypeError(f"ids must be integers, not {kind}")
     keyed = docs.select(id_.alias("given"), F.coalesce(id_.cast("long"), F.lit(_LAST)).alias("id"),
-                        F.xxhash64(text, id_.isNull()).alias("h"), text.alias("text"))
-    range_ = "id long, h long, start int, n int"
-    named = keyed.select("id", "h", "text").mapInArrow(
-        _named(window), "key long, name long, known boolean, id long, h long, start int, n int")
-    shared = named.repartition("key").sortWithinPartitions("name").drop("key").mapInArrow(_shared, range_)
-
-    def ranges(found: DataFrame) -> DataFrame:
-        # A set: rows given twice bring the same ranges twice.
-        return found.groupBy("id", "h").agg(F.collect_set(F.struct("start", "n")).alias("ranges"))
-
-    near = keyed.join(ranges(shared), ["id", "h"]).select("given", "id", "h", "text", "ranges")
-    windows = near.mapInArrow(_windows(window), "key long, one long, two long, id long, h long, start int, n int")
-    repeats = windows.repartition("key").sortWithinPartitions("one", "two", "id", "h", "start").drop("key").mapInArrow(_later, range_)
-    done = keyed.join(ranges(repeats), ["id", "h"], "left").select("given", "id", "h", "text", "ranges")
+                        F.xxhash64(text, id_).alias("doc"), text.alias("text"))
+    named = keyed.select("doc", "text").mapInArrow(_named(window), "name long, known boolean, doc long, start int, n int")
+    # Rows without a name need no answer from others and go anywhere.
+    dealt = F.coalesce("name", F.xxhash64("doc", "start"))
+    shared = named.repartition(dealt).sortWithinPartitions("name").mapInArrow(_shared, "doc long, start int, n int")
+    # Sets: rows given twice bring the same ranges twice.
+    ranges = shared.groupBy("doc").agg(F.collect_set(F.struct("start", "n")).alias("ranges"))
+    near = keyed.join(ranges, "doc").select("given", "id", "doc", "text", "ranges")
+    windows = near.mapInArrow(_windows(window), "name long, id long, doc long, start int, n int, hashes array<long>").repartition(dealt)
+    single = windows.select("name", "id", "doc", "start", "n", F.posexplode_outer("hashes").alias("k", "hash")).select(
+        "name", "hash", "id", "doc", (F.col("start") + F.coalesce("k", F.lit(0))).alias("start"),
+        F.when(F.col("k").isNull(), F.col("n")).otherwise(1).alias("n"))
+    repeats = single.sortWithinPartitions("name", "hash", "id", "doc", "start").mapInArrow(_later, "id long, doc long, start int, n int")
+    gone = repeats.groupBy("doc").agg(F.collect_set(F.struct("id", "start", "n")).alias("ranges"))
+    done = keyed.join(gone, "doc", "left").select("given", "id", "doc", "text", "ranges")
     return done.mapInArrow(_without(window), f"`{id_col}` {kind}, text string, n_words long, n_removed long")
 
 
