@@ -1,4 +1,4 @@
-"""Operators for preparing training data: ten corpus operators and their queries.
+"""Operators for preparing training data: corpus operators and their queries.
 
 Nothing else in the library imports this subpackage; ``__spark_entry__.py``
 adds its queries only when it can be imported.
