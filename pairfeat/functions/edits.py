@@ -2,7 +2,7 @@
 
 Word sequences reach these functions as strings too (``text.words_as_strings``).
 
-LCS length and OSA distance are in ``operators.bitlanes``.
+LCS length, OSA distance and the longest common run are in ``operators.bitlanes``.
 """
 
 from __future__ import annotations
@@ -25,13 +25,3 @@ def common_prefix(cl: Column, cr: Column) -> Column:
 def common_suffix(cl: Column, cr: Column) -> Column:
     """Q4: number of equal trailing items."""
     return common_prefix(F.reverse(cl), F.reverse(cr))
-
-
-def common_substring(cs: Column, long_s: Column) -> Column:
-    """Q2: longest common contiguous run. ``cs`` is one side's item array,
-    ``long_s`` the other side as a string. The best length grows by at most one
-    per end position, so one containment test per item suffices."""
-    return F.when(F.size(cs) == 0, F.lit(0)).otherwise(F.aggregate(
-        F.sequence(F.lit(1), F.size(cs)), F.lit(0),
-        lambda b, i: F.when(F.contains(long_s, F.array_join(F.slice(cs, i - b, b + 1), "")), b + 1)
-                      .otherwise(b))).cast("int")

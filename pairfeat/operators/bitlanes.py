@@ -17,12 +17,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-RESULT = T.StructType([T.StructField("lcs", T.IntegerType()), T.StructField("osa", T.IntegerType())])
+from pairfeat.operators.suffixes import longest_common, pairs_of
 
 #: Lane words and items of one run; a single longer row runs alone.
 CHUNK_WORDS, CHUNK_ITEMS = 4096, 1 << 18
@@ -126,15 +126,17 @@ def _run(short: list[str], long: list[str], m: np.ndarray, n: np.ndarray, words:
     return lcs, osa
 
 
-@F.pandas_udf(RESULT)
-def _lcs_osa(left: pd.Series, right: pd.Series) -> pd.DataFrame:
-    known = (left.notna() & right.notna()).to_numpy()
-    lcs, osa = lcs_osa_batch(left[known].tolist(), right[known].tolist())
-    out = pd.DataFrame({"lcs": pd.array([None] * len(left), dtype="Int32"), "osa": pd.array([None] * len(left), dtype="Int32")})
-    out.loc[known, "lcs"], out.loc[known, "osa"] = lcs, osa
-    return out
+RESULT = T.StructType([T.StructField(k, T.IntegerType()) for k in ("lcs", "osa", "sub")])
 
 
-def lcs_osa(a: Column, b: Column) -> Column:
-    """struct(lcs, osa) of two strings, item = code point; NULL where one is NULL."""
-    return _lcs_osa(a, b)
+@F.arrow_udf(RESULT)
+def _metrics(left: pa.Array, right: pa.Array) -> pa.Array:
+    known = left.is_valid().to_numpy(zero_copy_only=False) & right.is_valid().to_numpy(zero_copy_only=False)
+    texts = [[x or "" for x in side.to_pylist()] for side in (left, right)]
+    found = *lcs_osa_batch(*texts), longest_common(pairs_of(left, right))
+    return pa.StructArray.from_arrays([pa.array(x, pa.int32(), mask=~known) for x in found], ["lcs", "osa", "sub"])
+
+
+def batch_metrics(a: Column, b: Column) -> Column:
+    """struct(lcs, osa, sub) of two strings, item = code point; NULL where one is NULL. ``sub`` is the longest common run."""
+    return _metrics(a, b)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from pairfeat.functions import edits, sets, text
 from pairfeat.functions.core import let, ratio
-from pairfeat.operators.bitlanes import lcs_osa
+from pairfeat.operators.bitlanes import batch_metrics
 from pairfeat.operators.wordcodes import words_as_strings
 
 # Names of families and columns.
@@ -90,24 +90,21 @@ def ngram_struct(sl: Column, sr: Column, prefix: str, ns, sep: str = sets.GRAM_S
 
 
 def sequence_parts(a: Column, b: Column) -> tuple[Column, Column]:
-    """Stage 2 of 2.5: struct of the native metrics, and of LCS and OSA (one Arrow batch operator)."""
+    """Stage 2 of 2.5: struct of the native metrics, and of LCS, OSA and common substring (one Arrow batch operator)."""
     def native(v):
         cl, cr = v["cl"], v["cr"]
-        short_first = F.size(cl) <= F.size(cr)
-        sub = F.when(short_first, edits.common_substring(cl, v["b"])).otherwise(
-            edits.common_substring(cr, v["a"]))
         return F.struct(
             F.size(cl).alias("nl"), F.size(cr).alias("nr"),
-            sub.alias("sub"), edits.common_prefix(cl, cr).alias("pre"),
+            edits.common_prefix(cl, cr).alias("pre"),
             edits.common_suffix(cl, cr).alias("suf"), F.levenshtein(v["a"], v["b"]).alias("lev"))
     nat = let(F.struct(edits.char_array(a).alias("cl"), edits.char_array(b).alias("cr"),
                        a.alias("a"), b.alias("b")), native)
-    return nat, lcs_osa(a, b)
+    return nat, batch_metrics(a, b)
 
 
 def sequence_struct(nat: Column, bits: Column, prefix: str) -> Column:
     """Stage 3 of 2.5: six raw values, then each over left and right length."""
-    vals = [bits["lcs"], nat["sub"], nat["pre"], nat["suf"], nat["lev"], bits["osa"]]
+    vals = [bits["lcs"], bits["sub"], nat["pre"], nat["suf"], nat["lev"], bits["osa"]]
     cols = [v.cast("int").alias(f"{prefix}_{m}_v") for v, m in zip(vals, SEQ_METRICS)]
     cols += [ratio(v, nat["nl"]).alias(f"{prefix}_{m}_l_ratio") for v, m in zip(vals, SEQ_METRICS)]
     cols += [ratio(v, nat["nr"]).alias(f"{prefix}_{m}_r_ratio") for v, m in zip(vals, SEQ_METRICS)]

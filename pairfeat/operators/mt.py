@@ -2,17 +2,14 @@
 and on words, both directions, 12 columns (16 with standard GLEU).
 
 BLEU and GLEU are column expressions. RIBES aligns hypothesis items to the
-reference by the shortest contexts that occur once on both sides; it runs as a
-small helper over Arrow batches, in n log n time for a pair.
+reference by the shortest contexts that occur once on both sides, which one
+suffix index of a whole Arrow batch gives (``operators.suffixes``).
 """
 
 from __future__ import annotations
 
-import math
-from collections import Counter
-
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,6 +17,7 @@ from pyspark.sql import types as T
 from pairfeat.functions import mt, text
 from pairfeat.functions.sets import GRAM_SEP
 from pairfeat.operators.lexical import with_tokens
+from pairfeat.operators.suffixes import Index, Pairs, pairs_of
 
 # Column names.
 MT_NAMES = ["bleu_score_l", "bleu_score_r", "gleu_score_l", "gleu_score_r", "ribes_score_l", "ribes_score_r"]
@@ -29,178 +27,96 @@ RIBES_ALPHA, RIBES_BETA = 0.25, 0.10  # fixed values: RIBES exponents
 
 # --------------------------------------------------------------------------
 # RIBES: items are aligned by contexts that occur just once on either side.
-#
-# All contexts come from one sorted list of the suffixes of both sides (and one
-# of the reversed sides, for contexts to the left). Of a suffix of one side, the
-# neighbours in that list tell how long a prefix it shares with another suffix of
-# its own side and with the nearest two of the other side; a prefix occurs once
-# on both sides exactly when it is longer than the first, no longer than the
-# best and longer than the second best of the other side.
 # --------------------------------------------------------------------------
 
-_LONG = 4096   # above this, suffixes are ranked by doubling instead of compared as slices
-
-
-def _suffix_order(s: str) -> list[int]:
-    n = len(s)
-    if n <= _LONG:
-        return sorted(range(n), key=lambda i: s[i:])
-    rank = np.unique(np.frombuffer(s.encode("utf-32-le"), np.uint32), return_inverse=True)[1].astype(np.int64)
-    length = 1
-    while rank.max() < n - 1:
-        behind = np.zeros(n, np.int64)
-        behind[:n - length] = rank[length:] + 1
-        rank = np.unique(rank * (n + 1) + behind, return_inverse=True)[1]
-        length *= 2
-    order = np.empty(n, np.int64)
-    order[rank] = np.arange(n)
-    return order.tolist()
-
-
-def _shared_prefixes(s: str, order: list[int]) -> list[int]:
-    """For each place in the order, the length shared with the suffix before it."""
-    n = len(s)
-    at = [0] * n
-    for k, i in enumerate(order):
-        at[i] = k
-    out = [0] * n
-    h = 0
-    for i in range(n):
-        if at[i]:
-            j = order[at[i] - 1]
-            while i + h < n and j + h < n and s[i + h] == s[j + h]:
-                h += 1
-            out[at[i]] = h
-            if h:
-                h -= 1
-        else:
-            h = 0
-    return out
-
-
-def _pass(order, links, na: int, total: int) -> tuple[list, list, list, list]:
-    """One walk over the sorted suffixes: for each, the length shared with the last suffix of its own
-    side, with the last and last but one of the other side, and the place of that last one."""
-    own_at, first_at, second_at, place_at = [0] * total, [0] * total, [0] * total, [-1] * total
-    own_a = own_b = a1 = a2 = b1 = b2 = 0
-    a_place = b_place = -1
-    for i, link in zip(order, links):
-        if link < own_a:
-            own_a = link
-        if link < own_b:
-            own_b = link
-        if link < a1:
-            a1 = link
-        if link < a2:
-            a2 = link
-        if link < b1:
-            b1 = link
-        if link < b2:
-            b2 = link
-        if i < na:
-            own_at[i], first_at[i], second_at[i], place_at[i] = own_a, b1, b2, b_place
-            own_a, a2, a1, a_place = total, a1, total, i
-        elif i > na:
-            own_at[i], first_at[i], second_at[i], place_at[i] = own_b, a1, a2, a_place
-            own_b, b2, b1, b_place = total, b1, total, i
-    return own_at, first_at, second_at, place_at
-
-
-def _lone_contexts(a: str, b: str) -> tuple[list, list]:
-    """For each item of ``a`` and of ``b``: (least length, place on the other side) of the runs from
-    it on, two items or more, that occur just once on both sides; None without one."""
-    s = a + "\x00" + b + "\x01"
-    na, total = len(a), len(s)
-    order = _suffix_order(s)
-    shared = _shared_prefixes(s, order)
-    up = _pass(order, shared, na, total)
-    down = _pass(reversed(order), [0, *shared[:0:-1]], na, total)
-    out: tuple[list, list] = ([], [])
-    for i, (o1, x1, x2, p, o2, y1, y2, q) in enumerate(zip(*up, *down)):
-        if i == na or i == total - 1:
-            continue
-        most, place, second = (x1, p, max(x2, y1)) if x1 >= y1 else (y1, q, max(y2, x1))
-        least = max(2, o1 + 1, o2 + 1, second + 1)
-        side = i > na
-        out[side].append((least, place if side else place - na - 1) if least <= most else None)
+def _only_shared(p: Pairs) -> tuple[Pairs, list[np.ndarray], list[np.ndarray]]:
+    """Items that one side alone has become one number of that side (2 left, 3 right): they are never aligned, and no
+    context that could be reaches across them. Also, for every item of each side, the place of its counterpart where it
+    stands once on both sides (else -1), and whether both sides have it."""
+    rows = [np.repeat(np.arange(len(p)), n) for n in p.sizes]
+    most = int(max((x.max(initial=0) for x in p.items))) + 1
+    keys, at = np.unique(np.concatenate([r * most + x for r, x in zip(rows, p.items)]), return_inverse=True)
+    at = [at[:len(rows[0])], at[len(rows[0]):]]
+    count = [np.bincount(x, minlength=len(keys)) for x in at]
+    both = (count[0] > 0) & (count[1] > 0)
+    once = (count[0] == 1) & (count[1] == 1)
+    items, lone = [], []
+    for s in (0, 1):
+        starts = np.cumsum(p.sizes[1 - s]) - p.sizes[1 - s]
+        where = np.zeros(len(keys), np.int64)
+        where[at[1 - s]] = np.arange(len(at[1 - s])) - starts[rows[1 - s]]
+        lone.append(np.where(once[at[s]], where[at[s]], -1))
+        items.append(np.where(both[at[s]], p.items[s] + 2, 2 + s))
+    return Pairs(tuple(items), p.sizes), lone, [both[x] for x in at]
+
+
+def _contexts(p: Pairs) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For every item of each side: the least length of a run from it on that occurs once on both sides (0: none), and its place there."""
+    index = Index(p)
+    least, place = index.lone_contexts()
+    out = []
+    for s in (0, 1):
+        at = (index.side == s) & ~index.mark
+        out.append((least[at], place[at] - index.start[index.row[at], 1 - s]))
     return out
 
 
-def encode_pair(a, b) -> tuple[str, str]:
-    """Both sides as strings with one character for each item that both have, from 4 on (0 and 1
-    mark the ends of the sides). The items that only ``a`` (``b``) has are all 2 (3): they are
-    never aligned, and no context that could be reaches across them."""
-    both = set(a) & set(b)
-    codes = {w: chr(k if k < 0xD800 else k + 0x800) for k, w in enumerate(sorted(both), 4)}
-    return "".join([codes.get(w, "\x02") for w in a]), "".join([codes.get(w, "\x03") for w in b])
-
-
-def alignments(a: str, b: str) -> tuple[list[int], list[int]]:
-    """Places in ``a`` of the items of ``b``, in b's order, and places in ``b`` of those of ``a``."""
-    ahead = _lone_contexts(a, b)
-    behind = _lone_contexts(a[::-1], b[::-1])
-    counts = Counter(a), Counter(b)
-    out: list[list[int]] = []
-    for side, (hyp, ref) in enumerate(((a, b), (b, a))):
-        n, own, other = len(hyp), counts[side], counts[1 - side]
-        places = []
-        for i, h in enumerate(hyp):
-            if h not in other:
-                continue
-            if own[h] == other[h] == 1:
-                places.append(ref.index(h))
-                continue
-            right, left = ahead[side][i], behind[side][n - 1 - i]
-            # The definition widens both contexts together and stops short of the far end.
-            limit = max(i, n - i + 1)
-            w_right = right[0] - 1 if right else limit
-            w_left = left[0] - 1 if left and left[0] - 1 < limit else limit
-            if w_right < limit and w_right <= w_left:
-                places.append(right[1])
-            elif w_left < limit:
-                places.append(len(ref) - 1 - left[1])
-        out.append(places)
-    return out[1], out[0]
-
-
-def kendall_tau_normalised(worder: list[int]) -> float:
-    """Pairs inside maximal runs of +1 steps over all pairs (0 below two items)."""
-    n = len(worder)
-    if n < 2:
-        return 0.0
-    inc, run = 0, 1
-    for a, b in zip(worder, worder[1:]):
-        if a + 1 == b:
-            run += 1
-        else:
-            inc += run * (run - 1) // 2
-            run = 1
-    inc += run * (run - 1) // 2
-    return inc / (n * (n - 1) // 2)
-
-
-def _score(places: list[int], n_ref: int, n_hyp: int) -> float:
-    if not n_hyp:
-        return 0.0
-    nkt = kendall_tau_normalised(places)
-    bp = min(1.0, math.exp(1.0 - n_ref / n_hyp))
-    return nkt * ((len(places) / n_hyp) ** RIBES_ALPHA) * (bp ** RIBES_BETA)
+def ribes_of(p: Pairs) -> tuple[np.ndarray, np.ndarray]:
+    """RIBES of every pair, with the left side as reference, and with the right side; 0 for an empty hypothesis.
 
-
-def ribes(a, b) -> tuple[float, float]:
-    """RIBES with ``a`` as reference and ``b`` as hypothesis, and the other way round; 0 for an empty hypothesis."""
-    x, y = encode_pair(a, b)
-    of_b, of_a = alignments(x, y)
-    return _score(of_b, len(x), len(y)), _score(of_a, len(y), len(x))
+    The definition widens the context of an item to both sides together, first to the right, and stops short of the far end."""
+    coded, lone, both = _only_shared(p)
+    ahead, behind = _contexts(coded), _contexts(coded.reversed())
+    out = []
+    for s in (1, 0):   # the side that is the hypothesis
+        n, m = p.sizes[s], p.sizes[1 - s]
+        row = np.repeat(np.arange(len(p)), n)
+        first = np.cumsum(n) - n
+        i = np.arange(len(row)) - first[row]
+        back = first[row] + n[row] - 1 - i                      # the item in the reversed side
+        limit = np.maximum(i, n[row] - i + 1)
+        right = np.where(ahead[s][0] > 0, ahead[s][0] - 1, limit)
+        left = np.where(behind[s][0][back] > 0, np.minimum(behind[s][0][back] - 1, limit), limit)
+        by_context = np.where((right < limit) & (right <= left), ahead[s][1],
+                              np.where(left < limit, m[row] - 1 - behind[s][1][back], -1))
+        place = np.where(lone[s] >= 0, lone[s], by_context)
+        found = both[s] & (place >= 0)
+        out.append(_scores(row[found], place[found], m, n))
+    return out[0], out[1]
+
+
+def _scores(row: np.ndarray, place: np.ndarray, n_ref: np.ndarray, n_hyp: np.ndarray) -> np.ndarray:
+    """Scores from the aligned places of every row, in order: pairs inside maximal runs of +1 steps over all pairs, the
+    share of aligned items and the brevity penalty."""
+    count = np.bincount(row, minlength=len(n_hyp))
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (place[1:] != place[:-1] + 1)
+    first = np.flatnonzero(new)
+    run = np.diff(np.append(first, len(row)))
+    inside = np.zeros(len(n_hyp), np.int64)
+    np.add.at(inside, row[first], run * (run - 1) // 2)
+    hyp = np.maximum(n_hyp, 1)
+    tau = inside / np.maximum(count * (count - 1) // 2, 1)
+    penalty = np.minimum(1.0, np.exp(np.minimum(1.0 - n_ref / hyp, 0.0)))
+    return np.where(n_hyp > 0, tau * (count / hyp) ** RIBES_ALPHA * penalty ** RIBES_BETA, 0.0)
+
+
+def ribes_batch(left: pa.Array, right: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """RIBES of two columns of strings (characters) or of arrays of strings."""
+    p = pairs_of(left, right)
+    out = np.zeros(len(p)), np.zeros(len(p))
+    for at, part in p.chunks():
+        out[0][at], out[1][at] = ribes_of(part)
+    return out
 
 
 _RIBES_T = T.StructType([T.StructField("l", T.DoubleType()), T.StructField("r", T.DoubleType())])
 
 
-@F.pandas_udf(_RIBES_T)
-def _ribes_udf(left: pd.Series, right: pd.Series) -> pd.DataFrame:
-    res = [(None, None) if a is None or b is None else ribes(a, b) for a, b in zip(left, right)]
-    return pd.DataFrame(res, columns=["l", "r"], dtype="float64")
+@F.arrow_udf(_RIBES_T)
+def _ribes_udf(left: pa.Array, right: pa.Array) -> pa.Array:
+    none = ~(left.is_valid().to_numpy(zero_copy_only=False) & right.is_valid().to_numpy(zero_copy_only=False))
+    return pa.StructArray.from_arrays([pa.array(x, mask=none) for x in ribes_batch(left, right)], ["l", "r"])
 
 
 def ribes_pair(left_seq: Column, right_seq: Column) -> Column:

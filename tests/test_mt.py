@@ -5,58 +5,50 @@ from __future__ import annotations
 
 import math
 import random
+import time
 from collections import Counter
-from itertools import islice
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
+from conftest import SF_SMALL
 from pairfeat.operators import mt as mtf
+from pairfeat.operators import suffixes
+from pairfeat.operators.lexical import with_tokens
 
 
 def _ngrams(seq, n):
     return [tuple(seq[i:i + n]) for i in range(len(seq) - n + 1)]
 
 
+def _starts(seq, run):
+    return [k for k in range(len(seq) - len(run) + 1) if seq[k:k + len(run)] == run]
+
+
 def ribes_by_definition(ref, hyp):
+    """SURVEY T3, read literally: align each item, score the runs of rising places."""
     ref, hyp = list(ref), list(hyp)
-    if not hyp:
-        return 0.0
-    ref_ngrams, hyp_ngrams = [], []
-    for n in range(1, len(ref) + 1):
-        ref_ngrams += _ngrams(ref, n)
-        hyp_ngrams += _ngrams(hyp, n)
-    worder = []
-    for i, h in enumerate(hyp):
-        if h not in ref:
-            continue
-        if hyp.count(h) == ref.count(h) == 1:
-            worder.append(ref.index(h))
-            continue
-        for w in range(1, max(i, len(hyp) - i + 1)):
-            if i + w < len(hyp):
-                g = tuple(islice(hyp, i, i + w + 1))
-                if ref_ngrams.count(g) == hyp_ngrams.count(g) == 1:
-                    worder.append(_ngrams(ref, len(g)).index(g))
-                    break
-            if w <= i:
-                g = tuple(islice(hyp, i - w, i + 1))
-                if ref_ngrams.count(g) == hyp_ngrams.count(g) == 1:
-                    worder.append(_ngrams(ref, len(g)).index(g) + w)
+    places = []
+    for i, item in enumerate(hyp):
+        here, there = hyp.count(item), ref.count(item)
+        if there and here == there == 1:
+            places.append(ref.index(item))
+        elif there:
+            for width in range(1, max(i, len(hyp) - i + 1)):
+                # A context to the right that fits, then one to the left.
+                tries = [(hyp[i:i + width + 1], 0)] * (i + width < len(hyp)) + [(hyp[i - width:i + 1], width)] * (i >= width)
+                hit = [at[0] + shift for run, shift in tries if len(at := _starts(ref, run)) == len(_starts(hyp, run)) == 1]
+                if hit:
+                    places.append(hit[0])
                     break
-    if len(worder) < 2:
+    n = len(places)
+    if n < 2:
         return 0.0
-    runs, cur = [], [worder[0]]
-    for a, b in zip(worder, worder[1:]):
-        if a + 1 == b:
-            cur.append(b)
-        else:
-            runs.append(cur)
-            cur = [b]
-    runs.append(cur)
-    inc = sum(len(r) * (len(r) - 1) // 2 for r in runs if len(r) > 1)
-    nkt = inc / (len(worder) * (len(worder) - 1) // 2)
-    bp = min(1.0, math.exp(1.0 - len(ref) / len(hyp)))
-    return nkt * (len(worder) / len(hyp)) ** 0.25 * bp ** 0.10
+    rising = [b - a == 1 for a, b in zip(places, places[1:])]
+    lengths = [len(r) + 1 for r in "".join("x" if r else " " for r in rising).split()]
+    tau = sum(k * (k - 1) / 2 for k in lengths) / (n * (n - 1) / 2)
+    return tau * (n / len(hyp)) ** 0.25 * min(1.0, math.exp(1 - len(ref) / len(hyp))) ** 0.10
 
 
 def bleu_by_definition(ref, hyp):
@@ -80,49 +72,82 @@ def bleu_by_definition(ref, hyp):
     return bp * math.exp(sum(0.25 * x for x in logs))
 
 
-def test_ribes_helper_matches_definition():
+def _ribes(pairs):
+    return mtf.ribes_batch(*(pa.array([p[s] for p in pairs]) for s in (0, 1)))
+
+
+def test_ribes_matches_definition():
     rng = random.Random(1)
+    pairs = []
     for k in range(400):
         most = 9 if k < 370 else 40
-        a = [rng.choice("abcd") for _ in range(rng.randint(0, most))]
-        b = [rng.choice("abcd") for _ in range(rng.randint(0, most))]
-        l, r = mtf.ribes(a, b)
+        letters = rng.choice(("a", "ab", "abcd", "abcdefghij"))
+        pairs.append([[rng.choice(letters) for _ in range(rng.randint(0, most))] for _ in range(2)])
+    left, right = _ribes(pairs)
+    chars = _ribes([("".join(a), "".join(b)) for a, b in pairs])
+    assert left.tolist() == chars[0].tolist() and right.tolist() == chars[1].tolist()
+    for (a, b), l, r in zip(pairs, left, right):
         assert l == pytest.approx(ribes_by_definition(a, b), abs=1e-12), (a, b)
         assert r == pytest.approx(ribes_by_definition(b, a), abs=1e-12), (a, b)
 
 
+def test_ribes_of_every_sentence_pair(spark):
+    """All rows of the sf0.001 sentence pairs, words and characters, against the definition."""
+    from pairfeat.plans.queries import QUERIES
+    pairs = {r["qid"]: r for r in with_tokens(QUERIES["sent_pairs"](spark, SF_SMALL)).collect()}
+    got = mtf.mt_features(QUERIES["sent_pairs"](spark, SF_SMALL)).collect()
+    assert len(got) == len(pairs)
+    for r in got:
+        p = pairs[r["qid"]]
+        sides = {"basic_word": [[t["term"] for t in p[k]] for k in ("tok_l", "tok_r")], "char": [p["ql"], p["qr"]]}
+        for level, (a, b) in sides.items():
+            if len(a) + len(b) < 90:   # the definition takes more than the square of the length
+                assert r[f"{level}_ribes_score_l"] == pytest.approx(ribes_by_definition(a, b), abs=1e-12)
+                assert r[f"{level}_ribes_score_r"] == pytest.approx(ribes_by_definition(b, a), abs=1e-12)
+
+
 def _occurrences(seq: str, run: str) -> list[int]:
     return [i for i in range(len(seq) - len(run) + 1) if seq.startswith(run, i)]
 
 
-def test_alignment_of_long_texts():
-    """Contexts found by the index against a direct search, up to 500 items and beyond the slice limit."""
+def test_contexts_and_common_runs_of_long_texts():
+    """The index against a direct search, in one index and pair by pair."""
     rng = random.Random(4)
-    for n, alphabet in ((500, "ab"), (300, "abcdefgh"), (120, "a")):
+    pairs = []
+    for n, alphabet in ((500, "ab"), (300, "abcdefgh"), (120, "a"), (0, "a"), (200, "a😀é\ud800")):
         a = "".join(rng.choice(alphabet) for _ in range(n))
-        b = a[: n // 2] + "".join(rng.choice(alphabet) for _ in range(n // 3))
-        got = mtf._lone_contexts(a, b)[1]
-        for i in rng.sample(range(len(b)), 40):
-            want = None
+        pairs.append((a, a[: n // 2] + "".join(rng.choice(alphabet) for _ in range(n // 3))))
+    pairs += [("", "x"), (None, "y")]
+    p = suffixes.pairs_of(*(pa.array([x[s].encode("utf-8", "replace").decode() if x[s] else x[s] for x in pairs]) for s in (0, 1)))
+    index = suffixes.Index(p)
+    least, place = index.lone_contexts()
+    pairs = [tuple((x or "").encode("utf-8", "replace").decode() for x in q) for q in pairs]
+    for k, (a, b) in enumerate(pairs):
+        for i in rng.sample(range(len(b)), min(len(b), 40)):
+            want = (0, None)
             for size in range(2, len(b) - i + 1):
-                run = b[i:i + size]
-                in_a, in_b = _occurrences(a, run), _occurrences(b, run)
+                in_a, in_b = _occurrences(a, b[i:i + size]), _occurrences(b, b[i:i + size])
                 if not in_a:
                     break
                 if len(in_a) == len(in_b) == 1:
                     want = (size, in_a[0])
                     break
-            assert got[i] == want, (i, got[i], want)
-    s = "".join(rng.choice("abc") for _ in range(5000))
-    assert mtf._suffix_order(s) == sorted(range(len(s)), key=lambda i: s[i:])
+            at = index.start[k, 1] + i
+            assert (least[at], place[at] - index.start[k, 0] if least[at] else None) == want
+    common = [max((n for n in range(len(a) + 1) for i in range(len(a) - n + 1) if a[i:i + n] in b), default=0) if len(a) < 400 else None
+              for a, b in pairs]
+    for limit in (1, 1000, 1 << 19):
+        got = np.concatenate([suffixes.Index(part).longest_common() for _, part in p.chunks(limit)])
+        assert all(w is None or g == w for g, w in zip(got, common))
 
 
-def test_ribes_of_a_periodic_pair_is_fast():
-    import time
+def test_long_pairs_are_fast():
     began = time.process_time()
-    for _ in range(5):
-        mtf.ribes("ab" * 400, "ab" * 390 + "ba" * 10)
-    assert (time.process_time() - began) / 5 < 0.2   # milliseconds on an idle machine; seconds before
+    got = suffixes.longest_common(suffixes.pairs_of(pa.array(["ab" * 50_000]), pa.array(["ab" * 49_000 + "ba" * 1000])))
+    assert got.tolist() == [98_000] and time.process_time() - began < 5    # a fraction of a second on an idle machine
+    many = [str(k) for k in range(1_200_000)]                               # more distinct words than code points
+    left, right = _ribes([(many, many)])
+    assert left.tolist() == right.tolist() == [1.0]
 
 
 def test_mt_columns_match_direct_computation(spark):
