@@ -3,7 +3,8 @@
 Suffix ``_l``: the left text is the reference and the right text the
 hypothesis; ``_r``: the reverse. Clipped n-gram matches are symmetric in the
 two sides, so the four multiset intersections serve BLEU in both directions and
-standard GLEU.
+standard GLEU: ``st`` is struct(n1..n4: struct(a, b, i)), n-grams per side and
+matches (``operators.mt``).
 """
 
 from __future__ import annotations
@@ -18,21 +19,6 @@ ORDERS = (1, 2, 3, 4)
 WEIGHT = 0.25  # fixed value: uniform BLEU-4 weights
 
 
-def gram_stats(a: Column, b: Column, sep: str, strings: bool = False) -> Column:
-    """struct(la[n], lb[n], i[n] for n = 1..4): n-gram counts per side and clipped
-    matches. With ``strings`` the inputs are texts and the items code points."""
-    fields = []
-    for n in ORDERS:
-        if strings:
-            ga, gb = sets.char_ngrams(a, n), sets.char_ngrams(b, n)
-        else:
-            ga, gb = sets.ngrams(a, n, sep), sets.ngrams(b, n, sep)
-        fields.append(let(F.struct(ga.alias("x"), gb.alias("y")), lambda g: F.struct(
-            F.size(g["x"]).alias("a"), F.size(g["y"]).alias("b"),
-            sets.multiset_intersection(g["x"], g["y"]).alias("i"))).alias(f"n{n}"))
-    return F.struct(*fields)
-
-
 def bleu(st: Column, hyp: str, ref_len: Column, hyp_len: Column) -> Column:
     """BLEU-4 with geometric-sequence smoothing (method 3).
 

@@ -1,9 +1,10 @@
 """Machine-translation feature family (2.8): BLEU, GLEU, RIBES on characters
 and on words, both directions, 12 columns (16 with standard GLEU).
 
-BLEU and GLEU are column expressions. RIBES aligns hypothesis items to the
-reference by the shortest contexts that occur once on both sides, which one
-suffix index of a whole Arrow batch gives (``operators.suffixes``).
+One Arrow kernel counts the n-grams of a batch (``operators.grams``) for BLEU
+and standard GLEU, and aligns hypothesis items to the reference by the shortest
+contexts that occur once on both sides for RIBES (``operators.suffixes``). The
+scores themselves are column expressions.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pairfeat.functions import mt, text
-from pairfeat.functions.sets import GRAM_SEP
+from pairfeat.operators.grams import gram_counts
 from pairfeat.operators.lexical import with_tokens
 from pairfeat.operators.suffixes import Index, Pairs, pairs_of
 
@@ -110,19 +111,34 @@ def ribes_batch(left: pa.Array, right: pa.Array) -> tuple[np.ndarray, np.ndarray
     return out
 
 
-_RIBES_T = T.StructType([T.StructField("l", T.DoubleType()), T.StructField("r", T.DoubleType())])
+_STATS = T.StructType([T.StructField(f"n{n}", T.StructType([T.StructField(k, T.LongType()) for k in ("a", "b", "i")]))
+                       for n in mt.ORDERS])
+_RIBES = T.StructType([T.StructField("l", T.DoubleType()), T.StructField("r", T.DoubleType())])
 
 
-@F.arrow_udf(_RIBES_T)
-def _ribes_udf(left: pa.Array, right: pa.Array) -> pa.Array:
-    none = ~(left.is_valid().to_numpy(zero_copy_only=False) & right.is_valid().to_numpy(zero_copy_only=False))
-    return pa.StructArray.from_arrays([pa.array(x, mask=none) for x in ribes_batch(left, right)], ["l", "r"])
+def _stats(left: pa.Array, right: pa.Array) -> tuple[pa.Array, pa.Array]:
+    """n-gram counts and clipped matches of every pair, and where a side is null."""
+    p = pairs_of(left, right)
+    none = pa.array(~(left.is_valid().to_numpy(zero_copy_only=False) & right.is_valid().to_numpy(zero_copy_only=False)))
+    out = {n: {k: np.zeros(len(p), np.int64) for k in ("a", "b", "i")} for n in mt.ORDERS}
+    for at, part in p.chunks():
+        for n, counts in gram_counts(part, mt.ORDERS).items():
+            for k, values in out[n].items():
+                values[at] = counts[k]
+    orders = [pa.StructArray.from_arrays([pa.array(x) for x in out[n].values()], list(out[n])) for n in mt.ORDERS]
+    return pa.StructArray.from_arrays(orders, [f"n{n}" for n in mt.ORDERS], mask=none), none
+
 
+@F.arrow_udf(_STATS)
+def _stats_udf(left: pa.Array, right: pa.Array) -> pa.Array:
+    return _stats(left, right)[0]
 
-def ribes_pair(left_seq: Column, right_seq: Column) -> Column:
-    """struct(l, r): RIBES with left as reference (l) and right as reference (r).
-    Sequences are strings (characters) or arrays (words)."""
-    return _ribes_udf(left_seq, right_seq)
+
+@F.arrow_udf(T.StructType([T.StructField("st", _STATS), T.StructField("rb", _RIBES)]))
+def _stats_ribes_udf(left: pa.Array, right: pa.Array) -> pa.Array:
+    stats, none = _stats(left, right)
+    ribes = pa.StructArray.from_arrays([pa.array(x) for x in ribes_batch(left, right)], ["l", "r"], mask=none)
+    return pa.StructArray.from_arrays([stats, ribes], ["st", "rb"])
 
 
 # --------------------------------------------------------------------------
@@ -137,22 +153,15 @@ def mt_features(pairs: DataFrame, keep=("qid",), standard_gleu: bool = False, le
     s1 = t.select(*keep, F.col("ql").alias("_a"), F.col("qr").alias("_b"),
                   text.chars(F.col("ql")).alias("_cl"), text.chars(F.col("qr")).alias("_cr"),
                   text.term_seq(F.col("tok_l")).alias("_wl"), text.term_seq(F.col("tok_r")).alias("_wr"))
-    seqs = {"char": ("_cl", "_cr", ""), "basic_word": ("_wl", "_wr", GRAM_SEP)}
-    stats, helpers = [], []
-    for lv in levels:
-        a, b, sep = seqs[lv]
-        if lv == "char":
-            stats.append(mt.gram_stats(F.col("_a"), F.col("_b"), sep, strings=True).alias(f"_st_{lv}"))
-        else:
-            stats.append(mt.gram_stats(F.col(a), F.col(b), sep).alias(f"_st_{lv}"))
-        if with_ribes:
-            src_l, src_r = ("_a", "_b") if lv == "char" else (a, b)
-            helpers.append(ribes_pair(F.col(src_l), F.col(src_r)).alias(f"_rb_{lv}"))
-    s2 = s1.select(*keep, "_a", "_b", "_cl", "_cr", "_wl", "_wr", *stats, *helpers)
+    seqs = {"char": ("_cl", "_cr"), "basic_word": ("_wl", "_wr")}
+    sources = {"char": ("_a", "_b"), "basic_word": ("_wl", "_wr")}
+    kernel = _stats_ribes_udf if with_ribes else _stats_udf
+    s2 = s1.select(*keep, "_cl", "_cr", "_wl", "_wr", *[kernel(*sources[lv]).alias(f"_mt_{lv}") for lv in levels])
     out = []
     for lv in levels:
-        a, b, _ = seqs[lv]
-        st = F.col(f"_st_{lv}")
+        a, b = seqs[lv]
+        found = F.col(f"_mt_{lv}")
+        st = found["st"] if with_ribes else found
         la, lb = F.size(F.col(a)), F.size(F.col(b))
         gl = (mt.gleu_as_called_chars(F.col(a), F.col(b)) if lv == "char"
               else mt.gleu_as_called_words(F.col(a), F.col(b)))
@@ -162,8 +171,7 @@ def mt_features(pairs: DataFrame, keep=("qid",), standard_gleu: bool = False, le
                 mt.bleu(st, "a", lb, la).alias(f"{lv}_bleu_score_r"),
                 gl.alias(f"{lv}_gleu_score_l"), gr.alias(f"{lv}_gleu_score_r")]
         if with_ribes:
-            out += [F.col(f"_rb_{lv}.l").alias(f"{lv}_ribes_score_l"),
-                    F.col(f"_rb_{lv}.r").alias(f"{lv}_ribes_score_r")]
+            out += [found["rb"]["l"].alias(f"{lv}_ribes_score_l"), found["rb"]["r"].alias(f"{lv}_ribes_score_r")]
         if standard_gleu:
             g = mt.gleu_std(st)
             out += [g.alias(f"{lv}_gleu_std_l"), g.alias(f"{lv}_gleu_std_r")]
