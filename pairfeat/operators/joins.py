@@ -38,7 +38,8 @@ def lookup_join(facts: DataFrame, table: DataFrame, key: str, table_rows: int, h
         return facts.join(table, key, how)   # AQE skew-join splitting still applies
     hot_keys = HOT_KEYS if hot_keys is None else hot_keys
     salt_buckets = SALT_BUCKETS if salt_buckets is None else salt_buckets
-    hot = table.orderBy(F.desc(weight)).limit(hot_keys).select(key, F.lit(True).alias("_hot"))
+    # By key as well: both sides must see the same keys where weights are tied.
+    hot = table.orderBy(F.desc(weight), key).limit(hot_keys).select(key, F.lit(True).alias("_hot"))
     f = (facts.join(F.broadcast(hot), key, "left")
          .withColumn("_salt", F.when(F.col("_hot"), F.pmod(spread, F.lit(salt_buckets))).otherwise(F.lit(0)))
          .drop("_hot"))

@@ -3,10 +3,10 @@
 * Vocabulary fit (G1, G2, G5): per document the distinct analysed terms, then
   ``groupBy(term).count()`` - one shuffle, with map-side combining, so a term
   present in every document costs one row per partition.
-* Count / TF-IDF distances (G1, G2, G7-G10): tokens are exploded, looked up in
-  the vocabulary (broadcast when its measured size allows, else a salted shuffle
-  join), partitioned by the pair's private row key and reduced per (row, term),
-  (row, kind) and row without another exchange. ``qid`` is payload.
+* Count / TF-IDF vectors and distances (G1, G2, G7-G10): the fitted vocabulary is
+  a term table (``operators.trie``) that tasks look up in place, so both are
+  projections: no token is exchanged, whatever the vocabulary's size, and a
+  pair's values do not depend on its ``qid``.
 * Hashed vectors (G3, G4): no state to look up, so they stay row-local: md5
   buckets, per-bucket signed sums, L2 norm, distances over the sorted buckets.
 
@@ -18,17 +18,19 @@ half the squared euclidean distance of the L2-normalised vectors, which is
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pairfeat.functions import text
 from pairfeat.functions.core import empty_array, let
-from pairfeat.operators.joins import lookup_join
 from pairfeat.operators.lexical import with_tokens
 from pairfeat.operators.partitioning import spread_if_narrow
-from pairfeat.operators.rowkey import ROW, with_row_key
+from pairfeat.operators.trie import TermTable, write_terms
 
 # The six vectorisers. The hashed ones keep their names; their
 # widths are 2**20 for the "_18" and 2**24 for the "_20" variants.
@@ -49,6 +51,13 @@ class Vocabulary:
     table: DataFrame
     n_docs: int
     n_terms: int
+    _terms: TermTable | None = field(default=None, repr=False)
+
+    def terms(self) -> TermTable:
+        """The vocabulary as a term table with ``idf``; written when first asked for."""
+        if self._terms is None:
+            self._terms = write_terms(self.table, self.n_terms, ("idf",))
+        return self._terms
 
     def save(self, path: str) -> None:
         """K1: persist as parquet; corpus stats ride along as one-row table."""
@@ -110,46 +119,61 @@ def vector_terms(tok: Column) -> Column:
     return text.analyzed(text.term_text(tok))
 
 
-def _kinds(pairs: DataFrame) -> DataFrame:
-    """(row key, qid, terms per side for 'all' tokens and for 'notion' content words)."""
-    t = with_tokens(pairs)
-    return t.select(ROW, "qid",
-                    vector_terms(F.col("tok_l")).alias("all_l"), vector_terms(F.col("tok_r")).alias("all_r"),
-                    vector_terms(text.notional(F.col("tok_l"))).alias("notion_l"),
-                    vector_terms(text.notional(F.col("tok_r"))).alias("notion_r"))
-
-
 # --------------------------------------------------------------------------
-# Count and TF-IDF vectors (exploded form)
+# Count and TF-IDF vectors (row-local)
 # --------------------------------------------------------------------------
 
-def _token_rows(k: DataFrame, kinds=("all", "notion")) -> DataFrame:
-    """One row per (row key, qid, kind, side, position, term)."""
-    cells = [F.struct(F.lit(kd).alias("kind"), F.lit(sd).alias("side"), F.col(f"{kd}_{sd}").alias("ts"))
-             for kd in kinds for sd in ("l", "r")]
-    return (k.select(ROW, "qid", F.inline(F.array(*cells)))
-            .select(ROW, "qid", "kind", "side", F.posexplode("ts").alias("pos", "term")))
+_SUMS = ("sq", "abs", "xx", "yy", "xy")
+
+
+def _flat(lists: pa.ListArray) -> tuple[pa.Array, np.ndarray]:
+    """The strings of an array<array<string>> column (a fixed number of arrays a row) and, for each, the number of its array."""
+    inner = lists.flatten()
+    return inner.flatten(), np.repeat(np.arange(len(inner)), np.diff(inner.offsets.to_numpy()))
+
+
+def _pair_sums(lists: pa.ListArray, table: TermTable) -> dict[str, np.ndarray]:
+    """For arrays (left, right, left, right, ...) a row: sums over the terms of each left-right couple, in order, of counts
+    and of TF-IDF weights, the latter L2-normalised by side."""
+    flat, cell = _flat(lists)
+    couples = len(lists.flatten()) // 2
+    vocabulary = table.open()
+    _, (code, ids) = vocabulary.find_all(flat)
+    known = ids >= 0
+    cell, ids = cell[known], ids[known]
+    most = int(ids.max(initial=0)) + 1
+    keys, at = np.unique(cell // 2 * most + ids, return_inverse=True)
+    couple = keys // most
+    x, y = (np.bincount(at[cell % 2 == s], minlength=len(keys)).astype(np.float64) for s in (0, 1))
+    idf = vocabulary.values["idf"][keys % most] if len(keys) else np.zeros(0)
 
+    def total(values: np.ndarray) -> np.ndarray:
+        return np.bincount(couple, weights=values, minlength=couples)
 
-def vocab_term_frequencies(pairs: DataFrame, vocab: Vocabulary, kinds=("all", "notion")) -> DataFrame:
-    """(row key, qid, kind, term, tf_l, tf_r, idf) for vocabulary terms; unseen terms dropped.
+    out = {}
+    for name, weight in (("tfidf1", idf), ("count1", None)):
+        u, v = (x, y) if weight is None else (x * weight, y * weight)
+        if weight is not None:
+            u, v = (np.divide(w, n[couple], out=np.zeros_like(w), where=n[couple] > 0)
+                    for w, n in ((u, np.sqrt(total(u * u))), (v, np.sqrt(total(v * v)))))
+        for k, values in zip(_SUMS, ((u - v) ** 2, np.abs(u - v), u * u, v * v, u * v)):
+            out[f"{name}_{k}"] = total(values)
+    return out
 
-    ``pairs`` carries a row key. One exchange, on that key; what follows keeps it."""
-    rows = _token_rows(_kinds(pairs), kinds)
-    spread = F.xxhash64(ROW, "kind", "side", "pos")
-    joined = lookup_join(rows, vocab.table.select("term", "df", "idf"), "term", vocab.n_terms,
-                         weight="df", spread=spread)
-    return (joined.repartition(ROW).groupBy(ROW, "qid", "kind", "term")
-            .agg(F.sum((F.col("side") == "l").cast("long")).alias("tf_l"),
-                 F.sum((F.col("side") == "r").cast("long")).alias("tf_r"),
-                 F.max("idf").alias("idf")))
 
+def _vocab_sums(vocab: Vocabulary, kinds: tuple[str, ...]):
+    """Arrow function: array(left, right, ...) of term arrays -> struct of sums for each kind."""
+    table = vocab.terms()
+    names = [f"{v}_{k}" for v in VOCAB_VECTORS for k in _SUMS]
+    kind_type = T.StructType([T.StructField(n, T.DoubleType()) for n in names])
 
-def _dist_aggs(x: Column, y: Column, prefix: str) -> list[Column]:
-    """Sums needed for PED, PCD, PMD of one vector kind."""
-    return [F.sum((x - y) * (x - y)).alias(f"{prefix}_sq"), F.sum(F.abs(x - y)).alias(f"{prefix}_abs"),
-            F.sum(x * x).alias(f"{prefix}_xx"), F.sum(y * y).alias(f"{prefix}_yy"),
-            F.sum(x * y).alias(f"{prefix}_xy")]
+    @F.arrow_udf(T.StructType([T.StructField(kd, kind_type) for kd in kinds]))
+    def sums(lists: pa.Array) -> pa.Array:
+        found = _pair_sums(lists, table)
+        return pa.StructArray.from_arrays(
+            [pa.StructArray.from_arrays([pa.array(found[n][k::len(kinds)]) for n in names], names) for k in range(len(kinds))], list(kinds))
+
+    return sums
 
 
 def _cosine_from_sums(xx: Column, yy: Column, xy: Column) -> Column:
@@ -161,30 +185,15 @@ def _cosine_from_sums(xx: Column, yy: Column, xy: Column) -> Column:
     return F.greatest(F.lit(0.0), 0.5 * (a + b - 2.0 * cos))
 
 
-def vocab_distances(tf: DataFrame, kinds=("all", "notion")) -> DataFrame:
-    """Per row key: PED, PCD, PMD for tfidf1 and count1, for each kind.
-
-    TF-IDF weights are L2-normalised per side within (row, kind) by a window
-    over rows already partitioned by the row key."""
-    w = Window.partitionBy(ROW, "kind")
-    wl, wr = F.col("tf_l") * F.col("idf"), F.col("tf_r") * F.col("idf")
-    nl = F.sqrt(F.sum(wl * wl).over(w))
-    nr = F.sqrt(F.sum(wr * wr).over(w))
-    t = tf.select(ROW, "kind", F.col("tf_l").cast("double").alias("cx"), F.col("tf_r").cast("double").alias("cy"),
-                  F.coalesce(F.try_divide(wl, nl), F.lit(0.0)).alias("tx"),
-                  F.coalesce(F.try_divide(wr, nr), F.lit(0.0)).alias("ty"))
-    aggs = []
-    for kd in kinds:
-        cond = F.col("kind") == kd
-        cx, cy = F.when(cond, F.col("cx")), F.when(cond, F.col("cy"))
-        tx, ty = F.when(cond, F.col("tx")), F.when(cond, F.col("ty"))
-        aggs += _dist_aggs(tx, ty, f"{kd}_tfidf1") + _dist_aggs(cx, cy, f"{kd}_count1")
-    s = t.groupBy(ROW).agg(*aggs)
-    out = [F.col(ROW)]
+def vocab_distances(k: DataFrame, vocab: Vocabulary, kinds=("all", "notion"), keep=("qid",)) -> DataFrame:
+    """``keep`` and PED, PCD, PMD for tfidf1 and count1, for each kind: a projection of term arrays (``all_l``, ...)."""
+    lists = F.array(*[F.coalesce(f"{kd}_{sd}", empty_array()) for kd in kinds for sd in ("l", "r")])
+    s = k.select("*", _vocab_sums(vocab, tuple(kinds))(lists).alias("_sums"))
+    out = [F.col(c) for c in keep]
     for kd in kinds:
         p = "" if kd == "all" else "notion_"
         for v in VOCAB_VECTORS:
-            c = lambda suffix: F.coalesce(F.col(f"{kd}_{v}_{suffix}"), F.lit(0.0))
+            c = lambda suffix: F.col("_sums")[kd][f"{v}_{suffix}"]
             out += [F.sqrt(c("sq")).alias(f"{p}{v}_PED"),
                     _cosine_from_sums(c("xx"), c("yy"), c("xy")).alias(f"{p}{v}_PCD"),
                     c("abs").alias(f"{p}{v}_PMD")]
@@ -262,7 +271,7 @@ def _pair_hash_distances(il: Column, ir: Column, width: int) -> Column:
     return let(_bucket_sums(entries), distances)
 
 
-def hashed_distances(k: DataFrame, kinds=("all", "notion"), keep=(ROW,)) -> DataFrame:
+def hashed_distances(k: DataFrame, kinds=("all", "notion"), keep=("qid",)) -> DataFrame:
     """``keep`` and the hashed columns of the emitted matrix, for each kind. A projection."""
     items = []
     for kd in kinds:
@@ -289,28 +298,21 @@ def hashed_distances(k: DataFrame, kinds=("all", "notion"), keep=(ROW,)) -> Data
     return s.select(*out)
 
 
+def with_vector_terms(pairs: DataFrame, kinds=("all", "notion")) -> DataFrame:
+    """``pairs`` with the vectorisers' terms of each kind and side (``all_l``, ...)."""
+    t = with_tokens(pairs)
+    return t.withColumns({f"{kd}_{sd}": vector_terms(F.col(f"tok_{sd}") if kd == "all" else text.notional(F.col(f"tok_{sd}")))
+                          for kd in kinds for sd in ("l", "r")})
+
+
 def vector_features(pairs: DataFrame, vocab: Vocabulary, kinds=("all", "notion"), keep=("qid",)) -> DataFrame:
-    """``keep`` and all 16 distances for each kind (32 with ``notion``), one row per pair.
-
-    Only the vocabulary branch takes pairs apart; its sums (a few numbers a pair) are
-    joined to the pairs on the row key, and the hashed distances are a projection above."""
-    p = with_row_key(pairs)
-    vd = vocab_distances(vocab_term_frequencies(p, vocab, kinds), kinds)
-    joined = p.join(vd, ROW, "left")
-    vocab_cols = [c for c in vd.columns if c != ROW]
-    t = with_tokens(joined)
-    terms = {f"{kd}_{sd}": vector_terms(F.col(f"tok_{sd}") if kd == "all" else text.notional(F.col(f"tok_{sd}")))
-             for kd in kinds for sd in ("l", "r")}
-    k = t.select(*keep, *vocab_cols, *[c.alias(n) for n, c in terms.items()])
-    out = hashed_distances(k, kinds, [*keep, *vocab_cols])
-    cols = [F.col(c) for c in keep]
-    for kd in kinds:
-        pre = "" if kd == "all" else "notion_"
-        for name in DIST_NAMES:
-            c = f"{pre}{name}"
-            cols.append(F.coalesce(F.col(c), F.lit(0.0)).alias(c) if any(v in name for v in VOCAB_VECTORS)
-                        else F.col(c))
-    return out.select(*cols)
+    """``keep`` and all 16 distances for each kind (32 with ``notion``), one row per pair. A projection."""
+    terms = [f"{kd}_{sd}" for kd in kinds for sd in ("l", "r")]
+    k = with_vector_terms(pairs, kinds).select(*keep, *terms)
+    counted = vocab_distances(k, vocab, kinds, [*keep, *terms])
+    vocab_cols = [c for c in counted.columns if c not in (*keep, *terms)]
+    out = hashed_distances(counted, kinds, [*keep, *vocab_cols])
+    return out.select(*keep, *[F.col(f"{'' if kd == 'all' else 'notion_'}{name}") for kd in kinds for name in DIST_NAMES])
 
 
 def hashed_vectors_long(pairs: DataFrame, order: int) -> DataFrame:
@@ -331,13 +333,30 @@ def hashed_vectors_long(pairs: DataFrame, order: int) -> DataFrame:
 
 
 def vocab_vectors_long(pairs: DataFrame, vocab: Vocabulary, tfidf: bool) -> DataFrame:
-    """(qid, side, term, weight): count vectors, or L2-normalised TF-IDF vectors."""
-    tf = vocab_term_frequencies(with_row_key(pairs), vocab, ("all",))
-    sides = tf.select(ROW, "qid", "term", "idf", F.inline(F.array(
-        F.struct(F.lit("l").alias("side"), F.col("tf_l").alias("tf")),
-        F.struct(F.lit("r").alias("side"), F.col("tf_r").alias("tf"))))).filter(F.col("tf") > 0)
-    if not tfidf:
-        return sides.select("qid", "side", "term", F.col("tf").cast("double").alias("weight"))
-    w = F.col("tf") * F.col("idf")
-    norm = F.sqrt(F.sum(w * w).over(Window.partitionBy(ROW, "side")))
-    return sides.select("qid", "side", "term", (w / norm).alias("weight"))
+    """(qid, side, term, weight): count vectors, or L2-normalised TF-IDF vectors. A projection."""
+    table = vocab.terms()
+    entry = T.StructType([T.StructField("term", T.StringType()), T.StructField("weight", T.DoubleType())])
+
+    @F.arrow_udf(T.ArrayType(entry))
+    def entries(lists: pa.Array) -> pa.Array:
+        cells = lists.flatten()
+        row = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+        vocabulary = table.open()
+        distinct, (code, ids) = vocabulary.find_all(cells)
+        known = ids >= 0
+        most = len(distinct) + 1
+        keys, count = np.unique(row[known] * most + code[known], return_counts=True)
+        row, code, weight = keys // most, keys % most, count.astype(np.float64)
+        if tfidf and len(keys):
+            of_code = np.zeros(most, np.int64)
+            of_code[code] = vocabulary.find(distinct.take(pa.array(code)))
+            weight = weight * vocabulary.values["idf"][of_code[code]]
+            weight /= np.sqrt(np.bincount(row, weights=weight * weight, minlength=len(lists)))[row]
+        ends = np.searchsorted(row, np.arange(len(lists) + 1)).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(
+            [distinct.take(pa.array(code)), pa.array(weight)], ["term", "weight"]))
+
+    t = with_vector_terms(pairs, ("all",))
+    sides = t.select("qid", F.inline(F.array(*[F.struct(F.lit(sd).alias("side"), F.coalesce(f"all_{sd}", empty_array()).alias("ts"))
+                                               for sd in ("l", "r")])))
+    return sides.select("qid", "side", entries(F.col("ts")).alias("e")).select("qid", "side", F.inline("e"))

@@ -141,13 +141,15 @@ def test_stream_equals_batch_for_the_model(spark):
     assert streamed == sorted(r["value"] for r in score.score_batch(lines, features).collect()) and len(streamed) == 60
 
 
-def test_gram_matrix_of_any_width(spark):
+def test_common_directions_of_any_width(spark, monkeypatch):
     rng = np.random.default_rng(0)
-    for d in (3, 128, 300):
-        m = rng.normal(size=(50, d))
+    for d, whole in ((3, 512), (128, 512), (300, 512), (300, 64), (40, 4)):
+        monkeypatch.setattr(sv, "WHOLE", whole)
+        m = rng.normal(size=(80, d)) @ np.diag(0.8 ** np.arange(d)) + 0.3
         df = spark.createDataFrame([(x.tolist(),) for x in m], "vec array<double>").repartition(3)
-        assert np.allclose(sv.gram_matrix(df, d), m.T @ m)
-    assert np.allclose(sv.gram_matrix(df.filter("false"), 300), 0)
+        got, want = sv.common_directions(df, d, 3), np.linalg.svd(m)[2][:3]
+        assert np.abs(np.abs((got * want).sum(1)) - 1).max() < 1e-9 and np.allclose(got @ got.T, np.eye(3))
+    assert np.isfinite(sv.common_directions(df.filter("false"), 40, 2)).all()
 
 
 def test_checkpoint_folder_must_be_shared():

@@ -1,46 +1,108 @@
-"""The paths taken above the broadcast limit give the same results."""
+"""Plans and formats that hold at any size."""
 
 from __future__ import annotations
 
+import random
+
+import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
-from pairfeat.operators import joins, sentvec as sv, vectors as vec
-from pairfeat.plans import queries as Q
+from pairfeat.operators import joins, sentvec as sv, tagging, trie, vectors as vec
+from pairfeat.plans import model, queries as Q
 from pairfeat.sources import pairs as src
 
 
-def _rows(df):
-    return {r["qid"]: r.asDict() for r in df.collect()}
+def _exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange")
 
 
-def test_salted_vocabulary_join_matches_broadcast(spark, monkeypatch):
-    pairs = src.sent_pairs(spark, SF_SMALL)
-    vocab = Q.fitted_vocabulary(spark, SF_SMALL)
-    small = _rows(vec.vector_features(pairs, vocab, kinds=("all",)))
-    monkeypatch.setattr(joins, "BROADCAST_MAX_BYTES", 0)
-    monkeypatch.setattr(joins, "HOT_KEYS", 50)
-    monkeypatch.setattr(joins, "SALT_BUCKETS", 7)
-    plan = vec.vector_features(pairs, vocab, kinds=("all",))
-    physical = plan._jdf.queryExecution().executedPlan().toString()
-    assert "SortMergeJoin" in physical and "_salt" in physical   # vocabulary joined by (term, salt)
-    salted = _rows(plan)
-    assert small.keys() == salted.keys()
-    for q in small:
-        for c, v in small[q].items():
-            if c != "qid":
-                assert salted[q][c] == pytest.approx(v, abs=1e-12), (q, c)
+def test_looked_up_features_do_not_shuffle(spark):
+    """Tokens meet vocabulary and word vectors where they are."""
+    word = Q.fitted_vocabulary(spark, SF_SMALL).table.first()["term"]
+    pairs = spark.createDataFrame([("1", f"a {word}", "b c", "0")] * 50, "qid string, ql string, qr string, label string")
+    vocab, lexicon = Q.fitted_vocabulary(spark, SF_SMALL), Q.fixture_lexicon(spark, SF_SMALL)
+    u = np.ones(lexicon.dims)
+    for out in (vec.vector_features(pairs, vocab), vec.vocab_vectors_long(pairs, vocab, True), sv.sif_features(pairs, lexicon, u),
+                sv.sentence_vectors(pairs, lexicon), model.model_features(pairs, vocab, lexicon, u)):
+        assert _exchanges(out) == 0
+        assert out.count()
+
+
+def _terms(rng, n):
+    out = {"", "a", "ab", "abc", "\u00e9", "\u00e9a", "😀", "😀b", "x" * 3000}
+    while len(out) < n:
+        out.add("".join(rng.choice("abcdéñ😀") for _ in range(rng.randrange(1, 9))))
+    return sorted(out)
+
+
+def test_trie_against_a_dict():
+    rng = random.Random(1)
+    terms = sorted(_terms(rng, 2000), key=lambda t: t.encode())
+    t = trie.Trie(*trie.built(pa.array(terms)))
+    asked = terms[::3] + ["zz", "abcabcabc", "é😀é", "a" * 50, ""]
+    place = {x: k for k, x in enumerate(terms)}
+    assert t.find(pa.array(asked)).tolist() == [place.get(x, -1) for x in asked]
+    assert t.find(pa.array([], pa.string())).tolist() == [] and trie.Trie(*trie.built(pa.array([], pa.string()))).find(pa.array(["a"])).tolist() == [-1]
+    text = "abcab😀bé" * 3
+    data = np.frombuffer(text.encode(), np.uint8)
+    starts = np.flatnonzero((data & 0xC0) != 0x80)
+    got = {(int(starts[k]), size, int(i)) for at, size, ids in t.prefixes(data, starts, np.full(len(starts), len(data))) for k, i in zip(at, ids)}
+    raw = text.encode()
+    want = {(int(s), len(x.encode()), k) for s in starts for k, x in enumerate(terms) if x and raw.startswith(x.encode(), s)}
+    assert got == want
+
+
+@pytest.mark.parametrize("shard", [100, 200_000])
+def test_term_tables(spark, shard):
+    rng = random.Random(2)
+    terms = _terms(rng, 1000)
+    rows = [(t, float(k), [float(k), -1.0], k) for k, t in enumerate(terms)] + [(None, 1.0, [0.0, 0.0], 5)]
+    table = spark.createDataFrame(rows, "term string, w double, v array<float>, n int").repartition(4)
+    made = trie.write_terms(table, len(rows), ("w", "v", "n"), shard_terms=shard)
+    opened = made.open()
+    assert (len(opened.tries) > 5) == (shard == 100) and opened.values["v"].dtype == np.float32
+    asked = terms[::2] + ["nowhere"]
+    ids = opened.find(pa.array(asked))
+    assert ids[-1] == -1 and (ids[:-1] >= 0).all()
+    assert opened.values["w"][ids[:-1]].tolist() == [float(k) for k in range(0, len(terms), 2)]
+    assert opened.values["v"][ids[:-1]].tolist() == [[float(k), -1.0] for k in range(0, len(terms), 2)]
+    empty = trie.write_terms(table.limit(0), 0, ("w",)).open()
+    assert empty.find(pa.array(["a", ""])).tolist() == [-1, -1]
+
+
+def test_sharded_tables_give_the_same_features(spark, monkeypatch):
+    pairs = src.sent_pairs(spark, SF_SMALL).limit(300)
+    vocab, lexicon = Q.fitted_vocabulary(spark, SF_SMALL), Q.fixture_lexicon(spark, SF_SMALL)
+    u = sv.fit_direction(pairs, lexicon)
+    one = sorted(vec.vector_features(pairs, vocab).join(sv.sif_features(pairs, lexicon, u), "qid").collect())
+    monkeypatch.setattr(trie, "SHARD_TERMS", 300)
+    vocab._terms = lexicon._terms = None
+    assert sorted(vec.vector_features(pairs, vocab).join(sv.sif_features(pairs, lexicon, u), "qid").collect()) == one
+
+
+def test_empty_vocabulary_and_lexicon(spark):
+    pairs = spark.createDataFrame([("1", "a bb", "bb cc", "0")], "qid string, ql string, qr string, label string")
+    vocab = vec.fit_vocabulary(spark.createDataFrame([], "doc_id long, text string"))
+    r = vec.vector_features(pairs, vocab, ("all",)).first()
+    assert r["count1_PED"] == r["tfidf1_PCD"] == 0.0 and r["hash1_18_PED"] > 0
+    assert vec.vocab_vectors_long(pairs, vocab, True).count() == 0
 
 
 def test_salted_lexicon_join_matches_broadcast(spark, monkeypatch):
-    pairs = src.sent_pairs(spark, SF_SMALL)
-    lexicon = Q.fixture_lexicon(spark, SF_SMALL)
-    small = _rows(sv.sif_features(pairs, lexicon))
+    """The tagger's join above the broadcast limit, its hottest terms tied in weight."""
+    pairs = src.sent_pairs(spark, SF_SMALL).limit(200)
+    docs = src.corpus_texts(spark, SF_SMALL)
+    lexicon = (docs.select(F.explode(F.split("text", " ")).alias("term")).distinct()
+               .select("term", F.lit("q").alias("postag"), (F.length("term") % 3).alias("weight")).cache())
+    n = lexicon.count()
+    small = sorted(map(str, tagging.tokens_from_lexicon(pairs, lexicon, n, weight="weight").collect()))
     monkeypatch.setattr(joins, "BROADCAST_MAX_BYTES", 0)
     monkeypatch.setattr(joins, "HOT_KEYS", 50)
-    salted = _rows(sv.sif_features(pairs, lexicon))
-    assert small.keys() == salted.keys()
-    for q in small:
-        for c, v in small[q].items():
-            if c != "qid":
-                assert salted[q][c] == pytest.approx(v, abs=1e-9), (q, c)
+    monkeypatch.setattr(joins, "SALT_BUCKETS", 7)
+    plan = tagging.tokens_from_lexicon(pairs, lexicon, n, weight="weight")
+    physical = plan._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in physical and "_salt" in physical
+    assert sorted(map(str, plan.collect())) == small
