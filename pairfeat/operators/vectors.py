@@ -7,8 +7,12 @@
   a term table (``operators.trie``) that tasks look up in place, so both are
   projections: no token is exchanged, whatever the vocabulary's size, and a
   pair's values do not depend on its ``qid``.
-* Hashed vectors (G3, G4): no state to look up, so they stay row-local: md5
-  buckets, per-bucket signed sums, L2 norm, distances over the sorted buckets.
+* Hashed vectors (G3, G4) hold no state: buckets and signs come from the signed
+  MurmurHash3 of each distinct item of a batch (``operators.murmur``).
+
+One Arrow kernel reads both sides' terms of a batch, in integers: every vector
+is a list of (couple of sides, entry, value) that sorts and segmented sums turn
+into distances. There is no loop over rows or terms.
 
 Distances follow the paired metrics: euclidean and manhattan on the vectors as
 transformed (counts raw, TF-IDF and hashed L2-normalised); cosine distance is
@@ -22,13 +26,15 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pairfeat.functions import text
-from pairfeat.functions.core import empty_array, let
+from pairfeat.functions.core import empty_array
 from pairfeat.operators.lexical import with_tokens
+from pairfeat.operators.murmur import murmur3_32
 from pairfeat.operators.partitioning import spread_if_narrow
 from pairfeat.operators.trie import TermTable, write_terms
 
@@ -123,179 +129,90 @@ def vector_terms(tok: Column) -> Column:
 # Count and TF-IDF vectors (row-local)
 # --------------------------------------------------------------------------
 
-_SUMS = ("sq", "abs", "xx", "yy", "xy")
-
-
 def _flat(lists: pa.ListArray) -> tuple[pa.Array, np.ndarray]:
     """The strings of an array<array<string>> column (a fixed number of arrays a row) and, for each, the number of its array."""
     inner = lists.flatten()
     return inner.flatten(), np.repeat(np.arange(len(inner)), np.diff(inner.offsets.to_numpy()))
 
 
-def _pair_sums(lists: pa.ListArray, table: TermTable) -> dict[str, np.ndarray]:
-    """For arrays (left, right, left, right, ...) a row: sums over the terms of each left-right couple, in order, of counts
-    and of TF-IDF weights, the latter L2-normalised by side."""
-    flat, cell = _flat(lists)
-    couples = len(lists.flatten()) // 2
-    vocabulary = table.open()
-    _, (code, ids) = vocabulary.find_all(flat)
-    known = ids >= 0
-    cell, ids = cell[known], ids[known]
-    most = int(ids.max(initial=0)) + 1
-    keys, at = np.unique(cell // 2 * most + ids, return_inverse=True)
-    couple = keys // most
-    x, y = (np.bincount(at[cell % 2 == s], minlength=len(keys)).astype(np.float64) for s in (0, 1))
-    idf = vocabulary.values["idf"][keys % most] if len(keys) else np.zeros(0)
+def _unit(values: np.ndarray, group: np.ndarray, n: int) -> np.ndarray:
+    """L2-normalised by group; all-zero groups stay."""
+    norm = np.sqrt(np.bincount(group, weights=values * values, minlength=n))[group]
+    return np.divide(values, norm, out=np.zeros(len(values)), where=norm > 0)
 
-    def total(values: np.ndarray) -> np.ndarray:
-        return np.bincount(couple, weights=values, minlength=couples)
 
-    out = {}
-    for name, weight in (("tfidf1", idf), ("count1", None)):
-        u, v = (x, y) if weight is None else (x * weight, y * weight)
-        if weight is not None:
-            u, v = (np.divide(w, n[couple], out=np.zeros_like(w), where=n[couple] > 0)
-                    for w, n in ((u, np.sqrt(total(u * u))), (v, np.sqrt(total(v * v)))))
-        for k, values in zip(_SUMS, ((u - v) ** 2, np.abs(u - v), u * u, v * v, u * v)):
-            out[f"{name}_{k}"] = total(values)
-    return out
+def _sides(cell: np.ndarray, entry: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(couple, entry, left sum, right sum) of the entries of arrays left, right, left, right, ..."""
+    most = int(entry.max(initial=0)) + 1
+    keys, at = np.unique(cell // 2 * most + entry, return_inverse=True)
+    x, y = (np.bincount(at, weights=value * (cell % 2 == s), minlength=len(keys)) for s in (0, 1))
+    return keys // most, keys % most, x, y
 
 
-def _vocab_sums(vocab: Vocabulary, kinds: tuple[str, ...]):
-    """Arrow function: array(left, right, ...) of term arrays -> struct of sums for each kind."""
-    table = vocab.terms()
-    names = [f"{v}_{k}" for v in VOCAB_VECTORS for k in _SUMS]
-    kind_type = T.StructType([T.StructField(n, T.DoubleType()) for n in names])
+def _distances(couple: np.ndarray, x: np.ndarray, y: np.ndarray, n: int) -> dict[str, np.ndarray]:
+    """PED, PCD and PMD of each couple. PCD is half the squared distance of the unit vectors."""
+    def total(values: np.ndarray) -> np.ndarray:
+        return np.bincount(couple, weights=values, minlength=n)
 
-    @F.arrow_udf(T.StructType([T.StructField(kd, kind_type) for kd in kinds]))
-    def sums(lists: pa.Array) -> pa.Array:
-        found = _pair_sums(lists, table)
-        return pa.StructArray.from_arrays(
-            [pa.StructArray.from_arrays([pa.array(found[n][k::len(kinds)]) for n in names], names) for k in range(len(kinds))], list(kinds))
+    u, v = _unit(x, couple, n), _unit(y, couple, n)
+    return {"PED": np.sqrt(total((x - y) ** 2)), "PCD": 0.5 * total((u - v) ** 2), "PMD": total(np.abs(x - y))}
 
-    return sums
 
+def _vocab_entries(flat: pa.Array, cell: np.ndarray, n: int, table: TermTable) -> dict[str, dict[str, np.ndarray]]:
+    vocabulary = table.open()
+    _, (_, ids) = vocabulary.find_all(flat)
+    known = ids >= 0
+    couple, entry, x, y = _sides(cell[known], ids[known], np.ones(int(known.sum())))
+    idf = vocabulary.values["idf"][entry] if len(entry) else np.zeros(0)
+    return {"tfidf1": _distances(couple, _unit(x * idf, couple, n), _unit(y * idf, couple, n), n),
+            "count1": _distances(couple, x, y, n)}
 
-def _cosine_from_sums(xx: Column, yy: Column, xy: Column) -> Column:
-    """0.5 * || x/|x| - y/|y| ||^2 with zero vectors left at zero."""
-    nx, ny = F.sqrt(xx), F.sqrt(yy)
-    cos = F.coalesce(F.try_divide(xy, nx * ny), F.lit(0.0))
-    a = F.when(nx > 0, F.lit(1.0)).otherwise(F.lit(0.0))
-    b = F.when(ny > 0, F.lit(1.0)).otherwise(F.lit(0.0))
-    return F.greatest(F.lit(0.0), 0.5 * (a + b - 2.0 * cos))
 
+def _hashes(flat: pa.Array, cell: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all items; hashes of neighbours in an array joined by a blank, and their arrays."""
+    coded = flat.dictionary_encode()
+    code = coded.indices.to_numpy().astype(np.int64)
+    pair = np.flatnonzero(cell[1:] == cell[:-1])
+    kinds = max(len(coded.dictionary), 1)
+    keys, at = np.unique(code[pair] * kinds + code[pair + 1], return_inverse=True)
+    first, second = (coded.dictionary.take(pa.array(k)) for k in (keys // kinds, keys % kinds))
+    joined = pc.binary_join_element_wise(first, second, " ")
+    return murmur3_32(coded.dictionary)[code].astype(np.int64), cell, murmur3_32(joined)[at].astype(np.int64), cell[pair]
 
-def vocab_distances(k: DataFrame, vocab: Vocabulary, kinds=("all", "notion"), keep=("qid",)) -> DataFrame:
-    """``keep`` and PED, PCD, PMD for tfidf1 and count1, for each kind: a projection of term arrays (``all_l``, ...)."""
-    lists = F.array(*[F.coalesce(f"{kd}_{sd}", empty_array()) for kd in kinds for sd in ("l", "r")])
-    s = k.select("*", _vocab_sums(vocab, tuple(kinds))(lists).alias("_sums"))
-    out = [F.col(c) for c in keep]
-    for kd in kinds:
-        p = "" if kd == "all" else "notion_"
-        for v in VOCAB_VECTORS:
-            c = lambda suffix: F.col("_sums")[kd][f"{v}_{suffix}"]
-            out += [F.sqrt(c("sq")).alias(f"{p}{v}_PED"),
-                    _cosine_from_sums(c("xx"), c("yy"), c("xy")).alias(f"{p}{v}_PCD"),
-                    c("abs").alias(f"{p}{v}_PMD")]
-    return s.select(*out)
 
+def _hashed_entries(hashes: tuple[np.ndarray, ...], order: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(array, bucket, sign) of the items of a hashed vectoriser."""
+    h, cell = (np.concatenate(hashes[k::2][:order]) for k in (0, 1))
+    return cell, np.abs(h) % width, np.where(h >= 0, 1.0, -1.0)
 
-# --------------------------------------------------------------------------
-# Hashed vectors (row-local)
-# --------------------------------------------------------------------------
 
-def _hashed_items(ts: Column) -> Column:
-    """array<struct<h: first 32 bits of md5 as long, s: +1/-1>>, one md5 per item.
-    The sign digit test ('0'-'7' sort below '8') needs no base conversion."""
-    return F.transform(F.transform(ts, lambda t: F.md5(t)), lambda m: F.struct(
-        F.conv(F.substring(m, 1, 8), 16, 10).cast("long").alias("h"),
-        F.when(F.substring(m, 9, 1) < F.lit("8"), F.lit(1.0)).otherwise(F.lit(-1.0)).alias("s")))
-
-
-def _bigram_terms(ts: Column) -> Column:
-    return let(ts, lambda a: F.when(F.size(a) < 2, empty_array()).otherwise(
-        F.transform(F.sequence(F.lit(1), F.size(a) - 1),
-                    lambda i: F.concat(F.element_at(a, i), F.lit(" "), F.element_at(a, i + 1)))))
-
-
-def _bucket_sums(entries: Column) -> Column:
-    """array<struct<b, x, y>> of entries -> one struct per bucket with its sums of x and y."""
-    zero = F.lit(0.0)
-
-    def per_bucket(e):
-        n = F.size(e)
-        starts = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))),
-                          lambda i: (n > 0) & ((i == 1) | (F.element_at(e, i)["b"] != F.try_element_at(e, i - 1)["b"])))
-        return let(starts, lambda st: F.transform(st, lambda i, r: let(F.aggregate(
-            F.slice(e, i, F.coalesce(F.try_element_at(st, r + 2), n + 1) - i),
-            F.struct(zero.alias("x"), zero.alias("y")),
-            lambda a, z: F.struct((a["x"] + z["x"]).alias("x"), (a["y"] + z["y"]).alias("y"))),
-            lambda s: F.struct(F.element_at(e, i)["b"].alias("b"), s["x"].alias("x"), s["y"].alias("y")))))
-    return let(F.array_sort(entries), per_bucket)
-
-
-def _bucket_values(items: Column, width: int) -> Column:
-    """array<struct<bucket, value>>: one side's L2-normalised signed bucket sums."""
-    mask, zero = F.lit(width - 1).cast("long"), F.lit(0.0)
-    sums = _bucket_sums(F.transform(items, lambda e: F.struct(
-        e["h"].bitwiseAND(mask).alias("b"), e["s"].alias("x"), zero.alias("y"))))
-
-    def normalise(m):
-        norm = F.sqrt(F.aggregate(m, zero, lambda acc, v: acc + v["x"] * v["x"]))
-        return let(norm, lambda nv: F.transform(m, lambda v: F.struct(
-            v["b"].alias("bucket"), F.coalesce(F.try_divide(v["x"], nv), zero).alias("value"))))
-    return let(sums, normalise)
-
-
-def _pair_hash_distances(il: Column, ir: Column, width: int) -> Column:
-    """struct(ped, pcd, pmd) between the L2-normalised signed bucket sums of two
-    hashed item lists: both sides' entries are sorted together by bucket, so one
-    pass over the runs gives each bucket's left and right sums."""
-    mask = F.lit(width - 1).cast("long")
-    zero = F.lit(0.0)
-    entries = F.concat(
-        F.transform(il, lambda e: F.struct(e["h"].bitwiseAND(mask).alias("b"), e["s"].alias("x"), zero.alias("y"))),
-        F.transform(ir, lambda e: F.struct(e["h"].bitwiseAND(mask).alias("b"), zero.alias("x"), e["s"].alias("y"))))
-
-    def distances(xy):
-        nx = F.sqrt(F.aggregate(xy, zero, lambda a, v: a + v["x"] * v["x"]))
-        ny = F.sqrt(F.aggregate(xy, zero, lambda a, v: a + v["y"] * v["y"]))
-
-        def with_norms(nv):
-            d = F.transform(xy, lambda v: F.coalesce(F.try_divide(v["x"], nv["x"]), zero)
-                            - F.coalesce(F.try_divide(v["y"], nv["y"]), zero))
-            sq = F.aggregate(d, zero, lambda a, x: a + x * x)
-            return F.struct(F.sqrt(sq).alias("ped"), (0.5 * sq).alias("pcd"),
-                            F.aggregate(d, zero, lambda a, x: a + F.abs(x)).alias("pmd"))
-        return let(F.struct(nx.alias("x"), ny.alias("y")), with_norms)
-    return let(_bucket_sums(entries), distances)
-
-
-def hashed_distances(k: DataFrame, kinds=("all", "notion"), keep=("qid",)) -> DataFrame:
-    """``keep`` and the hashed columns of the emitted matrix, for each kind. A projection."""
-    items = []
-    for kd in kinds:
-        for sd in ("l", "r"):
-            items += [_hashed_items(F.col(f"{kd}_{sd}")).alias(f"{kd}_{sd}_u"),
-                      _hashed_items(_bigram_terms(F.col(f"{kd}_{sd}"))).alias(f"{kd}_{sd}_b")]
-    h = k.select(*keep, *items)
-    structs = []
-    for kd in kinds:
-        for name, (order, width) in HASHERS.items():
-            il, ir = F.col(f"{kd}_l_u"), F.col(f"{kd}_r_u")
-            if order == 2:
-                il, ir = F.concat(il, F.col(f"{kd}_l_b")), F.concat(ir, F.col(f"{kd}_r_b"))
-            structs.append(_pair_hash_distances(il, ir, width).alias(f"{kd}__{name}"))
-    s = h.select(*keep, *structs)
-    out = [F.col(c) for c in keep]
-    for kd in kinds:
-        p = "" if kd == "all" else "notion_"
-        for name in HASHERS:
-            if name in PED:
-                out.append(F.col(f"{kd}__{name}.ped").alias(f"{p}{name}_PED"))
-            out.append(F.col(f"{kd}__{name}.pcd").alias(f"{p}{name}_PCD"))
-            out.append(F.col(f"{kd}__{name}.pmd").alias(f"{p}{name}_PMD"))
-    return s.select(*out)
+def _pair_distances(lists: pa.ListArray, names: tuple[str, ...], table: TermTable | None) -> dict[str, np.ndarray]:
+    """For arrays (left, right, left, right, ...) a row: the distances of each left-right couple, in order."""
+    flat, cell = _flat(lists)
+    n = len(lists.flatten()) // 2
+    found = _vocab_entries(flat, cell, n, table) if any(v in VOCAB_VECTORS for v in names) else {}
+    hashes = _hashes(flat, cell)
+    for name in names:
+        if name in HASHERS:
+            group, bucket, sign = _hashed_entries(hashes, *HASHERS[name])
+            couple, _, x, y = _sides(group, bucket, sign)
+            found[name] = _distances(couple, _unit(x, couple, n), _unit(y, couple, n), n)
+    return {f"{name}_{m}": d for name in names for m, d in found[name].items()}
+
+
+def _distance_kernel(vocab: Vocabulary, kinds: tuple[str, ...]):
+    """Arrow function: array(left, right, ...) of term arrays -> struct of distances for each kind."""
+    table = vocab.terms()
+    kind_type = T.StructType([T.StructField(n, T.DoubleType()) for n in DIST_NAMES])
+
+    @F.arrow_udf(T.StructType([T.StructField(kd, kind_type) for kd in kinds]))
+    def distances(lists: pa.Array) -> pa.Array:
+        found = _pair_distances(lists, (*VOCAB_VECTORS, *HASHERS), table)
+        return pa.StructArray.from_arrays(
+            [pa.StructArray.from_arrays([pa.array(found[n][k::len(kinds)]) for n in DIST_NAMES], DIST_NAMES) for k in range(len(kinds))],
+            list(kinds))
+
+    return distances
 
 
 def with_vector_terms(pairs: DataFrame, kinds=("all", "notion")) -> DataFrame:
@@ -307,29 +224,53 @@ def with_vector_terms(pairs: DataFrame, kinds=("all", "notion")) -> DataFrame:
 
 def vector_features(pairs: DataFrame, vocab: Vocabulary, kinds=("all", "notion"), keep=("qid",)) -> DataFrame:
     """``keep`` and all 16 distances for each kind (32 with ``notion``), one row per pair. A projection."""
-    terms = [f"{kd}_{sd}" for kd in kinds for sd in ("l", "r")]
-    k = with_vector_terms(pairs, kinds).select(*keep, *terms)
-    counted = vocab_distances(k, vocab, kinds, [*keep, *terms])
-    vocab_cols = [c for c in counted.columns if c not in (*keep, *terms)]
-    out = hashed_distances(counted, kinds, [*keep, *vocab_cols])
-    return out.select(*keep, *[F.col(f"{'' if kd == 'all' else 'notion_'}{name}") for kd in kinds for name in DIST_NAMES])
+    lists = F.array(*[F.coalesce(f"{kd}_{sd}", empty_array()) for kd in kinds for sd in ("l", "r")])
+    k = with_vector_terms(pairs, kinds).select(*keep, _distance_kernel(vocab, tuple(kinds))(lists).alias("_dist"))
+    return k.select(*keep, *[F.col("_dist")[kd][name].alias(f"{'' if kd == 'all' else 'notion_'}{name}")
+                             for kd in kinds for name in DIST_NAMES])
+
+
+def _term_sides(pairs: DataFrame) -> DataFrame:
+    """(qid, side, ts): the terms of each side."""
+    t = with_vector_terms(pairs, ("all",))
+    return t.select("qid", F.inline(F.array(*[F.struct(F.lit(sd).alias("side"), F.coalesce(f"all_{sd}", empty_array()).alias("ts"))
+                                              for sd in ("l", "r")])))
+
+
+def _row_lists(row: np.ndarray, n: int, columns: dict[str, pa.Array]) -> pa.ListArray:
+    """Entries, sorted by row, as an array of structs for each of ``n`` rows."""
+    ends = np.searchsorted(row, np.arange(n + 1)).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(list(columns.values()), list(columns)))
+
+
+def _rows_of(lists: pa.ListArray) -> np.ndarray:
+    return np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
 
 
 def hashed_vectors_long(pairs: DataFrame, order: int) -> DataFrame:
-    """(qid, side, vectoriser, bucket, value): the nonzero hashed entries, from the items that
-    ``hashed_distances`` compares."""
-    t = with_tokens(pairs)
-    cells = []
-    for sd in ("l", "r"):
-        ts = vector_terms(F.col(f"tok_{sd}"))
-        items = _hashed_items(ts) if order == 1 else F.concat(_hashed_items(ts), _hashed_items(_bigram_terms(ts)))
-        cells.append(F.struct(F.lit(sd).alias("side"), items.alias("items")))
-    sides = t.select("qid", F.inline(F.array(*cells)))
-    named = [F.struct(F.lit(name).alias("vectorizer"), _bucket_values(F.col("items"), width).alias("m"))
-             for name, (o, width) in HASHERS.items() if o == order]
-    return (sides.select("qid", "side", F.inline(F.array(*named)))
-            .select("qid", "side", "vectorizer", F.inline("m"))
-            .filter(F.col("value") != 0))
+    """(qid, side, vectorizer, bucket, value): the nonzero hashed entries that the features compare."""
+    names = [n for n, (o, _) in HASHERS.items() if o == order]
+    entry = T.StructType([T.StructField("vectorizer", T.StringType()), T.StructField("bucket", T.LongType()), T.StructField("value", T.DoubleType())])
+
+    @F.arrow_udf(T.ArrayType(entry))
+    def entries(lists: pa.Array) -> pa.Array:
+        hashes = _hashes(lists.flatten(), _rows_of(lists))
+        rows, which, buckets, values = [], [], [], []
+        for k, name in enumerate(names):
+            width = HASHERS[name][1]
+            row, bucket, sign = _hashed_entries(hashes, order, width)
+            keys, at = np.unique(row * width + bucket, return_inverse=True)
+            row, value = keys // width, np.bincount(at, weights=sign, minlength=len(keys))
+            rows.append(row[value != 0])
+            which.append(np.full(len(rows[-1]), k))
+            buckets.append(keys[value != 0] % width)
+            values.append(_unit(value, row, len(lists))[value != 0])
+        row = np.concatenate(rows)
+        by = np.argsort(row, kind="stable")
+        which, buckets, values = (np.concatenate(x)[by] for x in (which, buckets, values))
+        return _row_lists(row[by], len(lists), {"vectorizer": pa.array(names).take(pa.array(which)), "bucket": pa.array(buckets), "value": pa.array(values)})
+
+    return _term_sides(pairs).select("qid", "side", entries(F.col("ts")).alias("e")).select("qid", "side", F.inline("e"))
 
 
 def vocab_vectors_long(pairs: DataFrame, vocab: Vocabulary, tfidf: bool) -> DataFrame:
@@ -339,24 +280,17 @@ def vocab_vectors_long(pairs: DataFrame, vocab: Vocabulary, tfidf: bool) -> Data
 
     @F.arrow_udf(T.ArrayType(entry))
     def entries(lists: pa.Array) -> pa.Array:
-        cells = lists.flatten()
-        row = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+        row = _rows_of(lists)
         vocabulary = table.open()
-        distinct, (code, ids) = vocabulary.find_all(cells)
+        distinct, (code, ids) = vocabulary.find_all(lists.flatten())
+        of_code = np.full(len(distinct) + 1, -1)
+        of_code[code] = ids
         known = ids >= 0
         most = len(distinct) + 1
         keys, count = np.unique(row[known] * most + code[known], return_counts=True)
         row, code, weight = keys // most, keys % most, count.astype(np.float64)
         if tfidf and len(keys):
-            of_code = np.zeros(most, np.int64)
-            of_code[code] = vocabulary.find(distinct.take(pa.array(code)))
-            weight = weight * vocabulary.values["idf"][of_code[code]]
-            weight /= np.sqrt(np.bincount(row, weights=weight * weight, minlength=len(lists)))[row]
-        ends = np.searchsorted(row, np.arange(len(lists) + 1)).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(
-            [distinct.take(pa.array(code)), pa.array(weight)], ["term", "weight"]))
+            weight = _unit(weight * vocabulary.values["idf"][of_code[code]], row, len(lists))
+        return _row_lists(row, len(lists), {"term": distinct.take(pa.array(code)), "weight": pa.array(weight)})
 
-    t = with_vector_terms(pairs, ("all",))
-    sides = t.select("qid", F.inline(F.array(*[F.struct(F.lit(sd).alias("side"), F.coalesce(f"all_{sd}", empty_array()).alias("ts"))
-                                               for sd in ("l", "r")])))
-    return sides.select("qid", "side", entries(F.col("ts")).alias("e")).select("qid", "side", F.inline("e"))
+    return _term_sides(pairs).select("qid", "side", entries(F.col("ts")).alias("e")).select("qid", "side", F.inline("e"))

@@ -10,6 +10,7 @@ the caller.
 from __future__ import annotations
 
 from pairfeat.operators.lexical import LENGTH_NAMES, SEQ_METRICS
+from pairfeat.operators.murmur import ADD, C1, C2, MIX1, MIX2
 from pairfeat.operators.vectors import HASHERS
 
 # --------------------------------------------------------------------------
@@ -254,7 +255,29 @@ def r6(x: str) -> str:
     return f"(round({x}, 6) + 0.0)"
 
 
-HASHERS_SQL = HASHERS
+#: MurmurHash3 of the distinct hashed items, step by step: words of four bytes, their fold, the last bytes, the final mix.
+_M = 4294967295
+
+
+def _murmur_word(k: str) -> str:
+    return f"list_transform(list_transform({k}, lambda k: (k * {C1}) & {_M}), lambda k: ((((k << 15) | (k >> 17)) & {_M}) * {C2}) & {_M})"
+
+
+MURMUR_CTES = [
+    "mt AS (SELECT DISTINCT t FROM hi)",
+    "mx AS (SELECT t, hex(encode(t)) AS x, length(hex(encode(t))) // 2 AS n FROM mt)",
+    "mk AS (SELECT t, n, list_transform(range(0, n // 4), lambda i: ('0x' || substr(x, 8 * i + 7, 2) || substr(x, 8 * i + 5, 2)"
+    " || substr(x, 8 * i + 3, 2) || substr(x, 8 * i + 1, 2))::UBIGINT) AS k,"
+    " list_transform(range(0, least(n % 4, 1)), lambda i: ('0x' || substr(x, 8 * (n // 4) + 5, 2) || substr(x, 8 * (n // 4) + 3, 2)"
+    " || substr(x, 8 * (n // 4) + 1, 2))::UBIGINT) AS tail FROM mx)",
+    f"mf AS (SELECT t, n, list_reduce(list_prepend(0::UBIGINT, {_murmur_word('k')}), lambda h, k:"
+    f" ((((xor(h, k) << 13) | (xor(h, k) >> 19)) & {_M}) * 5 + {ADD}) & {_M}) AS h,"
+    f" coalesce(({_murmur_word('tail')})[1], 0::UBIGINT) AS tail FROM mk)",
+    "m1 AS (SELECT t, xor(xor(h, tail), n::UBIGINT) AS h FROM mf)",
+    f"m2 AS (SELECT t, (xor(h, h >> 16) * {MIX1}) & {_M} AS h FROM m1)",
+    f"m3 AS (SELECT t, (xor(h, h >> 13) * {MIX2}) & {_M} AS h FROM m2)",
+    "mm AS (SELECT t, (CASE WHEN xor(h, h >> 16) < 2147483648 THEN xor(h, h >> 16)::BIGINT ELSE xor(h, h >> 16)::BIGINT - 4294967296 END) AS h FROM m3)",
+]
 
 
 def vector_ctes(table: str, kinds=("all", "notion")) -> list[str]:
@@ -262,7 +285,7 @@ def vector_ctes(table: str, kinds=("all", "notion")) -> list[str]:
     bigrams = ("(CASE WHEN len(ts) < 2 THEN []::VARCHAR[] ELSE list_transform(generate_series(1, len(ts) - 1),"
                " lambda i: ts[i] || ' ' || ts[i + 1]) END)")
     hparts = []
-    for name, (order, width) in HASHERS_SQL.items():
+    for name, (order, width) in HASHERS.items():
         items = "ts" if order == 1 else f"list_concat(ts, {bigrams})"
         hparts.append(f"SELECT qid, kind, side, '{name}' AS vec, {width} AS width, unnest({items}) AS t FROM vt")
     return VOCAB_CTES + [
@@ -278,9 +301,9 @@ def vector_ctes(table: str, kinds=("all", "notion")) -> list[str]:
         " SELECT qid, kind, 'tfidf1', coalesce(x * idf / nullif(nx, 0), 0), coalesce(y * idf / nullif(ny, 0), 0)"
         " FROM pt JOIN nrm USING (qid, kind))",
         "hi AS (" + " UNION ALL ".join(hparts) + ")",
-        "hb AS (SELECT qid, kind, side, vec, ('0x' || substr(md5(t), 1, 8))::BIGINT % width AS bucket,"
-        " sum(CASE WHEN ('0x' || substr(md5(t), 9, 1))::INTEGER < 8 THEN 1.0 ELSE -1.0 END) AS v"
-        " FROM hi GROUP BY ALL)",
+        *MURMUR_CTES,
+        "hb AS (SELECT qid, kind, side, vec, abs(h) % width AS bucket, sum(CASE WHEN h >= 0 THEN 1.0 ELSE -1.0 END) AS v"
+        " FROM hi JOIN mm USING (t) GROUP BY ALL)",
         "hn AS (SELECT *, coalesce(v / nullif(sqrt(sum(v * v) OVER (PARTITION BY qid, kind, side, vec)), 0), 0)"
         " AS vn FROM hb)",
         "hw AS (SELECT qid, kind, vec, bucket, coalesce(sum(CASE WHEN side = 'l' THEN vn END), 0) AS a,"

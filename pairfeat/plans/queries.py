@@ -347,7 +347,7 @@ def q_tfidf_vectors(spark, sf_dir):
 
 
 def _hash_long_sql(order: int) -> str:
-    names = [n for n, (o, _) in O.HASHERS_SQL.items() if o == order]
+    names = [n for n, (o, _) in O.HASHERS.items() if o == order]
     inlist = ", ".join(f"'{n}'" for n in names)
     return (O.with_pairs("sent_pairs", *_VEC_ALL) +
             f"SELECT qid, side, vec AS vectorizer, bucket, {O.r6('vn')} AS value FROM hn "

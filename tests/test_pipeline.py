@@ -90,6 +90,66 @@ def test_split_is_reproducible_and_exact(spark):
         assert a == b and len(a) == -(-n // 10)
 
 
+def test_split_of_tied_pairs_is_exact(spark):
+    """A third of all rows are one pair, wherever the threshold falls."""
+    for n, fraction in ((300, 0.1), (300, 0.5), (301, 0.9), (60, 1.0)):
+        rows = [("q", "same", "pair", "1") if i % 3 == 0 else (str(i), "a", "b", "0") for i in range(n)]
+        out = model.with_split_flag(spark.createDataFrame(rows, "qid string, ql string, qr string, label string").repartition(4), fraction)
+        assert out.columns == ["qid", "ql", "qr", "label", "is_test"]
+        assert out.count() == n and out.filter("is_test").count() == -(-n * fraction // 1)
+
+
+def _dense_svm(x, y):
+    """Newton's method on the whole matrix."""
+    x = np.column_stack((x, np.ones(len(x))))
+    w = np.zeros(x.shape[1])
+    f = lambda v: v @ v / 2 + (np.maximum(1 - y * (x @ v), 0) ** 2).sum()
+    for _ in range(500):
+        gap = np.maximum(1 - y * (x @ w), 0)
+        g = w - 2 * x.T @ (y * gap)
+        inner = x[gap > 0]
+        step = np.linalg.solve(np.eye(len(w)) + 2 * inner.T @ inner, -g)
+        t = 1.0
+        while f(w + t * step) > f(w) + 1e-4 * t * (g @ step) and t > 1e-14:
+            t /= 2
+        w = w + t * step
+        if np.linalg.norm(g) < 1e-10:
+            break
+    return w
+
+
+def test_squared_hinge_svm_matches_a_dense_solution(spark, tmp_path):
+    from pairfeat.plans import svm
+    rng = np.random.default_rng(5)
+    for n, d, noise in ((400, 6, 2.0), (300, 3, 0.0), (50, 20, 1.0)):
+        x = rng.normal(size=(n, d)) * np.linspace(0.1, 30, d) + 2
+        y = np.where(x @ rng.normal(size=d) + noise * 10 * rng.normal(size=n) > 3, 1.0, -1.0)
+        cols = [f"f{k}" for k in range(d)]
+        df = spark.createDataFrame([("p" if s > 0 else "n", *map(float, r)) for s, r in zip(y, x)], ["label", *cols]).repartition(3)
+        m = svm.fit_svm(df, cols, "label", "p", "n")
+        want = _dense_svm(x, y)
+        assert np.allclose([*m.weights, m.bias], want, rtol=0, atol=1e-6)
+        m.save(spark, str(tmp_path / f"m{n}"))
+        assert svm.LinearSvm.load(spark, str(tmp_path / f"m{n}")) == m
+        pred = {tuple(r)[:-1]: r["pred"] for r in df.select(*cols, m.predicted().alias("pred")).collect()}
+        assert [pred[tuple(map(float, r))] for r in x] == ["p" if v > 0 else "n" for v in x @ want[:-1] + want[-1]]
+
+
+def test_trained_model_matches_a_dense_solution(spark):
+    """All features of the sf0.001 training pairs."""
+    from pairfeat.plans import queries as Q
+    result = Q._trained(spark, SF_SMALL)
+    pairs = src.training_pairs(spark, SF_SMALL)
+    flags = model.with_split_flag(pairs)
+    lexicon = Q.fixture_lexicon(spark, SF_SMALL)
+    u = sv.fit_direction(flags.filter("NOT is_test"), lexicon)
+    f = model.model_features(flags.filter("NOT is_test"), Q.fitted_vocabulary(spark, SF_SMALL), lexicon, u).toPandas()
+    assert len(f) == result.n_train and model.feature_columns(flags.limit(0).sparkSession.createDataFrame(f.head(1))) == result.features
+    want = _dense_svm(f[result.features].to_numpy(float), np.where(f.label == max(f.label), 1.0, -1.0))
+    assert np.abs(np.array([*result.model.weights, result.model.bias]) - want).max() < 1e-5
+    assert result.report.count() == 3 and 0.5 < result.micro_f1 <= 1
+
+
 def _exchanges(df):
     plan = df._jdf.queryExecution().executedPlan().toString()
     return plan.count("Exchange")

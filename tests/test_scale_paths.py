@@ -106,3 +106,14 @@ def test_salted_lexicon_join_matches_broadcast(spark, monkeypatch):
     physical = plan._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in physical and "_salt" in physical
     assert sorted(map(str, plan.collect())) == small
+
+
+def test_murmur_vectors():
+    """Published values of MurmurHash3 x86_32."""
+    from pairfeat.operators.murmur import murmur3_32
+    for text, seed, want in (("", 0, 0), ("", 1, 0x514E28B7), ("", 0xFFFFFFFF, 0x81F16F39), ("test", 0, 0xBA6BD213), ("abc", 0, 0xB3DD93FA),
+                             ("Hello, world!", 0, 0xC0363E43), ("The quick brown fox jumps over the lazy dog", 0, 0x2E4FF723),
+                             ("aaaa", 0x9747B28C, 0x5A97808A), ("aaa", 0x9747B28C, 0x283E0130), ("foo", 0, -156908512 & 0xFFFFFFFF),
+                             ("ππππππππ", 0x9747B28C, 0xD58063C1)):
+        assert int(murmur3_32(pa.array(["x", text, "yyyyy"]), seed)[1]) & 0xFFFFFFFF == want, text
+    assert len(murmur3_32(pa.array([], pa.string()))) == 0
