@@ -1,15 +1,22 @@
 """Main text of web pages by a recurrent block labeller.
 
 A page is cut into its leaf blocks (text between block-level tags). Each block
-becomes a vector of its hashed tag path, its hashed words and a few shares; a
-bidirectional LSTM in numpy reads the page's blocks in order, both ways, and
-labels each one as article or not.
+becomes a vector of its hashed tag path, its hashed words, a few shares and what
+its containers' names say of it; a bidirectional LSTM in numpy reads the page's
+blocks in order, both ways, and labels each one as article or not.
+
+A container's name counts for what it holds. Names of ``html`` and ``body``, of
+page shells (a form around the whole page, a layout that holds most of the text
+and in it an article) and negated names (``no-sidebar``, ``has-comments``) say
+nothing and are left out of the path; a ``header`` inside an article is part of it.
 
 The network is trained here, on the driver, from at most ``TRAIN_PAGES`` pages
-(the first by a hash of their html): their own markup says which blocks are
-surely article or surely not, and variants of them, with the same texts under
-other containers and with other surroundings, teach it pages that mark up less.
-That bound is on training alone; every page is read whole.
+(the first by a hash of their html, of each at most ``TRAIN_CHARS`` characters,
+``TRAIN_BLOCKS`` blocks and, in variants, ``TRAIN_ARTICLE`` article blocks): their
+own markup says which blocks are surely article or surely not. Variants of them,
+with the same texts under other containers, named and unnamed, in other shells and
+with other surroundings, teach it pages that mark up less. These bounds are on
+training alone; every page is read whole.
 
 Defined results: a null or empty html gives the empty text; a page without
 article blocks likewise; equal pages get equal texts; an empty table gives an
@@ -22,16 +29,16 @@ import html
 import re
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-TRAIN_PAGES = 192
+TRAIN_PAGES, TRAIN_CHARS, TRAIN_BLOCKS, TRAIN_ARTICLE = 192, 100_000, 400, 40
 HIDDEN = 16
-EPOCHS = 14
+EPOCHS = 16
 PATH_DIMS, WORD_DIMS = 96, 16
 #: Pages that a task labels at a time.
 PAGES = 256
@@ -59,7 +66,13 @@ ARTICLE_WORDS = ["article", "content", "post", "entry", "story", "body", "main",
 OTHER_WORDS = ["ad", "advert", "advertisement", "banner", "sponsor", "promo", "sidebar", "side", "comment", "reply", "discussion",
                "cookie", "notice", "consent", "gdpr", "menu", "nav", "navbar", "breadcrumb", "footer", "header", "masthead", "share",
                "social", "related", "recommend", "newsletter", "subscribe", "signup", "login", "search", "widget", "popup", "modal",
-               "disclaimer", "copyright", "pagination", "toolbar", "alert", "feedback", "form", "topbar", "bottom"]
+               "disclaimer", "copyright", "pagination", "toolbar", "alert", "feedback", "topbar", "bottom"]
+#: Of these, an article element may be one too.
+READER_WORDS = frozenset("comment reply discussion related recommend ad advert advertisement sponsor promo".split())
+#: First words of a name that tells of something elsewhere.
+NEGATIONS = frozenset("has no not with without is hide show enable disable js can".split())
+#: Element that wraps whole pages by habit.
+WRAPPER = "form"
 
 
 def _name(word: str) -> str:
@@ -70,42 +83,103 @@ def _name(word: str) -> str:
 _OTHER_NAMES = frozenset(map(_name, OTHER_WORDS))
 #: Slots of their own: however many classes share the hashed ones, these are seen.
 MARKS = {t: k for k, t in enumerate(sorted(ARTICLE_TAGS | OTHER_TAGS | _OTHER_NAMES | set(map(_name, ARTICLE_WORDS))))}
-DIMS = PATH_DIMS + WORD_DIMS + len(MARKS) + 5
+DIMS = PATH_DIMS + WORD_DIMS + len(MARKS) + 7
 
 _TAG = re.compile(
     r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)(?:>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)|</[^>]*+(?:>|\Z)", re.S)
 _NAMES = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_WORD = re.compile(r"[a-z0-9]+")
+_WORD = re.compile(r"[a-z]+|[0-9]+")
+_CAMEL = re.compile(r"([a-z])([A-Z])")
 
 
 @dataclass
 class Block:
     text: str
     path: tuple[str, ...]
-    linked: int = 0   # characters of the text inside links
+    linked: int = 0              # characters of the text inside links
+    mark: float | None = None    # what its containers' names say: 1 article, 0 not, None nothing
 
 
-@dataclass
+@dataclass(eq=False)
 class _Open:
     tag: str
-    names: tuple[str, ...] = field(default=())
+    names: tuple[tuple[str, ...], ...] = ()   # words of each class, id or role
+    parent: _Open | None = None
+    chars: int = 0       # of text inside
+    inner: int = 0       # of text inside the largest article container in it, itself included
+    says: float | None = None
+    shell: bool = False
+
+    def words(self) -> tuple[str, ...]:
+        return () if self.shell else tuple(_name(w) for name in self.names if name[0] not in NEGATIONS for w in name)
 
 
-def _names(attributes: str) -> tuple[str, ...]:
+def _names(attributes: str) -> tuple[tuple[str, ...], ...]:
     if "=" not in attributes:
         return ()
+    return tuple(tuple(words) for groups in _NAMES.findall(attributes) for name in "".join(groups).split()
+                 if (words := _WORD.findall(_CAMEL.sub(r"\1-\2", name).lower())))
+
+
+def _says(e: _Open) -> float | None:
+    """What an element's tag and names say of its content."""
+    named = [n for n in e.names if n[0] not in NEGATIONS]
+    other = [n for n in named if any(_name(w) in _OTHER_NAMES for w in n)]
+    article = [n for n in named if n not in other and any(w in ARTICLE_WORDS for w in n)]
+    if e.tag in ("html", "body"):
+        return None
+    if e.tag in ARTICLE_TAGS:
+        return 0.0 if any(w.rstrip("s") in READER_WORDS for n in other for w in n) else 1.0
+    if e.tag in OTHER_TAGS or other and not article:
+        return 0.0
+    return 1.0 if article and not other else None
+
+
+def _settle(found: list[tuple[str, _Open, int]]) -> list[Block]:
+    """Blocks of (text, innermost element, linked): what elements say is decided by how much of the page they hold."""
+    total = sum(len(t) for t, _, _ in found)
+    lines: dict[_Open, list[_Open]] = {}     # elements from the outermost in
+    for text, e, _ in found:
+        if e not in lines:
+            line, up = [], e
+            while up is not None:
+                line.append(up)
+                up = up.parent
+            lines[e] = line[::-1]
+        for x in lines[e]:
+            x.chars += len(text)
+    seen = {x for line in lines.values() for x in line}
+    for x in seen:
+        x.says = _says(x)
+    for x in seen:
+        if x.says == 1.0 or any(w in ARTICLE_WORDS for n in x.names if n[0] not in NEGATIONS for w in n) and x.tag not in ("html", "body"):
+            up = x
+            while up is not None:
+                up.inner = max(up.inner, x.chars)
+                up = up.parent
+    for x in seen:
+        if x.tag in ("html", "body") or x.says == 0.0 and 2 * x.chars >= total and (x.tag == WRAPPER or 2 * x.inner >= x.chars):
+            x.shell = True
     out = []
-    for groups in _NAMES.findall(attributes):
-        for w in _WORD.findall("".join(groups).lower()):
-            out.append(_name(w))
-    return tuple(out)
+    for text, e, linked in found:
+        mark: float | None = None
+        for x in lines[e]:
+            if x.says is None or x.shell and x.says == 0.0:
+                continue
+            if x.says == 0.0 and not (mark == 1.0 and x.tag == "header"):
+                mark = 0.0
+            elif x.says == 1.0 and mark is None:
+                mark = 1.0
+        out.append(Block(text, tuple(t for x in lines[e] for t in (x.tag, *x.words())), linked, mark))
+    return out
 
 
 def blocks(page: str) -> list[Block]:
     """Leaf blocks with text, in page order."""
-    out: list[Block] = []
+    out: list[tuple[str, _Open, int]] = []
+    root = _Open("html")
     stack: list[_Open] = []
     pieces: list[str] = []
     linked = 0
@@ -116,7 +190,7 @@ def blocks(page: str) -> list[Block]:
         if pieces:
             text = " ".join("".join(pieces).split())
             if text:
-                out.append(Block(text, tuple(x for o in stack for x in (o.tag, *o.names)), min(linked, len(text))))
+                out.append((text, stack[-1] if stack else root, min(linked, len(text))))
             pieces.clear()
         linked = 0
 
@@ -192,9 +266,9 @@ def blocks(page: str) -> list[Block]:
         if tag == "a":
             in_link += 1
         if tag not in VOID and not (attributes.endswith("/") and tag not in BLOCKS):
-            stack.append(_Open(tag, _names(attributes)))
+            stack.append(_Open(tag, _names(attributes), stack[-1] if stack else None))
     flush()
-    return out
+    return _settle(out)
 
 
 def _slots(token: str) -> tuple[int, ...]:
@@ -222,7 +296,7 @@ def vectors(page: list[Block]) -> np.ndarray:
         words = b.text.encode("utf-8", "surrogatepass").split()
         x[k, PATH_DIMS:PATH_DIMS + WORD_DIMS] = np.bincount(
             [zlib.crc32(w) % WORD_DIMS for w in words], minlength=WORD_DIMS) / max(len(words), 1)
-        x[k, -5:] = (np.log1p(len(words)) / 5, b.linked / len(b.text), b.text[-1] in ".!?\"':;", k / len(page), 1)
+        x[k, -7:] = (b.mark == 1.0, b.mark == 0.0, np.log1p(len(words)) / 5, b.linked / len(b.text), b.text[-1] in ".!?\"':;", k / len(page), 1)
     return x
 
 
@@ -336,16 +410,12 @@ def labels(pages: list[list[Block]], model: BiLstm) -> list[list[bool]]:
 
 # ---- training ----
 
-def known_label(path: tuple[str, ...]) -> float | None:
-    """What a block's own markup says: 1 article, 0 not, None nothing."""
-    if any(t in OTHER_TAGS or t in _OTHER_NAMES for t in path):
-        return 0.0
-    return 1.0 if any(t in ARTICLE_TAGS for t in path) else None
-
-
 def _variant(rng: np.random.Generator, article: list[Block], spare: list[str]) -> tuple[list[Block], list[float]]:
-    """The texts of an article under other containers, with other surroundings made of spare texts."""
+    """The texts of an article in another shell and under other containers, with other surroundings made of spare texts.
+
+    In some variants no container has a name: then only lists of links and short lines surround the article."""
     out: list[tuple[Block, float]] = []
+    unnamed = rng.random() < 0.35
 
     def words(least: int, most: int) -> str:
         source = spare[rng.integers(len(spare))].split()
@@ -357,28 +427,37 @@ def _variant(rng: np.random.Generator, article: list[Block], spare: list[str]) -
         style = rng.integers(3)
         name = "." + OTHER_WORDS[rng.integers(len(OTHER_WORDS))]
         tag = ("nav", "header", "footer", "aside", "form")[rng.integers(5)]
-        wrap = (tag,) if style == 0 else (("div", "section", "ul", "p")[rng.integers(4)], name) if style == 1 else (tag, name)
-        leaf = (("ul", "li", "a"), ("p",), ("div",), ("label",), ("h3",), ())[rng.integers(6)]
+        wrap = (tag,) if style == 0 else (("div", "section", "ul", "p", "td")[rng.integers(5)], name) if style == 1 else (tag, name)
+        if unnamed:
+            wrap = (("div", "section", "ul", "td")[rng.integers(4)],)
+        leaf = (("ul", "li", "a"), ("p",), ("div",), ("label",), ("h3",), ())[rng.integers(2 if unnamed else 6)]
         links = leaf[-1:] == ("a",)
         for _ in range(int(rng.integers(1, 7))):
-            t = words(1, 4) if links else words(1, 40)
-            out.append((Block(t, (*outer, *wrap, *leaf), len(t) if links else 0), 0.0))
+            t = words(1, 4) if links or unnamed else words(1, 40)
+            t = t.rstrip(".!?") or "-" if unnamed else t
+            out.append((Block(t, (*outer, *wrap, *leaf), len(t) if links else 0, None if unnamed else 0.0), 0.0))
 
-    base = ("html", "body")
+    base = ("html", "body", *((), (), ("form",), ("div",), ("div", "div"), ("table", "tr"), ("form", "div"), ("div", ".page", "div", ".wrap"))[rng.integers(8)])
     holder = [("article",), ("main",), ("main", "article"), ("div", "." + ARTICLE_WORDS[rng.integers(len(ARTICLE_WORDS))]),
-              ("section", "." + ARTICLE_WORDS[rng.integers(len(ARTICLE_WORDS))]), ("div",), ("div", ".page", "div"),
-              ("article", "div", "." + ARTICLE_WORDS[rng.integers(len(ARTICLE_WORDS))])][rng.integers(8)]
+              ("section", "." + ARTICLE_WORDS[rng.integers(len(ARTICLE_WORDS))]), ("td", ".content"), ("div", ".page", "div", ".text"),
+              ("article", "div", "." + ARTICLE_WORDS[rng.integers(len(ARTICLE_WORDS))]),
+              ("div", ".main", "div", ".inner", "div", "." + ARTICLE_WORDS[rng.integers(len(ARTICLE_WORDS))])][rng.integers(9)]
+    if unnamed:
+        holder = [("div",), ("section",), ("div", "div"), ("td",), ()][rng.integers(5)]
+    mark = None if unnamed else 1.0
     if rng.random() < 0.7:
-        out.append((Block(words(2, 8), ("html", "head", "title")), 0.0))
+        out.append((Block(words(2, 8), ("html", "head", "title"), 0, 0.0), 0.0))
     for _ in range(int(rng.integers(0, 4))):
         around(base)
-    for b in article:
+    inside = [("section",), ("header",), ("div", ".row")][rng.integers(3)] if rng.random() < 0.3 else ()
+    for k, b in enumerate(article):
         leaf = b.path[-1] if b.path and b.path[-1] in ("h1", "h2", "h3", "p", "b", "li", "blockquote") else "p"
         wrap = ("ul",) if leaf == "li" else ("p",) if leaf == "b" else ()
-        out.append((Block(b.text, (*base, *holder, *wrap, leaf), b.linked), 1.0))
-        if rng.random() < 0.04:
+        extra = inside if inside != ("header",) or (k == 0 and not unnamed) else ()
+        out.append((Block(b.text, (*base, *holder, *extra, *wrap, leaf), b.linked, mark), 1.0))
+        if rng.random() < 0.04 and not unnamed:
             around((*base, *holder))
-    if rng.random() < 0.3:
+    if rng.random() < 0.3 and not unnamed:
         around((*base, *holder))
     for _ in range(int(rng.integers(0, 4))):
         around(base)
@@ -395,13 +474,12 @@ def train(pages: list[str], epochs: int = EPOCHS, seed: int = SEED) -> BiLstm:
     spare = [b.text for p in cut for b in p]
     samples: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for page in cut:
-        marks = [known_label(b.path) for b in page]
-        page = page[:400]   # of a long training page, the first blocks
-        marks = marks[:400]
+        page = page[:TRAIN_BLOCKS]
+        marks = [b.mark for b in page]
         samples.append((vectors(page), np.array([m or 0.0 for m in marks], np.float32),
                         np.array([m is not None for m in marks], np.float32)))
-        article = [b for b, m in zip(page, marks) if m == 1.0][:40]
-        for _ in range(2 if article else 0):
+        article = [b for b in page if b.mark == 1.0][:TRAIN_ARTICLE]
+        for _ in range(3 if article else 0):
             made, y = _variant(rng, article, spare)
             samples.append((vectors(made), np.array(y, np.float32), np.ones(len(y), np.float32)))
     samples.sort(key=lambda s: len(s[0]))
@@ -431,7 +509,7 @@ def training_pages(pages: DataFrame, html_col: str = "html", most: int = TRAIN_P
     hashes = pages.select(F.xxhash64(text).alias("h")).filter(text.isNotNull()).distinct().orderBy("h").limit(most)
     hs = [r["h"] for r in hashes.collect()]
     found = pages.select(text.alias("html"), F.xxhash64(text).alias("h")).filter(F.col("h").isin(hs)).filter(
-        F.col("html").isNotNull()).dropDuplicates(["h"]).select("h", F.substring("html", 1, 100_000).alias("html")).collect()
+        F.col("html").isNotNull()).dropDuplicates(["h"]).select("h", F.substring("html", 1, TRAIN_CHARS).alias("html")).collect()
     return [r["html"] for r in sorted(found, key=lambda r: r["h"])]
 
 

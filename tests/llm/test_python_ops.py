@@ -327,7 +327,7 @@ def test_blocks_of_a_page():
     got = pages.blocks(PAGE)
     assert [b.text for b in got] == ["T & t", "Home", "About us", "Buy this now.", "The title here", "First line <b> of text. and more",
                                      "Second & paragraph of the text, long enough to read.", "Nice article, thanks!", "© site"]
-    assert [pages.known_label(b.path) for b in got] == [0, 0, 0, 0, 1, 1, 1, 0, 0]
+    assert [b.mark for b in got] == [0, 0, 0, 0, 1, 1, 1, 0, 0]
     assert got[1].linked == 4 and got[4].linked == 0
     for t in ("", "<", "a<b", "<p", "<p class='x", "<script>x", "&am", "</p></p>", "<![CDATA[x]]>", "<" * 3000, "<p>" * 3000, "<a " + "'\"" * 999):
         pages.blocks(t)
@@ -352,7 +352,7 @@ def test_outer_marks_reach_the_network_past_many_classes():
     styled = "".join(f'<div class="{" ".join(f"u{k}x{j}" for j in range(15))}">' for k in range(3))
     first = [pages.blocks(f"<{outer}>{styled}text here.") for outer in ("nav", "article")]
     assert all(len(b) == 1 and len(b[0].path) > 40 for b in first)
-    assert [pages.known_label(b[0].path) for b in first] == [0.0, 1.0]
+    assert [b[0].mark for b in first] == [0.0, 1.0]
     for b in first:
         assert all(pages.vectors(b)[0, s] for s in pages._slots(b[0].path[0]))
     assert not np.array_equal(*map(pages.vectors, first))
@@ -389,7 +389,7 @@ def test_extraction_on_pages_not_seen(spark):
     text = {r["page_id"]: r["text"] for r in got}
     wrong = 0
     for r in rows[60:]:
-        want = "\n\n".join(b.text for b in pages.blocks(r["html"]) if pages.known_label(b.path) == 1)
+        want = "\n\n".join(b.text for b in pages.blocks(r["html"]) if b.mark == 1)
         wrong += text[r["page_id"]] != want
     assert wrong <= 2 and len(got) == len(rows) + 5
     assert text[-1] == text[-2] == text[-3] == "" and text[-4] == text[rows[70]["page_id"]]
