@@ -152,9 +152,13 @@ def _sql() -> str:
         "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
         "card": r"[0-9]([\x20-]?[0-9])+",
         "phone": PHONE,
-        "iban": r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}\b",
-        "ssn": r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b",
+        "iban": r"\b(?:{})\b".format("|".join(rf"(?:{'|'.join(cs.split())})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n - 4}}}" for n, cs in IBAN_LENGTHS.items())),
+        "ssn": r"[0-9-]+",
     }
+    # Codes of other letters, between those of known countries.
+    other_iban = r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}\b"
+    # A word boundary is one of letters and digits there.
+    text = {k: "t" for k in KINDS} | {"iban": "translate(t, '_', '~')"}
     d = "regexp_replace(m, '[^0-9]', '', 'g')"
     luhn_sum = (f"list_sum(list_transform(range(length({d})), lambda k: CASE WHEN k % 2 = 0 THEN substr({d}, (length({d}) - k)::INT, 1)::INT "
                 f"ELSE [0,2,4,6,8,1,3,5,7,9][substr({d}, (length({d}) - k)::INT, 1)::INT + 1] END))")
@@ -164,18 +168,30 @@ def _sql() -> str:
         "card": f"length({d}) BETWEEN 13 AND 19 AND {luhn_sum} % 10 = 0",
         "phone": f"length({d}) BETWEEN 9 AND 15",
         "iban": "list_reduce(list_prepend(0, list_transform(string_split(substr(replace(m, ' ', ''), 5) || substr(replace(m, ' ', ''), 1, 4), ''), lambda c: (CASE WHEN c >= 'A' THEN ascii(c) - 55 ELSE ascii(c) - 48 END)::INT)), lambda a, v: (a * (CASE WHEN v > 9 THEN 100 ELSE 10 END) + v) % 97) = 1",
-        "ssn": "true",
+        "ssn": "regexp_full_match(m, '[0-9]{3}-[0-9]{2}-[0-9]{4}')",
     }
+
+    def cut(source: str, pattern: str, gaps: bool = False) -> str:
+        """(rid, t, m, s): matches in pieces (x, from o on) of a relation, or what lies between them."""
+        ms, gs = ("gs", "ms") if gaps else ("ms", "gs")
+        before = f"gs[1:k{'-1' if gaps else ''}]", "ms[1:k-1]"
+        return rf"""
+SELECT rid, t, {ms}[k] m, (o + coalesce(list_sum(list_transform({before[0]}, lambda x: length(x))), 0)
+             + coalesce(list_sum(list_transform({before[1]}, lambda x: length(x))), 0))::BIGINT s
+      FROM (SELECT rid, t, o, ms, gs, unnest(range(1, len({ms}) + 1)) k FROM (
+            SELECT rid, t, o, regexp_extract_all(x, '{pattern}') ms, regexp_split_to_array(x, '{pattern}') gs FROM ({source})))"""
+
+    source = {k: f"SELECT rid, t, {text[k]} x, 0 o FROM d" for k in KINDS}
+    found = {k: cut(source[k], plain[k]) for k in KINDS}
+    between = cut(source["iban"], plain["iban"], gaps=True)
+    found["iban"] += "\nUNION ALL " + cut(f"SELECT rid, t, m x, s o FROM ({between})", other_iban)
     parts = []
     for rank, k in enumerate(KINDS):
         strength, checksum, words = SCORES[k]
         parts.append(rf"""
 SELECT rid, {rank} r, '{k}' kind, s, s + length(m) e, least(1.0, round({strength + checksum} + CASE WHEN regexp_matches(
     substr(t, (greatest(s - {CONTEXT}, 0) + 1)::BIGINT, least(s, {CONTEXT})::BIGINT), '(?i)(^|[^a-z])(?:{words})') THEN 0.2 ELSE 0 END, 2)) score
-FROM (SELECT rid, t, ms[k] m, (coalesce(list_sum(list_transform(gs[1:k], lambda x: length(x))), 0)
-             + coalesce(list_sum(list_transform(ms[1:k-1], lambda x: length(x))), 0))::BIGINT s
-      FROM (SELECT rid, t, ms, gs, unnest(range(1, len(ms) + 1)) k FROM (
-            SELECT rid, t, regexp_extract_all(t, '{plain[k]}') ms, regexp_split_to_array(t, '{plain[k]}') gs FROM d)))
+FROM ({found[k]})
 WHERE {ok[k]}""")
     union = "\nUNION ALL".join(parts)
     counts = ", ".join(f"coalesce(count(*) FILTER (kind = '{k}'), 0)::BIGINT n_{k}" for k in KINDS)

@@ -6,13 +6,13 @@ is a scan and a projection: no shuffle, no user function.
 Defined results: a null or blank text has no word, every measure 0 and fails
 the base rule; equal rows get equal results; an empty table gives an empty one;
 other columns pass through ``measure`` and ``judge`` untouched unless they carry
-a measure's name, in which case the measure replaces them; ``filter_documents``
-returns all of them as they are.
+the name of a measure or of a verdict (``base_failed``, ``failed_rules``, ``kept``),
+which then replaces them; ``filter_documents`` returns all of them as they are.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -65,24 +65,23 @@ class Rule:
         return bad & self.only_if.fails() if self.only_if else bad
 
 
-#: The threshold table: word length, symbols per character, stop-word share, repeated lines.
+#: The threshold table: word length, symbols per character, stop-word share, repeated lines. The last rejects only where
+#: repeated lines are over a fifth of the text's characters as well, so a short title or separator that comes again between
+#: long paragraphs does not.
 RULES = [
     Rule("word_length", "word_chars", "n_words", 1, lo=2, hi=14),
     Rule("symbols", "n_symbols", "word_chars", 100, hi=5),
     Rule("stop_words", "n_stop_words", "n_words", 100, lo=3, least_words=50),
-    Rule("dup_lines", "n_dup_lines", "n_lines", 100, hi=30),
+    Rule("dup_lines", "n_dup_lines", "n_lines", 100, hi=30, only_if=Rule("dup_line_chars", "dup_line_chars", "word_chars", 100, hi=20)),
 ]
-#: The table for filtering: repeated lines reject only where they are over a fifth of the text's characters as well, so a
-#: short title or separator that comes again between long paragraphs does not.
-FILTER_RULES = [replace(r, only_if=Rule("dup_line_chars", "dup_line_chars", "word_chars", 100, hi=20))
-                if r.name == "dup_lines" else r for r in RULES]
 
 
 def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Add the measures as long columns."""
-    kept = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in MEASURES])
-    t = whole(F.col(text_col))
-    staged = kept.withColumn("_w", blank_words(t))
+    # The row's own columns travel as one, so none of them can clash with a working column.
+    row = docs.select(F.struct("*").alias("_doc"), whole(F.col(f"`{text_col}`")).alias("_t"))
+    t = F.col("_t")
+    staged = row.withColumn("_w", blank_words(t))
     n = F.size("_w")
     staged = staged.withColumns({
         "n_words": n.cast("long"),
@@ -112,7 +111,7 @@ def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
     covered = F.aggregate(F.transform("_p", lambda p, k: F.least(
         F.lit(WINDOW), F.coalesce(F.get(F.col("_p"), k + 1) - p, F.lit(WINDOW)))), F.lit(0), lambda a, x: a + x)
     staged = staged.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long"))
-    return staged.drop("_w", "_l", "_h", "_s", "_p")
+    return staged.select(*[F.col(f"_doc.`{c}`") for c in docs.columns if c not in MEASURES], *MEASURES)
 
 
 def judge(measured: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
@@ -128,22 +127,23 @@ def filter_documents(docs: DataFrame) -> DataFrame:
     row = docs.select(F.struct("*").alias("_doc"), F.col("`text`").alias("_text"))   # its columns may have a measure's name
     # The row number (never negative) keeps the filter above the measures: pushed below, it would hold a copy of each of them.
     measured = measure(row, "_text").withColumn("_row", F.monotonically_increasing_id())
-    return judge(measured, FILTER_RULES).filter("kept AND _row >= 0").select("_doc.*")
+    return judge(measured).filter("kept AND _row >= 0").select("_doc.*")
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return judge(measure(docs)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-                                       "base_failed", "kept", "n_lines", "n_stop_words", "failed_rules")
+                                       "base_failed", "kept", "n_lines", "n_stop_words", "dup_line_chars", "failed_rules")
+
+
+def _rule_sql(r: Rule) -> str:
+    tests = ([f"{r.measure} * {r.a} < {r.per} * {r.lo}"] if r.lo is not None else []) + (
+        [f"{r.measure} * {r.a} > {r.per} * {r.hi}"] if r.hi is not None else [])
+    return f"n_words >= {r.least_words} AND ({' OR '.join(tests)})" + (f" AND {_rule_sql(r.only_if)}" if r.only_if else "")
 
 
 def _rules_sql() -> str:
-    parts = []
-    for r in RULES:
-        tests = ([f"{r.measure} * {r.a} < {r.per} * {r.lo}"] if r.lo is not None else []) + (
-            [f"{r.measure} * {r.a} > {r.per} * {r.hi}"] if r.hi is not None else [])
-        parts.append(f"CASE WHEN n_words >= {r.least_words} AND ({' OR '.join(tests)}) THEN '{r.name}' END")
-    return "concat_ws(',', " + ", ".join(parts) + ")"
+    return "concat_ws(',', " + ", ".join(f"CASE WHEN {_rule_sql(r)} THEN '{r.name}' END" for r in RULES) + ")"
 
 
 SQL = {"op5_quality_rules": rf"""
@@ -159,7 +159,9 @@ m AS (SELECT doc_id, len(ws)::BIGINT n_words, length(array_to_string(ws, ''))::B
         length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g'))::BIGINT n_symbols,
         (len(ls) - len(list_distinct(ls)))::BIGINT n_dup_lines, coalesce(c, 0)::BIGINT n_repeat_words,
         len(ls)::BIGINT n_lines,
-        len(list_filter(ws, lambda x: list_contains({ALL_STOP_WORDS!r}, lower(x))))::BIGINT n_stop_words
+        len(list_filter(ws, lambda x: list_contains({ALL_STOP_WORDS!r}, lower(x))))::BIGINT n_stop_words,
+        (length(regexp_replace(array_to_string(ls, ''), '[\x20\x09-\x0D]+', '', 'g'))
+         - length(regexp_replace(array_to_string(list_distinct(ls), ''), '[\x20\x09-\x0D]+', '', 'g')))::BIGINT dup_line_chars
       FROM w LEFT JOIN cov USING (rid)),
 j AS (SELECT *, (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) base_failed, {_rules_sql()} failed_rules FROM m)
 SELECT *, (NOT base_failed AND failed_rules = '') kept FROM j

@@ -3,10 +3,8 @@
 Patterns propose candidates per row (built-in expressions, no shuffle). Each
 candidate's value is hashed, and the whole corpus counts how many owners and
 repositories hold that hash: a value that many owners hold is a copied example,
-one that stays with ``MAX_OWNERS`` owner(s), in at most ``MAX_REPOSITORIES``
-repositories, and looks random is taken as live. Copies count as repositories
-of their own: a value whose row one owner holds in more copies than that is
-shared, so ``n_live`` falls as groups of copies grow.
+one that stays with ``MAX_OWNERS`` owner(s) and looks random is taken as live, in
+however many repositories (copies of one document, say) its owner holds it.
 
 Counting pre-aggregates in three steps (value, owner, repository), (value,
 owner), (value), each with a map-side combine, so a value that a third of all
@@ -44,7 +42,6 @@ FORGE = r"(?<![A-Za-z0-9_])gh[pousr]_[A-Za-z0-9]{30,}+"
 CHAT = r"(?<![A-Za-z0-9])xox[abprs]-[A-Za-z0-9-]{10,}+"
 
 MAX_OWNERS = 1
-MAX_REPOSITORIES = 3
 #: Distinct characters a value needs to look random.
 LEAST_VARIETY = 8
 
@@ -104,7 +101,7 @@ def scan(docs: DataFrame, owner_col: str = "source", repository_col: str = "doc_
         "_key", F.col("_owner").alias("owner"), F.col("_repository").alias("repository"), F.col("s.hash").alias("hash"),
         F.col("s.random").alias("random"), F.col("s.start").alias("start"), F.col("s.rank").alias("rank"))
     counts = ownership(held)
-    live = F.col("random") & (F.col("n_owners") <= MAX_OWNERS) & (F.col("n_repositories") <= MAX_REPOSITORIES)
+    live = F.col("random") & (F.col("n_owners") <= MAX_OWNERS)
     # Equal rows share a key, so their spans meet once.
     verdicts = (held.select("_key", "hash", "random", "start", "rank").distinct().join(counts, "hash")
                 .groupBy("_key").agg(F.count(F.when(live, 1)).alias("n_live"), F.count(F.when(~live, 1)).alias("n_shared")))
@@ -126,28 +123,34 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _sql() -> str:
     head = r"""(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?"""
     plain = {
-        "assign": head + r"[A-Za-z0-9+/_.=-]+", "access": r"AKIA[A-Z0-9]+", "hex": r"[0-9a-f]+", "pem": PEM,
-        "jwt": r"\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}",
+        "assign": head + r"[A-Za-z0-9+/_.=-]+", "access": r"AKIA[A-Z0-9]+", "hex": r"[0-9a-f]+",
+        "pem": rf"{PEM}(?:(?:-{{0,4}}[^-])*{PEM_END}"
+               rf"|(?:{_BREAK}*(?:Proc-Type|DEK-Info):[^\n]*)*(?:{_BREAK}*[A-Za-z0-9+/]{{16,}}=*)*(?:{_BREAK}*[A-Za-z0-9+/]+=+)?)",
+        # One after a hyphen is matched as well, to be dropped.
+        "jwt": r"-eyJ[A-Za-z0-9_-]*|\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}",
         "forge": r"\bgh[pousr]_[A-Za-z0-9]{30,}", "chat": r"\bxox[abprs]-[A-Za-z0-9-]{10,}",
     }
-    value = {k: "m" for k in KINDS} | {"assign": f"regexp_replace(m, '^{head}', '')"}
+    value = {k: "m" for k in KINDS} | {"assign": f"regexp_replace(m, '^{head}', '')",
+                                       "pem": f"regexp_replace(m, '{_BREAK}+|{PEM_END}', '', 'g')"}
+    # A word boundary is one of letters and digits there.
+    text = {k: "t" for k in KINDS} | {"chat": "translate(t, '_', '~')"}
     ok = {k: "true" for k in KINDS} | {
-        "assign": f"length({value['assign']}) >= 12", "access": "length(m) >= 18", "hex": "length(m) >= 16"}
+        "assign": f"length({value['assign']}) >= 12", "access": "length(m) >= 18", "hex": "length(m) >= 16", "jwt": "NOT starts_with(m, '-')"}
     union = "\nUNION ALL".join(rf"""
 SELECT rid, doc_id, source, {r} r, '{k}' kind, s, s + length(m) e, {value[k]} v
 FROM (SELECT rid, doc_id, source, ms[k] m, (coalesce(list_sum(list_transform(gs[1:k], lambda x: length(x))), 0)
              + coalesce(list_sum(list_transform(ms[1:k-1], lambda x: length(x))), 0))::BIGINT s
       FROM (SELECT rid, doc_id, source, ms, gs, unnest(range(1, len(ms) + 1)) k FROM (
-            SELECT rid, doc_id, source, regexp_extract_all(t, '{plain[k]}') ms, regexp_split_to_array(t, '{plain[k]}') gs FROM d
-            WHERE regexp_matches(t, '{plain[k].replace("[0-9a-f]+", "[0-9a-f]{16}")}'))))
+            SELECT rid, doc_id, source, regexp_extract_all({text[k]}, '{plain[k]}') ms, regexp_split_to_array({text[k]}, '{plain[k]}') gs FROM d
+            WHERE regexp_matches({text[k]}, '{plain[k].replace("[0-9a-f]+", "[0-9a-f]{16}")}'))))
 WHERE {ok[k]}""" for r, k in enumerate(KINDS))
     counts = ", ".join(f"count(*) FILTER (kind = '{k}') n_{k}" for k in BASE_KINDS)
     return rf"""
 WITH d AS (SELECT doc_id, source, row_number() OVER () rid, coalesce(text, '') t FROM documents),
 f AS MATERIALIZED ({union}),
-o AS (SELECT v, count(DISTINCT coalesce('s' || source, '')) n_owners, count(DISTINCT (source, doc_id)) n_repositories FROM f GROUP BY v),
+o AS (SELECT v, count(DISTINCT coalesce('s' || source, '')) n_owners FROM f GROUP BY v),
 j AS (SELECT f.*, (kind = 'pem' OR len(list_distinct(string_split(f.v, ''))) >= {LEAST_VARIETY})
-        AND n_owners <= {MAX_OWNERS} AND n_repositories <= {MAX_REPOSITORIES} live FROM f JOIN o USING (v)),
+        AND n_owners <= {MAX_OWNERS} live FROM f JOIN o USING (v)),
 g AS (SELECT rid, {counts}, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, r) spans,
         string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, r) FILTER (r < 3) base,
         count(*) FILTER (live) n_live, count(*) FILTER (NOT live) n_shared FROM j GROUP BY rid)
