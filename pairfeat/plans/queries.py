@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairfeat.functions import sets, text
+from pairfeat.operators import lattice
 from pairfeat.operators import lexical as lex
 from pairfeat.operators import mt as mtf
 from pairfeat.operators import sentvec as sv
@@ -635,3 +636,16 @@ def q_tokenize_lexicon(spark, sf_dir):
                                              F.struct(F.lit("r").alias("side"), F.col("tok_r").alias("tok")))))
     return (sides.select("qid", "side", F.posexplode("tok").alias("p", "t"))
             .select("qid", "side", (F.col("p") + 1).cast("int").alias("pos"), "t.term", "t.postag"))
+
+
+@register("tokenize_lattice")
+def q_tokenize_lattice(spark, sf_dir):
+    """P5 for text without spaces: a lattice model of ``documents`` cuts and tags both texts of every sentence pair, their
+    blanks taken out (no SQL twin: two Viterbi passes; tests hold them against all paths and all tag sequences)."""
+    model_ = lattice.fit(src.corpus_texts(spark, sf_dir).select(text.tokens(F.col("text")).alias("tok")))
+    bare = src.sent_pairs(spark, sf_dir).withColumns({c: F.regexp_replace(c, " +", "") for c in ("ql", "qr")})
+    t = lattice.tokens_from_lattice(bare, model_)
+    sides = t.select("qid", F.inline(F.array(F.struct(F.lit("l").alias("side"), F.col("tok_l").alias("tok")),
+                                             F.struct(F.lit("r").alias("side"), F.col("tok_r").alias("tok")))))
+    return (sides.select("qid", "side", F.posexplode("tok").alias("p", "t"))
+            .select("qid", "side", (F.col("p") + 1).cast("int").alias("pos"), "t.term", "t.postag"))
