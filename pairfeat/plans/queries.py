@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairfeat.functions import sets, text
-from pairfeat.operators import lattice
+from pairfeat.operators import catalogue, lattice
 from pairfeat.operators import lexical as lex
 from pairfeat.operators import mt as mtf
 from pairfeat.operators import sentvec as sv
@@ -25,6 +25,7 @@ from pairfeat.plans import model
 from pairfeat.plans import oracles as O
 from pairfeat.session import scratch_dir
 from pairfeat.sources import lexicon as lexsrc
+from pairfeat.sources import word2vec as w2v
 from pairfeat.streaming import score
 from pairfeat.sources import pairs as src
 
@@ -461,6 +462,19 @@ def fixture_lexicon(spark, sf_dir) -> sv.Lexicon:
     return sv.build_lexicon(wv, wf, persist_to=f"{base}/lexicon")
 
 
+@register("scan_word_vectors", f"""
+WITH t AS (SELECT DISTINCT unnest({O.terms('text')}) AS term FROM documents WHERE text IS NOT NULL)
+SELECT term, i::INTEGER AS dim, {O.r6("('0x' || substr(md5(term), i, 1))::INTEGER / 7.5 - 1.0")} AS value
+FROM t, (SELECT unnest(range(1, {lexsrc.FIXTURE_DIMS + 1})) AS i)""")
+def q_scan_word_vectors(spark, sf_dir):
+    """Word vectors written in the word2vec binary format and read back by ranges of bytes."""
+    path = scratch_dir(spark, "word2vec")
+    w2v.write_word2vec(lexsrc.word_vectors(spark, sf_dir), path)
+    v = w2v.read_word2vec(spark, path, range_bytes=1 << 16)
+    return v.select("term", F.posexplode("vec").alias("p", "x")).select(
+        "term", (F.col("p") + 1).cast("int").alias("dim"), _r6(F.col("x").cast("double")).alias("value"))
+
+
 @register("sif_weighted_mean", O.SIF_MEAN_SQL)
 def q_sif_weighted_mean(spark, sf_dir):
     """I1 step 2: SIF-weighted mean word vector per side, one row per dimension."""
@@ -649,3 +663,9 @@ def q_tokenize_lattice(spark, sf_dir):
                                              F.struct(F.lit("r").alias("side"), F.col("tok_r").alias("tok")))))
     return (sides.select("qid", "side", F.posexplode("tok").alias("p", "t"))
             .select("qid", "side", (F.col("p") + 1).cast("int").alias("pos"), "t.term", "t.postag"))
+
+
+@register("features_all")
+def q_features_all(spark, sf_dir):
+    """The 176 catalogue columns of every sentence pair in one projection (tests hold them against the family queries)."""
+    return catalogue.all_features(src.sent_pairs(spark, sf_dir), fitted_vocabulary(spark, sf_dir))

@@ -117,3 +117,43 @@ def test_murmur_vectors():
                              ("ππππππππ", 0x9747B28C, 0xD58063C1)):
         assert int(murmur3_32(pa.array(["x", text, "yyyyy"]), seed)[1]) & 0xFFFFFFFF == want, text
     assert len(murmur3_32(pa.array([], pa.string()))) == 0
+
+
+def test_all_features_equal_the_families(spark):
+    from pairfeat.operators import catalogue, lexical as lex, mt
+    pairs = src.sent_pairs(spark, SF_SMALL).limit(400)
+    vocab = Q.fitted_vocabulary(spark, SF_SMALL)
+    whole = catalogue.all_features(pairs, vocab)
+    assert len(whole.columns) == 177
+    rows = {r["qid"]: r.asDict() for r in whole.collect()}
+    assert len(rows) == 400
+    for part in (lex.lexical_features(pairs, families=lex.FAMILIES), vec.vector_features(pairs, vocab), mt.mt_features(pairs)):
+        for r in part.collect():
+            assert all(rows[r["qid"]][c] == v for c, v in r.asDict().items())
+    wide = spark.createDataFrame([("1", "a b", "b", "0")], "qid string, ql string, qr string, label string")
+    assert _exchanges(catalogue.all_features(wide, vocab)) == 0
+
+
+@pytest.mark.parametrize("end", [b"\n", b""])
+def test_word2vec_round_trip(spark, tmp_path, end):
+    """One file with and without line ends, read by ranges that begin anywhere; numbers hold every byte."""
+    from pairfeat.sources import word2vec as w2v
+    rng = np.random.default_rng(1)
+    terms = [f"wort{k}" if k % 3 else f"é{k}😀" for k in range(500)] + ["a", "123", "x" * 900]
+    vecs = (rng.normal(size=(len(terms), 25)) * 10.0 ** rng.integers(-20, 3, (len(terms), 1))).astype("<f4")
+    vecs[7] = np.frombuffer(b" \n a" * 25, "<f4")     # numbers that look like ends of terms
+    path = tmp_path / "v.bin"
+    path.write_bytes(f"{len(terms)} 25\n".encode() + b"".join(t.encode() + b" " + v.tobytes() + end for t, v in zip(terms, vecs)))
+    for size in (97, 1000, 1 << 20):
+        got = {r["term"]: r["vec"] for r in w2v.read_word2vec(spark, str(path), size).collect()}
+        assert list(map(len, (got, terms))) == [len(terms)] * 2
+        assert all(np.array_equal(np.array(got[t], "<f4"), v) for t, v in zip(terms, vecs))
+
+
+def test_word2vec_folder(spark):
+    from pairfeat.session import scratch_dir
+    from pairfeat.sources import word2vec as w2v
+    rows = [(f"t{k}", [float(k), 0.5]) for k in range(50)] + [(None, [1.0, 2.0]), ("a b", [1.0, 2.0]), ("", [1.0, 2.0])]
+    path = scratch_dir(spark, "w2v")
+    w2v.write_word2vec(spark.createDataFrame(rows, "term string, vec array<double>").repartition(4), path)
+    assert sorted(map(tuple, w2v.read_word2vec(spark, path, 64).collect())) == sorted(rows[:50])
