@@ -43,34 +43,96 @@ def ascii_lower(text: Column) -> Column:
     return out
 
 
+#: Pairs that a fold walks at a time: arrays grow by copying, so longer folds would take the square of their length.
+SLICE = 256
+#: Code points of a block of text; places in a text are found by their block.
+BLOCK = 4096
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, also where lambdas in it come back to the value."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def sliced(arr: Column) -> Column:
+    """An array cut into arrays of ``SLICE``; one empty array for an empty one."""
+    return let(arr, lambda a: F.transform(
+        F.sequence(F.lit(0), F.greatest(F.floor((F.size(a) - 1) / F.lit(SLICE)).cast("int"), F.lit(0))),
+        lambda k: F.slice(a, k * SLICE + 1, F.lit(SLICE))))
+
+
+def before_each(values: Column, zero: Column, join: Callable[[Column, Column], Column], kind: str) -> Column:
+    """For each value of a short array, all values before it joined from ``zero`` on."""
+    return F.aggregate(values, F.struct(zero.alias("now"), F.array().cast(f"array<{kind}>").alias("out")),
+                       lambda acc, x: F.struct(join(acc["now"], x).alias("now"), F.concat(acc["out"], F.array(acc["now"])).alias("out")),
+                       lambda acc: acc["out"])
+
+
 def spans(text: Column, pattern: str, guard: Column | None = None,
-          keep: Callable[[Column], Column] | None = None, value: Callable[[Column], Column] | None = None) -> Column:
+          keep: Callable[[Column], Column] | None = None, value: Callable[[Column], Column] | None = None,
+          context: int = 0) -> Column:
     """Leftmost non-overlapping matches of ``pattern`` as (start, end, value), in order.
 
     Spark has no function for match positions. The text between matches comes
     from ``split`` and the matches from ``regexp_extract_all``; running lengths
-    of the two give the offsets. ``keep`` drops failing matches after they have
-    taken their place (no retries). ``guard`` is a cheap necessary condition;
-    without it (or where it holds) ``rlike`` decides whether to cut at all.
+    of the two give the offsets, slice by slice. ``keep`` drops failing matches
+    after they have taken their place (no retries). ``context``: spans also carry
+    ``before``, so many characters before them. ``guard`` is a cheap necessary
+    condition; without it (or where it holds) ``rlike`` decides whether to cut at all.
     Patterns must be possessive where a group repeats: Java's matcher recurses
     on other repeated groups and would overflow its stack on long runs.
     """
-    gaps = F.transform(F.split(text, pattern, -1), lambda g: F.length(g))
-    pairs = F.zip_with(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), gaps,
+    pairs = F.zip_with(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1),
                        lambda m, g: F.struct(m.alias("m"), g.alias("gap")))
-    none = F.array().cast(SPAN)
-
-    def step(acc: Column, x: Column) -> Column:
-        m, start = x["m"], acc["pos"] + x["gap"]
-        end = start + F.length(m)
-        one = F.array(F.struct(start.alias("start"), end.alias("end"), (value(m) if value else m).alias("value")))
-        ok = m.isNotNull() & (keep(m) if keep else F.lit(True))
-        return F.struct(F.coalesce(end, acc["pos"]).alias("pos"),
-                        F.when(ok, F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
+    kind = SPAN if not context else "array<struct<start:int,end:int,value:string,before:string>>"
+    none = F.array().cast(kind)
+
+    def all_of(p: Column) -> Column:
+        return F.concat(p["gap"], F.coalesce(p["m"], F.lit("")))
+
+    def tail(x: Column) -> Column:
+        return F.substring(x, -context, context)
+
+    def cut(first: Column, seen: Column, slice_: Column) -> Column:
+        """The spans of a slice that begins at ``first``; ``seen`` ends with the characters before it."""
+        def step(acc: Column, x: Column) -> Column:
+            start = acc["pos"] + F.length(x["gap"])
+            end = start + F.length(x["m"])
+            fields = [start.alias("start"), end.alias("end"), (value(x["m"]) if value else x["m"]).alias("value")]
+            if context:
+                fields.append(tail(F.concat(acc["seen"], x["gap"])).alias("before"))
+            ok = x["m"].isNotNull() & (keep(x["m"]) if keep else F.lit(True))
+            return F.struct(F.coalesce(end, acc["pos"]).alias("pos"),
+                            F.when(ok, F.concat(acc["out"], F.array(F.struct(*fields)))).otherwise(acc["out"]).alias("out"),
+                            *([tail(F.concat(acc["seen"], all_of(x))).alias("seen")] if context else []))
+
+        zero = [first.alias("pos"), none.alias("out"), *([seen.alias("seen")] if context else [])]
+        return F.aggregate(slice_, F.struct(*zero), step, lambda acc: acc["out"])
+
+    def whole_cut(parts: Column) -> Column:
+        sizes = F.transform(parts, lambda part: F.aggregate(
+            part, F.lit(0), lambda acc, p: acc + F.length(p["gap"]) + F.coalesce(F.length(p["m"]), F.lit(0))))
+        firsts = before_each(sizes, F.lit(0), lambda now, x: now + x, "int")
+        # A slice holds more characters than any context, one match each at least.
+        ends = F.transform(parts, lambda part: tail(F.array_join(F.transform(
+            F.slice(part, F.greatest(F.size(part) - context, F.lit(0)) + 1, F.lit(context + 1)), all_of), ""))) if context else None
+        return let(F.struct(firsts.alias("firsts"), *([ends.alias("ends")] if context else [])), lambda v: F.flatten(F.transform(
+            parts, lambda part, k: cut(F.get(v["firsts"], k), F.coalesce(F.get(v["ends"], k - 1), F.lit("")) if context else F.lit(""), part))))
 
-    cut = F.aggregate(pairs, F.struct(F.lit(0).alias("pos"), none.alias("out")), step, lambda acc: acc["out"])
     test = text.rlike(pattern) if guard is None else guard & text.rlike(pattern)
-    return F.when(test, cut).otherwise(none)
+    return F.when(test, let(sliced(pairs), whole_cut)).otherwise(none)
+
+
+def blocks(text: Column) -> Column:
+    """A text in blocks of ``BLOCK`` code points."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+
+
+def between(blocks_col: Column, start: Column, end: Column) -> Column:
+    """Characters ``start`` to ``end`` of a text in blocks, without a walk from its beginning."""
+    first, last = F.floor(start / BLOCK).cast("int"), F.floor((end - 1) / BLOCK).cast("int")
+    inside = F.array_join(F.slice(blocks_col, first + 1, F.greatest(last - first + 1, F.lit(0))), "")
+    return F.when(end > start, F.substring(inside, start - first * BLOCK + 1, end - start)).otherwise(F.lit(""))
 
 
 def digits(text: Column) -> Column:

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairfeat.llm.native import count_kind, digits, joined, luhn, mod97, spans, whole
+from pairfeat.llm.native import before_each, between, blocks, count_kind, digits, joined, let, luhn, mod97, sliced, spans, whole
 
 KINDS = ["email", "ip", "card", "phone", "iban", "ssn"]
 BASE_KINDS = KINDS[:4]
@@ -78,12 +78,11 @@ def _iban_ok(m: Column) -> Column:
     return mod97(F.replace(m, F.lit(" "), F.lit("")))
 
 
-def _scored(text: Column, kind: str, found: Column) -> Column:
+def _scored(kind: str, found: Column) -> Column:
     strength, checksum, words = SCORES[kind]
 
     def one(s: Column) -> Column:
-        before = F.substring(text, F.greatest(s["start"] - CONTEXT, F.lit(0)) + 1, F.least(s["start"], F.lit(CONTEXT)))
-        near = before.rlike(rf"(?i)(?<![a-z])(?:{words})")
+        near = s["before"].rlike(rf"(?i)(?<![a-z])(?:{words})")
         score = F.round(F.lit(strength + checksum) + F.when(near, F.lit(0.2)).otherwise(F.lit(0.0)), 2)
         return F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"),
                         F.least(score, F.lit(1.0)).alias("score"))
@@ -98,15 +97,15 @@ def find(docs: DataFrame, text_col: str = "text", out: str = "pii") -> DataFrame
     t = whole(F.col(text_col))
     two_digits = t.rlike("[0-9]{2}")
     raw = {
-        "email": spans(t, EMAIL, t.contains("@")),
-        "ip": spans(t, IP, t.rlike(r"[0-9]\.[0-9]"), _ip_ok),
-        "card": spans(t, CARD, t.rlike("[0-9][ -]?[0-9]"), _card_ok),
-        "phone": spans(t, PHONE, t.contains("+"), _phone_ok),
-        "iban": spans(t, IBAN, two_digits, _iban_ok),
-        "ssn": spans(t, SSN, two_digits),
+        "email": spans(t, EMAIL, t.contains("@"), context=CONTEXT),
+        "ip": spans(t, IP, t.rlike(r"[0-9]\.[0-9]"), _ip_ok, context=CONTEXT),
+        "card": spans(t, CARD, t.rlike("[0-9][ -]?[0-9]"), _card_ok, context=CONTEXT),
+        "phone": spans(t, PHONE, t.contains("+"), _phone_ok, context=CONTEXT),
+        "iban": spans(t, IBAN, two_digits, _iban_ok, context=CONTEXT),
+        "ssn": spans(t, SSN, two_digits, context=CONTEXT),
     }
     staged = kept.withColumns({f"_{k}": v for k, v in raw.items()})
-    return staged.withColumn(out, F.concat(*[_scored(t, k, F.col(f"_{k}")) for k in KINDS])).drop(*[f"_{k}" for k in KINDS])
+    return staged.withColumn(out, F.concat(*[_scored(k, F.col(f"_{k}")) for k in KINDS])).drop(*[f"_{k}" for k in KINDS])
 
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -121,15 +120,25 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
         "_pii", F.sort_array(F.transform("_pii", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))))
     t = F.col("_t")
 
-    def step(acc: Column, s: Column) -> Column:
-        fresh = s["start"] >= acc["pos"]
-        gap = F.substring(t, acc["pos"] + 1, s["start"] - acc["pos"])
-        return F.struct(
-            F.greatest(acc["pos"], s["end"]).alias("pos"),
-            F.when(fresh, F.concat(acc["out"], gap, F.lit("<"), F.upper(s["kind"]), F.lit(">"))).otherwise(acc["out"]).alias("out"))
-
-    cut = F.aggregate("_pii", F.struct(F.lit(0).alias("pos"), F.lit("").alias("out")), step,
-                      lambda acc: F.concat(acc["out"], F.substring(t, acc["pos"] + 1, F.length(t))))
+    def fresh(part: Column, pos: Column) -> Column:
+        """Spans of a slice that begin at or after all ends before them, each with the place where its gap begins."""
+        def step(acc: Column, s: Column) -> Column:
+            one = F.array(F.struct(acc["pos"].alias("from"), s["start"].alias("start"), s["kind"].alias("kind")))
+            return F.struct(F.greatest(acc["pos"], s["end"]).alias("pos"),
+                            F.when(s["start"] >= acc["pos"], F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
+
+        none = F.array().cast("array<struct<from:int,start:int,kind:string>>")
+        return F.aggregate(part, F.struct(pos.alias("pos"), none.alias("out")), step, lambda acc: acc["out"])
+
+    def replaced(v: Column) -> Column:
+        ends = F.transform(v["parts"], lambda part: F.coalesce(F.array_max(F.transform(part, lambda s: s["end"])), F.lit(0)))
+        starts = before_each(ends, F.lit(0), lambda now, x: F.greatest(now, x), "int")
+        pieces = let(starts, lambda ps: F.flatten(F.transform(v["parts"], lambda part, k: F.transform(
+            fresh(part, F.get(ps, k)), lambda s: F.concat(between(v["blocks"], s["from"], s["start"]), F.lit("<"), F.upper(s["kind"]), F.lit(">"))))))
+        last = F.array_max(ends)
+        return F.concat(F.array_join(pieces, ""), between(v["blocks"], last, F.length(t)))
+
+    cut = let(F.struct(sliced(F.col("_pii")).alias("parts"), blocks(t).alias("blocks")), replaced)
     done = staged.select("_doc", F.when(F.size("_pii") > 0, cut).otherwise(t).alias("_t"))
     return done.select(*[F.col("_t").alias(c) if c == text_col else F.col(f"_doc.`{c}`") for c in docs.columns])
 
