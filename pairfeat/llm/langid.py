@@ -8,8 +8,10 @@ the smallest result names the language. Where the two smallest are closer than
 training rows, then to the alphabet.
 
 Training takes at most ``TEXTS`` distinct texts a language, the first by a hash
-of the text, and ``CHARS`` characters of each from a place that the hash names.
-That bound is on the dictionaries alone; every text is compressed whole.
+of the text, and ``CHARS`` characters of each from a place that the hash names, of
+the ``LANGUAGES`` languages with most rows (ties: alphabet). These bounds are on
+the dictionaries alone; every text is compressed whole. As the chosen hashes are
+so bounded, they are broadcast, and only the chosen pieces are shuffled.
 
 Defined results: null text or one without a letter is ``und`` with score 0; so is
 every text where no row is labelled; equal texts get equal results; an empty
@@ -28,6 +30,7 @@ from pyspark.sql import functions as F
 
 TEXTS = 512
 CHARS = 1024
+LANGUAGES = 256
 LEVEL = 9
 #: Parts of the hashes' range by which training texts are chosen.
 SHARES = 1 << 20
@@ -50,20 +53,21 @@ def held_out(id_col: str) -> Column:
 
 
 def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", texts: int = TEXTS,
-          chars: int = CHARS) -> list[tuple[str, bytes]]:
+          chars: int = CHARS, languages: int = LANGUAGES) -> list[tuple[str, bytes]]:
     """(language, dictionary), most frequent language first. At most ``texts * chars`` characters a language reach the driver."""
     rows = labelled.select(F.col(f"`{lang_col}`").alias("lang"), F.col(f"`{text_col}`").alias("text")).filter(
         "lang IS NOT NULL AND text IS NOT NULL AND lang <> '" + UNKNOWN + "'").withColumn("h", F.xxhash64("text"))
     # Hashes first, without the texts; copies of a text have one hash and count once.
     hashes = rows.groupBy("lang", "h").agg(F.count(F.lit(1)).alias("n"))
-    totals = hashes.groupBy("lang").agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("distinct"))
+    totals = hashes.groupBy("lang").agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("distinct")).orderBy(
+        F.desc("rows"), "lang").limit(languages)
     counts = {r["lang"]: r["rows"] for r in totals.collect()}
     # About four times the wanted number, by a share of the hash's range; then exactly the first of those.
-    near = hashes.join(totals, "lang").filter(F.pmod("h", F.lit(SHARES)) < F.lit(4.0 * texts * SHARES) / F.col("distinct"))
+    near = hashes.join(F.broadcast(totals), "lang").filter(F.pmod("h", F.lit(SHARES)) < F.lit(4.0 * texts * SHARES) / F.col("distinct"))
     order = Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(SHARES)), "h")
     first = near.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= texts)
     at = F.pmod("h", F.greatest(F.length("text") - chars, F.lit(1))).cast("int") + 1
-    chosen = rows.join(first.select("lang", "h"), ["lang", "h"], "left_semi").select(
+    chosen = rows.join(F.broadcast(first.select("lang", "h")), ["lang", "h"], "left_semi").select(
         "lang", "h", F.substring("text", at, F.lit(chars)).alias("piece")).dropDuplicates(["lang", "h"]).orderBy("lang", "h").collect()
     content: dict[str, list[str]] = {}
     for r in chosen:

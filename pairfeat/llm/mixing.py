@@ -19,7 +19,8 @@ one row each: their table is aggregated first and its size is their number.
 Defined results: null text has size 0 and is never taken; a null source is a
 source of its own, ordered last; repeated rows (same id) each have a place of
 their own; an empty table gives an empty one; other columns are ignored by
-``plan`` and kept by ``mix``. ``mix`` has no order; ``mix_in_order`` gives the schedule's.
+``plan`` and kept by ``mix``, whose rows come in the schedule's order;
+``mix_in_order`` shows it.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pairfeat.llm.native import blank_words, whole
+from pairfeat.llm.native import blank_words, content, whole
 from pairfeat.session import scratch_dir
 
 CAP = 3
@@ -36,6 +37,8 @@ SEED = "mix-1"
 BUCKETS = 512
 #: Slots of the schedule (a power of two); a block is the budget divided by them.
 SLOTS = 1 << 16
+#: More than that where this many a source take it.
+SLOTS_PER_SOURCE = 64
 
 
 def default_weight(rank: Column) -> Column:
@@ -49,7 +52,7 @@ def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     key = F.md5(F.concat_ws("|", F.lit(SEED), F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit(""))))
     out = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{source_col}`").alias("source"),
                       F.size(blank_words(whole(text))).cast("long").alias("size"),
-                      key.alias("order"), F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias("tie"))
+                      key.alias("order"), F.xxhash64(*content(docs)).alias("tie"))
     path = scratch_dir(docs.sparkSession, "mix")
     out.write.parquet(path)
     return docs.sparkSession.read.parquet(path)
@@ -119,7 +122,8 @@ def schedule(spark: SparkSession, goals: DataFrame, slots: int = SLOTS) -> DataF
         F.floor(F.col("low") / per).cast("long"), F.least(F.floor(F.col("high") / per).cast("long"), F.lit(cells - 1)))))
     points = spark.range(slots).select(F.col("id").alias("slot"), _point(F.col("id"), bits).alias("point")).withColumn(
         "cell", F.floor(F.col("point") / per).cast("long"))
-    drawn = points.join(spread, "cell").filter("point >= low AND point < high")
+    at = F.col("point").cast("decimal(38,0)") * F.col("budget")
+    drawn = points.join(spread, "cell").filter((at >= F.col("lo") * slots) & (at < (F.col("lo") + F.col("goal")) * slots))
     rank = Window.partitionBy("source").orderBy("slot")
     ranked = drawn.withColumn("block", F.row_number().over(rank).cast("long") - 1).select("slot", "source", "block", "goal", "block_size")
     # Blocks that discrepancy left short go to the end; their number is bounded by it, not by the data.
@@ -144,6 +148,8 @@ def _drawn(docs: DataFrame, id_col: str, text_col: str, source_col: str, weight=
     path = scratch_dir(spark, "goals")
     goal.write.parquet(path)
     goal = spark.read.parquet(path)
+    # Sources get points in proportion to their goals: with many sources there must be many points.
+    slots = max(slots, 1 << (goal.count() * SLOTS_PER_SOURCE - 1).bit_length())
     blocks = schedule(spark, goal, slots)
     docs_at = laid_out(sizes)
     joined = docs_at.alias("d").join(goal.alias("g"), F.col("d.source").eqNullSafe(F.col("g.source"))).select(
@@ -165,36 +171,23 @@ def _drawn(docs: DataFrame, id_col: str, text_col: str, source_col: str, weight=
 
 def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weight=default_weight,
          cap: int = CAP, slots: int = SLOTS) -> DataFrame:
-    """``id, source, size, tie, order, source_size, target, taken`` of every row: the words that the schedule takes of it."""
+    """``id, source, size, tie, order, source_size, target, taken, first_slot`` of every row: the words that the schedule
+    takes of it, and the first slot that does (null where none does)."""
     joined, hit = _drawn(docs, id_col, text_col, source_col, weight, cap, slots)
     # A source's offset names one document that has words.
-    drawn = hit.groupBy("source", "offset").agg(F.sum("n").alias("taken"))
+    drawn = hit.filter("n > 0").groupBy("source", "offset").agg(F.sum("n").alias("taken"), F.min("slot").alias("first_slot"))
     done = joined.alias("j").join(drawn.alias("t"), F.col("j.source").eqNullSafe(F.col("t.source"))
                                   & (F.col("j.offset") == F.col("t.offset")) & (F.col("j.size") > 0), "left")
     return done.select("j.id", "j.source", "j.size", "j.tie", "j.order", "j.source_size", "j.target",
-                       F.coalesce("t.taken", F.lit(0)).cast("long").alias("taken"))
+                       F.coalesce("t.taken", F.lit(0)).cast("long").alias("taken"), F.col("t.first_slot").cast("long").alias("first_slot"))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The mix itself, with the columns of ``docs``: a document once for each time it is taken whole, and the words
-    of a last part. ``n_chars``, where there is such a column, follows the text. Equal rows share their draws."""
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    taken = plan(docs, id_col, text_col, source_col).filter("taken > 0").groupBy("order", "tie").agg(
-        F.sum("taken").alias("_taken"), F.first("size").alias("_size"))
-    key = F.md5(F.concat_ws("|", F.lit(SEED), F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit(""))))
-    # The row's own columns travel as one, so none of them can clash with a working column.
-    keyed = docs.select(F.struct("*").alias("_doc"), key.alias("order"), F.xxhash64(*columns).alias("tie"))
-    joined = keyed.join(taken, ["order", "tie"]).dropDuplicates(["order", "tie"])
-    whole_copies = F.floor(F.col("_taken") / F.col("_size")).cast("int")
-    rest = (F.col("_taken") % F.col("_size")).cast("int")
-    text = F.col(f"_doc.`{text_col}`")
-    part = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++"), F.lit(0)), 1, rest), "")
-    texts = F.concat(F.array_repeat(text, whole_copies), F.when(rest > 0, F.array(part)).otherwise(F.array().cast("array<string>")))
-    out = joined.select("_doc", F.explode(texts).alias("_text"))
-    new = {text_col: F.col("_text")}
-    if "n_chars" in docs.columns:
-        new["n_chars"] = F.length("_text").cast(docs.schema["n_chars"].dataType)
-    return out.select(*[new[c].alias(c) if c in new else F.col(f"_doc.`{c}`") for c in docs.columns])
+    """The mix itself, in the order of the schedule, with the columns of ``docs``: a document once for each time it is
+    taken whole, and the words of a last part. ``n_chars``, where there is such a column, follows the text. Equal rows
+    share their draws. Rows are range-partitioned by slot, so every part file is a stretch of the schedule."""
+    rows, columns = _ordered(docs, id_col, text_col, source_col, SLOTS)
+    return rows.orderBy("_at").select(*columns)
 
 
 def mix_in_order(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
@@ -203,6 +196,12 @@ def mix_in_order(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     By ``slot, block`` every stretch from the start holds the sources near their weights, to one document of each.
     """
+    rows, columns = _ordered(docs, id_col, text_col, source_col, slots)
+    return rows.select(*columns, F.col("_at.slot").alias("slot"), F.col("_at.block").alias("block"))
+
+
+def _ordered(docs: DataFrame, id_col: str, text_col: str, source_col: str, slots: int) -> tuple[DataFrame, list[Column]]:
+    """Rows of the mix with ``_at`` (slot and block that first take of each), and the columns of ``docs`` in them."""
     joined, hit = _drawn(docs, id_col, text_col, source_col, slots=slots)
     first = F.min(F.struct("slot", "block"))
     copies = hit.filter("n > 0").groupBy("source", "offset", "from").agg(F.sum("n").alias("_n"), first.alias("_at"))
@@ -210,21 +209,22 @@ def mix_in_order(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                                   & (F.col("j.offset") == F.col("t.offset")) & (F.col("j.size") > 0)).select(
         "j.order", "j.tie", F.col("j.size").alias("_size"), "t._n", "t._at")
     key = F.md5(F.concat_ws("|", F.lit(SEED), F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit(""))))
+    # The row's own columns travel as one, so none of them can clash with a working column.
     keyed = docs.select(F.struct("*").alias("_doc"), key.alias("order"),
-                        F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias("tie")).dropDuplicates(["order", "tie"])
+                        F.xxhash64(*content(docs)).alias("tie")).dropDuplicates(["order", "tie"])
     text = F.col(f"_doc.`{text_col}`")
     part = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++"), F.lit(0)), 1, F.col("_n").cast("int")), "")
     out = keyed.join(held, ["order", "tie"]).withColumn("_text", F.when(F.col("_n") < F.col("_size"), part).otherwise(text))
     new = {text_col: F.col("_text")}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.length("_text").cast(docs.schema["n_chars"].dataType)
-    return out.select(*[new[c].alias(c) if c in new else F.col(f"_doc.`{c}`") for c in docs.columns],
-                      F.col("_at.slot").alias("slot"), F.col("_at.block").alias("block"))
+    return out, [new[c].alias(c) if c in new else F.col(f"_doc.`{c}`") for c in docs.columns]
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
-    return plan(docs).select(F.col("id").alias("doc_id"), "size", "source_size", F.round("target", 6).alias("target"), "taken", "source")
+    return plan(docs).select(F.col("id").alias("doc_id"), "size", "source_size", F.round("target", 6).alias("target"), "taken", "source",
+                             "first_slot")
 
 
 SQL = {"op7_mixing": rf"""
@@ -236,9 +236,18 @@ f AS (SELECT *, (sum(z) OVER () - coalesce(sum(z * {CAP}) OVER b, 0)) / (sum(w)
       WINDOW b AS (ORDER BY z * {CAP} / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 t AS (SELECT source, z, CASE WHEN z * {CAP} <= lev * w THEN (z * {CAP})::DOUBLE ELSE w * arg_min(lev, z * {CAP} / w) FILTER (z * {CAP} > lev * w) OVER () END target FROM f),
 o AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY ('0x' || substr(ord, 1, 6))::INT % {BUCKETS}, ord
-             ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) off FROM d)
+             ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT off FROM d),
+-- Van der Corput points (the bits of a slot in reverse) in the sources' stretches of the budget, ranked per source: {SLOTS} slots for up to {SLOTS // SLOTS_PER_SOURCE} sources.
+q AS (SELECT i slot, list_sum(list_transform(range({SLOTS.bit_length() - 1}), lambda b: ((i >> b) & 1) << ({SLOTS.bit_length() - 2} - b)))::HUGEINT p
+      FROM (SELECT unnest(range({SLOTS})) i)),
+c AS (SELECT source, floor(target + 0.5)::HUGEINT goal, (coalesce(sum(floor(target + 0.5)) OVER (ORDER BY source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING
+             AND 1 PRECEDING), 0))::HUGEINT lo, (sum(floor(target + 0.5)) OVER ())::HUGEINT budget FROM t),
+k AS (SELECT source, slot, row_number() OVER (PARTITION BY source ORDER BY slot) - 1 block FROM q JOIN c
+      ON p * budget >= lo * {SLOTS} AND p * budget < (lo + goal) * {SLOTS})
 SELECT doc_id, size, z source_size, round(target, 6) target,
-       list_sum(list_transform(range({CAP}), lambda e: greatest(least(e * z + off + size, floor(target + 0.5)) - (e * z + off), 0)))::BIGINT taken, o.source
-FROM o JOIN t ON o.source IS NOT DISTINCT FROM t.source
+       list_sum(list_transform(range({CAP}), lambda e: greatest(least(e * z + off + size, floor(target + 0.5)) - (e * z + off), 0)))::BIGINT taken, o.source,
+       CASE WHEN size > 0 AND off < floor(target + 0.5) THEN coalesce(k.slot, {SLOTS}) END::BIGINT first_slot
+FROM o JOIN t ON o.source IS NOT DISTINCT FROM t.source CROSS JOIN (SELECT greatest(ceil(sum(floor(target + 0.5)) / {SLOTS}), 1)::BIGINT bs FROM t)
+LEFT JOIN k ON k.source IS NOT DISTINCT FROM o.source AND k.block = off // bs
 """}
 QUERIES = {"op7_mixing": op7_mixing}

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Fixed value: the characters of [\x20\x09-\x0D].
@@ -16,6 +16,15 @@ BLANKS = " \t\n\x0b\x0c\r"
 SPAN = "array<struct<start:int,end:int,value:string>>"
 
 
+def content(df: DataFrame) -> list[Column]:
+    """All columns of ``df`` in a form that hashes take: maps as JSON, and a mark for each null, which hashes skip."""
+    out: list[Column] = []
+    for f in df.schema.fields:
+        c = F.col(f"`{f.name}`")
+        out += [F.to_json(F.struct(c)) if "map<" in f.dataType.simpleString() else c, c.isNull()]
+    return out
+
+
 def whole(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 

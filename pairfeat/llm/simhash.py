@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from pairfeat.llm.blocks import by_group, deal
 from pairfeat.llm.components import components
+from pairfeat.llm.native import content
 from pairfeat.session import scratch_dir
 
 SHINGLE = 3
@@ -181,7 +182,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 max_bits: int = MAX_BITS) -> DataFrame:
     """One row of each component, with the columns of ``docs``: smallest id (null last), then row hashes; equal rows are one."""
     spark = docs.sparkSession
-    columns = [F.col(f"`{c}`") for c in docs.columns]
+    columns = content(docs)
     # The row's own columns travel as one, so none of them can clash with a working column.
     keyed = docs.select(F.struct("*").alias("_doc"), F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_t"),
                         F.xxhash64(*columns).alias("_k1"), F.hash(*columns).alias("_k2"))

@@ -315,6 +315,27 @@ def test_mix_in_the_order_of_the_schedule(spark):
             assert all(abs(so_far[x] - seen * total[x] / budget) <= 3 * 12 + 0.01 * budget for x in total), seen
 
 
+def test_map_columns_and_nulls_that_change_places(spark):
+    """Rows with a map column go through, and rows that differ only in which column is null stay apart."""
+    rows = [(1, "a b c d", "s", {"k": 1}, None, 5), (1, "a b c d", "s", {"k": 1}, 5, None), (2, None, None, None, 1, 1), (3, "e f", "t", {}, 1, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, m map<string,int>, x int, y int")
+    mixed = mixing.mix(docs).collect()
+    assert mixed and all(r["m"] is not None and r["doc_id"] in (1, 3) for r in mixed)
+    assert len({r["tie"] for r in mixing.sized(docs).collect()}) == 4
+    assert len(simhash.deduplicate(docs).collect()) == 3
+
+
+def test_schedule_grows_with_the_sources(spark):
+    """More sources than the least number of slots allows: still every stretch is near the weights."""
+    docs = spark.createDataFrame([(i, "w " * 40, f"s{i % 600:03d}") for i in range(1800)], "doc_id long, text string, source string")
+    rows = sorted(mixing.mix_in_order(docs, slots=1 << 10).collect(), key=lambda r: (r["slot"], r["block"]))
+    assert max(r["slot"] for r in rows) >= 1 << 12
+    early = {r["source"] for r in rows[:600]}
+    assert len(early) > 350
+    whole = [r["source"] for r in mixing.mix(docs).collect()]
+    assert sorted(whole) == sorted(r["source"] for r in rows)
+
+
 # ---- op10 ----
 
 PAGE = """<!DOCTYPE html><html><head><title>T &amp; t</title><style>p{x}</style><script>var t="</p><p>no</p>";</script></head>
