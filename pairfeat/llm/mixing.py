@@ -76,8 +76,8 @@ def targets(sizes: DataFrame, weight=default_weight, cap: int = CAP) -> DataFram
             .withColumn("w_left", F.sum("w").over(everything) - F.coalesce(F.sum("w").over(before), F.lit(0.0)))
             .withColumn("level", F.col("left") / F.col("w_left"))
             .withColumn("capped", F.col("source_size") * cap <= F.col("level") * F.col("w")))
-    # Once one is not capped, no later one is: the level of the first of them holds for all.
-    level = F.min(F.when(~F.col("capped"), F.struct((F.col("source_size") * cap / F.col("w")).alias("o"), F.col("level").alias("level")))).over(everything)["level"]
+    # Once one is not capped, no later one is, and their levels only fall: that of the first of them, the largest, holds for all.
+    level = F.max(F.when(~F.col("capped"), F.col("level"))).over(everything)
     return full.withColumn("target", F.when(F.col("capped"), (F.col("source_size") * cap).cast("double")).otherwise(
         level * F.col("w"))).select("source", "source_size", "target")
 
@@ -234,7 +234,7 @@ s AS (SELECT source, sum(size)::BIGINT z FROM d GROUP BY source),
 r AS (SELECT *, ((row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 + 1)::DOUBLE w FROM s),
 f AS (SELECT *, (sum(z) OVER () - coalesce(sum(z * {CAP}) OVER b, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER b, 0)) lev FROM r
       WINDOW b AS (ORDER BY z * {CAP} / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-t AS (SELECT source, z, CASE WHEN z * {CAP} <= lev * w THEN (z * {CAP})::DOUBLE ELSE w * arg_min(lev, z * {CAP} / w) FILTER (z * {CAP} > lev * w) OVER () END target FROM f),
+t AS (SELECT source, z, CASE WHEN z * {CAP} <= lev * w THEN (z * {CAP})::DOUBLE ELSE w * max(lev) FILTER (z * {CAP} > lev * w) OVER () END target FROM f),
 o AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY ('0x' || substr(ord, 1, 6))::INT % {BUCKETS}, ord
              ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT off FROM d),
 -- Van der Corput points (the bits of a slot in reverse) in the sources' stretches of the budget, ranked per source: {SLOTS} slots for up to {SLOTS // SLOTS_PER_SOURCE} sources.
