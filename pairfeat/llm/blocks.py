@@ -5,6 +5,9 @@ members, and each pair of blocks becomes a group of its own; so no group (and
 no task's memory) grows with a hot bucket, and the work on it spreads over
 tasks. Kernels see two numpy-able halves and return few rows: counts and a
 spanning forest of the links, never all pairs of a bucket.
+
+Defined results: a row whose bucket is null, and a bucket of one row, meet
+nothing; rows given twice are rows of their own; an empty table gives no group.
 """
 
 from __future__ import annotations
@@ -73,25 +76,3 @@ def _starts(rows: pa.Table, n: int) -> np.ndarray:
         col = rows.column(k).to_numpy()
         change[1:] |= col[1:] != col[:-1]
     return np.flatnonzero(change)
-
-
-def forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
-    """Links (indices) reduced to those that join two trees: at most one fewer than the nodes."""
-    parent: dict[int, int] = {}
-
-    def find(x: int) -> int:
-        root = x
-        while (up := parent.get(root, root)) != root:
-            root = up
-        while (up := parent.get(x, x)) != root:
-            parent[x] = root
-            x = up
-        return root
-
-    kept = []
-    for x, y in zip(a.tolist(), b.tolist()):
-        p, q = find(x), find(y)
-        if p != q:
-            parent[max(p, q)] = min(p, q)
-            kept.append((x, y))
-    return kept

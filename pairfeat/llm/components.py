@@ -4,6 +4,9 @@ Each round joins links with the smallest neighbour of their ends; minima are
 aggregated before they are shuffled, so a node with very many links costs one
 row per task. Every round is written to the shared checkpoint folder, which
 cuts the lineage and survives lost executors.
+
+Defined results: links of a node with itself and links with a null end say
+nothing; links given twice or both ways count once; no links, no rows.
 """
 
 from __future__ import annotations
@@ -40,7 +43,8 @@ def components(links: DataFrame, rounds: int = 100) -> DataFrame:
     def mark(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
-    now = written(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a > b").distinct())
+    now = written(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"), (F.col("a").isNotNull() & F.col("b").isNotNull()).alias("ok"))
+                  .filter("ok AND a > b").select("a", "b").distinct())
     before = mark(now)
     for _ in range(rounds):
         if not before[0]:

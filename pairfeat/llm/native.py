@@ -1,6 +1,8 @@
 """Text primitives as plain column expressions (no Python in any task).
 
-Offsets are code points throughout. A null text counts as the empty one.
+Offsets are code points throughout. A null text counts as the empty one: it has no
+word, no line with a word and no span. Rows are looked at one by one, so repeated
+rows and empty tables need no rule.
 """
 
 from __future__ import annotations
