@@ -43,7 +43,7 @@ from pairfeat.operators.trie import TermTable, write_terms
 HASHERS = {"hash1_18": (1, 2 ** 20), "hash1_20": (1, 2 ** 24),
            "hash2_18": (2, 2 ** 20), "hash2_20": (2, 2 ** 24)}
 VOCAB_VECTORS = ("tfidf1", "count1")
-# Emitted matrix: euclidean for tfidf1, count1, hash1_18, hash1_20; cosine and
+# The emitted matrix, euclidean for tfidf1, count1, hash1_18, hash1_20; cosine and
 # manhattan for all six.
 PED = ["tfidf1", "count1", "hash1_18", "hash1_20"]
 PCD = ["tfidf1", "count1", "hash1_18", "hash1_20", "hash2_18", "hash2_20"]
