@@ -157,3 +157,78 @@ def test_word2vec_folder(spark):
     path = scratch_dir(spark, "w2v")
     w2v.write_word2vec(spark.createDataFrame(rows, "term string, vec array<double>").repartition(4), path)
     assert sorted(map(tuple, w2v.read_word2vec(spark, path, 64).collect())) == sorted(rows[:50])
+
+
+def _waiting(df):
+    """Of every Python operator of a plan, the (name, type) columns of the rows that wait for it."""
+    out = []
+
+    def walk(node):
+        kind = node.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            return walk(node.inputPlan())
+        children = [node.children().apply(i) for i in range(node.children().size())]
+        if "EvalPython" in kind:
+            attributes = children[0].output()
+            out.append([(a.name(), a.dataType().catalogString()) for a in (attributes.apply(i) for i in range(attributes.size()))])
+        for child in children:
+            walk(child)
+
+    walk(df._jdf.queryExecution().executedPlan())
+    return out
+
+
+def test_rows_that_wait_for_a_kernel_are_narrow(spark):
+    """Each text once, and no characters or tokens: Spark holds these rows, on disk if memory is short."""
+    from pairfeat.operators import catalogue, lexical as lex, mt
+    pairs = spark.createDataFrame([("1", "a b", "b c", "0")], "qid string, ql string, qr string, label string")
+    vocab, lexicon = Q.fitted_vocabulary(spark, SF_SMALL), Q.fixture_lexicon(spark, SF_SMALL)
+    for out in (lex.lexical_features(pairs, families=lex.FAMILIES), vec.vector_features(pairs, vocab), mt.mt_features(pairs),
+                model.model_features(pairs, vocab, lexicon, np.ones(lexicon.dims)), catalogue.all_features(pairs, vocab)):
+        assert all(not kind.startswith("array") for row in _waiting(out) for _, kind in row)
+        assert max(sum(kind == "string" for _, kind in row) for row in _waiting(out)) <= 4
+
+
+def test_kernels_run_once_a_row(spark):
+    pairs = spark.createDataFrame([("1", "a b", "b c", "0")], "qid string, ql string, qr string, label string")
+    vocab, lexicon = Q.fitted_vocabulary(spark, SF_SMALL), Q.fixture_lexicon(spark, SF_SMALL)
+    for out in (vec.vocab_vectors_long(pairs, vocab, True), vec.hashed_vectors_long(pairs, 2), sv.sentence_vectors(pairs, lexicon)):
+        assert len(_waiting(out)) == 1
+
+
+def _written(spark, names):
+    import os
+    import re
+    base = re.sub(r"^file:/*", "/", spark.sparkContext.getCheckpointDir())
+    return {f for f in os.listdir(base) if any(f"pairfeat-{n}-" in f for n in names)}
+
+
+def test_split_and_direction_write_no_texts_or_vectors(spark):
+    names = ("rows", "split-pairs", "sentence-vectors")
+    pairs = spark.createDataFrame([(str(k), f"a b{k}", "b c", "0") for k in range(50)], "qid string, ql string, qr string, label string")
+    lexicon = Q.fixture_lexicon(spark, SF_SMALL)
+    before = _written(spark, names)
+    flags = model.with_split_flag(pairs)
+    sv.fit_direction(flags.filter("NOT is_test"), lexicon)
+    assert flags.filter("is_test").count() == 5 and _written(spark, names) == before
+
+
+def test_stream_files_are_compressed(spark, tmp_path):
+    from pairfeat.streaming import score
+    spark.createDataFrame([(f"{k}\ta b\tb c",) for k in range(20)] + [("short",)], "value string").write.text(str(tmp_path / "in"))
+    score.start_scoring_stream(spark, *[str(tmp_path / x) for x in ("in", "out", "chk")]).awaitTermination()
+    files = [f.name for f in (tmp_path / "out").rglob("part-*")]
+    assert files and all(f.endswith(".gz") for f in files)
+    assert score.read_scored(spark, str(tmp_path / "out")).count() == 20
+
+
+def test_tags_of_many_texts_equal_one_at_a_time():
+    from pairfeat.operators import lattice
+    rng = np.random.default_rng(3)
+    k, sizes = 4, [0, 7, 1, 30, 7, 2]
+    steps = np.log(rng.random((k + 1, k + 1, k)))
+    emit = np.log(rng.random((sum(sizes), k)))
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    whole = lattice.best_tags(emit, row, steps)
+    for r in range(len(sizes)):
+        assert whole[row == r].tolist() == lattice.best_tags(emit[row == r], row[row == r], steps).tolist()
