@@ -232,3 +232,25 @@ def test_tags_of_many_texts_equal_one_at_a_time():
     whole = lattice.best_tags(emit, row, steps)
     for r in range(len(sizes)):
         assert whole[row == r].tolist() == lattice.best_tags(emit[row == r], row[row == r], steps).tolist()
+
+
+def test_shared_characters(spark, monkeypatch):
+    """The character lengths of pairs against plain counters, and no array functions for them."""
+    from collections import Counter
+    from pairfeat.operators import grams, lexical as lex, suffixes
+    rng = random.Random(6)
+    text = lambda n: "".join(rng.choice("aab cé漢\U0001F600") for _ in range(rng.randrange(n)))
+    pairs = [(text(30), text(600)) for _ in range(60)] + [("", ""), ("a", "")]
+    want = [sum((Counter(a) & Counter(b)).values()) for a, b in pairs]
+    p = suffixes.pairs_of(*(pa.array(side) for side in zip(*pairs)))
+    for cells, kinds in ((1 << 20, 1 << 14), (40, 1 << 14), (1 << 20, 2)):
+        monkeypatch.setattr(grams, "CELLS", cells)
+        monkeypatch.setattr(grams, "KINDS", kinds)
+        assert grams.shared_items(p).tolist() == want
+    df = spark.createDataFrame([(str(k), *x, "0") for k, x in enumerate([*pairs, (None, "a"), ("a" * 300, None)])],
+                               "qid string, ql string, qr string, label string")
+    f = lex.lexical_features(df, families=("char_len",))
+    got = {r["qid"]: r for r in f.collect()}
+    assert [got[str(k)]["char_len_intersect"] for k in range(len(pairs))] == want
+    assert [got[str(len(pairs) + k)]["char_len_intersect"] for k in (0, 1)] == [None, 0]
+    assert "array_intersect" not in str(f._jdf.queryExecution().optimizedPlan())
