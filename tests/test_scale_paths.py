@@ -234,6 +234,33 @@ def test_tags_of_many_texts_equal_one_at_a_time():
         assert whole[row == r].tolist() == lattice.best_tags(emit[row == r], row[row == r], steps).tolist()
 
 
+def test_a_lookup_searches_all_shards_at_once(spark, monkeypatch):
+    """The searches of a batch do not grow with the number of shards."""
+    rng = random.Random(5)
+    terms = _terms(rng, 3000)
+    table = spark.createDataFrame([(t, float(k)) for k, t in enumerate(terms)], "term string, w double")
+    few, many = (trie.write_terms(table, len(terms), ("w",), shard_terms=n).open() for n in (3000, 50))
+    assert len(many.tries) > 20 * len(few.tries)
+    asked = pa.array(terms[::-2] + ["nowhere", "", "éééé"])
+    calls, down = [], trie.Trie._down
+    monkeypatch.setattr(trie.Trie, "_down", lambda self, *a: calls.append(1) or down(self, *a))
+    counts = []
+    for opened in (few, many):
+        calls.clear()
+        ids = opened.find(asked)
+        counts.append(len(calls))
+        assert [opened.values["w"][i] if i >= 0 else None for i in ids] == [float(terms.index(t)) if t in terms else None for t in asked.to_pylist()]
+    assert counts[0] == counts[1]
+
+
+def test_vector_terms_of_a_text_equal_those_of_its_tokens(spark):
+    from pairfeat.operators.lexical import with_tokens
+    rows = [("1", "  Ab_c, dÉf-g 'ΣαΣ'α İx a", "", "0"), ("2", None, "!?", "0"), ("3", "ΣΣ.", "x1 22 漢字", "0")]
+    p = spark.createDataFrame(rows, "qid string, ql string, qr string, label string")
+    assert p.select(*vec.side_terms(p, ("all",))).collect() == (t := with_tokens(p)).select(*vec.side_terms(t, ("all",))).collect()
+    assert "transform" not in str(p.select(*vec.side_terms(p, ("all",)))._jdf.queryExecution().optimizedPlan())
+
+
 def test_shared_characters(spark, monkeypatch):
     """The character lengths of pairs against plain counters, and no array functions for them."""
     from collections import Counter
