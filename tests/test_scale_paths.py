@@ -281,3 +281,18 @@ def test_shared_characters(spark, monkeypatch):
     assert [got[str(k)]["char_len_intersect"] for k in range(len(pairs))] == want
     assert [got[str(len(pairs) + k)]["char_len_intersect"] for k in (0, 1)] == [None, 0]
     assert "array_intersect" not in str(f._jdf.queryExecution().optimizedPlan())
+
+
+def test_word_codes_are_written_at_once(monkeypatch):
+    """One text for a batch, cut into sides; also past the private-use code points."""
+    from pairfeat.operators import wordcodes
+    calls, plain = [], wordcodes._text
+    monkeypatch.setattr(wordcodes, "_text", lambda codes: calls.append(1) or plain(codes))
+    left = [["a", "b", "a"], None, [], [f"w{k}" for k in range(7000)], ["w6999", "a"]]
+    right = [["b"], ["a"], None, ["a", "w6998"], []]
+    l, r = wordcodes.encode(left, right)
+    assert len(calls) == 1
+    assert [None if x is None else len(x) for x in l + r] == [None if x is None else len(x) for x in left + right]
+    code = {w: c for side, s in zip(left + right, l + r) if side for w, c in zip(side, s)}
+    assert len(set(code.values())) == len(code) == 7002
+    assert all(s == "".join(code[w] for w in side) for side, s in zip(left + right, l + r) if side is not None)
