@@ -296,3 +296,20 @@ def test_word_codes_are_written_at_once(monkeypatch):
     code = {w: c for side, s in zip(left + right, l + r) if side for w, c in zip(side, s)}
     assert len(set(code.values())) == len(code) == 7002
     assert all(s == "".join(code[w] for w in side) for side, s in zip(left + right, l + r) if side is not None)
+
+
+def test_lexicon_look_up_is_a_projection(spark, monkeypatch):
+    """Any size of lexicon: no token is exchanged; repeated terms, null terms and tags give a plain join's tokens."""
+    rows = [("cat", "n"), ("cat", "v"), ("cat", None), ("runs", "v"), (None, "q"), ("é", "a"), ("thing", None), ("cat", "n")]
+    lexicon = spark.createDataFrame(rows, "term string, postag string")
+    pairs = spark.createDataFrame([("1", "the cat runs, é cat", "nothing"), (None, None, "thing cat"), ("1", "", "é"), ("1", "", "é"), (None, None, None)],
+                                  "qid string, ql string, qr string")
+    monkeypatch.setattr(joins, "BROADCAST_MAX_BYTES", 0)
+    for table, n in ((lexicon, len(rows)), (lexicon.limit(0), 0)):
+        found = tagging.tokens_from_lexicon(pairs, table, n)
+        assert _exchanges(found) == 0 and found.columns == ["qid", "ql", "qr", "tok_l", "tok_r"]
+        monkeypatch.setattr(tagging, "MAX_KINDS", -1)      # more kinds than may be listed: the join
+        joined = tagging.tokens_from_lexicon(pairs, table, n)
+        monkeypatch.undo()
+        assert _exchanges(joined) > 0 and sorted(map(str, found.collect())) == sorted(map(str, joined.collect()))
+        monkeypatch.setattr(joins, "BROADCAST_MAX_BYTES", 0)
