@@ -313,3 +313,46 @@ def test_lexicon_look_up_is_a_projection(spark, monkeypatch):
         monkeypatch.undo()
         assert _exchanges(joined) > 0 and sorted(map(str, found.collect())) == sorted(map(str, joined.collect()))
         monkeypatch.setattr(joins, "BROADCAST_MAX_BYTES", 0)
+
+
+@pytest.mark.parametrize("widths", [(2 ** 20, 2 ** 24), (7, 40)])
+def test_hashed_distances_by_definition(monkeypatch, widths):
+    """One pass over the counts serves all hashed widths; couples whose items share a bucket are done by bucket."""
+    from pairfeat.operators.murmur import murmur3_32
+    rng = random.Random(3)
+    lists = [[[rng.choice("abcdefghijkl") * rng.randrange(1, 4) for _ in range(rng.randrange(0, 12))] for _ in range(2)] for _ in range(60)] + [[["a"], ["a"]], [[], []]]
+    monkeypatch.setattr(vec, "HASHERS", {f"h{o}_{w}": (o, w) for o in (1, 2) for w in widths})
+    calls = []
+    distances = vec._distances
+    monkeypatch.setattr(vec, "_distances", lambda *a, **k: calls.append(1) or distances(*a, **k))
+    got = vec._pair_distances(pa.array(lists, pa.list_(pa.list_(pa.string()))), tuple(vec.HASHERS), None)
+    if widths[0] > 1000:
+        assert len(calls) == 2      # not one for every width
+
+    def vector(items, order, width):
+        out = np.zeros(width)
+        for t in items + [f"{a} {b}" for a, b in zip(items, items[1:])] * (order == 2):
+            h = int(murmur3_32(pa.array([t]))[0])
+            out[abs(h) % width] += 1 if h >= 0 else -1
+        return out / (np.linalg.norm(out) or 1)
+
+    for name, (order, width) in vec.HASHERS.items():
+        if width < 1000:
+            for k, (a, b) in enumerate(lists):
+                x, y = vector(a, order, width), vector(b, order, width)
+                want = {"PED": np.linalg.norm(x - y), "PCD": 0.5 * ((x - y) ** 2).sum(), "PMD": np.abs(x - y).sum()}
+                for m, value in want.items():
+                    assert abs(got[f"{name}_{m}"][k] - value) < 1e-12
+        else:
+            assert all(got[f"{name}_{m}"][k] == 0 for m in ("PED", "PCD", "PMD") for k in (-1, -2)) and got[f"{name}_PED"].max() > 1
+
+
+def test_vectorised_terms_are_cut_from_the_text(spark):
+    """No tokens are built for terms that are only joined again; capital sigma, letters that lower-case to two, long runs."""
+    from pairfeat.functions import text
+    rows = ["a ΑΣ b", "ΑΣ'Α Σ", "İX ǅa nation NATION nation's", "x_tion the th ing-ly ably_", "", None, "😀th 😀𐀀th𐀀 𐀀th", "ⅣⅣ Ⓐⓐ ble", "é́th", "th" * 100_000 + "x"]
+    df = spark.createDataFrame([(r, r, r) for r in rows], "qid string, ql string, qr string")
+    bare = df.select(*vec.side_terms(df, ("all", "notion")))
+    assert "endswith" not in bare._jdf.queryExecution().optimizedPlan().toString().lower()
+    given = df.select(text.tokens(F.col("ql")).alias("tok_l"), text.tokens(F.col("qr")).alias("tok_r"))
+    assert bare.collect() == given.select(*vec.side_terms(given, ("all", "notion"))).collect()
