@@ -18,13 +18,13 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairfeat.functions import text
 from pairfeat.functions.core import empty_array, once
 from pairfeat.operators.joins import lookup_join
+from pairfeat.operators.pairkernel import rule_tags
 from pairfeat.operators.rowkey import ROW, with_row_key
 from pairfeat.operators.trie import write_terms
 
@@ -32,14 +32,6 @@ TOKEN_STRUCT = "struct<term:string,postag:string>"
 MAX_KINDS = 10_000      # different tags, or lists of tags, of a lexicon that is looked up in place
 
 
-def _rule_tags(terms: pa.Array) -> pa.Array:
-    """``text.suffix_tag`` of string terms."""
-    out = pa.array([text.DEFAULT_TAG] * len(terms), pa.string())
-    for suffix, tag in reversed(text.SUFFIX_TAGS):
-        out = pc.if_else(pc.ends_with(terms, suffix), tag, out)
-    return out
-
-
 def _tagged(lists: pa.ListArray, table, kinds: list[list[str]]) -> pa.ListArray:
     """Arrays of terms (some arrays a row) as arrays of tokens."""
     inner = lists.flatten()
@@ -48,7 +40,7 @@ def _tagged(lists: pa.ListArray, table, kinds: list[list[str]]) -> pa.ListArray:
     lexicon = table.open()
     ids = lexicon.find(coded.dictionary)
     known = ids >= 0
-    rules = _rule_tags(coded.dictionary).dictionary_encode()
+    rules = rule_tags(coded.dictionary).dictionary_encode()
     kind = rules.indices.to_numpy().astype(np.int64) + len(kinds)
     if known.any():
         kind[known] = lexicon.values["kind"][ids[known]]
