@@ -110,3 +110,16 @@ def test_gleu_words_by_definition():
         ref, hyp = ([rng.choice(["a", "b", "ab", "abab", "ba", "é", "x"]) for _ in range(rng.randrange(9))] for _ in range(2))
         assert abs(mtf.gleu_words(ref, hyp) - _gleu(ref, hyp)) < 1e-15
     assert np.array_equal(mtf.gleu_words([None, "ab"], ["a", None, "b"]), _gleu(["ab"], ["a", "\0\0", "b"]))
+
+
+def test_sentence_vectors_read_texts(spark):
+    """Terms reach the sentence vectors as texts, without token structs, and give what supplied tokens give."""
+    from pairfeat.operators import sentvec as sv
+    lexicon = sv.build_lexicon(spark.createDataFrame([("ab", [1.0, 0.5]), ("é", [0.0, 2.0])], "term string, vec array<double>"),
+                               spark.createDataFrame([("ab", 3), ("é", 1)], "term string, freq long"))
+    df = spark.createDataFrame([("1", " ab, é!ab x", "é", "0"), ("2", None, "ab", "0"), ("3", "", "?", "0")], SCHEMA)
+    given = df.select("*", text.tokens(F.col("ql")).alias("tok_l"), text.tokens(F.col("qr")).alias("tok_r"))
+    direction = np.array([0.6, 0.8])
+    out = sv.with_sif(df, lexicon, direction)
+    assert "lambda" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(out.select("qid", *sv.SIF_NAMES).collect()) == sorted(sv.with_sif(given, lexicon, direction).select("qid", *sv.SIF_NAMES).collect())
